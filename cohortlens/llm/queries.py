@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import pieces
+from . import exact, pieces, toxicity
 
-QUERIES = {"op1_sentencepiece": pieces.query}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_sentencepiece": pieces.query,
+    "op2_exact_dedup": exact.query,
+    "op3_toxicity": toxicity.query,
+}
+ORACLE_SQL = {"op2_exact_dedup": exact.ORACLE_SQL}
