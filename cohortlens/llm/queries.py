@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact, pieces, toxicity
+from . import exact, licenses, media, packing, pieces, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
     "op2_exact_dedup": exact.query,
     "op3_toxicity": toxicity.query,
+    "op5_media": media.query,
+    "op7_licenses": licenses.query,
+    "op8_warc": warc.query,
+    "op9_packing": packing.query,
 }
 ORACLE_SQL = {"op2_exact_dedup": exact.ORACLE_SQL}
