@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, licenses, media, packing, pieces, substrings, suffixes, toxicity, warc
+from . import exact, jaccard, licenses, media, packing, pieces, substrings, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_suffix_dedup": suffixes.query,
     "op5_media": media.query,
+    "op6_jaccard_join": jaccard.query,
     "op7_licenses": licenses.query,
     "op8_warc": warc.query,
     "op9_packing": packing.query,
