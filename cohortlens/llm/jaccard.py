@@ -280,5 +280,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select(null(F.col("key")).alias("id"), "n_shingles", null(F.coalesce("component", "key")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those that a component holds under a smaller identifier. Rows without an identifier stay."""
+    gone = join(docs, id_col, text_col).filter("component_id <> id").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, small_batches, table
+from .common import NULL_ID, keyed, small_batches, table
 from .minimisers import MOST_IN_CLASS, Units, covered, repeated, runs_of, with_spans
 
 LENGTH, GRAM = 400, 100
@@ -95,6 +95,29 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     return with_spans(src, spans).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with the removed bytes gone from text_col and chars_col counted anew; where a cut splits a character, its rest goes too. Untouched rows are as they were, and no row goes."""
+    small_batches(docs.sparkSession)
+    src = keyed(docs, id_col, text_col)
+    spans = repeated(src, Units(length, gram, words=False), repeated_by_columns(length), earlier=False).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.join(spans, (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_key")) & (F.xxhash64(text) == F.col("_th")), "left").select(*docs.columns, "_spans")
+    at, n = docs.columns.index(text_col), docs.columns.index(chars_col)
+
+    def run(batches):
+        for b in batches:
+            texts, counts = b.column(at).to_pylist(), b.column(n).to_pylist()
+            for i, spans in enumerate(b.column("_spans").to_pylist()):
+                if spans:
+                    data = np.frombuffer(texts[i].encode(), np.uint8)
+                    texts[i] = data[~covered(len(data), spans)].tobytes().decode(errors="ignore")
+                    counts[i] = len(texts[i])
+            cols = [pa.array(texts, pa.string()) if k == at else pa.array(counts, b.schema.field(n).type) if k == n else b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = remove(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

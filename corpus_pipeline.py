@@ -4,9 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlens.llm import exact, jaccard, packing, suffixes, toxicity
 from cohortlens.llm.common import shared_path, table
 
-STAGES: list = []
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that a classifier learned from the labels finds toxic."""
+    return toxicity.accepted(docs, toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels"))))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact.kept_rows(docs)
+
+
+def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest identifier of each group of near copies."""
+    return jaccard.representatives(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 400 bytes and more that also stand elsewhere."""
+    return suffixes.cleaned(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", clean), ("exact", distinct), ("jaccard", apart), ("suffixes", unrepeated), ("packing", packed)]
 #: The stages hold a trained classifier, graph components and a packing: SQL can't express them.
 ORACLE_SQL = None
 
