@@ -12,7 +12,10 @@ from ..operators import ranking as R
 from .cohort import CASES, PROBS, TEMPERATURE, cases, evaluated, head_probability, logits
 
 QUERIES, SQL = {}, {}
-REF = F.col("true_grade") >= 2
+
+
+def ref():
+    return F.col("true_grade") >= 2
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -79,12 +82,12 @@ _RN = ("sensitivity", "specificity", "ppv", "npv", "accuracy", "f1")
 
 @query(CASES + f", k AS (SELECT source, {_RATES} FROM ok GROUP BY 1) SELECT source, tp, fn, tn, fp, {_RATIOS} FROM k")
 def binary_rates_by_source(spark, d):
-    return M.rates(evaluated(spark, d), REF, F.col("pred") >= 2, ["source"]).select("source", "tp", "fn", "tn", "fp", *[r6(c, c) for c in _RN])
+    return M.rates(evaluated(spark, d), ref(), F.col("pred") >= 2, ["source"]).select("source", "tp", "fn", "tn", "fp", *[r6(c, c) for c in _RN])
 
 
 @query(CASES + f", k AS (SELECT source, camera, CAST(grouping(source, camera) AS BIGINT) AS level, {_RATES} FROM ok GROUP BY GROUPING SETS ((source, camera), (source), ())) SELECT source, camera, level, tp, fn, tn, fp, CASE WHEN tp + fn + tn + fp < 50 OR tp + fn < 5 THEN 'too few' ELSE 'ok' END AS support, round(CASE WHEN tp + fn + tn + fp < 50 OR tp + fn < 5 THEN NULL ELSE CAST(tp AS DOUBLE) / nullif(tp + fn, 0) END, 6) AS sensitivity FROM k")
 def grouped_rates_grouping_sets(spark, d):
-    evaluated(spark, d).select("source", "camera", REF.alias("t"), (F.col("pred") >= 2).alias("p")).createOrReplaceTempView("rated")
+    evaluated(spark, d).select("source", "camera", ref().alias("t"), (F.col("pred") >= 2).alias("p")).createOrReplaceTempView("rated")
     k = spark.sql("SELECT source, camera, grouping_id(source, camera) AS level, count_if(t AND p) AS tp, count_if(t AND NOT p) AS fn, count_if(NOT t AND NOT p) AS tn, count_if(NOT t AND p) AS fp FROM rated GROUP BY GROUPING SETS ((source, camera), (source), ())")
     few = (F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp") < 50) | (F.col("tp") + F.col("fn") < 5)
     return k.withColumns({"support": F.when(few, "too few").otherwise("ok"), "sensitivity": F.round(F.when(~few, S.ratio(F.col("tp"), F.col("tp") + F.col("fn"))), 6)})
@@ -107,7 +110,7 @@ def agreement_by_source(spark, d):
 @query(CASES + " SELECT CASE WHEN status = 'rejected' THEN 'recapture' WHEN (pred >= 2) <> head THEN 'uncertain_human_review' WHEN pred >= 2 THEN 'refer' ELSE 'auto_clear' END AS action, count(*) AS n, count(*) FILTER (WHERE true_grade >= 2) AS referable FROM cases WHERE status <> 'error' GROUP BY 1")
 def triage_counts(spark, d):
     action = S.triage(F.col("status") == "rejected", F.col("pred") >= 2, F.col("head"))
-    return cases(spark, d).filter("status <> 'error'").groupBy(action.alias("action")).agg(F.count("*").alias("n"), F.count_if(REF).alias("referable"))
+    return cases(spark, d).filter("status <> 'error'").groupBy(action.alias("action")).agg(F.count("*").alias("n"), F.count_if(ref()).alias("referable"))
 
 
 _AUC = """, st AS (SELECT source, score, count(*) FILTER (WHERE true_grade >= 2) AS pos, count(*) FILTER (WHERE true_grade < 2) AS neg FROM ok GROUP BY 1, 2),
@@ -116,30 +119,30 @@ rt AS (SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER (PA
 
 @query(CASES + _AUC + " SELECT source, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, round(sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 6) AS auc FROM rt GROUP BY 1")
 def roc_auc_by_source(spark, d):
-    return R.auc(R.score_table(evaluated(spark, d), REF, "score", ["source"]), ["source"]).select("source", "n_pos", "n_neg", r6("auc", "auc"))
+    return R.auc(R.score_table(evaluated(spark, d), ref(), "score", ["source"]), ["source"]).select("source", "n_pos", "n_neg", r6("auc", "auc"))
 
 
 @query(CASES + _AUC + " SELECT source, round(sum(CAST(pos AS DOUBLE) / ap * tp / (tp + fp)), 6) AS average_precision FROM rt GROUP BY 1")
 def average_precision(spark, d):
-    return R.average_precision(R.roc_table(R.score_table(evaluated(spark, d), REF, "score", ["source"]), ["source"]), ["source"]).select("source", r6("average_precision", "average_precision"))
+    return R.average_precision(R.roc_table(R.score_table(evaluated(spark, d), ref(), "score", ["source"]), ["source"]), ["source"]).select("source", r6("average_precision", "average_precision"))
 
 
 @query(CASES + _AUC + """ SELECT source, round(coalesce(max(CASE WHEN CAST(an - fp AS DOUBLE) / an >= CAST(0.9 AS DOUBLE) THEN CAST(tp AS DOUBLE) / ap END), 0), 6) AS sens_at_90, round(max(CASE WHEN CAST(tp AS DOUBLE) / ap >= CAST(0.9 AS DOUBLE) THEN CAST(an - fp AS DOUBLE) / an END), 6) AS spec_at_90,
 round((coalesce(max(CASE WHEN CAST(an - fp AS DOUBLE) / an >= CAST(0.8 AS DOUBLE) THEN CAST(tp AS DOUBLE) / ap END), 0) + coalesce(max(CASE WHEN CAST(an - fp AS DOUBLE) / an >= CAST(0.85 AS DOUBLE) THEN CAST(tp AS DOUBLE) / ap END), 0) + coalesce(max(CASE WHEN CAST(an - fp AS DOUBLE) / an >= CAST(0.9 AS DOUBLE) THEN CAST(tp AS DOUBLE) / ap END), 0)) / 3, 6) AS selection_value FROM rt GROUP BY 1""")
 def operating_points(spark, d):
-    roc = R.roc_table(R.score_table(evaluated(spark, d), REF, "score", ["source"]), ["source"])
+    roc = R.roc_table(R.score_table(evaluated(spark, d), ref(), "score", ["source"]), ["source"])
     out = R.sensitivity_at(roc, 0.9, ["source"]).withColumnRenamed("value", "sens").join(R.specificity_at(roc, 0.9, ["source"]), "source").join(R.selection_value(roc, ["source"]), "source")
     return out.select("source", r6("sens", "sens_at_90"), r6("value", "spec_at_90"), r6("selection_value", "selection_value"))
 
 
 @query(CASES + " SELECT round(avg(CAST(score < (SELECT quantile_cont(score, 0.1) FROM ok WHERE true_grade >= 2) AS DOUBLE)), 6) AS value FROM ok WHERE true_grade < 2")
 def specificity_by_quantile(spark, d):
-    return R.specificity_at_quantile(evaluated(spark, d), REF, "score", 0.9).select(r6("value", "value"))
+    return R.specificity_at_quantile(evaluated(spark, d), ref(), "score", 0.9).select(r6("value", "value"))
 
 
 @query(CASES + _AUC + ", a AS (SELECT source, sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS auc FROM rt GROUP BY 1) SELECT count(*) AS sources, round(avg(auc), 6) AS mean_auc, round(min(auc), 6) AS worst_auc, min_by(source, auc) AS worst_source FROM a")
 def mean_auc_over_sources(spark, d):
-    a = R.auc(R.score_table(evaluated(spark, d), REF, "score", ["source"]), ["source"])
+    a = R.auc(R.score_table(evaluated(spark, d), ref(), "score", ["source"]), ["source"])
     return a.agg(F.count("auc").alias("sources"), r6(F.avg("auc"), "mean_auc"), r6(F.min("auc"), "worst_auc"), F.min_by("source", "auc").alias("worst_source"))
 
 
@@ -149,14 +152,14 @@ _W = CASES + ", w AS (SELECT *, score / 4 AS p FROM ok)"
 @query(_W + ", b AS (SELECT least(CAST(floor(p * 15) AS INT), 14) AS bin, count(*) AS n, avg(p) AS c, avg(CAST(true_grade >= 2 AS DOUBLE)) AS a FROM w GROUP BY 1) SELECT round(sum(n * abs(a - c)) / sum(n), 6) AS ece FROM b")
 def ece_left_closed(spark, d):
     p = F.col("score") / 4
-    return C.ece(C.bin_table(evaluated(spark, d), p, REF, C.left_closed_bin(p, 15), 15)).select(r6("ece", "ece"))
+    return C.ece(C.bin_table(evaluated(spark, d), p, ref(), C.left_closed_bin(p, 15), 15)).select(r6("ece", "ece"))
 
 
 @query(_W + ", g AS (SELECT CAST(range AS INT) AS bin FROM range(15)), b AS (SELECT greatest(CAST(ceil(p * 15) AS INT) - 1, 0) AS bin, count(*) AS n, avg(p) AS c, avg(CAST(true_grade >= 2 AS DOUBLE)) AS a FROM w WHERE NOT (p > CAST(0.2 AS DOUBLE) AND p <= CAST(0.25 AS DOUBLE)) GROUP BY 1) SELECT g.bin, coalesce(n, 0) AS \"count\", round(c, 6) AS mean_confidence, round(a, 6) AS accuracy FROM g LEFT JOIN b ON g.bin = b.bin")
 def reliability_bins(spark, d):
     p = F.col("score") / 4
     df = evaluated(spark, d).filter(~((p > 0.2) & (p <= 0.25)))
-    return C.bin_table(df, p, REF, C.right_closed_bin(p, 15), 15).select("bin", "count", r6("mean_confidence", "mean_confidence"), r6("accuracy", "accuracy"))
+    return C.bin_table(df, p, ref(), C.right_closed_bin(p, 15), 15).select("bin", "count", r6("mean_confidence", "mean_confidence"), r6("accuracy", "accuracy"))
 
 
 _P = CASES + PROBS
@@ -173,7 +176,7 @@ def multiclass_ece(spark, d):
 @query(_P + f" SELECT source, count(*) AS n, round(avg((1 / (1 + exp(-z5)) - CAST(true_grade >= 2 AS DOUBLE)) ** 2), 6) AS brier, round(avg({' + '.join(f'(p{k} - CAST(true_grade = {k} AS DOUBLE)) ** 2' for k in range(5))}), 6) AS multiclass_brier, round(avg(-ln(greatest({_PL}[true_grade + 1], 1e-12))), 6) AS nll FROM probs GROUP BY 1")
 def brier_nll(spark, d):
     df = evaluated(spark, d).withColumn("p", S.grade_probabilities(logits()))
-    return df.groupBy("source").agg(F.count("*").alias("n"), r6(C.brier(head_probability(), REF), "brier"), r6(C.multiclass_brier(F.col("p"), F.col("true_grade")), "multiclass_brier"), r6(C.multiclass_nll(F.col("p"), F.col("true_grade")), "nll"))
+    return df.groupBy("source").agg(F.count("*").alias("n"), r6(C.brier(head_probability(), ref()), "brier"), r6(C.multiclass_brier(F.col("p"), F.col("true_grade")), "multiclass_brier"), r6(C.multiclass_nll(F.col("p"), F.col("true_grade")), "nll"))
 
 
 @query(_P + f" SELECT true_grade, count(*) AS n, round(avg(p1 + 2 * p2 + 3 * p3 + 4 * p4), 6) AS expected, round(avg(p2 + p3 + p4), 6) AS tail, round(avg(1 - p0), 6) AS any_disease, round(avg(1 / (1 + exp(-z5))), 6) AS referral FROM probs GROUP BY 1")
@@ -224,8 +227,8 @@ def routing_ablation(spark, d):
     split = called != F.col("head")
     variants = F.array(*[F.struct(F.lit(n).alias("variant"), a.alias("abstain")) for n, a in (("grade", F.lit(False)), ("grade_and_head", split), ("quality_gate", (F.col("iqs") < 0.3) | split))])
     v = evaluated(spark, d).select("true_grade", called.alias("called"), F.explode(variants).alias("v")).select("true_grade", "called", "v.*")
-    auto, ref, c = ~F.col("abstain"), REF, F.col("called")
-    return v.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(auto).alias("auto"), F.count_if(~auto & ref).alias("unresolved_referable"), F.count_if(~auto & ~ref).alias("unresolved_other"), r6(S.ratio(F.count_if(auto & c & ref), F.count_if(auto & ref)), "sensitivity"), r6(S.ratio(F.count_if(auto & ~c & ~ref), F.count_if(auto & ~ref)), "specificity"))
+    auto, bad, c = ~F.col("abstain"), ref(), F.col("called")
+    return v.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(auto).alias("auto"), F.count_if(~auto & bad).alias("unresolved_referable"), F.count_if(~auto & ~bad).alias("unresolved_other"), r6(S.ratio(F.count_if(auto & c & bad), F.count_if(auto & bad)), "sensitivity"), r6(S.ratio(F.count_if(auto & ~c & ~bad), F.count_if(auto & ~bad)), "specificity"))
 
 
 _Z = 1.959963984540054
@@ -233,13 +236,13 @@ _Z = 1.959963984540054
 
 @query(CASES + f", k AS (SELECT source, {_RATES} FROM ok GROUP BY 1), w AS (SELECT source, tp, tp + fn AS n, CAST(tp AS DOUBLE) / (tp + fn) AS p FROM k) SELECT source, n, round(p, 6) AS sensitivity, round((p + {_Z}**2 / (2 * n)) / (1 + {_Z}**2 / n) - {_Z} * sqrt(p * (1 - p) / n + {_Z}**2 / (4.0 * n * n)) / (1 + {_Z}**2 / n), 6) AS low, round((p + {_Z}**2 / (2 * n)) / (1 + {_Z}**2 / n) + {_Z} * sqrt(p * (1 - p) / n + {_Z}**2 / (4.0 * n * n)) / (1 + {_Z}**2 / n), 6) AS high FROM w")
 def wilson_by_site(spark, d):
-    k = M.verification(M.rates(evaluated(spark, d), REF, F.col("pred") >= 2, ["source"]), 0.85, 0.8)
+    k = M.verification(M.rates(evaluated(spark, d), ref(), F.col("pred") >= 2, ["source"]), 0.85, 0.8)
     return k.select("source", (F.col("tp") + F.col("fn")).alias("n"), r6("sensitivity", "sensitivity"), r6("sens_low", "low"), r6("sens_high", "high"))
 
 
 @query(CASES + f", k AS (SELECT source, {_RATES} FROM ok GROUP BY 1) SELECT source, CAST(tp AS DOUBLE) / (tp + fn) >= CAST(0.85 AS DOUBLE) AND CAST(tn AS DOUBLE) / (tn + fp) >= CAST(0.8 AS DOUBLE) AS passes, CASE WHEN tp + fn < 5 THEN 'refused' WHEN tp + fn < 40 OR tp + fn + tn + fp < 150 THEN 'warned' ELSE 'ok' END AS support FROM k")
 def verification_flags(spark, d):
-    k = M.verification(M.rates(evaluated(spark, d), REF, F.col("pred") >= 2, ["source"]), 0.85, 0.8)
+    k = M.verification(M.rates(evaluated(spark, d), ref(), F.col("pred") >= 2, ["source"]), 0.85, 0.8)
     pos, n = F.col("tp") + F.col("fn"), F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp")
     return k.select("source", "passes", F.when(pos < 5, "refused").when((pos < 40) | (n < 150), "warned").otherwise("ok").alias("support"))
 
@@ -254,7 +257,7 @@ _Q = (0.1, 0.5, 0.9, 0.95, 0.99, 0.999)
 
 @query(CASES + " SELECT true_grade >= 2 AS referable, count(*) AS n, round(avg(score), 6) AS mean, " + ", ".join(f"round(quantile_cont(score, {q}), 6) AS p{i}" for i, q in enumerate(_Q)) + " FROM ok GROUP BY 1")
 def score_percentiles(spark, d):
-    g = evaluated(spark, d).groupBy(REF.alias("referable")).agg(F.count("*").alias("n"), r6(F.avg("score"), "mean"), F.percentile("score", list(_Q)).alias("q"))
+    g = evaluated(spark, d).groupBy(ref().alias("referable")).agg(F.count("*").alias("n"), r6(F.avg("score"), "mean"), F.percentile("score", list(_Q)).alias("q"))
     return g.select("referable", "n", "mean", *[F.round(F.col("q")[i], 6).alias(f"p{i}") for i in range(len(_Q))])
 
 
@@ -275,7 +278,7 @@ def histogram_auc_dice(spark, d):
     """All from 1000-bin histograms by class, which add up over images and partitions."""
     from ..operators.histograms import best_dice, histogram, histogram_ranking
 
-    h = histogram(evaluated(spark, d), REF, F.col("score") / 4, ["camera"])
+    h = histogram(evaluated(spark, d), ref(), F.col("score") / 4, ["camera"])
     return histogram_ranking(h, ["camera"]).join(best_dice(h, ["camera"]), "camera").select("camera", r6("aupr", "aupr"), r6("auc", "auc"), "best_bin", r6("best_dice", "best_dice"), r6("best_iou", "best_iou"))
 
 

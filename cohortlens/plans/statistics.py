@@ -14,10 +14,21 @@ from ..operators import resampling as B
 from .cohort import CASES, THRESHOLDS, cases, evaluated, logits, read, sql_draw
 
 QUERIES, SQL = {}, {}
-REF, CALL, CALL2 = F.col("true_grade") >= 2, F.col("pred") >= 2, F.col("pred2") >= 2
 REPLICATES = 100
 
 
+def ref():
+    return F.col("true_grade") >= 2
+
+
+def call():
+    return F.col("pred") >= 2
+
+
+def call2():
+    return F.col("pred2") >= 2
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -36,7 +47,9 @@ def sql_draw32(tag: str, key: str) -> str:
     return f"CAST(CAST(concat('0x', substr(md5(concat_ws('|', '{tag}', {key})), 1, 8)) AS UBIGINT) AS BIGINT)"
 
 
-_COUNTS = {"pos": REF, "neg": ~REF, "tp": REF & CALL, "tn": ~REF & ~CALL, "tp2": REF & CALL2, "tn2": ~REF & ~CALL2, "ok": F.col("pred") == F.col("true_grade"), "n": F.lit(True)}
+def counts():
+    return {"pos": ref(), "neg": ~ref(), "tp": ref() & call(), "tn": ~ref() & ~call(), "tp2": ref() & call2(), "tn2": ~ref() & ~call2(), "ok": F.col("pred") == F.col("true_grade"), "n": F.lit(True)}
+
 _SQLC = "count(*) FILTER (WHERE true_grade >= 2) AS pos, count(*) FILTER (WHERE true_grade < 2) AS neg, count(*) FILTER (WHERE true_grade >= 2 AND pred >= 2) AS tp, count(*) FILTER (WHERE true_grade < 2 AND pred < 2) AS tn, count(*) FILTER (WHERE true_grade >= 2 AND pred2 >= 2) AS tp2, count(*) FILTER (WHERE true_grade < 2 AND pred2 < 2) AS tn2, count(*) FILTER (WHERE pred = true_grade) AS ok_, count(*) AS n"
 _BOOT = CASES + f""", g AS (SELECT group_id, {_SQLC} FROM ok GROUP BY 1), cl AS (SELECT *, row_number() OVER (ORDER BY group_id) - 1 AS idx, count(*) OVER () AS nc FROM g),
 w AS (SELECT r.range AS r, {sql_draw32('boot', "r.range, j.range")} % m.nc AS idx, count(*) AS w FROM range({REPLICATES}) r, (SELECT count(*) AS nc FROM g) m, range(0, (SELECT count(*) FROM g)) j GROUP BY 1, 2),
@@ -44,8 +57,8 @@ b AS (SELECT r, sum(pos * w) AS pos, sum(neg * w) AS neg, sum(tp * w) AS tp, sum
 
 
 def _boot(spark, d):
-    c = B.cluster_counts(evaluated(spark, d), "group_id", _COUNTS)
-    return c, B.resampled(c, REPLICATES, "boot", list(_COUNTS))
+    c = B.cluster_counts(evaluated(spark, d), "group_id", counts())
+    return c, B.resampled(c, REPLICATES, "boot", list(counts()))
 
 
 @query(_BOOT + ", p AS (SELECT CAST(sum(tp) AS DOUBLE) / sum(pos) AS sens, CAST(sum(tn) AS DOUBLE) / sum(neg) AS spec, CAST(sum(ok_) AS DOUBLE) / sum(n) AS acc FROM cl), s AS (SELECT 'sensitivity' AS metric, CAST(tp AS DOUBLE) / pos AS v FROM b UNION ALL SELECT 'specificity', CAST(tn AS DOUBLE) / neg FROM b UNION ALL SELECT 'accuracy', CAST(ok_ AS DOUBLE) / n FROM b) SELECT metric, round(CASE metric WHEN 'sensitivity' THEN any_value(sens) WHEN 'specificity' THEN any_value(spec) ELSE any_value(acc) END, 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS valid FROM s, p GROUP BY metric")
@@ -75,7 +88,7 @@ w AS (SELECT true_grade, r.range AS r, {sql_draw32('strat', "true_grade, r.range
 @query(_STRAT + " SELECT round(quantile_cont(acc, 0.025), 6) AS acc_low, round(quantile_cont(acc, 0.975), 6) AS acc_high, round(quantile_cont(sens, 0.025), 6) AS sens_low, round(quantile_cont(sens, 0.975), 6) AS sens_high, count(acc) AS valid FROM b")
 def stratified_bootstrap_ci(spark, d):
     """Images are drawn within their grade."""
-    c = B.cluster_counts(evaluated(spark, d), "image_id", {"ok": F.col("pred") == F.col("true_grade"), "rp": REF & CALL, "ref": REF, "n": F.lit(True)}, ["true_grade"])
+    c = B.cluster_counts(evaluated(spark, d), "image_id", {"ok": F.col("pred") == F.col("true_grade"), "rp": ref() & call(), "ref": ref(), "n": F.lit(True)}, ["true_grade"])
     b = B.resampled(c, 20, "strat", ["ok", "rp", "ref", "n"], ["true_grade"])
     q = b.agg(F.percentile(S.ratio(F.col("ok"), F.col("n")), [0.025, 0.975]).alias("a"), F.percentile(S.ratio(F.col("rp"), F.col("ref")), [0.025, 0.975]).alias("b"), F.count("n").alias("valid"))
     return q.select(*[r6(F.col(c)[i], f"{n}_{e}") for c, n in (("a", "acc"), ("b", "sens")) for i, e in enumerate(("low", "high"))], "valid")
@@ -87,7 +100,7 @@ def bootstrap_auc(spark, d):
     df = evaluated(spark, d)
     c = B.cluster_counts(df, "group_id", {"n": F.lit(True)})
     ids = df.groupBy("group_id").agg(F.lit(1).alias("o")).withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("group_id")) - 1).cast("long")).drop("o")
-    scores = df.join(ids, "group_id").groupBy("idx", "score").agg(F.count_if(REF).alias("pos"), F.count_if(~REF).alias("neg"))
+    scores = df.join(ids, "group_id").groupBy("idx", "score").agg(F.count_if(ref()).alias("pos"), F.count_if(~ref()).alias("neg"))
     return B.weighted_auc(scores, B.weights(c, 10, "boot")).select("r", r6("auc", "auc"))
 
 
@@ -97,7 +110,7 @@ ct AS (SELECT source, r, score - CAST(1e-9 AS DOUBLE) AS cut FROM ft WHERE i = k
 
 
 def _calibration(spark, d):
-    return B.calibration_draws(evaluated(spark, d), "group_id", REF, "score", 300, 10, "cal", 0.9, ["source"])
+    return B.calibration_draws(evaluated(spark, d), "group_id", ref(), "score", 300, 10, "cal", 0.9, ["source"])
 
 
 @query(_DRAWS + " SELECT source, count(*) AS draws, round(avg(CAST(sens >= CAST(0.85 AS DOUBLE) AND spec >= CAST(0.8 AS DOUBLE) AS DOUBLE)), 6) AS p_both, round(avg(sens), 6) AS mean_sens, round(quantile_cont(sens, 0.1), 6) AS p10_sens, round(avg(spec), 6) AS mean_spec FROM jd GROUP BY 1")
@@ -117,7 +130,7 @@ def rule_selection(spark, d):
 @query(CASES + ", p AS (SELECT source, score, count(*) OVER (PARTITION BY source) AS n_pos, row_number() OVER (PARTITION BY source ORDER BY score) AS i FROM ok WHERE true_grade >= 2), c AS (SELECT source, n_pos, score - CAST(1e-9 AS DOUBLE) AS cut FROM p WHERE i = floor((1 - CAST(0.9 AS DOUBLE)) * n_pos) + 1) SELECT source, n_pos, round(cut, 6) AS cut, round(least(CAST(0.5 AS DOUBLE), cut - CAST(1e-6 AS DOUBLE)), 6) AS t0, round(greatest(CAST(2.5 AS DOUBLE), cut + CAST(1e-6 AS DOUBLE)), 6) AS t2, round(greatest(CAST(3.5 AS DOUBLE), greatest(CAST(2.5 AS DOUBLE), cut + CAST(1e-6 AS DOUBLE)) + CAST(1e-6 AS DOUBLE)), 6) AS t3 FROM c")
 def site_boundary(spark, d):
     """A referral cut for each site, and the other thresholds moved out of its way."""
-    b = P.boundary(evaluated(spark, d), REF, "score", 0.9, ["source"]).withColumn("t", S.monotone_thresholds(THRESHOLDS, F.col("cut")))
+    b = P.boundary(evaluated(spark, d), ref(), "score", 0.9, ["source"]).withColumn("t", S.monotone_thresholds(THRESHOLDS, F.col("cut")))
     return b.select("source", "n_pos", r6("cut", "cut"), *[r6(F.col("t")[i], f"t{i}") for i in (0, 2, 3)])
 
 
@@ -125,7 +138,7 @@ _SROC = CASES + ", n AS (SELECT score, source, count(*) FILTER (WHERE true_grade
 
 
 def _source_roc(spark, d):
-    return P.source_roc(evaluated(spark, d), REF, "score", "source")
+    return P.source_roc(evaluated(spark, d), ref(), "score", "source")
 
 
 @query(_SROC + " SELECT score AS cut, round(sens, 6) AS sens, round(spec, 6) AS spec FROM mn WHERE sens >= CAST(0.9 AS DOUBLE) ORDER BY round(spec, 9) DESC, score DESC LIMIT 1")
@@ -145,14 +158,14 @@ def worst_source_threshold(spark, d):
 
 @query(CASES + ", n AS (SELECT score, count(*) FILTER (WHERE true_grade >= 2) AS pos, count(*) FILTER (WHERE true_grade < 2) AS neg FROM ok GROUP BY 1), t AS (SELECT score, CAST(sum(pos) OVER d AS DOUBLE) / sum(pos) OVER () AS sens, CAST(sum(neg) OVER () - sum(neg) OVER d AS DOUBLE) / sum(neg) OVER () AS spec, (score + coalesce(lag(score) OVER (ORDER BY score), score)) / 2 AS mid FROM n WINDOW d AS (ORDER BY score DESC)) SELECT round(mid, 6) AS cut, round(sens, 6) AS sens, round(spec, 6) AS spec FROM t WHERE spec >= CAST(0.9 AS DOUBLE) ORDER BY round(sens, 9) DESC, round(spec, 9) DESC, mid DESC LIMIT 1")
 def spec_floor_threshold(spark, d):
-    return P.floor_threshold(R.roc_table(R.score_table(evaluated(spark, d), REF, "score")), 0.9).select(r6("cut", "cut"), r6("sens", "sens"), r6("spec", "spec"))
+    return P.floor_threshold(R.roc_table(R.score_table(evaluated(spark, d), ref(), "score")), 0.9).select(r6("cut", "cut"), r6("sens", "sens"), r6("spec", "spec"))
 
 
 @query(CASES + " SELECT source, round(quantile_cont(iqs, 0.05), 6) AS reject_cut, round(max(score) FILTER (WHERE score < 1.5), 6) AS midpoint_from, round((max(score) FILTER (WHERE score < 1.5) + 1.5) / 2, 6) AS midpoint FROM ok WHERE true_grade < 2 GROUP BY 1")
 def false_reject_threshold(spark, d):
     """The reject cut from the accepted class's quantile, and the midpoint below a cut."""
     below = F.max(F.when(F.col("score") < 1.5, F.col("score")))
-    return evaluated(spark, d).filter(~REF).groupBy("source").agg(r6(F.percentile("iqs", F.lit(0.05)), "reject_cut"), r6(below, "midpoint_from"), r6((below + 1.5) / 2, "midpoint"))
+    return evaluated(spark, d).filter(~ref()).groupBy("source").agg(r6(F.percentile("iqs", F.lit(0.05)), "reject_cut"), r6(below, "midpoint_from"), r6((below + 1.5) / 2, "midpoint"))
 
 
 @query(CASES + """, b AS (SELECT image_id, status, pred AS g, score AS s, head FROM cases WHERE image_id % 50 <> 0), c AS (SELECT image_id, CASE WHEN image_id % 211 = 0 THEN 'error' ELSE status END AS status, CASE WHEN image_id % 97 = 0 THEN pred2 ELSE pred END AS g, CASE WHEN image_id % 97 = 0 THEN second WHEN image_id % 31 = 0 THEN score + CAST(0.00001 AS DOUBLE) ELSE score END AS s, head FROM cases WHERE image_id % 60 <> 0),
@@ -218,7 +231,7 @@ def dataset_audit(spark, d):
 
 @query(CASES + " SELECT source, count(*) AS screened, count(*) FILTER (WHERE status = 'success' AND pred >= 2) AS referred, round_even(count(*) * CAST(1.5 AS DOUBLE), 0) AS minutes, round_even(CAST(count(*) FILTER (WHERE status = 'success' AND pred >= 2) AS DOUBLE) * CAST(12.5 AS DOUBLE), 0) AS cost FROM cases GROUP BY 1")
 def workload_summary(spark, d):
-    ref = F.count_if((F.col("status") == "success") & CALL)
+    ref = F.count_if((F.col("status") == "success") & call())
     return cases(spark, d).groupBy("source").agg(F.count("*").alias("screened"), ref.alias("referred"), F.bround(F.count("*") * F.lit(1.5)).alias("minutes"), F.bround(ref * F.lit(12.5)).alias("cost"))
 
 
@@ -228,7 +241,7 @@ def froc(spark, d):
     t = F.explode(F.array(*[F.lit(x) for x in (0.5, 1.0, 1.5, 2.5)]))
     f = evaluated(spark, d).select((F.col("image_id") % 20).alias("img"), "true_grade", "score", t.alias("threshold"))
     on = F.col("score") >= F.col("threshold")
-    f = f.groupBy("img", "threshold").agg(F.count_if(REF & on).alias("hits"), F.count_if(~REF & on).alias("fps"), F.count_if(REF).alias("truth"))
+    f = f.groupBy("img", "threshold").agg(F.count_if(ref() & on).alias("hits"), F.count_if(~ref() & on).alias("fps"), F.count_if(ref()).alias("truth"))
     return f.groupBy("threshold").agg(F.count("*").alias("images"), F.sum("hits").alias("hits"), r6(F.avg("fps"), "fp_per_image"), r6(S.ratio(F.sum("hits"), F.sum("truth")), "sensitivity"))
 
 
@@ -280,7 +293,7 @@ def threshold_search(spark, d):
 @query()
 def clopper_pearson(spark, d):
     """Exact upper bounds of each source's miss rate; a row a source reaches the driver."""
-    rows = M.rates(evaluated(spark, d), REF, CALL, ["source"]).select("source", "fn", (F.col("fn") + F.col("tp")).alias("n")).collect()
+    rows = M.rates(evaluated(spark, d), ref(), call(), ["source"]).select("source", "fn", (F.col("fn") + F.col("tp")).alias("n")).collect()
     return spark.createDataFrame([(r["source"], r["fn"], r["n"], P.clopper_pearson_upper(r["fn"], r["n"])) for r in rows], "source string, misses long, n long, upper double")
 
 
@@ -302,7 +315,7 @@ def site_logreg(spark, d):
     """Leave-one-site-out: a standardised, class-balanced logistic regression is fitted on the other sites and its decision scores rank the left-out one."""
     from ..operators.models import leave_one_site_out
 
-    df = evaluated(spark, d).select("image_id", "source", REF.cast("int").alias("label"), F.array("score", "z5", "iqs").alias("x"))
+    df = evaluated(spark, d).select("image_id", "source", ref().cast("int").alias("label"), F.array("score", "z5", "iqs").alias("x"))
     return leave_one_site_out(df, "source", "label", "x").select("site", "n", F.round("auc", 4).alias("auc"))
 
 
