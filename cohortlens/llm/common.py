@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, release, shared_dir, ship
 
 #: Stands for a null identifier inside an operator; outputs carry the null again.
 NULL_ID = -(2**63)
@@ -30,29 +27,6 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only where it is unset, as in tests, a temporary one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if folder is None:
-        folder = sc.getCheckpointDir() or "file://" + os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there: a lost executor then costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results were cut and that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -68,3 +42,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns (id, key, th, text): key is id with null replaced; (key, th) names a row up to equal texts under one id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+__all__ = ["ASCII_SPACE", "LOWER", "NULL_ID", "UPPER", "cut", "keyed", "release", "shared_path", "small_batches", "table", "written"]

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, release
+
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _PLACE = np.uint64((1 << 24) - 1)
@@ -137,7 +139,7 @@ def _content(units: Units):
     def run(batches):
         for b in batches:
             rows = []
-            for key, th, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, th, text, wanted in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 data = units.data(text)
                 begins, ends = units.bounds(data)
                 for w in wanted:
@@ -204,16 +206,20 @@ def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, mo
     src = docs.select("key", "th", "text")
     segments = src.mapInArrow(_rows(units, True), _SEGMENT).repartition("mh")
     each = segments.groupBy("mh", "sh").agg(F.sum("n").alias("n"), F.min(F.struct("key", "th", "start")).alias("first"), F.first("windows").alias("windows"), F.first("rel").alias("rel"))
-    classes = each.withColumn("kinds", F.count("*").over(Window.partitionBy("mh"))).filter("n > 1 or kinds > 1")
+    # What repeats, which is far less than all segments; without a cut, each of its uses below would segment all texts again.
+    classes = cut(each.withColumn("kinds", F.count("*").over(Window.partitionBy("mh"))).filter("n > 1 or kinds > 1"))
+    del segments, each
+    release(docs.sparkSession)
     none = F.lit(None).cast(RUNS)
     plain = classes.filter("kinds = 1").select("mh", "sh", "n", "first", none.alias("runs"))
     mixed = classes.filter("kinds > 1")
     wanted = mixed.groupBy("first.key", "first.th").agg(F.collect_list(F.struct("mh", "sh", F.col("first.start").alias("start"), "windows", "rel", "n", (F.col("kinds") > most).alias("hot"))).alias("wanted"))
-    texts = src.join(wanted.withColumnRenamed("key", "k").withColumnRenamed("th", "t"), (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")))
+    # The same rows as in with_spans(), so that Spark shuffles the texts once.
+    texts = docs.select("id", "key", "th", "text").join(wanted.withColumnRenamed("key", "k").withColumnRenamed("th", "t"), (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")))
 
     def contents(hot: bool) -> DataFrame:
         own = F.filter("wanted", lambda w: w["hot"] == F.lit(hot))
-        return texts.select("key", "th", "text", own.alias("wanted")).filter(F.size("wanted") > 0).mapInArrow(_content(units), _SEGMENT + ", content binary")
+        return texts.select("id", "key", "th", "text", own.alias("wanted")).filter(F.size("wanted") > 0).mapInArrow(_content(units), _SEGMENT + ", content binary")
 
     order = ["mh", "sh", "key", "th", "start"]
     compared = contents(False).repartition("mh").sortWithinPartitions(*order).mapInArrow(_classes(compare, 20_000), f"mh long, sh long, runs {RUNS}")
@@ -243,6 +249,6 @@ def covered(n: int, spans: list[dict] | None) -> np.ndarray:
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, text, spans) of all documents (id, key, th, text); each row keeps its own text, and spans are null without hits."""
     own = spans.select(F.col("key").alias("k"), F.col("th").alias("t"), "spans")
-    return docs.join(own, (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")), "left").select("id", "text", "spans")
+    return docs.select("id", "key", "th", "text").join(own, (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")), "left").select("id", "text", "spans")
 
 
