@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Lengths of the n-grams in bytes, number of hash buckets, features kept for the regression.
-LENGTHS, BUCKETS_LOG2, KEPT = (3, 4, 5, 6), 20, 4096
+LENGTHS, BUCKETS_LOG2, KEPT = (3, 4, 5, 6), 20, 2048
 #: At most so many labelled rows of each class are taken for the fit; which ones depends on a hash of the identifier.
 FIT_ROWS_PER_CLASS = 20_000
+#: Weight of the squared coefficients.
+L2 = 3.0
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -68,7 +70,7 @@ def _add(key, batches_or_table):
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.asarray(total, np.int32).tobytes()], pa.binary())})
 
 
-def fit(labelled: DataFrame, rows: dict[int, int], l2: float = 1.0, steps: int = 150) -> Model:
+def fit(labelled: DataFrame, rows: dict[int, int], l2: float = L2, steps: int = 150, rate: float = 0.02) -> Model:
     """labelled: (y, w, text) with y 0 or 1 and a weight that undoes the sampling of y's class; rows: how many of each class.
 
     With one class only, every score is that class's share.
@@ -84,8 +86,9 @@ def fit(labelled: DataFrame, rows: dict[int, int], l2: float = 1.0, steps: int =
     share = np.array([[rows[0]], [rows[1]]], float)
     p = (counts + share / share.sum()) / (share + 1)  # smoothed towards no difference
     ratio = np.log(p[1] / p[0])
-    pooled = counts.sum(0) / share.sum()
-    sure = np.abs(p[1] - p[0]) / np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / rows[0] + 1 / rows[1]), 1e-12))
+    pooled = (counts.sum(0) + 0.5) / (share.sum() + 1)
+    apart = counts[1] / rows[1] - counts[0] / rows[0]
+    sure = np.abs(apart) / np.sqrt(pooled * (1 - pooled) * (1 / rows[0] + 1 / rows[1]))
     chosen = np.argsort(-sure, kind="stable")[:KEPT]
     place = np.full(dims, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
@@ -96,22 +99,20 @@ def fit(labelled: DataFrame, rows: dict[int, int], l2: float = 1.0, steps: int =
             own = [place[buckets(t)] for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.unique(x[x >= 0]).astype(np.uint16).tobytes() for x in own], pa.binary())], ["y", "w", "at"])
 
-    got = labelled.select("y", "w", "text").mapInArrow(features, "y int, w double, at binary").toArrow()  # the bounded sample, at most 4096 numbers a row
+    got = labelled.select("y", "w", "text").mapInArrow(features, "y int, w double, at binary").toArrow()  # the bounded sample, at most KEPT numbers a row
     at = [np.frombuffer(x, np.uint16) for x in got.column("at").to_pylist()]
     y, w = got.column("y").to_numpy().astype(float), got.column("w").to_numpy()
     row, col = np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate(at).astype(np.int64)
     w = w / w.sum()
-    beta, bias, mb, mbias = np.zeros(len(r)), float(np.log((w @ y) / (1 - w @ y))), np.zeros(len(r)), 0.0
     rc = r[col]
     n_row = len(at)
-    norm = np.bincount(row, rc * rc, n_row)
-    rate = 4 / (np.quantile(norm, 0.95) + 1)
-    for k in range(steps):  # Nesterov's gradient steps
-        ahead, ahead_bias = beta + k / (k + 3) * mb, bias + k / (k + 3) * mbias
-        e = w * (1 / (1 + np.exp(-np.clip(ahead_bias + np.bincount(row, rc * ahead[col], n_row), -30, 30))) - y)
-        new = ahead - rate * (np.bincount(col, rc * e[row], len(r)) + l2 / n_row * ahead)
-        new_bias = ahead_bias - rate * float(e.sum())
-        mb, mbias, beta, bias = new - beta, new_bias - bias, new, new_bias
+    x, m, v = np.append(np.zeros(len(r)), np.log((w @ y) / (1 - w @ y))), np.zeros(len(r) + 1), np.zeros(len(r) + 1)
+    for k in range(1, steps + 1):  # Adam's steps on all rows
+        e = w * (1 / (1 + np.exp(-np.clip(x[-1] + np.bincount(row, rc * x[col], n_row), -30, 30))) - y)
+        g = np.append(np.bincount(col, rc * e[row], len(r)) + l2 / n_row * x[:-1], e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - rate * (1 - k / (steps + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+    beta, bias = x[:-1], float(x[-1])
     return Model(place, r * beta, bias)
 
 
@@ -137,7 +138,7 @@ def held_out(id_col):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score in [0, 1]. Null counts as empty; an empty text gets the score of no features."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB of places and 4096 weights, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB of places and KEPT weights, whatever the input
 
     def run(batches):
         m = shared.value
