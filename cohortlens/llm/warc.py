@@ -213,7 +213,8 @@ def read(places: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    near = places.repartition("file").sortWithinPartitions("file", "offset")
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # places are few bytes, what they point to isn't: no coalescing
+    near = places.repartition(parts, "file").sortWithinPartitions("file", "offset")
     return near.mapInArrow(ranges, "page_id long, record_type string, refers_to long, digest string, payload_bytes long, payload binary")
 
 
