@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import assembly, evaluation, movement, statistics, workflow
+from . import assembly, evaluation, further, movement, statistics, workflow
 
-MODULES = (evaluation, assembly, statistics, workflow, movement)
+MODULES = (evaluation, assembly, statistics, workflow, movement, further)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
