@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -76,7 +77,7 @@ def _uniform(*key) -> float:
 
 class _Station:
     def __init__(self, service: float, servers: int):
-        self.service, self.free, self.queue, self.peak, self.waits, self.busy = service, servers, [], 0, [], 0.0
+        self.service, self.free, self.queue, self.peak, self.waits, self.busy = service, servers, deque(), 0, [], 0.0
 
 
 def simulate(w: Workflow) -> dict:
@@ -100,7 +101,7 @@ def simulate(w: Workflow) -> dict:
     def serve(name, t):
         s = st[name]
         while s.free and s.queue:
-            came, who = s.queue.pop(0)
+            came, who = s.queue.popleft()
             s.free -= 1
             s.waits.append(t - came)
             s.busy += max(0.0, min(t + s.service, w.horizon) - t)
@@ -145,7 +146,7 @@ def simulate(w: Workflow) -> dict:
             out["reviewed"] += 1
     out["in_system"] = out["generated"] - out["completed"] - out["abandoned"] - out["exhausted"]
     rev = st["review"]
-    out |= {"recapture_pending": st["recapture"].queue.__len__() + (max(1, w.patients) - st["recapture"].free), "max_review_queue": rev.peak, "review_wait": sum(rev.waits) / len(rev.waits) if rev.waits else None, "clinician_utilisation": rev.busy / (w.horizon * w.clinicians)}
+    out |= {"recapture_pending": len(st["recapture"].queue) + (max(1, w.patients) - st["recapture"].free), "max_review_queue": rev.peak, "review_wait": sum(rev.waits) / len(rev.waits) if rev.waits else None, "clinician_utilisation": rev.busy / (w.horizon * w.clinicians)}
     return out
 
 

@@ -47,12 +47,11 @@ def confusion_qwk(spark, d):
     return M.qwk(M.confusion(evaluated(spark, d), "true_grade", "pred")).select("n", r6("qwk", "qwk"))
 
 
-@query(CASES + """, o AS (SELECT * FROM ok WHERE true_grade BETWEEN 1 AND 3 AND pred BETWEEN 1 AND 3), t AS (SELECT true_grade AS t, count(*) AS r FROM o GROUP BY 1), p AS (SELECT pred AS p, count(*) AS c FROM o GROUP BY 1)
-SELECT (SELECT count(*) FROM o) AS n, round(1 - (SELECT sum((true_grade - pred) ** 2 / 4.0) FROM o) * (SELECT count(*) FROM o) / (SELECT sum((t - p) ** 2 / 4.0 * CAST(r AS DOUBLE) * c) FROM t, p), 6) AS qwk""")
+@query(CASES + """, h AS (SELECT min(least(true_grade, pred)) AS lo, max(greatest(true_grade, pred)) AS hi, count(*) AS n FROM ok), t AS (SELECT true_grade AS t, count(*) AS r FROM ok GROUP BY 1), p AS (SELECT pred AS p, count(*) AS c FROM ok GROUP BY 1)
+SELECT n, round(1 - (SELECT sum(power(true_grade - pred, 2) / power(hi - lo, 2)) FROM ok, h) * n / (SELECT sum(power(t - p, 2) / power(hi - lo, 2) * CAST(r AS DOUBLE) * c) FROM t, p, h), 6) AS qwk FROM h""")
 def confusion_qwk_observed(spark, d):
-    """On the grades 1 to 3, where the observed range differs from the fixed one."""
-    df = evaluated(spark, d).filter("true_grade BETWEEN 1 AND 3 AND pred BETWEEN 1 AND 3")
-    return M.qwk_observed(df, "true_grade", "pred").select("n", r6("qwk", "qwk"))
+    """Kappa over the range of grades that were seen."""
+    return M.qwk_observed(evaluated(spark, d), "true_grade", "pred").select("n", r6("qwk", "qwk"))
 
 
 _PER = _M + """, k AS (SELECT a.truth AS grade, max(a.r) AS support, max(b.c) AS called, max(CASE WHEN a.pred = a.truth THEN a.n END) AS tp, max(a.total) AS total FROM t a JOIN t b ON a.truth = b.pred GROUP BY 1),
@@ -155,11 +154,10 @@ def ece_left_closed(spark, d):
     return C.ece(C.bin_table(evaluated(spark, d), p, ref(), C.left_closed_bin(p, 15), 15)).select(r6("ece", "ece"))
 
 
-@query(_W + ", g AS (SELECT CAST(range AS INT) AS bin FROM range(15)), b AS (SELECT greatest(CAST(ceil(p * 15) AS INT) - 1, 0) AS bin, count(*) AS n, avg(p) AS c, avg(CAST(true_grade >= 2 AS DOUBLE)) AS a FROM w WHERE NOT (p > CAST(0.2 AS DOUBLE) AND p <= CAST(0.25 AS DOUBLE)) GROUP BY 1) SELECT g.bin, coalesce(n, 0) AS \"count\", round(c, 6) AS mean_confidence, round(a, 6) AS accuracy FROM g LEFT JOIN b ON g.bin = b.bin")
+@query(_W + ", g AS (SELECT CAST(range AS INT) AS bin FROM range(15)), b AS (SELECT greatest(CAST(ceil(p * 15) AS INT) - 1, 0) AS bin, count(*) AS n, avg(p) AS c, avg(CAST(true_grade >= 2 AS DOUBLE)) AS a FROM w GROUP BY 1) SELECT g.bin, coalesce(n, 0) AS \"count\", round(c, 6) AS mean_confidence, round(a, 6) AS accuracy FROM g LEFT JOIN b ON g.bin = b.bin")
 def reliability_bins(spark, d):
     p = F.col("score") / 4
-    df = evaluated(spark, d).filter(~((p > 0.2) & (p <= 0.25)))
-    return C.bin_table(df, p, ref(), C.right_closed_bin(p, 15), 15).select("bin", "count", r6("mean_confidence", "mean_confidence"), r6("accuracy", "accuracy"))
+    return C.bin_table(evaluated(spark, d), p, ref(), C.right_closed_bin(p, 15), 15).select("bin", "count", r6("mean_confidence", "mean_confidence"), r6("accuracy", "accuracy"))
 
 
 _P = CASES + PROBS

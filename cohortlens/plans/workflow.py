@@ -185,4 +185,4 @@ def retry_workflow(spark, d):
     rows = [(i, r, a) for i, (r, a) in enumerate(product((0.05, 0.1, 0.2, 0.4), (0.0, 0.1, 0.3)))]
     s = spark.createDataFrame(rows, "scenario long, reject double, abandon double")
     n = read(spark, d, "events").count()
-    return Q.retry_sweep(s.select("scenario", "reject", F.col("reject").alias("reject_again"), "abandon", F.lit(min(n, 20000)).alias("patients"), F.lit(72.0).alias("interarrival"), F.lit(72.0 * min(n, 20000)).alias("horizon"), F.lit(45.0).alias("acquisition"), F.lit(120.0).alias("recapture"), F.lit(56.0).alias("upload"), F.lit(3.5).alias("inference"), F.lit(30.0).alias("review"), F.lit(0.08).alias("refer"), F.lit(0.0123).alias("uncertain")))
+    return Q.retry_sweep(s.select("scenario", "reject", F.col("reject").alias("reject_again"), "abandon", F.lit(n).alias("patients"), F.lit(72.0).alias("interarrival"), F.lit(72.0 * n).alias("horizon"), F.lit(45.0).alias("acquisition"), F.lit(120.0).alias("recapture"), F.lit(56.0).alias("upload"), F.lit(3.5).alias("inference"), F.lit(30.0).alias("review"), F.lit(0.08).alias("refer"), F.lit(0.0123).alias("uncertain")))
