@@ -2,10 +2,11 @@
 
 Two sets of similarity t share a member among the first (1 - t) of each set's members in any common order. Those members
 are the tiles' keys; the order puts members that many documents have last, by a sketch of counts over all documents, so that
-a passage in many documents doesn't draw them into one tile. A tile holds documents of one size band, and is paired with
-itself and the band below. First each document of a tile is paired with the tile's first; links found so shrink groups of
-near copies to components, and then only pairs across components remain. A pair's parity bitmaps bound the overlap from
-above by their differing bits; what passes is decided by the exact intersection of the sorted sets.
+a passage in many documents doesn't draw them into one tile. Of a pair, the smaller set needs even fewer first members,
+which are marked. A tile holds documents of one size band, and is paired with itself and the band below. First each document
+of a tile is paired with the tile's first; links found so shrink groups of near copies to components, and then only pairs
+across components remain. Parity bitmaps bound a pair's overlap from above by their differing bits: short ones inside the
+tiles, longer ones by the pair. What passes is decided by the exact intersection of the sorted sets.
 """
 
 from __future__ import annotations
@@ -13,20 +14,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import LOWER, NULL_ID, UPPER, cut, release, small_batches, table
-from .graph import components
 from .minimisers import _VALUE, _mix, _power_tables
 
 WORDS = 5
 #: Two sets link when 100 * |both| >= PERCENT * |either|.
 PERCENT = 75
 #: Cells of the count sketch; a member counts as frequent above so many times the mean cell.
-CELLS_LOG2, FREQUENT = 21, 4
+CELLS_LOG2, FREQUENT = 23, 3
 #: Slightly above 4/3: sets of linked documents lie in one band or two neighbouring ones.
 BAND = 1.34
+#: Bits of the bitmaps inside tiles. Sets of more than 7/4 of it aren't told apart there, only by their own longer bitmap.
+TILE_BITS = 1024
 #: Documents named in candidate pairs, up to which their identifiers are broadcast; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -58,6 +62,11 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def tile_signature(s: np.ndarray) -> bytes:
+    odd = np.bincount((s & np.uint64(TILE_BITS - 1)).astype(np.int64), minlength=TILE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def may_link(size_a: int, sig_a: bytes, size_b: int, sig_b: bytes) -> bool:
     """False only if the bitmaps' differing bits leave too small an overlap. The longer bitmap is folded to the shorter."""
     x, y = np.frombuffer(sig_a, np.uint8), np.frombuffer(sig_b, np.uint8)
@@ -80,22 +89,31 @@ def _count(batches):
     step = 1 << 16
     for k in range(0, len(counts), step):
         if (own := counts[k : k + step]).any():
-            yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([_packed(own)], pa.binary())], ["slice", "counts"])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Compressed; all lowest bytes first, as nearly all others are 0."""
+    return zstandard.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
 def _add(key, rows):
     total = np.zeros(0, np.uint32)
     for x in rows.column("counts"):
-        own = np.frombuffer(x.as_py(), np.uint32)
+        own = _unpacked(x.as_py())
         total = own if not len(total) else total + own
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.uint32).tobytes()], pa.binary())})
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_packed(total)], pa.binary())})
 
 
 def frequency_levels(src: DataFrame) -> np.ndarray:
     """For each cell of the sketch, how far above the mean its count is, in powers of two; 0 for nearly all."""
     counts = np.zeros(1 << CELLS_LOG2, np.uint32)
-    for r in src.mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect():  # 2**21 counts, whatever the input
-        own = np.frombuffer(r["counts"], np.uint32)
+    for r in src.mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect():  # 2**23 counts, whatever the input
+        own = _unpacked(r["counts"])
         counts[r["slice"] * len(own) : (r["slice"] + 1) * len(own)] = own
     return np.floor(np.log2(1 + counts / (FREQUENT * (counts.mean() + 2)))).astype(np.uint8)
 
@@ -104,11 +122,15 @@ def _describe(batches):
     for b in batches:
         sets = [shingles(t) for t in b.column(1).to_pylist()]
         digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([signature(s) for s in sets], pa.binary())], ["key", "size", "digest", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([tile_signature(s) for s in sets], pa.binary())], ["key", "size", "digest", "sig", "tile_sig"])
 
 
 def _prefixes(levels):
-    """(member, band, key, size) for the first members of each set; of equal sets that a task sees, only for one."""
+    """(member, band, key, size, marked) for the first members of each set; of equal sets that a task sees, only for one.
+
+    A set that is at least as large as another and links with it shares one of its own first 1 - t members with it; the
+    smaller set has it among its first 1 - 2t / (1 + t), which are marked.
+    """
 
     def run(batches):
         level, seen = levels.value, set()
@@ -123,9 +145,10 @@ def _prefixes(levels):
                 first = len(s) - -(-PERCENT * len(s) // 100) + 1
                 own = level[_cells(s)]
                 s = s[np.lexsort((s, own))][:first] if own.any() else s[:first]
-                cols.append((s.view(np.int64), np.full(first, int(np.log(len(own)) / np.log(BAND)), np.int32), np.full(first, key, np.int64), np.full(first, len(own), np.int64)))
+                marked = np.arange(first) < len(own) - -(-2 * PERCENT * len(own) // (100 + PERCENT)) + 1
+                cols.append((s.view(np.int64), np.full(first, int(np.log(len(own)) / np.log(BAND)), np.int32), np.full(first, key, np.int64), np.full(first, len(own), np.int64), marked.astype(np.int8)))
             if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], ["member", "band", "key", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], ["member", "band", "key", "size", "marked"])
 
     return run
 
@@ -134,7 +157,7 @@ def _grouped(batches, most: int = 200_000):
     """Arrays of whole groups (rows with equal first column), some at a time."""
     held, n = [], 0
     for b in batches:
-        held.append([c.to_numpy() for c in b.columns])
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
         n += b.num_rows
         if n > most:
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -146,6 +169,12 @@ def _grouped(batches, most: int = 200_000):
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+def _fit(x, y, key, size, marked):
+    """Whether rows x and y of a tile are a pair to look at: sizes that can link, and the smaller one's member marked."""
+    small = np.where((size[x] < size[y]) | ((size[x] == size[y]) & (key[x] < key[y])), marked[x], marked[y])
+    return (small > 0) & (key[x] != key[y]) & links(np.minimum(size[x], size[y]), size[x], size[y])
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs, the smaller first."""
     a, b = np.minimum(a, b), np.maximum(a, b)
@@ -157,12 +186,12 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _stars(batches):
     """Kind 0: each document paired with the first of its tile and of the tile of the band below. Kind 1: the rows of members with three documents or more."""
-    for member, band, key, size in _grouped(batches):
+    for member, band, key, size, marked in _grouped(batches):
         new = np.concatenate([[True], member[1:] != member[:-1]])
         group = np.cumsum(new) - 1
         m = np.bincount(group)[group]
         keep = m > 1
-        member, band, key, size, m = (x[keep] for x in (member, band, key, size, m))
+        member, band, key, size, marked, m = (x[keep] for x in (member, band, key, size, marked, m))
         if not len(member):
             continue
         new = np.concatenate([[True], (member[1:] != member[:-1]) | (band[1:] != band[:-1])])
@@ -175,38 +204,43 @@ def _stars(batches):
         up[:-1] = np.where((member[first[1:]] == member[first[:-1]]) & (band[first[1:]] == band[first[:-1]] + 1), first[1:], -1)
         up = up[tile]
         x, y = np.concatenate([x, at[up >= 0]]), np.concatenate([y, up[up >= 0]])
-        fit = (key[x] != key[y]) & links(np.minimum(size[x], size[y]), size[x], size[y])
+        fit = _fit(x, y, key, size, marked)
         a, b = _pairs(key[x[fit]], key[y[fit]])
         none = lambda n, t: pa.nulls(n, t)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a), pa.int64()), none(len(a), pa.int32()), none(len(a), pa.int64())], ["a", "b", "member", "band", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a), pa.int64()), none(len(a), pa.int32()), none(len(a), pa.int64()), none(len(a), pa.int8())], ["a", "b", "member", "band", "size", "marked"])
         if (rest := m > 2).any():
             n = int(rest.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(key[rest]), none(n, pa.int64()), pa.array(member[rest]), pa.array(band[rest]), pa.array(size[rest])], ["a", "b", "member", "band", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[rest]), none(n, pa.int64()), pa.array(member[rest]), pa.array(band[rest]), pa.array(size[rest]), pa.array(marked[rest])], ["a", "b", "member", "band", "size", "marked"])
 
 
 def _across(batches):
-    """All pairs of a member's documents in one band or neighbouring ones that lie in different components."""
-    for member, band, key, size, comp in _grouped(batches):
+    """The pairs of a member's documents in one band or neighbouring ones that lie in different components and whose bitmaps may link."""
+    out_a, out_b, n = [], [], 0
+
+    def batch():
+        a, b = _pairs(np.concatenate(out_a), np.concatenate(out_b))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for member, band, key, size, marked, comp, sig in _grouped(batches, 50_000):
+        sig = np.frombuffer(b"".join(sig.tolist()), np.uint64).reshape(len(key), -1)
         cuts = [*np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]])).tolist(), len(member)]
-        out_a, out_b, n = [], [], 0
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if (comp[lo:hi] == comp[lo]).all():
-                continue
             for i in range(lo, hi):
-                to = slice(i + 1, int(np.searchsorted(band[lo:hi], band[i] + 1, "right")) + lo)
-                fit = (comp[to] != comp[i]) & (key[to] != key[i]) & links(np.minimum(size[to], size[i]), size[to], size[i])
-                if fit.any():
-                    out_b.append(key[to][fit])
-                    out_a.append(np.full(len(out_b[-1]), key[i]))
-                    n += len(out_b[-1])
-                if n > 500_000:
-                    a, b = _pairs(np.concatenate(out_a), np.concatenate(out_b))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                    out_a, out_b, n = [], [], 0
-        if n:
-            a, b = _pairs(np.concatenate(out_a), np.concatenate(out_b))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                to = np.arange(i + 1, int(np.searchsorted(band[lo:hi], band[i] + 1, "right")) + lo)
+                to = to[comp[to] != comp[i]]
+                to = to[_fit(np.full(len(to), i), to, key, size, marked)]
+                apart = np.bitwise_count(sig[to] ^ sig[i]).sum(1, dtype=np.int64)
+                to = to[links((size[to] + size[i] - apart) // 2, size[to], size[i])]
+                if len(to):
+                    out_b.append(key[to])
+                    out_a.append(np.full(len(to), key[i]))
+                    n += len(to)
+            if n > 500_000:
+                yield batch()
+                out_a, out_b, n = [], [], 0
+    if n:
+        yield batch()
 
 
 def _bounded(batches):
@@ -252,12 +286,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    levels = spark.sparkContext.broadcast(frequency_levels(src))  # 2 MB
-    info = cut(src.mapInArrow(_describe, "key long, size long, digest binary, sig binary"))
+    levels = spark.sparkContext.broadcast(frequency_levels(src))  # 8 MB
+    info = cut(src.mapInArrow(_describe, "key long, size long, digest binary, sig binary, tile_sig binary"))
     release(spark)
     order = ["member", "band", "key"]
-    rows = src.mapInArrow(_prefixes(levels), "member long, band int, key long, size long").repartition("member").sortWithinPartitions(*order)
-    tiles = cut(rows.mapInArrow(_stars, "a long, b long, member long, band int, size long"))
+    rows = src.mapInArrow(_prefixes(levels), "member long, band int, key long, size long, marked tinyint").repartition("member").sortWithinPartitions(*order)
+    tiles = cut(rows.mapInArrow(_stars, "a long, b long, member long, band int, size long, marked tinyint"))
     del rows
     release(spark)
     filled = info.filter("size > 0")
@@ -267,8 +301,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = _verified(tested, filled, src)
     release(spark)
     parts = components(found.unionByName(copies))
-    rest = tiles.filter("b is null").select("member", "band", F.col("a").alias("key"), "size").join(parts.withColumnRenamed("node", "key"), "key", "left")
-    rest = rest.select("member", "band", "key", "size", F.coalesce("component", "key").alias("comp")).repartition("member").sortWithinPartitions(*order)
+    rest = tiles.filter("b is null").select("member", "band", F.col("a").alias("key"), "size", "marked").join(parts.withColumnRenamed("node", "key"), "key", "left")
+    rest = rest.withColumn("comp", F.coalesce("component", "key")).drop("component")
+    whole = Window.partitionBy("member")
+    rest = rest.withColumns({"low": F.min("comp").over(whole), "high": F.max("comp").over(whole)}).filter("low < high").drop("low", "high")
+    rest = rest.join(filled.select("key", "tile_sig"), "key").select("member", "band", "key", "size", "marked", "comp", "tile_sig").repartition("member").sortWithinPartitions(*order)
     more = _verified(rest.mapInArrow(_across, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), filled, src)
     release(spark)
     if not more.isEmpty():
