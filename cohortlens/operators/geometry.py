@@ -42,6 +42,46 @@ def match_by_image(edges: DataFrame) -> DataFrame:
     return edges.groupBy("image").applyInPandas(run, "image long, left long, right long")
 
 
+def hit_trace(edges: list[tuple]) -> list[tuple[float, int]]:
+    """(score, hits) of edges (left, right, score): the size of the largest matching among lefts of that score and above, after each distinct score. Each left in turn looks for one augmenting path, so the whole trace costs one matching."""
+    near: dict = defaultdict(list)
+    score: dict = {}
+    for a, b, s in edges:
+        near[a].append(b)
+        score[a] = s
+    match: dict = {}
+
+    def augment(a, seen) -> bool:
+        for b in near[a]:
+            if b not in seen:
+                seen.add(b)
+                if b not in match or augment(match[b], seen):
+                    match[b] = a
+                    return True
+        return False
+
+    out: list[tuple[float, int]] = []
+    hits = 0
+    for a in sorted(near, key=lambda a: (-score[a], a)):
+        hits += augment(a, set())
+        if out and out[-1][0] == score[a]:
+            out[-1] = (score[a], hits)
+        else:
+            out.append((score[a], hits))
+    return out
+
+
+def trace_by_image(edges: DataFrame) -> DataFrame:
+    """(image, score, hits) for edges (image, left, right, score)."""
+    ship(edges.sparkSession)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        rows = hit_trace(list(zip(g["left"], g["right"], g["score"], strict=True)))
+        return pd.DataFrame({"image": g["image"].iloc[0], "score": [s for s, _ in rows], "hits": [h for _, h in rows]})
+
+    return edges.groupBy("image").applyInPandas(run, "image long, score double, hits long")
+
+
 def suppress(points: DataFrame, spacing: float, most: int) -> DataFrame:
     """(image, id, score) of points (image, id, x, y, score) that are kept, best first: none within spacing of a better kept one, at most so many an image. Kept points are looked up by grid cell."""
     ship(points.sparkSession)

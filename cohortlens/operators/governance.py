@@ -61,3 +61,10 @@ def report_problems(report: Mapping) -> list[str]:
     if bool(report.get("lock_sha256")) != (report.get("tier") in ("locked", "fresh")):
         out.append("lock")
     return out
+
+
+def exposed(registry: Mapping[str, str], cohort: str, status: str) -> dict[str, str]:
+    """The registry with a cohort's new status; a locked cohort never becomes anything else."""
+    if registry.get(cohort) == "locked" and status != "locked":
+        raise ValueError(f"{cohort} is locked")
+    return {**registry, cohort: status}

@@ -76,7 +76,7 @@ def smallest_margin(spark, d):
 _ORDER = "md5(concat_ws('|', 'hs', r.range, group_id)), group_id"
 
 
-@query(CASES + f", g AS (SELECT DISTINCT group_id FROM ok), h AS (SELECT r.range AS r, group_id, row_number() OVER (PARTITION BY r.range ORDER BY {_ORDER}) <= count(*) OVER (PARTITION BY r.range) // 2 AS fit FROM g, range(5) r) SELECT r, fit, count(*) AS n, round(avg(CAST(pred = true_grade AS DOUBLE)), 6) AS accuracy FROM ok JOIN h USING (group_id) GROUP BY 1, 2")
+@query(CASES + f", g AS (SELECT DISTINCT group_id FROM ok), h AS (SELECT r.range AS r, group_id, row_number() OVER (PARTITION BY r.range ORDER BY {_ORDER}) <= count(*) OVER (PARTITION BY r.range) // 2 AS fit FROM g, range(5) r) SELECT CAST(r AS INT) AS r, fit, count(*) AS n, round(avg(CAST(pred = true_grade AS DOUBLE)), 6) AS accuracy FROM ok JOIN h USING (group_id) GROUP BY 1, 2")
 def repeated_half_splits(spark, d):
     """Half the patients, five times."""
     ok = evaluated(spark, d)
@@ -204,9 +204,56 @@ def one_to_one_join(spark, d):
     return j.groupBy((F.col("doc_id") % 10).alias("k")).agg(F.count("*").alias("pairs"), F.count_if(F.col("quality") == 1).alias("good"), F.bool_and(F.col("toxic").isin(0, 1)).alias("valid"))
 
 
-@query(CASES + ", r AS (SELECT source, count(*) FILTER (WHERE true_grade >= 2 AND pred >= 2) AS tp, count(*) FILTER (WHERE true_grade >= 2) AS p FROM ok GROUP BY 1) SELECT source, 'locked' AS tier, to_json({'source': source, 'sensitivity': CASE WHEN p = 0 THEN NULL ELSE CAST(round(1000 * CAST(tp AS DOUBLE) / p, 0) AS BIGINT) END}) AS report FROM r")
+@query(CASES + ", r AS (SELECT source, count(*) FILTER (WHERE true_grade >= 2 AND pred >= 2) AS tp, count(*) FILTER (WHERE true_grade >= 2) AS p FROM ok GROUP BY 1) SELECT source, 'locked' AS tier, CAST(to_json({'source': source, 'sensitivity': CASE WHEN p = 0 THEN NULL ELSE CAST(round(1000 * CAST(tp AS DOUBLE) / p, 0) AS BIGINT) END}) AS VARCHAR) AS report FROM r")
 def json_reports(spark, d):
     """A report a site as canonical JSON, undefined values as null."""
     k = M.rates(evaluated(spark, d), ref(), F.col("pred") >= 2, ["source"])
     body = F.to_json(F.struct("source", F.round(1000 * F.col("sensitivity")).cast("long").alias("sensitivity")), {"ignoreNullFields": "false"})
     return k.select("source", F.lit("locked").alias("tier"), body.alias("report"))
+
+
+@query(CASES + ", z AS (SELECT unnest([100, 300, 600]) AS size), g AS (SELECT source, group_id, count(*) AS n FROM ok GROUP BY 1, 2), dr AS (SELECT source, size, group_id, r.range AS r, coalesce(sum(n) OVER (PARTITION BY source, size, r.range ORDER BY md5(concat_ws('|', 'cc' || size, r.range, group_id)), group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < size AS drawn FROM g, z, range(5) r), rw AS (SELECT ok.source, size, r, drawn, score, true_grade >= 2 AS pos FROM ok JOIN dr USING (source, group_id)), ft AS (SELECT source, size, r, score, row_number() OVER (PARTITION BY source, size, r ORDER BY score) AS i, floor((1 - CAST(0.9 AS DOUBLE)) * count(*) OVER (PARTITION BY source, size, r)) + 1 AS k FROM rw WHERE drawn AND pos), ct AS (SELECT source, size, r, score - CAST(1e-9 AS DOUBLE) AS cut FROM ft WHERE i = k), jd AS (SELECT source, size, r, CAST(count(*) FILTER (WHERE pos AND score >= cut) AS DOUBLE) / nullif(count(*) FILTER (WHERE pos), 0) AS sens FROM rw JOIN ct USING (source, size, r) WHERE NOT drawn GROUP BY 1, 2, 3) SELECT source, size, count(*) AS draws, round(avg(sens), 6) AS mean_sens, round(min(sens), 6) AS worst_sens FROM jd GROUP BY 1, 2")
+def calibration_curves(spark, d):
+    """How a site's fitted cut holds as its calibration sample grows."""
+    ok, out = evaluated(spark, d), None
+    for size in (100, 300, 600):
+        own = B.calibration_draws(ok, "group_id", ref(), "score", size, 5, f"cc{size}", 0.9, ["source"]).withColumn("size", F.lit(size))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("source", "size").agg(F.count("*").alias("draws"), r6(F.avg("sensitivity"), "mean_sens"), r6(F.min("sensitivity"), "worst_sens"))
+
+
+@query()
+def match_trace(spark, d):
+    """How many truths are found as candidates come in by score."""
+    from ..operators.geometry import trace_by_image
+
+    e = read(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("image"), F.col("l_partkey").alias("left"), F.col("l_suppkey").alias("right"))
+    e = e.groupBy("image", "left", "right").agg(F.lit(1).alias("o")).withColumn("score", S.draw("mt", F.col("image"), F.col("left")) / 10000.0).drop("o")
+    return trace_by_image(e)
+
+
+@query()
+def regularisation_choice(spark, d):
+    """The penalty whose leave-one-site-out ranking is best on average; the strongest of equal ones."""
+    from ..operators.models import leave_one_site_out
+
+    df = evaluated(spark, d).select("source", ref().cast("int").alias("label"), F.array("score", "z5", "iqs").alias("x"))
+    out = None
+    for c in (0.01, 1.0):
+        own = leave_one_site_out(df, "source", "label", "x", c).agg(F.lit(c).alias("c"), F.round(F.avg("auc"), 4).alias("mean_auc"))
+        out = own if out is None else out.unionByName(own)
+    return out.orderBy(F.col("mean_auc").desc(), "c").limit(1)
+
+
+@query()
+def isolated_predictions(spark, d):
+    """Batched scoring in which a failing batch is repeated row by row, so that one bad row is one error row."""
+    from ..operators.models import predict
+
+    def model(rows):
+        if any(v < 0 for v in rows):
+            raise ValueError("negative input")
+        return [v * 2 for v in rows]
+
+    df = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
+    return predict(df, model).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("y"), 2).alias("total"))

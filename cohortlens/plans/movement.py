@@ -58,7 +58,7 @@ def resumable_sink(spark, d):
     rest = sinks.resume(o, path, "o_orderkey", "run")
     n = rest.count()
     rest.write.mode("append").parquet(path)
-    return spark.read.parquet(path).agg(F.lit(first).alias("first_part"), F.lit(n).alias("added"), F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("ids"))
+    return spark.read.parquet(path).agg(F.lit(first).cast("long").alias("first_part"), F.lit(n).cast("long").alias("added"), F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("ids"))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

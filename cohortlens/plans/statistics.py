@@ -94,7 +94,7 @@ def stratified_bootstrap_ci(spark, d):
     return q.select(*[r6(F.col(c)[i], f"{n}_{e}") for c, n in (("a", "acc"), ("b", "sens")) for i, e in enumerate(("low", "high"))], "valid")
 
 
-@query(_BOOT + ", sc AS (SELECT idx, score, count(*) FILTER (WHERE true_grade >= 2) AS p, count(*) FILTER (WHERE true_grade < 2) AS q FROM ok JOIN cl USING (group_id) GROUP BY 1, 2), t AS (SELECT r, score, sum(p * w) AS p, sum(q * w) AS q FROM w JOIN sc USING (idx) WHERE r < 10 GROUP BY 1, 2), u AS (SELECT r, p, q, p * (sum(q) OVER (PARTITION BY r ORDER BY score) - q / 2.0) AS wins FROM t), a AS (SELECT r, sum(wins) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc FROM u GROUP BY 1) SELECT r, round(auc, 6) AS auc FROM a")
+@query(_BOOT + ", sc AS (SELECT idx, score, count(*) FILTER (WHERE true_grade >= 2) AS p, count(*) FILTER (WHERE true_grade < 2) AS q FROM ok JOIN cl USING (group_id) GROUP BY 1, 2), t AS (SELECT r, score, sum(p * w) AS p, sum(q * w) AS q FROM w JOIN sc USING (idx) WHERE r < 10 GROUP BY 1, 2), u AS (SELECT r, p, q, p * (sum(q) OVER (PARTITION BY r ORDER BY score) - q / 2.0) AS wins FROM t), a AS (SELECT r, sum(wins) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc FROM u GROUP BY 1) SELECT CAST(r AS INT) AS r, round(auc, 6) AS auc FROM a")
 def bootstrap_auc(spark, d):
     """AUC of each replicate from weighted score groups, without copying rows."""
     df = evaluated(spark, d)

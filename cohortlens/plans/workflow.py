@@ -161,6 +161,24 @@ def conservation(spark, d):
     return s.select("scenario", left.alias("in_system"), ((F.col("generated") >= F.col("auto_cleared") + F.col("routed")) & (F.col("routed") >= F.col("reviewed")) & (left >= 0)).alias("holds"))
 
 
+@query(_SWEEP + _SWEEP_OUT + """, xa AS (SELECT scenario, CAST(auto_cleared + reviewed AS DOUBLE) / generated AS rate FROM j), xb AS (SELECT scenario, rate + CASE WHEN scenario % 7 = 3 THEN CAST(0.02 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) END AS rate FROM xa) SELECT count(*) AS scenarios, count(*) FILTER (WHERE abs(a.rate - b.rate) > CAST(0.015 AS DOUBLE)) AS apart, bool_and(abs(a.rate - b.rate) <= CAST(0.015 AS DOUBLE)) AS agree, round(max(abs(a.rate - b.rate)), 6) AS largest FROM xa a JOIN xb b USING (scenario)""")
+def sweep_comparison(spark, d):
+    """Completion rates of two implementations held together by scenario; the second is played by shifted rates."""
+    s = sweep_summary(spark, d).select("scenario", ((F.col("auto_cleared") + F.col("reviewed")) / F.col("generated")).alias("rate"))
+    shift = F.when(F.col("scenario") % 7 == 3, 0.02).otherwise(0.001)
+    other = s.select("scenario", (F.col("rate") + shift).alias("other"))
+    gap = F.abs(F.col("rate") - F.col("other"))
+    return s.join(other, "scenario").agg(F.count("*").alias("scenarios"), F.count_if(gap > 0.015).alias("apart"), F.bool_and(gap <= 0.015).alias("agree"), F.round(F.max(gap), 6).alias("largest"))
+
+
+@query("WITH p AS (SELECT unnest([CAST(1.0 AS DOUBLE), CAST(3.5 AS DOUBLE), CAST(7.0 AS DOUBLE)]) AS megabytes), n AS (SELECT count(*) AS n FROM events) SELECT megabytes, 2 * megabytes * 8 / CAST(0.25 AS DOUBLE) AS upload_seconds, round(n * (2 * megabytes * 8 / CAST(0.25 AS DOUBLE)) / CAST(7200000 AS DOUBLE), 6) AS load FROM p, n")
+def payload_what_if(spark, d):
+    """Upload time and offered load as the image size changes."""
+    p = spark.createDataFrame([(1.0,), (3.5,), (7.0,)], "megabytes double")
+    up = 2 * F.col("megabytes") * 8 / F.lit(0.25)
+    return p.crossJoin(read(spark, d, "events").agg(F.count("*").alias("n"))).select("megabytes", up.alias("upload_seconds"), F.round(F.col("n") * up / HORIZON, 6).alias("load"))  # three rows by one
+
+
 @query("WITH g AS (SELECT c_custkey AS k, CAST(c_custkey % 10 AS DOUBLE) / 10 AS a, CAST(c_custkey % 5 AS DOUBLE) / 10 AS b FROM customer) SELECT a, b, count(*) AS n, round((1 - a) + a * CAST(0.9 AS DOUBLE) * ((1 - b) + b * CAST(0.9 AS DOUBLE) * (1 - b)), 6) AS accepted FROM g GROUP BY 1, 2")
 def acceptance_probability(spark, d):
     g = read(spark, d, "customer").select(((F.col("c_custkey") % 10) / 10.0).alias("a"), ((F.col("c_custkey") % 5) / 10.0).alias("b"))

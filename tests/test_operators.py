@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
-from cohortlens.operators import calibration, contracts, geometry, governance, graph, linking, metrics, policy, queueing, ranking, sampling, similarity
+from cohortlens.operators import calibration, contracts, geometry, governance, graph, linking, metrics, models, policy, queueing, ranking, sampling, similarity
 from cohortlens.plans.workflow import FIXTURES
 from cohortlens.sources import archives, documents, sinks, tables
 
@@ -199,6 +199,25 @@ def test_matching_and_suppression(spark):
     assert sorted(r["id"] for r in geometry.suppress(pts, 14.0, 10).collect()) == [1, 3]
 
 
+def test_hit_trace_matches_a_fresh_matching_at_each_score():
+    rng = random.Random(8)
+    for _ in range(20):
+        score = {a: rng.randint(0, 5) / 5 for a in range(12)}
+        edges = sorted({(a, rng.randrange(8)) for a in range(12) for _ in range(2)})
+        trace = geometry.hit_trace([(a, b, score[a]) for a, b in edges])
+        assert trace == [(s, len(geometry.maximum_matching([e for e in edges if score[e[0]] >= s]))) for s in sorted({score[a] for a, _ in edges}, reverse=True)]
+
+
+def test_predictions_are_isolated(spark):
+    def model(rows):
+        if any(r < 0 for r in rows):
+            raise ValueError("negative")
+        return [2 * r for r in rows]
+
+    got = {r["id"]: (r["y"], r["status"]) for r in models.predict(spark.createDataFrame([(1, 1.0), (2, -1.0), (3, 3.0)], "id long, x double").coalesce(1), model).collect()}
+    assert got == {1: (2.0, "success"), 2: (None, "error: negative"), 3: (6.0, "success")}
+
+
 def test_governance(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k long, v double")
     lock, done = governance.freeze({"t": (df, "k")}, 7, 100), set()
@@ -209,7 +228,9 @@ def test_governance(spark):
         governance.evaluate_once(lock, {"t": (df.withColumn("v", F.col("v") + 1), "k")}, set())
     assert governance.report_problems({"tier": "fresh", "statement": "s", "limitations": ["l"]}) == ["lock"]
     assert governance.is_reserved("/a/b/c", ["/a/b"]) and not governance.is_reserved("/a/bc", ["/a/b"])
-    assert not governance.may_claim_fresh({"x": "locked"}, "x")
+    assert not governance.may_claim_fresh({"x": "locked"}, "x") and governance.exposed({}, "x", "locked") == {"x": "locked"}
+    with pytest.raises(ValueError, match="locked"):
+        governance.exposed({"x": "locked"}, "x", "development")
 
 
 def test_archives(spark, tmp_path):
