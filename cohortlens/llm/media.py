@@ -22,6 +22,8 @@ from .common import small_batches, table
 
 #: Bytes of an image row: 64 RGB samples.
 ROW = 192
+#: From which share of the references on a digest is resolved by a broadcast, from how many at least, and up to how many bytes of media in all.
+HOT_SHARE, HOT_LEAST, HOT_BYTES = 200, 500, 32 << 20
 _SIGN = b"\x89PNG\r\n\x1a\n"
 _REF = "media:"
 
@@ -152,8 +154,21 @@ def media_table(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
-    """items with the column medium: a reference's bytes, null for text and for digests that aren't in the table. A digest with many references is split by AQE's skew join."""
-    return items.join(media, "digest", "left").select(*items.columns, "medium")
+    """items with the column medium: a reference's bytes, null for text and for digests that aren't in the table.
+
+    A digest that more than one in HOT_SHARE references name, of which there are at most HOT_SHARE, would gather them in one
+    task. If the media of those digests are small enough together, they are broadcast to where the references are; the
+    others, and all if they aren't, meet by a shuffle.
+    """
+    named = items.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = [r["digest"] for r in named.filter(F.col("n") > max(total / HOT_SHARE, HOT_LEAST)).select("digest").collect()]
+    few = media.filter(F.col("digest").isin(hot)) if hot else None
+    if few is None or (few.agg(F.sum(F.length("medium"))).first()[0] or 0) > HOT_BYTES:
+        return items.join(media, "digest", "left").select(*items.columns, "medium")
+    apart = F.coalesce(F.col("digest").isin(hot), F.lit(False))
+    near = items.filter(apart).join(F.broadcast(few), "digest", "left").select(*items.columns, "medium")
+    return near.unionByName(items.filter(~apart).join(media.filter(~F.col("digest").isin(hot)), "digest", "left").select(*items.columns, "medium"))
 
 
 def assemble(items: DataFrame) -> DataFrame:

@@ -365,3 +365,14 @@ def test_pipeline(spark):
         elif name == "jaccard":
             assert set(after) == {i for i, (_, c) in brute_links(before).items() if c == i}
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_hot_media(spark, monkeypatch):
+    """References of a hot digest are resolved by a broadcast, or not, with the same result."""
+    texts = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"), "id")
+    store = media.media_table(texts)
+    refs = texts.select("id", F.lit(0).alias("position"), F.lit("media").alias("kind"), F.lit(None).cast("string").alias("text"), F.when(F.col("id") % 2 == 0, sha(media.padded("hot"))).otherwise("gone").alias("digest"))
+    for most in (32 << 20, 0):
+        monkeypatch.setattr(media, "HOT_BYTES", most)
+        rows = media.resolve(refs, store).collect()
+        assert len(rows) == 2000 and all((r["medium"] is not None) == (r["id"] % 2 == 0) for r in rows)
