@@ -185,3 +185,13 @@ def acceptance_probability(first: Column, again: Column, retries: int, leave: Co
 def required_servers(rate: Column, service_seconds: Column, utilisation: float = 0.8) -> Column:
     """Servers that keep utilisation at most as given, at least one."""
     return F.greatest(F.lit(1), F.ceil(rate * service_seconds / utilisation)).cast("long")
+
+
+def utc_iso(ts: Column) -> Column:
+    """A timestamp as ISO text; in UTC where the session's zone is UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def explanation_flags(border: Column, centre: Column, spread: Column, border_most: float = 0.25, centre_least: float = 0.1, spread_most: float = 0.6) -> Column:
+    """Flags of a heat map's precomputed shares, joined by '; ': energy at the border, outside the field, or everywhere."""
+    return feedback([(border > border_most, "border"), (centre < centre_least, "off_field"), (spread > spread_most, "diffuse")])

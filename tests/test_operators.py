@@ -98,6 +98,11 @@ def test_scalars(spark):
     assert row["c"] == 1.5 and math.isclose(row["acc"], 0.999) and row["r"] is None and row["rf"] == 0 and row["nan"] is None and row["mono"] == row["t4"]
 
 
+def test_text_helpers(spark):
+    row = one(spark.range(1).select(S.utc_iso(F.lit("2026-01-02 03:04:05").cast("timestamp")).alias("t"), S.explanation_flags(F.lit(0.3), F.lit(0.05), F.lit(0.1)).alias("f"), S.explanation_flags(F.lit(0.1), F.lit(0.5), F.lit(0.1)).alias("n")))
+    assert tuple(row) == ("2026-01-02T03:04:05Z", "border; off_field", "")
+
+
 def test_contract(spark):
     df = spark.createDataFrame([(1.0, [0.5, 0.5]), (1.5, [0.5, 0.6]), (None, [1.0, 0.0])], "g double, p array<double>")
     got = {r["rule"]: r["violations"] for r in contracts.contract(df, contracts.rules_of_grades("g", "p")).collect()}
