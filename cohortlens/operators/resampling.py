@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_order, ratio
+from .indexing import dense_index
 
 
 def draw32(tag: str, *key: Column) -> Column:
@@ -18,7 +19,10 @@ def draw32(tag: str, *key: Column) -> Column:
 def cluster_counts(df: DataFrame, cluster: str, counts: dict[str, Column], strata: Sequence[str] = ()) -> DataFrame:
     """(strata, idx, n_clusters, counts...): each cluster's counts under its place from 0 in the order of clusters. One row a cluster."""
     g = df.groupBy(*strata, cluster).agg(*[F.sum(c.cast("long")).alias(n) for n, c in counts.items()])
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(1))
+    if not strata:
+        g = dense_index(g, cluster)
+        return g.crossJoin(F.broadcast(g.agg(F.count("*").alias("n_clusters")))).drop(cluster)  # one row
+    w = Window.partitionBy(*strata)
     return g.withColumns({"idx": (F.row_number().over(w.orderBy(cluster)) - 1).cast("long"), "n_clusters": F.count("*").over(w)}).drop(cluster)
 
 

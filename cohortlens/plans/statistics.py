@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import policy as P
 from ..operators import ranking as R
 from ..operators import resampling as B
+from ..operators.indexing import dense_index
 from .cohort import CASES, THRESHOLDS, cases, evaluated, logits, read, sql_draw
 
 QUERIES, SQL = {}, {}
@@ -99,7 +100,7 @@ def bootstrap_auc(spark, d):
     """AUC of each replicate from weighted score groups, without copying rows."""
     df = evaluated(spark, d)
     c = B.cluster_counts(df, "group_id", {"n": F.lit(True)})
-    ids = df.groupBy("group_id").agg(F.lit(1).alias("o")).withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("group_id")) - 1).cast("long")).drop("o")
+    ids = dense_index(df.select("group_id").distinct(), "group_id")
     scores = df.join(ids, "group_id").groupBy("idx", "score").agg(F.count_if(ref()).alias("pos"), F.count_if(~ref()).alias("neg"))
     return B.weighted_auc(scores, B.weights(c, 10, "boot")).select("r", r6("auc", "auc"))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
-from cohortlens.operators import calibration, contracts, geometry, governance, graph, linking, metrics, models, policy, queueing, ranking, sampling, similarity
+from cohortlens.operators import calibration, contracts, geometry, governance, graph, indexing, linking, metrics, models, policy, queueing, ranking, sampling, similarity
 from cohortlens.plans.workflow import FIXTURES
 from cohortlens.sources import archives, documents, sinks, tables
 
@@ -158,6 +158,13 @@ def test_splits_keep_groups_whole(spark):
     assert math.isclose(w, 1)
 
 
+def test_dense_index(spark):
+    df = spark.range(0, 5000, 7).select((F.col("id") * 31 % 5003).alias("k")).repartition(7)
+    got = indexing.dense_index(df, "k").orderBy("k").collect()
+    assert [r["idx"] for r in got] == list(range(len(got))) and [r["k"] for r in got] == sorted(r["k"] for r in got)
+    assert indexing.dense_index(df.limit(0), "k").count() == 0
+
+
 def test_queue(spark):
     df = spark.createDataFrame([(i, 0.0) for i in range(3)], "i long, t double").withColumn("k", F.lit(1))
     got = [tuple(r) for r in queueing.station(df, ["k"], "t", "i", F.lit(30.0), 2).orderBy("i").select("start", "finish").collect()]
