@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 
 
 def station(df: DataFrame, by: Sequence[str], arrival: str, tie: str, service: Column, servers: Column | int = 1, prefix: str = "") -> DataFrame:
@@ -28,6 +28,30 @@ def station(df: DataFrame, by: Sequence[str], arrival: str, tie: str, service: C
     return d.drop("_i", "_s", "_lane", "_k")
 
 
+def long_station(df: DataFrame, by: Sequence[str], arrival: str, tie: str, service: Column, servers: Column | int = 1, prefix: str = "") -> DataFrame:
+    """station() for queues that are too long for one task each.
+
+    Rows are range-partitioned by (by, arrival, tie), so that a queue spreads over tasks. Places are counted inside a
+    partition plus what the ones before hold of the queue; running maxima likewise, from each partition's maxima by lane.
+    """
+    c = F.lit(servers) if isinstance(servers, int) else servers
+    order = [*by, arrival, tie]
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *by).orderBy(arrival, tie)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy("_part", *by).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")  # a row a queue and partition
+    d = rows.withColumn("_at", F.row_number().over(inside) - 1).join(held, ["_part", *by])
+    d = d.withColumns({"_i": F.col("_at") + F.col("_before"), "_s": service.cast("double")}).withColumns({"_lane": F.col("_i") % c, "_k": F.floor(F.col("_i") / c)})
+    d = d.withColumn("_v", F.col(arrival) - F.col("_k") * F.col("_s"))
+    lane = Window.partitionBy("_part", *by, "_lane").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*by, "_lane").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = d.groupBy("_part", *by, "_lane").agg(F.max("_v").alias("_m")).withColumn("_top", F.max("_m").over(so_far)).drop("_m")
+    d = d.withColumn("_own", F.max("_v").over(lane)).join(tops, ["_part", *by, "_lane"])
+    start = F.greatest("_own", "_top") + F.col("_k") * F.col("_s")
+    d = d.withColumn(f"{prefix}start", start).withColumn(f"{prefix}finish", F.col(f"{prefix}start") + F.col("_s"))
+    return d.drop("_part", "_at", "_before", "_i", "_s", "_lane", "_k", "_v", "_own", "_top")
+
+
 def max_waiting(df: DataFrame, by: Sequence[str], arrival: str, start: str) -> DataFrame:
     """(by, max_waiting): most entities waiting at an arrival; starts at the same time go first."""
     up = df.select(*by, F.col(arrival).alias("t"), F.lit(1).alias("o"), F.lit(1).alias("d"))

@@ -180,6 +180,8 @@ def test_queue(spark):
             free[j] = want[-1] + 2.0
         q = queueing.station(spark.createDataFrame(list(enumerate(arrivals)), "i long, t double").withColumn("k", F.lit(1)), ["k"], "t", "i", F.lit(2.0), c)
         assert all(math.isclose(r["start"], w, abs_tol=1e-9) for r, w in zip(q.orderBy("i").collect(), want, strict=True))
+        long = queueing.long_station(spark.createDataFrame(list(enumerate(arrivals)), "i long, t double").withColumn("k", F.lit(1)).repartition(4), ["k"], "t", "i", F.lit(2.0), c)
+        assert all(math.isclose(r["start"], w, abs_tol=1e-9) for r, w in zip(long.orderBy("i").collect(), want, strict=True))
         waiting = max(max(0, i + 1 - sum(s <= a for s in want)) for i, a in enumerate(arrivals))
         assert one(queueing.max_waiting(q, ["k"], "t", "start"))["max_waiting"] == waiting
 
