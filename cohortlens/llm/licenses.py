@@ -70,19 +70,19 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     start, null without any. labels adds the notices that are covered to COVERAGE or more. score: 1 with a phrase, else the
     best coverage. Null and empty texts have no words, labels '' and score 0; repeated rows are each counted on their own.
     """
-    diagonal = hits(docs, templates(docs.sparkSession, phrases, notices), id_col, text_col).groupBy("row", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-    diagonal = diagonal.agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"), F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    fixed = ["row", "id", "n_words", "template", "label", "base", "grams"]  # what row and template determine, as keys, so that hashing aggregates
+    diagonal = hits(docs, templates(docs.sparkSession, phrases, notices), id_col, text_col).groupBy(*fixed, (F.col("pos") - F.col("tpos")).alias("diagonal"))
+    diagonal = diagonal.agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     line = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > DRIFT).cast("int"), F.lit(1))
     island = diagonal.withColumn("apart", F.when(F.col("base"), F.lit(1)).otherwise(apart)).withColumn("island", F.sum("apart").over(line))
-    spans = island.groupBy("row", "template", "island").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"), F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = island.groupBy(*fixed, "island").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
     covered = F.least(F.lit(1.0), F.col("votes") / F.greatest(F.col("grams"), F.lit(1)))
     verified = F.when(F.col("template") < 0, F.lit(0.0)).when(F.col("base"), F.when(F.col("votes") == F.col("grams"), F.lit(1.0)).otherwise(F.lit(0.0))).when(F.col("high") - F.col("low") < 2 * F.col("grams"), covered).otherwise(F.lit(0.0))
     spans = spans.withColumn("cover", verified)
     phrase, found = F.col("base") & (F.col("cover") == 1), F.col("cover") >= COVERAGE
     join = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(c, F.col("label")))), ",")
-    return spans.groupBy("row").agg(
-        F.first("id").alias("id"),
+    return spans.groupBy("row", "id").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.count_if(phrase).alias("n_base"),
         F.min(F.when(phrase, F.col("low"))).cast("long").alias("first_word"),
