@@ -18,7 +18,7 @@ from .common import ASCII_SPACE, NULL_ID, cut, small_batches, table
 
 #: Bytes of the text in the splitters; the digest behind them orders texts with equal beginnings.
 PREFIX = 48
-_RUN_SCHEMA = "part int, run long, kind int, id long, pos long, keep long, size long, sha binary, text binary"
+_RUN_SCHEMA = "part int, run long, kind int, id long, th long, pos long, keep long, size long, sha binary, text binary"
 
 
 def normalised(text: str | None) -> bytes:
@@ -29,8 +29,8 @@ def _normalise(batches):
     for b in batches:
         texts = b.column(1).to_pylist()
         norm = [normalised(t) for t in texts]
-        cols = [b.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([x[:PREFIX] for x in norm], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary()), pa.array(norm, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "n", "prefix", "sha", "norm"])
+        cols = [b.column(0), b.column(2), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([x[:PREFIX] for x in norm], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary()), pa.array(norm, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "th", "n", "prefix", "sha", "norm"])
 
 
 def _runs(batches):
@@ -39,28 +39,28 @@ def _runs(batches):
 
     part = TaskContext.get().partitionId()
     rows: list[tuple] = []
-    run, last, sha, ids, head = -1, None, b"", [], None
+    run, last, sha, ids, head = -1, None, b"", [], None  # ids: (identifier, th)
 
     def close(final: bool):
         """The run that ends here."""
         edge = run == 0 or final
         keep, size = (None, None) if edge else (head, len(ids))
-        rows.extend((part, run, 0 if edge else 2, i, p, keep, size, sha, None) for p, i in enumerate(ids))
+        rows.extend((part, run, 0 if edge else 2, i, th, p, keep, size, sha, None) for p, (i, th) in enumerate(ids))
         if edge:
-            rows.append((part, run, 1, head, None, None, len(ids), sha, last))
+            rows.append((part, run, 1, head, None, None, None, len(ids), sha, last))
 
     def batch():
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in _RUN_SCHEMA.split(", ")])
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in _RUN_SCHEMA.split(", ")])
         rows.clear()
         return out
 
     for b in batches:
-        for i, s, norm in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+        for i, th, s, norm in zip(*(b.column(c).to_pylist() for c in (0, 1, 4, 5)), strict=True):
             if norm != last:  # the full comparison; last is None at the start
                 if run >= 0:
                     close(False)
                 run, last, sha, ids, head = run + 1, norm, s, [], i
-            ids.append(i)
+            ids.append((i, th))
         if len(rows) > 2000:
             yield batch()
     if run >= 0:
@@ -69,16 +69,20 @@ def _runs(batches):
         yield batch()
 
 
+def _row_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, sha (of the normalised text, binary).
+    """One row per input row: id, th (a hash of the text as it is), keep_id, group_size, kept, sha (of the normalised text, binary).
 
     Texts are equal if they are identical without ASCII white space; null counts as empty, and empty texts form a group.
     Of a group stays the row with the most code points, then the smallest identifier, null before all others; of rows that
     are repeated wholly, one stays. An empty table gives no rows. Only id_col and text_col are read.
     """
     small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    norm = src.mapInArrow(_normalise, "id long, n long, prefix binary, sha binary, norm binary")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", _row_hash("text"))
+    norm = src.mapInArrow(_normalise, "id long, th long, n long, prefix binary, sha binary, norm binary")
     order = [F.col("prefix"), F.col("sha"), F.col("n").desc(), F.col("id").asc_nulls_first()]
     runs = cut(norm.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, _RUN_SCHEMA))
     # First and last runs: at most two a partition, so one task can order them all.
@@ -92,6 +96,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     inside = F.col("kind") == 2
     return out.select(
         "id",
+        "th",
         F.when(inside, F.col("keep")).otherwise(F.col("e_keep.v")).alias("keep_id"),
         F.when(inside, F.col("size")).otherwise(F.col("e_size")).alias("group_size"),
         ((F.col("pos") == 0) & (inside | F.col("e_first"))).alias("kept"),
@@ -104,9 +109,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the duplicates of exact groups. Needs unique identifiers, as documents have; null ones are told apart by no other row."""
-    stay = groups(docs, id_col, text_col).filter("kept").select(F.coalesce("id", F.lit(NULL_ID)).alias("_stay")).distinct()
-    return docs.join(stay, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_stay"), "left_semi")
+    """docs with one row of each group of equal texts, the one groups() marks. Rows are told apart by identifier and text, and of those repeated wholly (in these two) one stays."""
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_key"), _row_hash(text_col).alias("_th")]
+    rows = groups(docs, id_col, text_col).groupBy(F.coalesce("id", F.lit(NULL_ID)).alias("_stay"), F.col("th").alias("_stay_th"))
+    stay = cut(rows.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("kept").drop("kept"))
+    kept = lambda some: docs.select("*", *key).join(some, (F.col("_key") == F.col("_stay")) & (F.col("_th") == F.col("_stay_th")), "left_semi")
+    if (again := stay.filter("n > 1")).isEmpty():
+        return kept(stay).drop("_key", "_th")
+    return kept(stay.filter("n = 1")).unionByName(kept(again).dropDuplicates(["_key", "_th"])).drop("_key", "_th")
 
 
 ORACLE_SQL = r"""

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from ..operators.indexing import dense_index
 from .common import LOWER, NULL_ID, UPPER, cut, release, small_batches, table
 from .minimisers import _VALUE, _mix, _power_tables
 
@@ -318,9 +319,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that a component holds under a smaller identifier. Rows without an identifier stay."""
-    gone = join(docs, id_col, text_col).filter("component_id <> id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of docs for each component of near copies: the one with the smallest identifier, null before all others.
+
+    If identifiers repeat or are null, rows are told apart by identifier and text, numbered in that order, and each is a
+    document of its own in the links; of rows repeated wholly (in these two) one stays. Rows without shingles link with nothing.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    if docs.groupBy(key.alias("k")).count().filter((F.col("count") > 1) | (F.col("k") == NULL_ID)).isEmpty():
+        gone = join(docs, id_col, text_col).filter("component_id <> id").select(F.col("id").alias("_gone"))
+        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    row = F.struct(key.alias("key"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
+    place = dense_index(docs.select(row.alias("_own")).distinct(), "_own", "_row").withColumnRenamed("_own", "_place")
+    rows = cut(docs.withColumn("_own", row).join(place, F.col("_own") == F.col("_place")).drop("_own", "_place").dropDuplicates(["_row"]))
+    gone = join(rows, "_row", text_col).filter("component_id <> id").select(F.col("id").alias("_gone"))
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

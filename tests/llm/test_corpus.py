@@ -367,6 +367,29 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_pipeline_stages_keep_one_row_of_each_group(spark):
+    """Repeated rows and null identifiers in the exact, near and substring stages."""
+    import corpus_pipeline
+
+    long, other, third = (" ".join(f"{c}{i}" for i in range(120)) for c in "abc")
+    near = lambda t, k: t + f" end{k}"
+    rows = [(1, long)] * 3 + [(None, "x y")] * 2 + [(None, " x  y ")] * 2 + [(None, near(other, 0)), (5, near(other, 1)), (6, near(other, 2)), (None, near(third, 0)), (None, near(third, 1)), (7, near(third, 2)), (8, "one"), (8, "two"), (None, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    exact_rows = stages["exact"](spark, docs, None)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in exact_rows.collect()))) == sorted(map(str, [(1, long), (None, " x  y "), *rows[7:]]))
+    path = corpus_pipeline.shared_path(spark, "odd")
+    exact_rows.write.parquet(path)
+    for some in (spark.read.parquet(path), docs):
+        left = stages["jaccard"](spark, some, None)
+        texts = collections.Counter((r["doc_id"], r["text"]) for r in left.collect())
+        assert texts[(1, long)] == 1 and not {5, 6, 7} & {i for i, _ in texts} and {(None, near(other, 0)), (8, "one"), (8, "two"), (None, None)} <= set(texts)
+        assert sum(n for (_, t), n in texts.items() if (t or "").startswith("c0")) == 1 and sum(n for (_, t), n in texts.items() if t and t.split() == ["x", "y"]) == 1
+        assert left.columns == docs.columns
+    done = stages["suffixes"](spark, stages["jaccard"](spark, spark.read.parquet(path), None), None)
+    assert [r["text"] for r in done.filter("doc_id = 1").collect()] == [long]
+
+
 def test_hot_media(spark, monkeypatch):
     """References of a hot digest are resolved by a broadcast, or not, with the same result."""
     texts = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"), "id")
