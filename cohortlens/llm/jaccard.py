@@ -5,7 +5,8 @@ are the tiles' keys; the order puts members that many documents have last, by a
 a passage in many documents doesn't draw them into one tile. Of a pair, the smaller set needs even fewer first members,
 which are marked. A tile holds documents of one size band, and is paired with itself and the band below. First each document
 of a tile is paired with the tile's first; links found so shrink groups of near copies to components, and then only pairs
-across components remain. Parity bitmaps bound a pair's overlap from above by their differing bits: short ones inside the
+across components remain. The number of links is then counted inside the components, where all links lie: their distinct
+sets are compared by pairs of blocks, each set weighted by its rows, and only counts leave a task. Parity bitmaps bound a pair's overlap from above by their differing bits: short ones inside the
 tiles, longer ones by the pair. What passes is decided by the exact intersection of the sorted sets.
 """
 
@@ -34,6 +35,8 @@ BAND = 1.34
 TILE_BITS = 1024
 #: Documents named in candidate pairs, up to which their identifiers are broadcast; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Of a component, so many sets or shingles make a block; each pair of blocks is compared by itself to count links.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -123,7 +126,7 @@ def _describe(batches):
     for b in batches:
         sets = [shingles(t) for t in b.column(1).to_pylist()]
         digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([tile_signature(s) for s in sets], pa.binary())], ["key", "size", "digest", "sig", "tile_sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([tile_signature(s) for s in sets], pa.binary())], ["key", "th", "size", "digest", "sig", "tile_sig"])
 
 
 def _prefixes(levels):
@@ -277,18 +280,91 @@ def _verified(pairs: DataFrame, info: DataFrame, src: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact, "a long, b long").distinct())
 
 
+def _block_links(sets: list[np.ndarray], n: np.ndarray, block: np.ndarray, inside: bool) -> np.ndarray:
+    """For each set, the rows of the others it links with; if not inside, of those in another block."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size, weight, block = size[order], n[order], block[order]
+    words, member = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    own, total = np.zeros(len(words), np.int32), np.zeros(len(sets), np.int64)
+    for i in range(len(sets) - 1):
+        end = int(np.searchsorted(PERCENT * size, 100 * size[i], "right"))
+        if end > i + 1:
+            mine = member[starts[i] : starts[i + 1]]
+            own[mine] = 1
+            both = np.add.reduceat(own[member[starts[i + 1] : starts[end]]], starts[i + 1 : end] - starts[i + 1])
+            own[mine] = 0
+            to = i + 1 + np.flatnonzero(links(both, size[i], size[i + 1 : end]) & (inside | (block[i + 1 : end] != block[i])))
+            total[i] += weight[to].sum()
+            total[to] += weight[i]
+    out = np.zeros(len(sets), np.int64)
+    out[order] = total
+    return out
+
+
+def _inside(batches):
+    """(digest, links) from rows (component, lo, hi, block, digest, n, text), sorted by component, lo, hi: the links between blocks lo and hi."""
+    last, held = None, {}
+
+    def batch():
+        rows = list(held.items())
+        out = _block_links([r[1][2] for r in rows], np.array([r[1][1] for r in rows]), np.array([r[1][0] for r in rows]), last[1] == last[2])
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array(out, pa.int64())], ["digest", "links"])
+
+    for b in batches:
+        for *pair, block, digest, n, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if pair != last and held:
+                yield batch()
+            last = pair
+            if digest not in held:  # a row repeated wholly comes with all its copies
+                held[digest] = (block, n, shingles(text))
+    if held:
+        yield batch()
+
+
+def _degrees(src: DataFrame, filled: DataFrame, parts: DataFrame) -> DataFrame:
+    """(digest, n_links) of each set: its rows less one, and the rows of all the sets it links with."""
+    sets = cut(filled.groupBy("digest").agg(F.min(F.struct("key", "th")).alias("row"), F.first("size").alias("size"), F.count("*").alias("n")))
+    groups = sets.select("digest", "row.*", "size", "n").join(parts, F.col("key") == F.col("node")).drop("node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    many = groups.groupBy(F.col("component").alias("whole")).agg(F.count("*").alias("m"), blocks.alias("blocks")).filter("m > 1").drop("m")
+    named = cut(groups.join(many, F.col("component") == F.col("whole")).select(F.col("key").alias("k"), F.col("th").alias("t"), "component", "digest", "n", "blocks"))
+    rows = src.join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")))
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = ["component", "lo", "hi"]
+    rows = rows.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "digest", "n", "text")
+    found = rows.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_inside, "digest binary, links long").groupBy("digest").agg(F.sum("links").alias("links"))
+    return cut(sets.join(found, "digest", "left").select("digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest identifier reachable by links), n_links.
 
-    n_links counts the links found to documents with a different set, not all there are inside a component: a link between
-    two documents that are already connected may go unnoticed. Null and empty texts have no shingles and link with nothing.
-    Rows that share an identifier are one document in the links of all its texts; so are all rows without an identifier.
+    n_links counts all the other rows whose sets link with the row's; equal sets link. Null and empty texts have no shingles
+    and link with nothing. In the components, rows that share an identifier are one document with the links of all its
+    texts, and so are all rows without an identifier.
     """
+    src, info, filled, parts = _linked(docs, id_col, text_col)
+    links_of = _degrees(src, filled, parts).withColumnRenamed("digest", "of")
+    return _with_components(info.join(links_of, F.col("digest") == F.col("of"), "left"), parts, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _with_components(info: DataFrame, parts: DataFrame, *more) -> DataFrame:
+    null = lambda c: F.when(c != NULL_ID, c)
+    out = info.join(parts, F.col("key") == F.col("node"), "left")
+    return out.select(null(F.col("key")).alias("id"), F.col("size").alias("n_shingles"), null(F.coalesce("component", "key")).alias("component_id"), *more)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str):
+    """The rows (key, text, th), what is known of each, of those with shingles, and the components."""
     spark = docs.sparkSession
     small_batches(spark)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     levels = spark.sparkContext.broadcast(frequency_levels(src))  # 8 MB
-    info = cut(src.mapInArrow(_describe, "key long, size long, digest binary, sig binary, tile_sig binary"))
+    info = cut(src.mapInArrow(_describe, "key long, th long, size long, digest binary, sig binary, tile_sig binary"))
     release(spark)
     order = ["member", "band", "key"]
     rows = src.mapInArrow(_prefixes(levels), "member long, band int, key long, size long, marked tinyint").repartition("member").sortWithinPartitions(*order)
@@ -312,10 +388,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     if not more.isEmpty():
         found = found.unionByName(more)
         parts = components(found.unionByName(copies))
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = info.select("key", F.col("size").alias("n_shingles")).join(parts, F.col("key") == F.col("node"), "left").drop("node").join(ends, F.col("key") == F.col("node"), "left")
-    null = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null(F.col("key")).alias("id"), "n_shingles", null(F.coalesce("component", "key")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return src, info, filled, parts
+
+
+def _gone(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The identifiers, unique ones, that their components hold under a smaller one."""
+    _, info, _, parts = _linked(docs, id_col, text_col)
+    return _with_components(info, parts).filter("component_id <> id").select(F.col("id").alias("_gone"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,12 +405,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     if docs.groupBy(key.alias("k")).count().filter((F.col("count") > 1) | (F.col("k") == NULL_ID)).isEmpty():
-        gone = join(docs, id_col, text_col).filter("component_id <> id").select(F.col("id").alias("_gone"))
+        gone = _gone(docs, id_col, text_col)
         return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     row = F.struct(key.alias("key"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
     place = dense_index(docs.select(row.alias("_own")).distinct(), "_own", "_row").withColumnRenamed("_own", "_place")
     rows = cut(docs.withColumn("_own", row).join(place, F.col("_own") == F.col("_place")).drop("_own", "_place").dropDuplicates(["_row"]))
-    gone = join(rows, "_row", text_col).filter("component_id <> id").select(F.col("id").alias("_gone"))
+    gone = _gone(rows, "_row", text_col)
     return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 

@@ -367,6 +367,25 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    """Groups of three and more near copies, equal sets in several tasks, repeated rows, blocks."""
+    rng = random.Random(11)
+    base = [[f"{g}w{i}" for i in range(60)] for g in range(3)]
+    rows = []
+    for i in range(60):
+        w = list(base[i % 3])
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = f"z{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, rows[0][1].upper()), (101, rows[0][1] + " "), (102, rows[3][1]), (102, rows[3][1]), (103, ""), (None, rows[0][1]), (None, rows[1][1])]
+    sets = [set(jaccard.shingles(t).tolist()) for _, t in rows]
+    want = [sum(i != j and len(a) > 0 and len(b) > 0 and bool(jaccard.links(len(a & b), len(a), len(b))) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for most in (1024, 4):
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", most)
+        assert collections.Counter((r["id"], r["n_links"]) for r in jaccard.join(docs).collect()) == collections.Counter(zip((i for i, _ in rows), want, strict=True))
+
+
 def test_pipeline_stages_keep_one_row_of_each_group(spark):
     """Repeated rows and null identifiers in the exact, near and substring stages."""
     import corpus_pipeline
