@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
-import time
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,25 +30,46 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only where it is unset, as in tests, a temporary one is made."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local master, as in tests, gets a temporary one; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if folder is None:
-        folder = sc.getCheckpointDir() or "file://" + os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
+    if folder is None and (folder := sc.getCheckpointDir()) is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def passing(df: DataFrame) -> DataFrame:
+    """df as a plan of its own whose shuffle files Spark removes as soon as an action on it has ended."""
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.select("*")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there: a lost executor then costs no recomputation."""
+    """Writes df to the shared folder and goes on from there: a lost executor then costs no recomputation, and the shuffles behind it are dropped."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return passing(df).checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more from the shared folder's file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results were cut and that nothing refers to any more. The first collection frees what holds them, the second finds them free."""
-    for pause in (0.5, 0.2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)
+    """Nothing to do: cut() drops the shuffles behind what it writes."""
