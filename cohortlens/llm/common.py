@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, release, shared_dir, ship
+from ..session import cut, passing, shared_dir, ship
 
 #: Stands for a null identifier inside an operator; outputs carry the null again.
 NULL_ID = -(2**63)
 #: The characters of [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: texts may be long, and each Python worker holds a batch or two. Workers get the package."""
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few bytes: texts may be long, and each Python worker holds a batch or two. Numbers of rows stay as the session has them. Workers get the package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    if int(re.match(r"\d+", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "0"))[0]) != BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -34,7 +37,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    passing(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,4 +47,4 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-__all__ = ["ASCII_SPACE", "LOWER", "NULL_ID", "UPPER", "cut", "keyed", "release", "shared_path", "small_batches", "table", "written"]
+__all__ = ["ASCII_SPACE", "LOWER", "NULL_ID", "UPPER", "cut", "keyed", "shared_path", "small_batches", "table", "written"]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..operators.indexing import dense_index
-from .common import LOWER, NULL_ID, UPPER, cut, release, small_batches, table
+from .common import LOWER, NULL_ID, UPPER, cut, small_batches, table
 from .minimisers import _VALUE, _mix, _power_tables
 
 WORDS = 5
@@ -365,18 +365,15 @@ def _linked(docs: DataFrame, id_col: str, text_col: str):
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     levels = spark.sparkContext.broadcast(frequency_levels(src))  # 8 MB
     info = cut(src.mapInArrow(_describe, "key long, th long, size long, digest binary, sig binary, tile_sig binary"))
-    release(spark)
     order = ["member", "band", "key"]
     rows = src.mapInArrow(_prefixes(levels), "member long, band int, key long, size long, marked tinyint").repartition("member").sortWithinPartitions(*order)
     tiles = cut(rows.mapInArrow(_stars, "a long, b long, member long, band int, size long, marked tinyint"))
     del rows
-    release(spark)
     filled = info.filter("size > 0")
     same = filled.groupBy("digest").agg(F.min("key").alias("head"))
     copies = filled.join(same, "digest").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
     tested = tiles.filter("b is not null").select("a", "b").distinct()
     found = _verified(tested, filled, src)
-    release(spark)
     parts = components(found.unionByName(copies))
     rest = tiles.filter("b is null").select("member", "band", F.col("a").alias("key"), "size", "marked").join(parts.withColumnRenamed("node", "key"), "key", "left")
     rest = rest.withColumn("comp", F.coalesce("component", "key")).drop("component")
@@ -384,7 +381,6 @@ def _linked(docs: DataFrame, id_col: str, text_col: str):
     rest = rest.withColumns({"low": F.min("comp").over(whole), "high": F.max("comp").over(whole)}).filter("low < high").drop("low", "high")
     rest = rest.join(filled.select("key", "tile_sig"), "key").select("member", "band", "key", "size", "marked", "comp", "tile_sig").repartition("member").sortWithinPartitions(*order)
     more = _verified(rest.mapInArrow(_across, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), filled, src)
-    release(spark)
     if not more.isEmpty():
         found = found.unionByName(more)
         parts = components(found.unionByName(copies))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut
 
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -209,7 +209,6 @@ def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, mo
     # What repeats, which is far less than all segments; without a cut, each of its uses below would segment all texts again.
     classes = cut(each.withColumn("kinds", F.count("*").over(Window.partitionBy("mh"))).filter("n > 1 or kinds > 1"))
     del segments, each
-    release(docs.sparkSession)
     none = F.lit(None).cast(RUNS)
     plain = classes.filter("kinds = 1").select("mh", "sh", "n", "first", none.alias("runs"))
     mixed = classes.filter("kinds > 1")

@@ -9,6 +9,7 @@ packed on their own, without a shuffle.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 
@@ -28,6 +29,9 @@ STEP = 16
 BLOCK = 1 << 20
 #: How byte-level BPE of this vocabulary cuts a text before merging; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space from so many characters on goes to tokenizers.
+LONG_SPACE = 5000
+LONG_RUN = re.compile(rf"\s{{{LONG_SPACE}}}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -40,7 +44,11 @@ def byte_tokens(vocabulary: dict[str, int]) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them, with no tokens added. tiktoken merges with the same vocabulary, several times faster; a test holds the two together. A text with a special token's name goes to tokenizers itself."""
+    """Ids of texts as the tokenizers library gives them, with no tokens added.
+
+    tiktoken merges with the same vocabulary, several times faster; a test holds the two together. A text with a special
+    token's name or with a long run of white space, which tiktoken's pattern can't take, goes to tokenizers itself.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -54,7 +62,7 @@ class Encoder:
         self.closes[[i for t, i in ranks.items() if t.endswith((b".", b"!", b"?", b"\n"))]] = True
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) >= LONG_SPACE and LONG_RUN.search(text)):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16)
         return np.array(self.fast.encode_ordinary(text), np.uint16)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, small_batches, table
 
 #: Lengths of the n-grams in bytes, number of hash buckets, features kept for the regression.
 LENGTHS, BUCKETS_LOG2, KEPT = (3, 4, 5, 6), 20, 2048
@@ -73,7 +73,7 @@ def _add(key, batches_or_table):
 def fit(labelled: DataFrame, rows: dict[int, int], l2: float = L2, steps: int = 150, rate: float = 0.02) -> Model:
     """labelled: (y, w, text) with y 0 or 1 and a weight that undoes the sampling of y's class; rows: how many of each class.
 
-    With one class only, every score is that class's share.
+    With one class only, every score is that class's share; without rows it is 0.
     """
     small_batches(labelled.sparkSession)
     dims = 1 << BUCKETS_LOG2
@@ -102,7 +102,7 @@ def fit(labelled: DataFrame, rows: dict[int, int], l2: float = L2, steps: int =
     got = labelled.select("y", "w", "text").mapInArrow(features, "y int, w double, at binary").toArrow()  # the bounded sample, at most KEPT numbers a row
     at = [np.frombuffer(x, np.uint16) for x in got.column("at").to_pylist()]
     y, w = got.column("y").to_numpy().astype(float), got.column("w").to_numpy()
-    row, col = np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate(at).astype(np.int64)
+    row, col = np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64)
     w = w / w.sum()
     rc = r[col]
     n_row = len(at)
@@ -117,18 +117,24 @@ def fit(labelled: DataFrame, rows: dict[int, int], l2: float = L2, steps: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS_PER_CLASS) -> tuple[DataFrame, dict[int, int]]:
-    """(y, w, text) of the sample, and its rows by class. Held-out rows never enter; of conflicting labels of a document the larger counts."""
+    """(y, w, text) of the sample, and its rows by class.
+
+    Held-out rows never enter. Only labels count whose document is there; of conflicting labels of a document the larger,
+    and of several texts under one identifier the one with the largest hash. Without such labels there are no rows.
+    """
     usable = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("y")).filter(~held_out(F.col("_id")))
-    n = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    keep = {y: min(1.0, per_class / c) for y, c in n.items()}
+    there = cut(docs.select(F.col("doc_id").cast("long").alias("_there")).distinct().join(usable, F.col("_there") == F.col("_id")).select("_id", "y"))
+    n = {r["y"]: r["n"] for r in there.groupBy("y").agg(F.count("*").alias("n")).collect()}
     part = F.lit(0.0)
-    for y, f in keep.items():
-        part = F.when(F.col("y") == y, F.lit(f)).otherwise(part)
+    for y, c in n.items():
+        part = F.when(F.col("y") == y, F.lit(min(1.0, per_class / c))).otherwise(part)
     place = F.pmod(F.xxhash64(F.col("_id"), F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = usable.filter(place < part).withColumn("w", 1 / part)
+    chosen = there.filter(place < part).withColumn("w", 1 / part)
     taken = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     # About per_class rows of three numbers each: a bounded broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("y", "w", "text"), taken
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    one = own.groupBy("_id").agg(F.first("y").alias("y"), F.first("w").alias("w"), F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("y", "w", F.col("t.text").alias("text")), taken
 
 
 def held_out(id_col):
