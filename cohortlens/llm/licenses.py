@@ -1,9 +1,10 @@
 """Operator 7: license scans by diagonal voting, in DataFrame operations only.
 
 Every text's rolling word 3-grams are hashed and joined to the 3-grams of the templates; a hit votes for the diagonal
-(place in the text minus place in the template) and is verified word by word in the join. A phrase stands where all its
+(place in the text minus place in the template) and is verified word by word after the join. A phrase stands where all its
 3-grams vote for one diagonal. For a whole notice, neighbouring diagonals are merged, as words may be added or missing, and
-the merged votes' share of the template is its coverage. A closing gram keeps documents without hits, with their word counts.
+the share of the template's places that vote in a span of them is its coverage. Only a gram's own words travel with it. A
+closing gram keeps documents without hits, with their word counts.
 """
 
 from __future__ import annotations
@@ -55,12 +56,17 @@ def templates(spark, phrases: dict[str, str], notices: dict[str, str]) -> DataFr
 
 def hits(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The verified hits of all rolling 3-grams, and each row's closing gram: row, id, n_words, template, label, base, grams, tpos, pos."""
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), words(F.col(text_col).cast("string")).alias("words"))
-    last = F.array(F.xxhash64(F.lit(_LAST), F.lit(None).cast("string"), F.lit(None).cast("string")))
-    rolling = F.transform(F.slice("words", 1, F.greatest(F.size("words") - (GRAM - 1), F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
-    grams = src.select("row", "id", "words", F.posexplode(F.concat(rolling, last)).alias("pos", "h"))
-    same = (F.col("template") == -1) | ((F.get("words", F.col("pos")) == F.col("w0")) & (F.get("words", F.col("pos") + 1) == F.col("w1")) & (F.get("words", F.col("pos") + 2) == F.col("w2")))
-    return grams.join(F.broadcast(found), "h").filter(same).select("row", "id", F.size("words").alias("n_words"), "template", "label", "base", "grams", "tpos", "pos")
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), words(F.col(text_col).cast("string")).alias("words")).withColumn("n_words", F.size("words"))
+
+    def gram(a, b, c):
+        return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"))
+
+    none = F.lit(None).cast("string")
+    rolling = F.transform(F.slice("words", 1, F.greatest(F.size("words") - (GRAM - 1), F.lit(0))), lambda w, i: gram(w, F.get("words", i + 1), F.get("words", i + 2)))
+    grams = src.select("row", "id", "n_words", F.posexplode(F.concat(rolling, F.array(gram(F.lit(_LAST), none, none)))).alias("pos", "g"))
+    grams = grams.select("row", "id", "n_words", "pos", "g.h", "g.a", "g.b", "g.c")
+    same = (F.col("template") == -1) | ((F.col("a") == F.col("w0")) & (F.col("b") == F.col("w1")) & (F.col("c") == F.col("w2")))
+    return grams.join(F.broadcast(found), "h").filter(same).select("row", "id", "n_words", "template", "label", "base", "grams", "tpos", "pos")  # found: a few hundred rows
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,18 +75,23 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     Phrases count wherever all their words stand consecutively; first_word and last_word are their smallest and largest
     start, null without any. labels adds the notices that are covered to COVERAGE or more. score: 1 with a phrase, else the
     best coverage. Null and empty texts have no words, labels '' and score 0; repeated rows are each counted on their own.
+
+    A chain of merged diagonals may be far longer than a notice where the text repeats the template's phrases. It is looked
+    at through spans twice as long as the template, each half over the last, and a place of the template counts once in each.
     """
-    fixed = ["row", "id", "n_words", "template", "label", "base", "grams"]  # what row and template determine, as keys, so that hashing aggregates
+    fixed = ["row", "id", "n_words", "template", "label", "base", "grams"]  # what row and template determine
     diagonal = hits(docs, templates(docs.sparkSession, phrases, notices), id_col, text_col).groupBy(*fixed, (F.col("pos") - F.col("tpos")).alias("diagonal"))
-    diagonal = diagonal.agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    diagonal = diagonal.agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.collect_set(F.when(~F.col("base"), F.col("tpos"))).alias("places"))
     line = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > DRIFT).cast("int"), F.lit(1))
-    island = diagonal.withColumn("apart", F.when(F.col("base"), F.lit(1)).otherwise(apart)).withColumn("island", F.sum("apart").over(line))
-    spans = island.groupBy(*fixed, "island").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    covered = F.least(F.lit(1.0), F.col("votes") / F.greatest(F.col("grams"), F.lit(1)))
-    verified = F.when(F.col("template") < 0, F.lit(0.0)).when(F.col("base"), F.when(F.col("votes") == F.col("grams"), F.lit(1.0)).otherwise(F.lit(0.0))).when(F.col("high") - F.col("low") < 2 * F.col("grams"), covered).otherwise(F.lit(0.0))
-    spans = spans.withColumn("cover", verified)
-    phrase, found = F.col("base") & (F.col("cover") == 1), F.col("cover") >= COVERAGE
+    apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > DRIFT, F.lit(True))
+    island = diagonal.withColumn("apart", apart).withColumn("island", F.max(F.when(F.col("apart"), F.col("diagonal"))).over(line))
+    step = F.floor((F.col("diagonal") - F.col("island")) / F.greatest(F.col("grams"), F.lit(1)))
+    island = island.withColumn("step", step).withColumn("span", F.explode(F.when(F.col("step") > 0, F.array(F.col("step") - 1, F.col("step"))).otherwise(F.array("step"))))
+    spans = island.groupBy(*fixed, "island", "span").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    phrase = F.col("base") & (F.col("votes") == F.col("grams"))
+    covered = F.when(F.col("base"), phrase.cast("double")).when(F.col("template") < 0, 0.0).otherwise(F.col("places") / F.greatest(F.col("grams"), F.lit(1)))
+    spans = spans.withColumn("cover", covered)
+    found = F.col("cover") >= COVERAGE
     join = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(c, F.col("label")))), ",")
     return spans.groupBy("row", "id").agg(
         F.max("n_words").cast("long").alias("n_words"),
