@@ -1,9 +1,10 @@
 """Operator 2: exact duplicates by a content sort.
 
-Rows are range-partitioned by sampled splitters over (first bytes of the normalised text, its digest, length, identifier),
-sorted within partitions by Spark's external sort, and compared in full with their neighbour. A range may cut a group of
-equals anywhere, so a group of any size is spread over tasks; each partition reports its first and last run, and these few
-rows are compared again across the cuts. Only run ordinals and identifiers are held in memory, never a group's texts.
+Rows are range-partitioned by sampled splitters over the normalised bytes: their first SPLITTER bytes, and behind those, for
+texts that agree so far, digest, length and identifier, so that a hot text or a hot beginning spreads over ranges. An external
+sort by the whole normalised bytes puts equals next to each other inside a range, and neighbours are compared in full. A range
+cuts at most one group at either end, the one with its smallest or largest splitter key. What is known of these two runs, a few
+numbers and digests each, is brought together over all ranges; texts of runs that are found to be one are compared in full again.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, NULL_ID, cut, small_batches, table
 
-#: Bytes of the text in the splitters; the digest behind them orders texts with equal beginnings.
-PREFIX = 48
+#: Bytes of the normalised text in a splitter: Spark's sample of them is what reaches the driver.
+SPLITTER = 256
 _RUN_SCHEMA = "part int, run long, kind int, id long, th long, pos long, keep long, size long, sha binary, text binary"
 
 
@@ -29,25 +30,24 @@ def _normalise(batches):
     for b in batches:
         texts = b.column(1).to_pylist()
         norm = [normalised(t) for t in texts]
-        cols = [b.column(0), b.column(2), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([x[:PREFIX] for x in norm], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary()), pa.array(norm, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "th", "n", "prefix", "sha", "norm"])
+        cols = [b.column(0), b.column(2), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([x[:SPLITTER] for x in norm], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary()), pa.array(norm, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "th", "n", "start", "sha", "norm"])
 
 
 def _runs(batches):
-    """Rows of kind 0: a document and its run, with the kept identifier and the size where the run ends inside the partition. Kind 1: a first or last run."""
+    """Rows of kind 0: a document, its run of equal texts, and what stays of the run and how many it has in this partition. Kind 1: the runs with the smallest and the largest splitter key, which may go on in other partitions, with their text."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     rows: list[tuple] = []
-    run, last, sha, ids, head = -1, None, b"", [], None  # ids: (identifier, th)
+    ends: list[tuple] = []  # (splitter key, run, kept identifier, size, digest, text): smallest, largest
+    run, last, key, ids = -1, None, (b"", b""), []  # ids: (identifier, th) of the present run, its kept one first
 
-    def close(final: bool):
-        """The run that ends here."""
-        edge = run == 0 or final
-        keep, size = (None, None) if edge else (head, len(ids))
-        rows.extend((part, run, 0 if edge else 2, i, th, p, keep, size, sha, None) for p, (i, th) in enumerate(ids))
-        if edge:
-            rows.append((part, run, 1, head, None, None, None, len(ids), sha, last))
+    def close():
+        head, size = ids[0][0], len(ids)
+        rows.extend((part, run, 0, i, th, p, head, size, key[1], None) for p, (i, th) in enumerate(ids))
+        own = (key, run, head, size, key[1], last)
+        ends[:] = [own, own] if not ends else [min(ends[0], own, key=lambda e: e[0]), max(ends[1], own, key=lambda e: e[0])]
 
     def batch():
         out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in _RUN_SCHEMA.split(", ")])
@@ -55,17 +55,17 @@ def _runs(batches):
         return out
 
     for b in batches:
-        for i, th, s, norm in zip(*(b.column(c).to_pylist() for c in (0, 1, 4, 5)), strict=True):
+        for i, th, start, sha, norm in zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4, 5)), strict=True):
             if norm != last:  # the full comparison; last is None at the start
                 if run >= 0:
-                    close(False)
-                run, last, sha, ids, head = run + 1, norm, s, [], i
+                    close()
+                run, last, key, ids = run + 1, norm, (start, sha), []
             ids.append((i, th))
         if len(rows) > 2000:
             yield batch()
     if run >= 0:
-        close(True)
-    if rows:
+        close()
+        rows.extend((part, e[1], 1, e[2], None, None, None, e[3], e[4], e[5]) for e in (ends if ends[0][1] != ends[1][1] else ends[:1]))
         yield batch()
 
 
@@ -82,28 +82,38 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", _row_hash("text"))
-    norm = src.mapInArrow(_normalise, "id long, th long, n long, prefix binary, sha binary, norm binary")
-    order = [F.col("prefix"), F.col("sha"), F.col("n").desc(), F.col("id").asc_nulls_first()]
-    runs = cut(norm.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, _RUN_SCHEMA))
-    # First and last runs: at most two a partition, so one task can order them all.
-    line = Window.orderBy("part", "run")
-    edges = runs.filter("kind = 1").withColumn("new", F.coalesce((F.col("text") != F.lag("text").over(line)).cast("int"), F.lit(1)))
-    edges = edges.withColumn("grp", F.sum("new").over(line)).drop("text")
+    norm = src.mapInArrow(_normalise, "id long, th long, n long, start binary, sha binary, norm binary")
+    stays = [F.col("n").desc(), F.col("id").asc_nulls_first()]
+    runs = cut(norm.repartitionByRange("start", "sha", *stays).sortWithinPartitions("norm", *stays).mapInArrow(_runs, _RUN_SCHEMA))
+    ends = runs.filter("kind = 1")
+    # At most two runs a partition, without their texts: one task can order them all, and they are broadcast.
+    line = Window.orderBy("sha", "part")
+    held = ends.select("part", "run", "id", "size", "sha", (F.col("sha") != F.lag("sha").over(line)).alias("new"), F.lag("part").over(line).alias("part_0"), F.lag("run").over(line).alias("run_0"))
+    held = held.withColumn("grp", F.sum(F.coalesce(F.col("new").cast("int"), F.lit(1))).over(line))
+    _same_texts(ends, held.filter("not new"))
     whole = Window.partitionBy("grp")
-    first = F.row_number().over(whole.orderBy("part", "run")) == 1
-    edges = edges.select("part", "run", F.sum("size").over(whole).alias("e_size"), F.first(F.struct(F.col("id").alias("v"))).over(whole.orderBy("part", "run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("e_keep"), first.alias("e_first"))
-    out = runs.filter("kind <> 1").join(F.broadcast(edges), ["part", "run"], "left")
-    inside = F.col("kind") == 2
+    every = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # parts follow the order in which rows stay
+    edges = held.select("part", "run", F.sum("size").over(whole).alias("e_size"), F.first(F.struct(F.col("id").alias("v"))).over(every).alias("e_keep"), (F.min("part").over(whole) == F.col("part")).alias("e_first"))
+    out = runs.filter("kind = 0").join(F.broadcast(edges), ["part", "run"], "left")
+    edge = F.col("e_size").isNotNull()
     return out.select(
         "id",
         "th",
-        F.when(inside, F.col("keep")).otherwise(F.col("e_keep.v")).alias("keep_id"),
-        F.when(inside, F.col("size")).otherwise(F.col("e_size")).alias("group_size"),
-        ((F.col("pos") == 0) & (inside | F.col("e_first"))).alias("kept"),
+        F.when(edge, F.col("e_keep.v")).otherwise(F.col("keep")).alias("keep_id"),
+        F.coalesce("e_size", "size").alias("group_size"),
+        ((F.col("pos") == 0) & F.coalesce("e_first", F.lit(True))).alias("kept"),
         "sha",
     )
 
 
+def _same_texts(ends: DataFrame, joined: DataFrame) -> None:
+    """Compares in full the texts of runs in different partitions that are taken for one by their digest."""
+    text = lambda k: ends.select(F.col("part").alias(f"part{k}"), F.col("run").alias(f"run{k}"), F.col("text").alias(f"text{k}"))
+    both = joined.select(F.col("part").alias("part_1"), F.col("run").alias("run_1"), "part_0", "run_0").join(text("_0"), ["part_0", "run_0"]).join(text("_1"), ["part_1", "run_1"])
+    if not both.filter("text_0 <> text_1").isEmpty():
+        raise ValueError("different texts with one SHA-256 digest")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
