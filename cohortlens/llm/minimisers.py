@@ -3,8 +3,9 @@
 A window's minimiser is its leftmost gram with the smallest hash: a function of the window's content alone. Consecutive
 windows with the minimiser at one place form a segment, so equal windows lie in segments of one class (the gram's hash) and
 at the same distance from the minimiser. A segment travels as (class, digest of its content); equal segments are counted
-before they are shuffled. Only in classes with different segments do contents travel too, one for each distinct segment,
-and are compared exactly there. Hot passages and groups of copies so shrink to one row a task and segment.
+before they are shuffled. Contents travel too, one for each distinct segment, where they are to be compared: in classes with
+different segments, and if asked in all classes with repeats. Hot passages and groups of copies so shrink to one row a task
+and segment.
 """
 
 from __future__ import annotations
@@ -197,11 +198,12 @@ def _each_window(units: Units):
     return run
 
 
-def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, most: int = MOST_IN_CLASS) -> DataFrame:
+def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, most: int = MOST_IN_CLASS, alike: bool = False) -> DataFrame:
     """(key, th, spans) for documents (key, th, text) with hit windows; spans: ranges (a, b) of covered units, b exclusive.
 
     earlier: a window is hit if its content also starts earlier in the order of (key, th, start); else if it starts anywhere
     else. Rows with equal (key, th), which is to say repeated rows, are one document in that order and two otherwise.
+    alike: compare decides on segments that only repeat themselves, too, and takes them as several strings.
     """
     src = docs.select("key", "th", "text")
     segments = src.mapInArrow(_rows(units, True), _SEGMENT).repartition("mh")
@@ -210,8 +212,7 @@ def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, mo
     classes = cut(each.withColumn("kinds", F.count("*").over(Window.partitionBy("mh"))).filter("n > 1 or kinds > 1"))
     del segments, each
     none = F.lit(None).cast(RUNS)
-    plain = classes.filter("kinds = 1").select("mh", "sh", "n", "first", none.alias("runs"))
-    mixed = classes.filter("kinds > 1")
+    mixed = classes if alike else classes.filter("kinds > 1")
     wanted = mixed.groupBy("first.key", "first.th").agg(F.collect_list(F.struct("mh", "sh", F.col("first.start").alias("start"), "windows", "rel", "n", (F.col("kinds") > most).alias("hot"))).alias("wanted"))
     # The same rows as in with_spans(), so that Spark shuffles the texts once.
     texts = docs.select("id", "key", "th", "text").join(wanted.withColumnRenamed("key", "k").withColumnRenamed("th", "t"), (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")))
@@ -223,14 +224,16 @@ def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, mo
     order = ["mh", "sh", "key", "th", "start"]
     compared = contents(False).repartition("mh").sortWithinPartitions(*order).mapInArrow(_classes(compare, 20_000), f"mh long, sh long, runs {RUNS}")
     single = contents(True).mapInArrow(_each_window(units), "mh long, sh long, digest binary, key long, th long, place long, k int, n long")
-    owner = single.groupBy("mh", "digest").agg(F.min(F.struct("key", "th", "place", "sh")).alias("o"), F.count("*").alias("c"))
+    owner = single.groupBy("mh", "digest").agg(F.min(F.struct("key", "th", "place", "sh")).alias("o"), F.sum("n").alias("c"))
     spread = single.join(owner, ["mh", "digest"]).filter(F.col("o.sh") != F.col("sh") if earlier else F.col("c") > 1)
     spread = spread.groupBy("mh", "sh").agg(F.array_sort(F.collect_set(F.struct(F.col("k").alias("a"), F.col("k").alias("b")))).alias("runs"))
     runs = compared.unionByName(spread).groupBy("mh", "sh").agg(F.first("runs").alias("runs"))
-    found = plain.unionByName(mixed.select("mh", "sh", "n", "first").join(runs, ["mh", "sh"], "left"))
+    found = mixed.select("mh", "sh", "n", "first").join(runs, ["mh", "sh"], "left")
+    if not alike:
+        found = classes.filter("kinds = 1").select("mh", "sh", "n", "first", none.alias("runs")).unionByName(found)
     places = src.mapInArrow(_rows(units, False), _SEGMENT).drop("n", "rel")
     hit = places.join(found, ["mh", "sh"])
-    whole = (F.struct("key", "th", "start") != F.col("first")) if earlier else (F.col("n") > 1)
+    whole = F.lit(False) if alike else (F.struct("key", "th", "start") != F.col("first")) if earlier else (F.col("n") > 1)
     own = F.when(whole, F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b")))).otherwise(F.coalesce("runs", F.array().cast(RUNS)))
     spans = F.transform(own, lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + units.window).alias("b")))
     return hit.select("key", "th", spans.alias("spans")).filter(F.size("spans") > 0).groupBy("key", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))

@@ -4,7 +4,8 @@ The strings are segments around a common minimiser (see minimisers.py), aligned
 each string, going left; the symbols in the present suffix order are that column of the collection's Burrows-Wheeler
 transform, a stable sort by them gives the next order, and the common prefixes of neighbours follow from range minima of
 the last ones. Suffixes that start in different columns or classes can't share the wanted length, so every round keeps just
-its own column's suffixes. Where a neighbour's common prefix reaches the wanted length, the string repeats.
+its own column's suffixes. Where a neighbour's common prefix reaches the wanted length, the string repeats. Equal segments are
+counted before they meet, and enter as two strings: whatever is removed stands next to an equal in the suffix order.
 """
 
 from __future__ import annotations
@@ -49,21 +50,22 @@ def columns(group: np.ndarray, symbols: np.ndarray):
 
 
 def repeated_by_columns(length: int):
-    """For segments (mh, sh, key, th, start, windows, rel, n, content): which of their windows another segment holds too."""
+    """For segments (mh, sh, key, th, start, windows, rel, n, content): which of their windows stand elsewhere too. A segment with n of 2 or more is two strings."""
 
     def compare(rows: list[tuple]) -> list[np.ndarray]:
+        own = np.repeat(np.arange(len(rows)), [1 + (r[7] > 1) for r in rows])
         left = max(r[6] for r in rows)
         width = max(left - r[6] + len(r[8]) for r in rows)
         symbols = np.zeros((len(rows), width), np.uint16)
         for i, r in enumerate(rows):
             symbols[i, left - r[6] : left - r[6] + len(r[8])] = np.frombuffer(r[8], np.uint8).astype(np.uint16) + 1
-        symbols = np.asfortranarray(symbols)
-        group = np.cumsum([i > 0 and rows[i][0] != rows[i - 1][0] for i in range(len(rows))])
+        symbols = np.asfortranarray(symbols[own])
+        group = np.cumsum([i > 0 and rows[i][0] != rows[i - 1][0] for i in range(len(rows))])[own]
         hit = np.zeros((left + 1, len(rows)), bool)
         for c, order, common in columns(group, symbols):
             if c <= left and len(at := np.flatnonzero(common >= length)):
-                hit[c, order[at]] = True
-                hit[c, order[at - 1]] = True
+                hit[c, own[order[at]]] = True
+                hit[c, own[order[at - 1]]] = True
         return [hit[left - r[6] : left - r[6] + r[5], i] for i, r in enumerate(rows)]
 
     return compare
@@ -91,7 +93,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
             cols = zip(*rows, strict=True) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    spans = repeated(src, units, repeated_by_columns(length), earlier=False, most=most_in_class)
+    spans = repeated(src, units, repeated_by_columns(length), earlier=False, most=most_in_class, alike=True)
     return with_spans(src, spans).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -99,7 +101,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     """docs with the removed bytes gone from text_col and chars_col counted anew; where a cut splits a character, its rest goes too. Untouched rows are as they were, and no row goes."""
     small_batches(docs.sparkSession)
     src = keyed(docs, id_col, text_col)
-    spans = repeated(src, Units(length, gram, words=False), repeated_by_columns(length), earlier=False).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    spans = repeated(src, Units(length, gram, words=False), repeated_by_columns(length), earlier=False, alike=True).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.join(spans, (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_key")) & (F.xxhash64(text) == F.col("_th")), "left").select(*docs.columns, "_spans")
     at, n = docs.columns.index(text_col), docs.columns.index(chars_col)
