@@ -39,10 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with more underscores before them where df has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns (id, key, th, text): key is id with null replaced; (key, th) names a row up to equal texts under one id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-__all__ = ["ASCII_SPACE", "LOWER", "NULL_ID", "UPPER", "cut", "keyed", "shared_path", "small_batches", "table", "written"]
+__all__ = ["ASCII_SPACE", "LOWER", "NULL_ID", "UPPER", "cut", "keyed", "shared_path", "small_batches", "table", "unused", "written"]

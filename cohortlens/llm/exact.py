@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, NULL_ID, cut, small_batches, table
+from .common import ASCII_SPACE, NULL_ID, cut, small_batches, table, unused
 
 #: Bytes of the normalised text in a splitter: Spark's sample of them is what reaches the driver.
 SPLITTER = 256
@@ -119,14 +119,19 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, the one groups() marks. Rows are told apart by identifier and text, and of those repeated wholly (in these two) one stays."""
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_key"), _row_hash(text_col).alias("_th")]
-    rows = groups(docs, id_col, text_col).groupBy(F.coalesce("id", F.lit(NULL_ID)).alias("_stay"), F.col("th").alias("_stay_th"))
+    """docs with one row of each group of equal texts, the one groups() marks.
+
+    Rows are told apart by identifier and text, and of those repeated wholly (in these two) one stays. Null texts count as
+    empty, a null identifier comes before all others, an empty table stays empty, and other columns may have any names.
+    """
+    own, own_th, stay_id, stay_th = unused(docs, "key", "th", "stay", "stay_th")
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias(own), _row_hash(text_col).alias(own_th)]
+    rows = groups(docs, id_col, text_col).groupBy(F.coalesce("id", F.lit(NULL_ID)).alias(stay_id), F.col("th").alias(stay_th))
     stay = cut(rows.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("kept").drop("kept"))
-    kept = lambda some: docs.select("*", *key).join(some, (F.col("_key") == F.col("_stay")) & (F.col("_th") == F.col("_stay_th")), "left_semi")
+    kept = lambda some: docs.select("*", *key).join(some, (F.col(own) == F.col(stay_id)) & (F.col(own_th) == F.col(stay_th)), "left_semi")
     if (again := stay.filter("n > 1")).isEmpty():
-        return kept(stay).drop("_key", "_th")
-    return kept(stay.filter("n = 1")).unionByName(kept(again).dropDuplicates(["_key", "_th"])).drop("_key", "_th")
+        return kept(stay).drop(own, own_th)
+    return kept(stay.filter("n = 1")).unionByName(kept(again).dropDuplicates([own, own_th])).drop(own, own_th)
 
 
 ORACLE_SQL = r"""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..operators.indexing import dense_index
-from .common import LOWER, NULL_ID, UPPER, cut, small_batches, table
+from .common import LOWER, NULL_ID, UPPER, cut, small_batches, table, unused
 from .minimisers import _VALUE, _mix, _power_tables
 
 WORDS = 5
@@ -390,24 +390,26 @@ def _linked(docs: DataFrame, id_col: str, text_col: str):
 def _gone(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The identifiers, unique ones, that their components hold under a smaller one."""
     _, info, _, parts = _linked(docs, id_col, text_col)
-    return _with_components(info, parts).filter("component_id <> id").select(F.col("id").alias("_gone"))
+    return _with_components(info, parts).filter("component_id <> id").select("id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component of near copies: the one with the smallest identifier, null before all others.
 
     If identifiers repeat or are null, rows are told apart by identifier and text, numbered in that order, and each is a
-    document of its own in the links; of rows repeated wholly (in these two) one stays. Rows without shingles link with nothing.
+    document of its own in the links; of rows repeated wholly (in these two) one stays. Rows without shingles, null texts
+    among them, link with nothing. An empty table stays empty, and other columns may have any names.
     """
+    gone_id, own, row_id, place_of = unused(docs, "gone", "own", "row", "place")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     if docs.groupBy(key.alias("k")).count().filter((F.col("count") > 1) | (F.col("k") == NULL_ID)).isEmpty():
-        gone = _gone(docs, id_col, text_col)
-        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+        gone = _gone(docs, id_col, text_col).withColumnRenamed("id", gone_id)
+        return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
     row = F.struct(key.alias("key"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
-    place = dense_index(docs.select(row.alias("_own")).distinct(), "_own", "_row").withColumnRenamed("_own", "_place")
-    rows = cut(docs.withColumn("_own", row).join(place, F.col("_own") == F.col("_place")).drop("_own", "_place").dropDuplicates(["_row"]))
-    gone = _gone(rows, "_row", text_col)
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    place = dense_index(docs.select(row.alias(own)).distinct(), own, row_id).withColumnRenamed(own, place_of)
+    rows = cut(docs.withColumn(own, row).join(place, F.col(own) == F.col(place_of)).drop(own, place_of).dropDuplicates([row_id]))
+    gone = _gone(rows, row_id, text_col).withColumnRenamed("id", gone_id)
+    return rows.join(gone, F.col(row_id) == F.col(gone_id), "left_anti").drop(row_id)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -98,24 +98,32 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with the removed bytes gone from text_col and chars_col counted anew; where a cut splits a character, its rest goes too. Untouched rows are as they were, and no row goes."""
+    """docs with the removed bytes gone from text_col and, if there is such a column, chars_col counted anew.
+
+    Where a cut splits a character, its rest goes too. Untouched rows are as they were, null texts too, no row goes, and an
+    empty table stays empty. Rows that are repeated wholly repeat each other. Other columns may have any names.
+    """
     small_batches(docs.sparkSession)
     src = keyed(docs, id_col, text_col)
-    spans = repeated(src, Units(length, gram, words=False), repeated_by_columns(length), earlier=False, alike=True).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.join(spans, (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_key")) & (F.xxhash64(text) == F.col("_th")), "left").select(*docs.columns, "_spans")
-    at, n = docs.columns.index(text_col), docs.columns.index(chars_col)
+    spans = repeated(src, Units(length, gram, words=False), repeated_by_columns(length), earlier=False, alike=True).select(F.col("key").alias("k"), F.col("th").alias("t"), "spans")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text).alias("th"))
+    rows = rows.join(spans, (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")), "left").select("row", "spans")
+    at, n = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
 
     def run(batches):
         for b in batches:
-            texts, counts = b.column(at).to_pylist(), b.column(n).to_pylist()
-            for i, spans in enumerate(b.column("_spans").to_pylist()):
-                if spans:
-                    data = np.frombuffer(texts[i].encode(), np.uint8)
-                    texts[i] = data[~covered(len(data), spans)].tobytes().decode(errors="ignore")
-                    counts[i] = len(texts[i])
-            cols = [pa.array(texts, pa.string()) if k == at else pa.array(counts, b.schema.field(n).type) if k == n else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+            cols = b.column(0).flatten()
+            names = [f.name for f in b.schema.field(0).type]
+            if b.column(1).null_count < b.num_rows:
+                texts, counts = cols[at].to_pylist(), cols[n].to_pylist()
+                for i, spans in enumerate(b.column(1).to_pylist()):
+                    if spans:
+                        data = np.frombuffer(texts[i].encode(), np.uint8)
+                        texts[i] = data[~covered(len(data), spans)].tobytes().decode(errors="ignore")
+                        counts[i] = len(texts[i])
+                cols = [pa.array(texts, pa.string()) if k == at else pa.array(counts, c.type) if k == n else c for k, c in enumerate(cols)]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(run, docs.schema)
 
