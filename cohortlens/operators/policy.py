@@ -61,11 +61,15 @@ def floor_threshold(roc_rows: DataFrame, floor: float) -> DataFrame:
     return t.agg(best.alias("x")).select("x.cut", F.col("x.a").alias("sens"), F.col("x.b").alias("spec"))
 
 
-def select_rule(rules: DataFrame, preference: Sequence[str], tolerance: float = 0.02) -> DataFrame:
-    """(site, rule): the first rule in order of preference whose p_both is within tolerance of the site's best."""
-    rank = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col("rule"))
-    best = F.max("p_both").over(Window.partitionBy("site"))
-    return rules.withColumn("best", best).filter(F.col("p_both") >= F.col("best") - tolerance).groupBy("site").agg(F.min_by("rule", rank).alias("rule"), F.max("best").alias("best"))
+def select_rule(rules: DataFrame, preference: Sequence[str], tolerance: float = 0.02, least_sensitivity: float = 0.89) -> DataFrame:
+    """(rule, p_both, worst, constrained) of rules (site, rule, p_both, sensitivity): of the rules whose mean sensitivity reaches the least at every site, the first in order of preference within tolerance of the best mean p_both; if none does, the rule with the highest worst sensitivity."""
+    m = rules.groupBy("rule").agg(F.avg("p_both").alias("p_both"), F.min("sensitivity").alias("worst"))
+    whole = Window.partitionBy(F.lit(1))  # a row a rule
+    m = m.withColumn("fits", F.round("worst", 9) >= least_sensitivity).withColumns({"constrained": F.max("fits").over(whole), "best": F.max(F.when(F.col("fits"), F.col("p_both"))).over(whole)})
+    rank = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col("rule")).cast("double")
+    fit = F.col("fits") & (F.round(F.col("p_both") - F.col("best"), 9) >= -tolerance)
+    key = F.when(F.col("constrained"), F.when(fit, -rank)).otherwise(F.round("worst", 9))
+    return m.withColumn("key", key).filter("key IS NOT NULL").agg(F.max_by(F.struct("rule", "p_both", "worst", "constrained"), F.struct("key", -rank)).alias("x")).select("x.*")
 
 
 def golden_section(loss: Callable[[float], float], low: float, high: float, steps: int = 40) -> float:

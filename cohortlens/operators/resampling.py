@@ -1,4 +1,8 @@
-"""Bootstraps as weights: clusters are reduced to their counts first, draws give each replicate's cluster multiplicities, and every statistic is a weighted sum. Rows are never copied by replicate."""
+"""Bootstraps as weights: clusters are reduced to their counts first, draws give each replicate's cluster multiplicities, and every statistic is a weighted sum.
+
+What is made by replicate are draws of clusters and sums. Only ranking statistics meet the replicates with score groups by
+cluster; they are summed by replicate and score before they are shuffled.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_order, ratio
-from .indexing import dense_index
+from .indexing import dense_index, in_hash_order
 
 
 def draw32(tag: str, *key: Column) -> Column:
@@ -17,19 +21,19 @@ def draw32(tag: str, *key: Column) -> Column:
 
 
 def cluster_counts(df: DataFrame, cluster: str, counts: dict[str, Column], strata: Sequence[str] = ()) -> DataFrame:
-    """(strata, idx, n_clusters, counts...): each cluster's counts under its place from 0 in the order of clusters. One row a cluster."""
+    """(strata, idx, n_clusters, counts...): each cluster's counts under its place from 0, in the order of clusters, or within strata in the order of their hash. One row a cluster."""
     g = df.groupBy(*strata, cluster).agg(*[F.sum(c.cast("long")).alias(n) for n, c in counts.items()])
     if not strata:
         g = dense_index(g, cluster)
         return g.crossJoin(F.broadcast(g.agg(F.count("*").alias("n_clusters")))).drop(cluster)  # one row
-    w = Window.partitionBy(*strata)
-    return g.withColumns({"idx": (F.row_number().over(w.orderBy(cluster)) - 1).cast("long"), "n_clusters": F.count("*").over(w)}).drop(cluster)
+    sizes = g.groupBy(*strata).agg(F.count("*").alias("n_clusters"))
+    return in_hash_order(g, strata, hash_order("idx", F.col(cluster)), cluster).withColumnRenamed("_place", "idx").join(sizes, list(strata)).drop(cluster)
 
 
 def weights(clusters: DataFrame, replicates: int, seed: str, strata: Sequence[str] = ()) -> DataFrame:
-    """(strata, r, idx, w): how often a replicate draws a cluster; as many draws as clusters, within strata."""
+    """(strata, r, idx, w): how often a replicate draws a cluster; as many draws as clusters, within strata. Replicates are dealt to tasks before they draw, and stay there."""
     sizes = clusters.select(*strata, "n_clusters").distinct()
-    d = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_clusters") - 1)).alias("j"))
+    d = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).repartition(*strata, "r").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_clusters") - 1)).alias("j"))
     return d.withColumn("idx", draw32(seed, *[F.col(s) for s in strata], F.col("r"), F.col("j")) % F.col("n_clusters")).groupBy(*strata, "r", "idx").agg(F.count("*").alias("w"))
 
 
@@ -54,17 +58,49 @@ def weighted_auc(scores: DataFrame, w: DataFrame) -> DataFrame:
     return t.groupBy("r").agg(ratio(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
-def calibration_draws(df: DataFrame, cluster: str, positive: Column, score: str, size: int, draws: int, seed: str, target: float, by: Sequence[str] = ()) -> DataFrame:
-    """(by, r, cut, sensitivity, specificity): whole clusters are drawn until size rows are reached, a cut is fitted on them, and the other rows are judged by it."""
+def drawn_clusters(df: DataFrame, cluster: str, size: int, draws: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, r, cluster): for each draw, whole clusters in a shuffled order until size rows are reached; the one that crosses it is in.
+
+    A cluster has a row at least, so the first `size` of each draw suffice; Spark keeps no more of them before it shuffles.
+    """
+    g = df.groupBy(*by, cluster).agg(F.count("*").alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
+    g = g.withColumn("_h", hash_order(seed, F.col("r"), F.col(cluster)))
+    w = Window.partitionBy(*by, "r").orderBy("_h", cluster)
+    first = g.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= size)
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("_before", before).filter(F.col("_before") < size).select(*by, "r", cluster)
+
+
+def calibration_draws(df: DataFrame, cluster: str, positive: Column, score: str, size: int, draws: int, seed: str, rules: dict[str, tuple[float, bool]], frozen: float, by: Sequence[str], least: int = 5, keep_specificity: float = 0.85) -> DataFrame:
+    """(by, r, rule, cut, sensitivity, specificity): a cut is fitted on each drawn sample by each rule, and judged on the group's other rows.
+
+    A rule is (target, keep): the highest cut whose sample sensitivity reaches the target, a hair below a positive's score;
+    with keep, the frozen cut stays if it reaches the target and keep_specificity on the sample. Samples with fewer than
+    `least` positives or others keep the frozen cut. Only samples are made by draw, whose size is given. The other rows are
+    counted as all rows of the group, from its table of distinct scores, less the sample's.
+    """
     d = df.select(*by, cluster, F.col(score).alias("score"), positive.alias("pos"))
-    g = d.groupBy(*by, cluster).agg(F.count("*").alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
-    w = Window.partitionBy(*by, "r").orderBy(hash_order(seed, F.col("r"), F.col(cluster)), cluster).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("drawn", F.coalesce(F.sum("n").over(w), F.lit(0)) < size)
-    rows = d.join(g.select(*by, cluster, "r", "drawn"), [*by, cluster])
-    fit = rows.filter("drawn AND pos")
-    line = Window.partitionBy(*by, "r")
-    k = F.floor(F.lit(1 - target) * F.count("*").over(line)) + 1
-    cuts = fit.withColumn("k", k).withColumn("i", F.row_number().over(line.orderBy("score"))).filter("i = k").select(*by, "r", (F.col("score") - 1e-9).alias("cut"))
-    rest = rows.filter("NOT drawn").join(cuts, [*by, "r"])
-    hit = F.col("score") >= F.col("cut")
-    return rest.groupBy(*by, "r").agg(F.first("cut").alias("cut"), ratio(F.count_if(F.col("pos") & hit), F.count_if(F.col("pos"))).alias("sensitivity"), ratio(F.count_if(~F.col("pos") & ~hit), F.count_if(~F.col("pos"))).alias("specificity"))
+    picked = drawn_clusters(d, cluster, size, draws, seed, by).join(d, [*by, cluster])
+    values = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("score"))))
+    s = picked.groupBy(*by, "r").agg(values(F.col("pos")).alias("p"), values(~F.col("pos")).alias("q"))
+    reach = lambda c, cut: F.size(F.filter(c, lambda x: x >= cut))
+
+    def fitted(target: float, keep: bool) -> Column:
+        own = F.get("p", F.floor(F.lit(1 - target) * F.size("p")).cast("int")) - 1e-9
+        if keep:
+            passes = (ratio(reach("p", F.lit(frozen)), F.size("p")) >= target) & (1 - ratio(reach("q", F.lit(frozen)), F.size("q")) >= keep_specificity)
+            own = F.when(passes, F.lit(frozen)).otherwise(own)
+        return F.when((F.size("p") < least) | (F.size("q") < least), F.lit(frozen)).otherwise(own)
+
+    s = s.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), fitted(*rule).alias("cut")) for n, rule in rules.items()])).alias("x")).select(*by, "r", "x.rule", "x.cut", "p", "q")
+    s = s.select(*by, "r", "rule", "cut", F.size("p").alias("n_p"), F.size("q").alias("n_q"), reach("p", F.col("cut")).alias("c_p"), reach("q", F.col("cut")).alias("c_q"))
+    # Distinct scores and cuts in one line, scores first where they tie: at a cut, what is called so far.
+    table = d.groupBy(*by, F.col("score").alias("x")).agg(F.count_if("pos").alias("pos"), F.count_if(~F.col("pos")).alias("neg"))
+    line = Window.partitionBy(*by).orderBy(F.col("x").desc(), "kind")
+    whole = Window.partitionBy(*by)
+    at = table.withColumn("kind", F.lit(0)).unionByName(s.select(*by, F.col("cut").alias("x"), F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(1).alias("kind")).distinct())
+    at = at.withColumns({"a_p": F.sum("pos").over(line), "a_q": F.sum("neg").over(line), "t_p": F.sum("pos").over(whole), "t_q": F.sum("neg").over(whole)}).filter("kind = 1").select(*by, F.col("x").alias("cut"), "a_p", "a_q", "t_p", "t_q")
+    out = s.join(at, [*by, "cut"])
+    sensitivity = ratio(F.col("a_p") - F.col("c_p"), F.col("t_p") - F.col("n_p"))
+    specificity = 1 - ratio(F.col("a_q") - F.col("c_q"), F.col("t_q") - F.col("n_q"))
+    return out.select(*by, "r", "rule", "cut", sensitivity.alias("sensitivity"), specificity.alias("specificity"))

@@ -10,7 +10,9 @@ from ..operators import linking as L
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import resampling as B
+from ..operators.indexing import in_hash_order
 from .cohort import CASES, PROBS, cases, evaluated, logits, read, sql_draw
+from .statistics import RULES, calibration_summary, sql_draws
 
 QUERIES, SQL = {}, {}
 
@@ -176,13 +178,13 @@ def model_table(spark, d):
     return a.select("source", r6("a", "a"), r6("b", "b"), r6(F.col("b") - F.col("a"), "gain"))
 
 
-@query(CASES + ", c AS (SELECT source, group_id, sum(score) AS s, count(*) AS n FROM ok GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY group_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS nc FROM c), w AS (SELECT source, r.range AS r, CAST(CAST(concat('0x', substr(md5(concat_ws('|', 'mean', source, r.range, idx)), 1, 8)) AS UBIGINT) AS BIGINT) % nc AS idx FROM i, range(50) r), b AS (SELECT source, r, sum(s) / sum(n) AS v FROM w JOIN i USING (source, idx) GROUP BY 1, 2) SELECT source, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS valid FROM b GROUP BY 1")
+@query(CASES + ", c AS (SELECT source, group_id, sum(score) AS s, count(*) AS n FROM ok GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 'idx', group_id)), group_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS nc FROM c), w AS (SELECT source, r.range AS r, CAST(CAST(concat('0x', substr(md5(concat_ws('|', 'mean', source, r.range, idx)), 1, 8)) AS UBIGINT) AS BIGINT) % nc AS idx FROM i, range(200) r), b AS (SELECT source, r, sum(s) / sum(n) AS v FROM w JOIN i USING (source, idx) GROUP BY 1, 2) SELECT source, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS valid FROM b GROUP BY 1")
 def bootstrap_mean_by_site(spark, d):
     """Intervals of a mean for every site at once: strata in one set of draws."""
     c = evaluated(spark, d).groupBy("source", "group_id").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
-    w = Window.partitionBy("source")
-    c = c.withColumns({"idx": (F.row_number().over(w.orderBy("group_id")) - 1).cast("long"), "n_clusters": F.count("*").over(w)})
-    b = B.weights(c, 50, "mean", ["source"]).join(c, ["source", "idx"]).groupBy("source", "r").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("v"))
+    sizes = c.groupBy("source").agg(F.count("*").alias("n_clusters"))
+    c = in_hash_order(c, ["source"], S.hash_order("idx", F.col("group_id")), "group_id").withColumnRenamed("_place", "idx").join(sizes, "source")
+    b = B.weights(c, 200, "mean", ["source"]).join(c, ["source", "idx"]).groupBy("source", "r").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("v"))
     return b.groupBy("source").agg(r6(F.percentile("v", F.lit(0.025)), "low"), r6(F.percentile("v", F.lit(0.975)), "high"), F.count("v").alias("valid"))
 
 
@@ -212,14 +214,14 @@ def json_reports(spark, d):
     return k.select("source", F.lit("locked").alias("tier"), body.alias("report"))
 
 
-@query(CASES + ", z AS (SELECT unnest([100, 300, 600]) AS size), g AS (SELECT source, group_id, count(*) AS n FROM ok GROUP BY 1, 2), dr AS (SELECT source, size, group_id, r.range AS r, coalesce(sum(n) OVER (PARTITION BY source, size, r.range ORDER BY md5(concat_ws('|', 'cc' || size, r.range, group_id)), group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < size AS drawn FROM g, z, range(5) r), rw AS (SELECT ok.source, size, r, drawn, score, true_grade >= 2 AS pos FROM ok JOIN dr USING (source, group_id)), ft AS (SELECT source, size, r, score, row_number() OVER (PARTITION BY source, size, r ORDER BY score) AS i, floor((1 - CAST(0.9 AS DOUBLE)) * count(*) OVER (PARTITION BY source, size, r)) + 1 AS k FROM rw WHERE drawn AND pos), ct AS (SELECT source, size, r, score - CAST(1e-9 AS DOUBLE) AS cut FROM ft WHERE i = k), jd AS (SELECT source, size, r, CAST(count(*) FILTER (WHERE pos AND score >= cut) AS DOUBLE) / nullif(count(*) FILTER (WHERE pos), 0) AS sens FROM rw JOIN ct USING (source, size, r) WHERE NOT drawn GROUP BY 1, 2, 3) SELECT source, size, count(*) AS draws, round(avg(sens), 6) AS mean_sens, round(min(sens), 6) AS worst_sens FROM jd GROUP BY 1, 2")
+@query(sql_draws("size", "SELECT unnest([100, 200, 400]) AS size", 200, "concat('cc', size)") + " SELECT source, CAST(size AS INT) AS size, draws, round(mean_sens, 6) AS mean_sens, round(worst_sens, 6) AS worst_sens FROM ru WHERE rule = 'R2'")
 def calibration_curves(spark, d):
     """How a site's fitted cut holds as its calibration sample grows."""
     ok, out = evaluated(spark, d), None
-    for size in (100, 300, 600):
-        own = B.calibration_draws(ok, "group_id", ref(), "score", size, 5, f"cc{size}", 0.9, ["source"]).withColumn("size", F.lit(size))
+    for size in (100, 200, 400):
+        own = calibration_summary(ok, size, 200, f"cc{size}", {"R2": RULES["R2"]}).withColumn("size", F.lit(size))
         out = own if out is None else out.unionByName(own)
-    return out.groupBy("source", "size").agg(F.count("*").alias("draws"), r6(F.avg("sensitivity"), "mean_sens"), r6(F.min("sensitivity"), "worst_sens"))
+    return out.select("source", "size", "draws", r6("mean_sens", "mean_sens"), r6("worst_sens", "worst_sens"))
 
 
 @query()

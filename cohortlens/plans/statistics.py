@@ -15,7 +15,12 @@ from ..operators.indexing import dense_index
 from .cohort import CASES, THRESHOLDS, cases, evaluated, logits, read, sql_draw
 
 QUERIES, SQL = {}, {}
-REPLICATES = 100
+REPLICATES = 200
+#: Each rule's target and whether a frozen cut that passes is kept; the order of preference; the targets on the other rows.
+RULES = {"R1": (0.92, False), "R2": (0.95, False), "R3": (0.92, True), "R4": (0.95, True)}
+PREFERENCE = ("R1", "R3", "R2", "R4")
+BOTH = (0.90, 0.85)
+DRAWS, SAMPLE = 200, 200
 
 
 def ref():
@@ -82,50 +87,63 @@ def paired_bootstrap_ci(spark, d):
     return q.select(*[r6(F.col(c)[i], f"{n}_{e}") for c, n in (("a", "sens"), ("b", "spec")) for i, e in enumerate(("low", "high"))], (F.col("a")[0] > 0).alias("better"))
 
 
-_STRAT = CASES + f""", g AS (SELECT true_grade, image_id, CAST(pred = true_grade AS INT) AS ok_, CAST(pred >= 2 AS INT) AS called FROM ok), cl AS (SELECT *, row_number() OVER (PARTITION BY true_grade ORDER BY image_id) - 1 AS idx, count(*) OVER (PARTITION BY true_grade) AS nc FROM g),
-w AS (SELECT true_grade, r.range AS r, {sql_draw32('strat', "true_grade, r.range, idx")} % nc AS idx, count(*) AS w FROM range(20) r, cl GROUP BY 1, 2, 3), b AS (SELECT r, CAST(sum(ok_ * w) AS DOUBLE) / sum(w) AS acc, CAST(sum(CASE WHEN true_grade >= 2 THEN called * w END) AS DOUBLE) / sum(CASE WHEN true_grade >= 2 THEN w END) AS sens FROM w JOIN cl USING (true_grade, idx) GROUP BY 1)"""
+_STRAT = CASES + f""", g AS (SELECT true_grade, image_id, CAST(pred = true_grade AS INT) AS ok_, CAST(pred >= 2 AS INT) AS called FROM ok), cl AS (SELECT *, row_number() OVER (PARTITION BY true_grade ORDER BY md5(concat_ws('|', 'idx', image_id)), image_id) - 1 AS idx, count(*) OVER (PARTITION BY true_grade) AS nc FROM g),
+w AS (SELECT true_grade, r.range AS r, {sql_draw32('strat', "true_grade, r.range, idx")} % nc AS idx, count(*) AS w FROM range({REPLICATES}) r, cl GROUP BY 1, 2, 3), b AS (SELECT r, CAST(sum(ok_ * w) AS DOUBLE) / sum(w) AS acc, CAST(sum(CASE WHEN true_grade >= 2 THEN called * w END) AS DOUBLE) / sum(CASE WHEN true_grade >= 2 THEN w END) AS sens FROM w JOIN cl USING (true_grade, idx) GROUP BY 1)"""
 
 
 @query(_STRAT + " SELECT round(quantile_cont(acc, 0.025), 6) AS acc_low, round(quantile_cont(acc, 0.975), 6) AS acc_high, round(quantile_cont(sens, 0.025), 6) AS sens_low, round(quantile_cont(sens, 0.975), 6) AS sens_high, count(acc) AS valid FROM b")
 def stratified_bootstrap_ci(spark, d):
     """Images are drawn within their grade."""
     c = B.cluster_counts(evaluated(spark, d), "image_id", {"ok": F.col("pred") == F.col("true_grade"), "rp": ref() & call(), "ref": ref(), "n": F.lit(True)}, ["true_grade"])
-    b = B.resampled(c, 20, "strat", ["ok", "rp", "ref", "n"], ["true_grade"])
+    b = B.resampled(c, REPLICATES, "strat", ["ok", "rp", "ref", "n"], ["true_grade"])
     q = b.agg(F.percentile(S.ratio(F.col("ok"), F.col("n")), [0.025, 0.975]).alias("a"), F.percentile(S.ratio(F.col("rp"), F.col("ref")), [0.025, 0.975]).alias("b"), F.count("n").alias("valid"))
     return q.select(*[r6(F.col(c)[i], f"{n}_{e}") for c, n in (("a", "acc"), ("b", "sens")) for i, e in enumerate(("low", "high"))], "valid")
 
 
-@query(_BOOT + ", sc AS (SELECT idx, score, count(*) FILTER (WHERE true_grade >= 2) AS p, count(*) FILTER (WHERE true_grade < 2) AS q FROM ok JOIN cl USING (group_id) GROUP BY 1, 2), t AS (SELECT r, score, sum(p * w) AS p, sum(q * w) AS q FROM w JOIN sc USING (idx) WHERE r < 10 GROUP BY 1, 2), u AS (SELECT r, p, q, p * (sum(q) OVER (PARTITION BY r ORDER BY score) - q / 2.0) AS wins FROM t), a AS (SELECT r, sum(wins) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc FROM u GROUP BY 1) SELECT CAST(r AS INT) AS r, round(auc, 6) AS auc FROM a")
+@query(_BOOT + ", sc AS (SELECT idx, score, count(*) FILTER (WHERE true_grade >= 2) AS p, count(*) FILTER (WHERE true_grade < 2) AS q FROM ok JOIN cl USING (group_id) GROUP BY 1, 2), t AS (SELECT r, score, sum(p * w) AS p, sum(q * w) AS q FROM w JOIN sc USING (idx) GROUP BY 1, 2), u AS (SELECT r, p, q, p * (sum(q) OVER (PARTITION BY r ORDER BY score) - q / 2.0) AS wins FROM t), a AS (SELECT r, sum(wins) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc FROM u GROUP BY 1) SELECT round(avg(auc), 6) AS mean_auc, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high, count(auc) AS valid FROM a")
 def bootstrap_auc(spark, d):
-    """AUC of each replicate from weighted score groups, without copying rows."""
+    """The interval of the AUC, each replicate's from weighted score groups."""
     df = evaluated(spark, d)
     c = B.cluster_counts(df, "group_id", {"n": F.lit(True)})
     ids = dense_index(df.select("group_id").distinct(), "group_id")
     scores = df.join(ids, "group_id").groupBy("idx", "score").agg(F.count_if(ref()).alias("pos"), F.count_if(~ref()).alias("neg"))
-    return B.weighted_auc(scores, B.weights(c, 10, "boot")).select("r", r6("auc", "auc"))
+    a = B.weighted_auc(scores, B.weights(c, REPLICATES, "boot"))
+    return a.agg(r6(F.avg("auc"), "mean_auc"), r6(F.percentile("auc", F.lit(0.025)), "low"), r6(F.percentile("auc", F.lit(0.975)), "high"), F.count("auc").alias("valid"))
 
 
-_DRAWS = CASES + """, g AS (SELECT source, group_id, count(*) AS n FROM ok GROUP BY 1, 2), dr AS (SELECT source, group_id, r.range AS r, coalesce(sum(n) OVER (PARTITION BY source, r.range ORDER BY md5(concat_ws('|', 'cal', r.range, group_id)), group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 300 AS drawn FROM g, range(10) r),
-rw AS (SELECT ok.source, r, drawn, score, true_grade >= 2 AS pos FROM ok JOIN dr USING (source, group_id)), ft AS (SELECT source, r, score, row_number() OVER (PARTITION BY source, r ORDER BY score) AS i, floor((1 - CAST(0.9 AS DOUBLE)) * count(*) OVER (PARTITION BY source, r)) + 1 AS k FROM rw WHERE drawn AND pos),
-ct AS (SELECT source, r, score - CAST(1e-9 AS DOUBLE) AS cut FROM ft WHERE i = k), jd AS (SELECT source, r, any_value(cut) AS cut, CAST(count(*) FILTER (WHERE pos AND score >= cut) AS DOUBLE) / nullif(count(*) FILTER (WHERE pos), 0) AS sens, CAST(count(*) FILTER (WHERE NOT pos AND score < cut) AS DOUBLE) / nullif(count(*) FILTER (WHERE NOT pos), 0) AS spec FROM rw JOIN ct USING (source, r) WHERE NOT drawn GROUP BY 1, 2)"""
+def sql_draws(size: str, sizes: str, draws: int, seed: str) -> str:
+    """The draws of calibration_draws() and its cuts by rule, with every row by draw; `sizes` is a table of sample sizes (size)."""
+    values = ", ".join(f"('{n}', CAST({t} AS DOUBLE), {str(k).lower()})" for n, (t, k) in RULES.items())
+    return CASES + f""", z AS ({sizes}), g AS (SELECT source, group_id, count(*) AS n FROM ok GROUP BY 1, 2),
+dr AS (SELECT source, size, group_id, r.range AS r, coalesce(sum(n) OVER (PARTITION BY source, size, r.range ORDER BY md5(concat_ws('|', {seed}, r.range, group_id)), group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < size AS drawn FROM g, z, range({draws}) r),
+rw AS (SELECT ok.source, size, r, drawn, score, true_grade >= 2 AS pos FROM ok JOIN dr USING (source, group_id)),
+sm AS (SELECT source, size, r, list_sort(coalesce(list(score) FILTER (WHERE pos), [])) AS p, coalesce(list(score) FILTER (WHERE NOT pos), []) AS q FROM rw WHERE drawn GROUP BY 1, 2, 3),
+ft AS (SELECT source, size, r, rule, CASE WHEN len(p) < 5 OR len(q) < 5 THEN CAST(1.5 AS DOUBLE) WHEN keep AND CAST(len(list_filter(p, lambda x: x >= CAST(1.5 AS DOUBLE))) AS DOUBLE) / len(p) >= target AND 1 - CAST(len(list_filter(q, lambda x: x >= CAST(1.5 AS DOUBLE))) AS DOUBLE) / len(q) >= CAST(0.85 AS DOUBLE) THEN CAST(1.5 AS DOUBLE) ELSE p[CAST(floor((1 - target) * len(p)) AS BIGINT) + 1] - CAST(1e-9 AS DOUBLE) END AS cut FROM sm, (VALUES {values}) t(rule, target, keep)),
+jd AS (SELECT source, size, r, rule, any_value(cut) AS cut, CAST(count(*) FILTER (WHERE pos AND score >= cut) AS DOUBLE) / nullif(count(*) FILTER (WHERE pos), 0) AS sens, 1 - CAST(count(*) FILTER (WHERE NOT pos AND score >= cut) AS DOUBLE) / nullif(count(*) FILTER (WHERE NOT pos), 0) AS spec FROM rw JOIN ft USING (source, size, r) WHERE NOT drawn GROUP BY 1, 2, 3, 4),
+ru AS (SELECT source, size, rule, count(*) AS draws, avg(CAST(sens >= CAST({BOTH[0]} AS DOUBLE) AND spec >= CAST({BOTH[1]} AS DOUBLE) AS DOUBLE)) AS p_both, avg(sens) AS mean_sens, quantile_cont(sens, 0.1) AS p10_sens, min(sens) AS worst_sens, avg(spec) AS mean_spec, avg(CAST(cut <> CAST(1.5 AS DOUBLE) AS DOUBLE)) AS changed FROM jd GROUP BY 1, 2, 3)"""
 
 
-def _calibration(spark, d):
-    return B.calibration_draws(evaluated(spark, d), "group_id", ref(), "score", 300, 10, "cal", 0.9, ["source"])
+_DRAWS = sql_draws("size", f"SELECT {SAMPLE} AS size", DRAWS, "'cal'")
 
 
-@query(_DRAWS + " SELECT source, count(*) AS draws, round(avg(CAST(sens >= CAST(0.85 AS DOUBLE) AND spec >= CAST(0.8 AS DOUBLE) AS DOUBLE)), 6) AS p_both, round(avg(sens), 6) AS mean_sens, round(quantile_cont(sens, 0.1), 6) AS p10_sens, round(avg(spec), 6) AS mean_spec FROM jd GROUP BY 1")
+def calibration_summary(df, size=SAMPLE, draws=DRAWS, seed="cal", rules=RULES):
+    """(source, rule, draws, p_both, mean_sens, p10_sens, worst_sens, mean_spec, changed) of cuts fitted on samples of whole patients."""
+    both = (F.col("sensitivity") >= BOTH[0]) & (F.col("specificity") >= BOTH[1])
+    c = B.calibration_draws(df, "group_id", ref(), "score", size, draws, seed, rules, THRESHOLDS[1], ["source"])
+    return c.groupBy("source", "rule").agg(F.count("*").alias("draws"), F.avg(both.cast("double")).alias("p_both"), F.avg("sensitivity").alias("mean_sens"), F.percentile("sensitivity", F.lit(0.1)).alias("p10_sens"), F.min("sensitivity").alias("worst_sens"), F.avg("specificity").alias("mean_spec"), F.avg((F.col("cut") != THRESHOLDS[1]).cast("double")).alias("changed"))
+
+
+@query(_DRAWS + " SELECT source, rule, draws, round(p_both, 6) AS p_both, round(mean_sens, 6) AS mean_sens, round(p10_sens, 6) AS p10_sens, round(mean_spec, 6) AS mean_spec, round(changed, 6) AS changed FROM ru")
 def calibration_draws(spark, d):
-    both = (F.col("sensitivity") >= 0.85) & (F.col("specificity") >= 0.8)
-    return _calibration(spark, d).groupBy("source").agg(F.count("*").alias("draws"), r6(F.avg(both.cast("double")), "p_both"), r6(F.avg("sensitivity"), "mean_sens"), r6(F.percentile("sensitivity", F.lit(0.1)), "p10_sens"), r6(F.avg("specificity"), "mean_spec"))
+    """Whole patients are drawn at every site, cuts are fitted by the four rules, and judged on the site's other cases."""
+    return calibration_summary(evaluated(spark, d)).select("source", "rule", "draws", *[r6(c, c) for c in ("p_both", "mean_sens", "p10_sens", "mean_spec", "changed")])
 
 
-@query(_DRAWS + ", ru AS (SELECT source AS site, 'R1' AS rule, avg(CAST(sens >= CAST(0.85 AS DOUBLE) AND spec >= CAST(0.8 AS DOUBLE) AS DOUBLE)) AS p FROM jd GROUP BY 1 UNION ALL SELECT source, 'R3', avg(CAST(sens >= CAST(0.85 AS DOUBLE) AS DOUBLE)) FROM jd GROUP BY 1 UNION ALL SELECT source, 'R4', avg(CAST(spec >= CAST(0.8 AS DOUBLE) AS DOUBLE)) FROM jd GROUP BY 1), be AS (SELECT *, max(p) OVER (PARTITION BY site) AS best FROM ru) SELECT site, min_by(rule, list_position(['R1', 'R3', 'R4', 'R2'], rule)) AS rule, round(max(best), 6) AS best FROM be WHERE p >= best - CAST(0.02 AS DOUBLE) GROUP BY 1")
+@query(_DRAWS + ", m AS (SELECT rule, avg(p_both) AS p_both, min(mean_sens) AS worst, round(min(mean_sens), 9) >= CAST(0.89 AS DOUBLE) AS fits, list_position(['R1', 'R3', 'R2', 'R4'], rule) AS o FROM ru GROUP BY 1), b AS (SELECT bool_or(fits) AS c, max(p_both) FILTER (WHERE fits) AS best FROM m) SELECT rule, round(p_both, 6) AS p_both, round(worst, 6) AS worst, c AS constrained FROM m, b WHERE NOT c OR (fits AND round(p_both - best, 9) >= CAST(-0.02 AS DOUBLE)) ORDER BY CASE WHEN c THEN 0 ELSE -round(worst, 9) END, o LIMIT 1")
 def rule_selection(spark, d):
-    c = _calibration(spark, d)
-    a, b = F.col("sensitivity") >= 0.85, F.col("specificity") >= 0.8
-    rows = c.groupBy(F.col("source").alias("site")).agg(F.array(*[F.struct(F.lit(n).alias("rule"), F.avg(x.cast("double")).alias("p_both")) for n, x in (("R1", a & b), ("R3", a), ("R4", b))]).alias("x"))
-    return P.select_rule(rows.select("site", F.explode("x").alias("y")).select("site", "y.*"), ["R1", "R3", "R4", "R2"]).select("site", "rule", r6("best", "best"))
+    """The rule that is kept: sensitive enough at every site, then most often within both targets, ties by preference."""
+    rows = calibration_summary(evaluated(spark, d)).select(F.col("source").alias("site"), "rule", "p_both", F.col("mean_sens").alias("sensitivity"))
+    return P.select_rule(rows, PREFERENCE).select("rule", r6("p_both", "p_both"), r6("worst", "worst"), "constrained")
 
 
 @query(CASES + ", p AS (SELECT source, score, count(*) OVER (PARTITION BY source) AS n_pos, row_number() OVER (PARTITION BY source ORDER BY score) AS i FROM ok WHERE true_grade >= 2), c AS (SELECT source, n_pos, score - CAST(1e-9 AS DOUBLE) AS cut FROM p WHERE i = floor((1 - CAST(0.9 AS DOUBLE)) * n_pos) + 1) SELECT source, n_pos, round(cut, 6) AS cut, round(least(CAST(0.5 AS DOUBLE), cut - CAST(1e-6 AS DOUBLE)), 6) AS t0, round(greatest(CAST(2.5 AS DOUBLE), cut + CAST(1e-6 AS DOUBLE)), 6) AS t2, round(greatest(CAST(3.5 AS DOUBLE), greatest(CAST(2.5 AS DOUBLE), cut + CAST(1e-6 AS DOUBLE)) + CAST(1e-6 AS DOUBLE)), 6) AS t3 FROM c")
@@ -246,14 +264,14 @@ def froc(spark, d):
     return f.groupBy("threshold").agg(F.count("*").alias("images"), F.sum("hits").alias("hits"), r6(F.avg("fps"), "fp_per_image"), r6(S.ratio(F.sum("hits"), F.sum("truth")), "sensitivity"))
 
 
-@query("WITH s AS (SELECT user_id % 50 AS k, CAST(row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS DOUBLE) / 20 AS x, value AS y FROM events), l AS (SELECT k, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM s WHERE x <= 1 WINDOW w AS (PARTITION BY k ORDER BY x)) SELECT k, round(sum((x - px) * (y + py) / 2), 6) AS area FROM l GROUP BY 1")
+@query("WITH s AS (SELECT user_id AS k, CAST(row_number() OVER w - 1 AS DOUBLE) / nullif(count(*) OVER (PARTITION BY user_id) - 1, 0) AS x, value AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), l AS (SELECT k, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM s WINDOW w AS (PARTITION BY k ORDER BY x)) SELECT k, count(*) AS points, round(sum((x - px) * (y + py) / 2), 6) AS area FROM l GROUP BY 1")
 def deletion_area(spark, d):
-    """Trapezoid areas under each key's curve."""
+    """Trapezoid areas under each user's whole curve, its events spread evenly from 0 to 1; null with one event."""
     w = Window.partitionBy("k").orderBy("event_id")
-    s = read(spark, d, "events").select((F.col("user_id") % 50).alias("k"), "event_id", F.col("value").alias("y")).withColumn("x", (F.row_number().over(w) - 1) / 20.0).filter("x <= 1")
-    v = Window.partitionBy("k").orderBy("x")
-    s = s.withColumns({"px": F.lag("x").over(v), "py": F.lag("y").over(v)})
-    return s.groupBy("k").agg(r6(F.sum((F.col("x") - F.col("px")) * (F.col("y") + F.col("py")) / 2), "area"))
+    s = read(spark, d, "events").select(F.col("user_id").alias("k"), "event_id", F.col("value").alias("y"))
+    x = F.try_divide((F.row_number().over(w) - 1).cast("double"), (F.count("*").over(Window.partitionBy("k")) - 1).cast("double"))
+    s = s.withColumn("x", x).withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w)})
+    return s.groupBy("k").agg(F.count("*").alias("points"), r6(F.sum((F.col("x") - F.col("px")) * (F.col("y") + F.col("py")) / 2), "area"))
 
 
 @query(CASES + ", q AS (SELECT CASE WHEN iqs < CAST(0.2 AS DOUBLE) THEN 0 WHEN iqs < CAST(0.6 AS DOUBLE) THEN 1 ELSE 2 END AS t, least(greatest(iqs + (CAST(" + sql_draw("qn", "image_id") + " AS DOUBLE) / 10000 - CAST(0.5 AS DOUBLE)) / 5, 0), 1) AS s FROM ok), b AS (SELECT least(CAST(floor(s * 20) AS INT), 19) AS b, t, count(*) AS n FROM q GROUP BY 1, 2), p AS (SELECT x.range AS lo, y.range AS hi FROM range(1, 19) x, range(2, 20) y WHERE x.range < y.range), m AS (SELECT lo, hi, t, CASE WHEN b < lo THEN 0 WHEN b < hi THEN 1 ELSE 2 END AS c, sum(n) AS n FROM p, b GROUP BY ALL), f AS (SELECT lo, hi, k.range AS k, 2.0 * coalesce(sum(CASE WHEN t = k.range AND c = k.range THEN n END), 0) / (coalesce(sum(CASE WHEN t = k.range THEN n END), 0) + coalesce(sum(CASE WHEN c = k.range THEN n END), 0)) AS f1 FROM m, range(3) k GROUP BY ALL), a AS (SELECT lo, hi, round(avg(f1), 9) AS v FROM f GROUP BY 1, 2) SELECT CAST(lo AS DOUBLE) / 20 AS reject_cut, CAST(hi AS DOUBLE) / 20 AS good_cut, round(v, 6) AS macro_f1 FROM a ORDER BY v DESC, lo, hi LIMIT 1")
