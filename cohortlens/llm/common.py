@@ -14,7 +14,7 @@ NULL_ID = -(2**63)
 #: The characters of [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -123,18 +123,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS_
     and of several texts under one identifier the one with the largest hash. Without such labels there are no rows.
     """
     usable = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("y")).filter(~held_out(F.col("_id")))
-    there = cut(docs.select(F.col("doc_id").cast("long").alias("_there")).distinct().join(usable, F.col("_there") == F.col("_id")).select("_id", "y"))
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("_there")).agg(F.count("*").alias("copies"))
+    there = cut(ids.join(usable, F.col("_there") == F.col("_id")).select("_id", "y", "copies"))
     n = {r["y"]: r["n"] for r in there.groupBy("y").agg(F.count("*").alias("n")).collect()}
     part = F.lit(0.0)
     for y, c in n.items():
         part = F.when(F.col("y") == y, F.lit(min(1.0, per_class / c))).otherwise(part)
     place = F.pmod(F.xxhash64(F.col("_id"), F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = there.filter(place < part).withColumn("w", 1 / part)
-    taken = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    # About per_class rows of three numbers each: a bounded broadcast.
+    taken = {r["y"]: (r["n"], r["most"]) for r in chosen.groupBy("y").agg(F.count("*").alias("n"), F.max("copies").alias("most")).collect()}
+    # About per_class rows of four numbers each: a bounded broadcast.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    one = own.groupBy("_id").agg(F.first("y").alias("y"), F.first("w").alias("w"), F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
-    return one.select("y", "w", F.col("t.text").alias("text")), taken
+    if any(most > 1 for _, most in taken.values()):
+        own = own.groupBy("_id").agg(F.first("y").alias("y"), F.first("w").alias("w"), F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("y", "w", "t.text")
+    return own.select("y", "w", "text"), {y: c for y, (c, _) in taken.items()}
 
 
 def held_out(id_col):
