@@ -11,12 +11,22 @@ from ..functions.scalar import ratio, wilson
 
 
 def confusion(df: DataFrame, truth: str, pred: str, classes: int = 5, by: Sequence[str] = ()) -> DataFrame:
-    """(by, truth, pred, n) on the complete grid of classes; rows outside the grid don't count."""
-    n = df.filter(F.col(truth).between(0, classes - 1) & F.col(pred).between(0, classes - 1)).groupBy(*by, F.col(truth).cast("int").alias("truth"), F.col(pred).cast("int").alias("pred")).agg(F.count("*").alias("n"))
-    grid = df.sparkSession.range(classes * classes).select((F.col("id") / classes).cast("int").alias("truth"), (F.col("id") % classes).cast("int").alias("pred"))
+    """(by, truth, pred, n) on the complete grid of classes; rows outside the grid don't count.
+
+    Cells are numbered and joined null-safely: a filter on them, or the one that a plain equality brings, would be pushed
+    to the scan and there compute whatever the grades derive from again, once for each time they are named.
+    """
+    inside = F.col(truth).between(0, classes - 1) & F.col(pred).between(0, classes - 1)
+    cell = F.when(inside, F.col(truth).cast("int") * classes + F.col(pred).cast("int")).cast("long")
+    n = df.groupBy(*by, cell.alias("_cell")).agg(F.count("*").alias("n"))
+    grid = df.sparkSession.range(classes * classes)
     if by:
-        grid = df.select(*by).distinct().join(F.broadcast(grid))  # classes squared rows
-    return grid.join(n, [*by, "truth", "pred"], "left").select(*by, "truth", "pred", F.coalesce("n", F.lit(0)).alias("n"))
+        grid = n.select(*by).distinct().join(F.broadcast(grid))  # classes squared rows
+    n = n.select(*[F.col(c).alias(f"_{c}") for c in by], "_cell", "n")
+    same = F.col("id").eqNullSafe(F.col("_cell"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return grid.join(n, same, "left").select(*by, F.floor(F.col("id") / classes).cast("int").alias("truth"), (F.col("id") % classes).cast("int").alias("pred"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def qwk(matrix: DataFrame, classes: int = 5, by: Sequence[str] = ()) -> DataFrame:
@@ -32,13 +42,11 @@ def qwk_observed(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Kappa over the range from the smallest to the largest grade seen, so weights differ where grades are missing; null with one grade."""
     both = df.agg(F.min(F.least(truth, pred)).alias("low"), F.max(F.greatest(truth, pred)).alias("high"))
     n = df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(both))  # one row
-    total = Window.partitionBy(F.lit(1))
     rows = n.groupBy("t").agg(F.sum("n").alias("r"), F.max("high").alias("high"), F.max("low").alias("low"))
     cols = n.groupBy("p").agg(F.sum("n").alias("c"))
     w = lambda a, b: F.try_divide((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)), (F.col("high") - F.col("low")) * (F.col("high") - F.col("low")))
     seen = n.agg(F.sum(w("t", "p") * F.col("n")).alias("o"), F.sum("n").alias("n"))
     chance = rows.crossJoin(cols).agg(F.sum(w("t", "p") * F.col("r") * F.col("c")).alias("e"))  # at most one row a grade on each side
-    del total
     return seen.crossJoin(chance).select("n", (1 - ratio(F.col("o") * F.col("n"), F.col("e"))).alias("qwk"))
 
 

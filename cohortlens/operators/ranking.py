@@ -10,9 +10,32 @@ from pyspark.sql import functions as F
 from ..functions.scalar import ratio
 
 
+#: Scores in a slice of this width are ordered by one task; what lies before comes from one sum a slice.
+SLICE = 1 / 64
+
+
 def _line(by: Sequence[str], *order) -> Window:
-    """By group; without groups all distinct scores in one task, which are as many as the score's grid has values."""
-    return Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(1)).orderBy(*order)
+    return Window.partitionBy(*by, "_slice").orderBy(*order)
+
+
+def running(scores: DataFrame, by: Sequence[str], score: str, columns: Sequence[str], descending: bool = False) -> DataFrame:
+    """scores with, for each column, cum_ (its sum up to and with each score) and all_ (its sum).
+
+    Scores are cut into slices of equal width. Windows over slices see one row each, windows over scores one slice each, so
+    no task holds all distinct scores.
+    """
+    rows = scores.withColumn("_slice", F.floor(F.col(score).cast("double") / SLICE))
+    held = rows.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    step = F.col("_slice").desc() if descending else F.col("_slice").asc()
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # a row a slice
+    ahead = whole.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_slice").alias("_at"), *[x for c in columns for x in (F.coalesce(F.sum(f"_s_{c}").over(ahead), F.lit(0)).alias(f"_0_{c}"), F.sum(f"_s_{c}").over(whole).alias(f"all_{c}"))])
+    same = F.col("_slice").eqNullSafe(F.col("_at"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    line = _line(by, F.col(score).desc() if descending else F.col(score).asc())
+    out = rows.join(held, same)
+    return out.select(*scores.columns, *[x for c in columns for x in ((F.sum(c).over(line) + F.col(f"_0_{c}")).alias(f"cum_{c}"), F.col(f"all_{c}"))])
 
 
 def score_table(df: DataFrame, truth: Column, score: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -23,14 +46,12 @@ def score_table(df: DataFrame, truth: Column, score: str, by: Sequence[str] = ()
 
 def roc_table(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """score_table with tp, fp (called at score and above), all_pos, all_neg."""
-    down, whole = _line(by, F.col("score").desc()), (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
-    return scores.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
+    return running(scores, by, "score", ["pos", "neg"], descending=True).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
 
 
 def auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_pos, n_neg, auc): the share of pairs in order, ties as half; null with one class."""
-    below = F.sum("neg").over(_line(by, "score")) - F.col("neg")
-    t = scores.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2.0))
+    t = running(scores, by, "score", ["neg"]).withColumn("wins", F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
     return t.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), ratio(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
@@ -74,7 +95,7 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
     """(by, n, rho): Pearson's correlation of average ranks. Ranks come from counts of distinct values, so no task sees all rows."""
     def ranked(c):
         n = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("m"))
-        return n.select(*by, c, (F.sum("m").over(_line(by, c)) - (F.col("m") - 1) / 2.0).alias(f"r_{c}"))
+        return running(n, by, c, ["m"]).select(*by, c, (F.col("cum_m") - (F.col("m") - 1) / 2.0).alias(f"r_{c}"))
 
     both = df.join(ranked(a), [*by, a]).join(ranked(b), [*by, b])
     return both.groupBy(*by).agg(F.count("*").alias("n"), F.corr(f"r_{a}", f"r_{b}").alias("rho"))

@@ -50,12 +50,18 @@ def interval(stats: DataFrame, statistic: Column, level: float = 0.95) -> DataFr
     return s.agg(F.percentile("s", F.lit(a)).alias("low"), F.percentile("s", F.lit(1 - a)).alias("high"), F.count("s").alias("valid"))
 
 
-def weighted_auc(scores: DataFrame, w: DataFrame) -> DataFrame:
-    """(r, auc) of scores (idx, score, pos, neg) under weights (r, idx, w)."""
-    t = w.join(scores, "idx").groupBy("r", "score").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-    line = Window.partitionBy("r").orderBy("score")
+def cluster_ids(df: DataFrame, cluster: str, strata: Sequence[str] = ()) -> DataFrame:
+    """(strata, cluster, idx): the places that cluster_counts() gives."""
+    g = df.select(*strata, cluster).distinct()
+    return in_hash_order(g, strata, hash_order("idx", F.col(cluster)), cluster).withColumnRenamed("_place", "idx") if strata else dense_index(g, cluster)
+
+
+def weighted_auc(scores: DataFrame, w: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, r, auc) of scores (by, idx, score, pos, neg) under weights (by, r, idx, w)."""
+    t = w.join(scores, [*by, "idx"]).groupBy(*by, "r", "score").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
+    line = Window.partitionBy(*by, "r").orderBy("score")
     t = t.withColumn("wins", F.col("pos") * (F.sum("neg").over(line) - F.col("neg") / 2.0))
-    return t.groupBy("r").agg(ratio(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    return t.groupBy(*by, "r").agg(ratio(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def drawn_clusters(df: DataFrame, cluster: str, size: int, draws: int, seed: str, by: Sequence[str] = ()) -> DataFrame:

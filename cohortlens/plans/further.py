@@ -229,33 +229,6 @@ def match_trace(spark, d):
     """How many truths are found as candidates come in by score."""
     from ..operators.geometry import trace_by_image
 
-    e = read(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("image"), F.col("l_partkey").alias("left"), F.col("l_suppkey").alias("right"))
+    e = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_partkey").alias("left"), (F.col("l_orderkey") % 50).alias("right"))
     e = e.groupBy("image", "left", "right").agg(F.lit(1).alias("o")).withColumn("score", S.draw("mt", F.col("image"), F.col("left")) / 10000.0).drop("o")
     return trace_by_image(e)
-
-
-@query()
-def regularisation_choice(spark, d):
-    """The penalty whose leave-one-site-out ranking is best on average; the strongest of equal ones."""
-    from ..operators.models import leave_one_site_out
-
-    df = evaluated(spark, d).select("source", ref().cast("int").alias("label"), F.array("score", "z5", "iqs").alias("x"))
-    out = None
-    for c in (0.01, 1.0):
-        own = leave_one_site_out(df, "source", "label", "x", c).agg(F.lit(c).alias("c"), F.round(F.avg("auc"), 4).alias("mean_auc"))
-        out = own if out is None else out.unionByName(own)
-    return out.orderBy(F.col("mean_auc").desc(), "c").limit(1)
-
-
-@query()
-def isolated_predictions(spark, d):
-    """Batched scoring in which a failing batch is repeated row by row, so that one bad row is one error row."""
-    from ..operators.models import predict
-
-    def model(rows):
-        if any(v < 0 for v in rows):
-            raise ValueError("negative input")
-        return [v * 2 for v in rows]
-
-    df = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
-    return predict(df, model).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("y"), 2).alias("total"))

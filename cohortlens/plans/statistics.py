@@ -35,11 +35,13 @@ def call2():
     return F.col("pred2") >= 2
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict | None = None, sqls: dict | None = None):
+    """Registers a query, here or in another module's tables, with its SQL."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        (QUERIES if queries is None else queries)[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            (SQL if sqls is None else sqls)[f.__name__] = sql
         return f
 
     return add
@@ -290,69 +292,46 @@ def quality_cut_points(spark, d):
     return a.orderBy(F.col("v").desc(), "lo", "hi").limit(1).select((F.col("lo") / 20.0).alias("reject_cut"), (F.col("hi") / 20.0).alias("good_cut"), r6("v", "macro_f1"))
 
 
-@query()
+def sql_nll(t: str) -> str:
+    """The mean loss at temperature t over counts n of (score, true_grade), whose logits are minus squared distances."""
+    z = lambda k: f"-(score - {k}) * (score - {k}) / {t}"
+    top = f"greatest({', '.join(z(k) for k in range(5))})"
+    return f"sum(n * -ln(greatest(exp(-(score - true_grade) * (score - true_grade) / {t} - {top}) / ({' + '.join(f'exp({z(k)} - {top})' for k in range(5))}), CAST(1e-12 AS DOUBLE)))) / sum(n)"
+
+
+@query(CASES + f", h AS (SELECT score, true_grade, count(*) AS n FROM ok GROUP BY 1, 2), c AS (SELECT CAST(t.range AS DOUBLE) / 4 AS t FROM range(1, 41) t), l AS (SELECT t, round({sql_nll('t')}, 9) AS v FROM h, c GROUP BY 1), b AS (SELECT t FROM l ORDER BY v, t LIMIT 1), e AS (SELECT greatest(CAST(0.05 AS DOUBLE), b.t + CAST(x.range AS DOUBLE) / 100) AS t FROM b, range(-25, 26) x), m AS (SELECT t, round({sql_nll('t')}, 9) AS v FROM h, (SELECT DISTINCT t FROM e) GROUP BY 1), o AS (SELECT {sql_nll('CAST(1 AS DOUBLE)')} AS v FROM h) SELECT round(m.t, 2) AS temperature, round(m.v, 6) AS nll, round(o.v, 6) AS before FROM m, o ORDER BY m.v, m.t LIMIT 1")
 def temperature_fit(spark, d):
-    """The temperature of the smallest loss by golden section; one aggregate a step."""
-    z = evaluated(spark, d).select(F.slice(logits(), 1, 5).alias("z"), "true_grade").groupBy("z", "true_grade").agg(F.count("*").alias("n")).cache()
-    nll = lambda t: z.agg(F.sum(F.col("n") * -F.ln(F.greatest(F.element_at(S.temperature_logits(F.col("z"), t), F.col("true_grade") + 1), F.lit(1e-12)))) / F.sum("n")).first()[0]
-    t = P.golden_section(nll, 0.05, 10.0, 12)
-    out = spark.createDataFrame([(round(t, 3), round(nll(t), 6), round(nll(1.0), 6))], "temperature double, nll double, before double")
-    z.unpersist()
-    return out
+    """The temperature from 0.05 to 10 of the smallest loss: quarters first, then hundredths around the best, each one aggregate over counts of equal logits."""
+    h = evaluated(spark, d).groupBy("score", "true_grade").agg(F.count("*").alias("n")).withColumn("z", F.array(*[-(F.col("score") - float(k)) * (F.col("score") - float(k)) for k in range(5)]))
 
+    def losses(grid):
+        p = S.softmax(F.transform("z", lambda v: v / F.col("t")))
+        own = -F.ln(F.greatest(F.element_at(p, F.col("true_grade") + 1), F.lit(1e-12)))
+        return grid.groupBy("t").agg(F.round(F.sum(F.col("n") * own) / F.sum("n"), 9).alias("v"))
 
-@query()
-def threshold_search(spark, d):
-    """Boundaries around a fixed referral cut by coordinate search, for kappa and for macro-F1, on a histogram of 150 bins."""
-    g = P.score_grid(evaluated(spark, d), "score", "true_grade")
-    rows = [(n, *map(float, t), float(v)) for n, f in (("qwk", P._kappa), ("macro_f1", P._macro_f1)) for t, v in [P.coordinate_search(g, 1.5, f)]]
-    return spark.createDataFrame(rows, "objective string, t0 double, t1 double, t2 double, t3 double, value double")
+    best = lambda m: m.agg(F.min(F.struct("v", "t")).alias("b")).select("b.*")
+    coarse = best(losses(h.withColumn("t", F.explode(F.array(*[F.lit(k / 4) for k in range(1, 41)])))))
+    steps = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-25), F.lit(25)), lambda x: F.greatest(F.lit(0.05), F.col("t0") + x / F.lit(100.0)))))
+    fine = best(losses(h.crossJoin(F.broadcast(coarse.select(F.col("t").alias("t0")))).withColumn("t", steps)))  # one row
+    one = losses(h.withColumn("t", F.lit(1.0))).select(F.col("v").alias("v1"))
+    return fine.crossJoin(one).select(F.round("t", 2).alias("temperature"), r6("v", "nll"), r6("v1", "before"))  # single rows
 
 
-@query()
+@query(CASES + ", k AS (SELECT source, count(*) FILTER (WHERE true_grade >= 2 AND pred < 2) AS misses, count(*) FILTER (WHERE true_grade >= 2) AS n FROM ok GROUP BY 1), i AS MATERIALIZED (SELECT source, i.range AS i, lgamma(n + 1) - lgamma(i.range + 1) - lgamma(n - i.range + 1) AS c FROM k, range(0, (SELECT max(misses) + 1 FROM k)) i WHERE i.range <= misses), s0 AS (SELECT source, misses, n, CAST(misses AS DOUBLE) / n AS lo, CAST(1 AS DOUBLE) AS hi FROM k), " + ", ".join(f"t{j} AS MATERIALIZED (SELECT s.source, any_value(misses) AS misses, any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, sum(exp(c + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))) > CAST(0.05 AS DOUBLE) AS up FROM s{j} s JOIN i ON i.source = s.source GROUP BY 1), s{j + 1} AS (SELECT source, misses, n, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END AS hi FROM t{j})" for j in range(40)) + " SELECT source, misses, n, round((lo + hi) / 2, 6) AS upper FROM s40")
 def clopper_pearson(spark, d):
     """Exact upper bounds of each source's miss rate; a row a source reaches the driver."""
     rows = M.rates(evaluated(spark, d), ref(), call(), ["source"]).select("source", "fn", (F.col("fn") + F.col("tp")).alias("n")).collect()
-    return spark.createDataFrame([(r["source"], r["fn"], r["n"], P.clopper_pearson_upper(r["fn"], r["n"])) for r in rows], "source string, misses long, n long, upper double")
+    return spark.createDataFrame([(r["source"], r["fn"], r["n"], round(P.clopper_pearson_upper(r["fn"], r["n"]), 6)) for r in rows], "source string, misses long, n long, upper double")
 
 
 @query()
 def bipartite_match(spark, d):
     """Detections and truths of an image, one to one and as many as possible."""
-    li = read(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("image"), F.col("l_partkey").alias("left"), F.col("l_suppkey").alias("right")).distinct()
+    li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_partkey").alias("left"), (F.col("l_orderkey") % 50).alias("right")).distinct()
     return G.match_by_image(li)
 
 
 @query()
 def nms(spark, d):
-    e = read(spark, d, "events").select((F.col("user_id") % 50).alias("image"), F.col("event_id").alias("id"), (F.col("value") % 40).alias("x"), ((F.col("event_id") * 7) % 100).cast("double").alias("y"), F.col("value").alias("score"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("image"), F.col("event_id").alias("id"), (F.col("value") % 40).alias("x"), ((F.col("event_id") * 7) % 100).cast("double").alias("y"), F.col("value").alias("score"))
     return G.suppress(e, 5.0, 300)
-
-
-@query()
-def site_logreg(spark, d):
-    """Leave-one-site-out: a standardised, class-balanced logistic regression is fitted on the other sites and its decision scores rank the left-out one."""
-    from ..operators.models import leave_one_site_out
-
-    df = evaluated(spark, d).select("image_id", "source", ref().cast("int").alias("label"), F.array("score", "z5", "iqs").alias("x"))
-    return leave_one_site_out(df, "source", "label", "x").select("site", "n", F.round("auc", 4).alias("auc"))
-
-
-@query()
-def mahalanobis_guard(spark, d):
-    """Distances to a shrunk covariance fit of some labels, and how many of the others lie beyond its 0.999 quantile."""
-    from ..operators.models import Guard
-
-    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    guard = Guard.fit(e.filter("label < 7"), "v")
-    s = guard.score(e, "v").withColumn("outside", F.col("label") >= 7)
-    cut = s.filter("NOT outside").agg(F.percentile("distance", F.lit(0.999)).alias("cut"))
-    return s.crossJoin(F.broadcast(cut)).groupBy("outside").agg(F.count("*").alias("n"), F.count_if(F.col("distance") > F.col("cut")).alias("beyond"), F.round(F.avg("distance"), 4).alias("mean_distance"))  # one row
-
-
-@query()
-def grouped_folds(spark, d):
-    """Whole groups to 3 fit, 1 selection and 1 calibration fold, balanced by class, largest groups first."""
-    from ..operators.models import balanced_group_folds
-
-    return balanced_group_folds(evaluated(spark, d), "group_id", "true_grade", 5, "gf").groupBy("part", "true_grade").agg(F.count("*").alias("n"))
