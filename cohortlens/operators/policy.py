@@ -9,16 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
+from .ranking import running
 
 
 def boundary(df: DataFrame, positive: Column, score: str, target: float, by: Sequence[str] = (), least: int = 5, fallback: float | None = None) -> DataFrame:
     """(by, n_pos, cut): the (floor((1 - target) n) + 1)-th lowest positive score, minus 1e-9. Groups with fewer positives than least get the fallback."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    p = df.filter(positive).select(*by, F.col(score).alias("s"))
-    p = p.withColumns({"n_pos": F.count("*").over(w), "i": F.row_number().over(w.orderBy("s"))})
-    k = F.floor(F.lit(1 - target) * F.col("n_pos")) + 1
-    cut = F.when(F.col("n_pos") >= least, F.col("s") - 1e-9).otherwise(F.lit(fallback).cast("double"))
-    return p.filter(F.col("i") == k).select(*by, "n_pos", cut.alias("cut"))
+    p = df.filter(positive).groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    k = F.floor(F.lit(1 - target) * F.col("all_n")) + 1
+    p = running(p, by, "s", ["n"]).filter(F.col("cum_n") >= k).groupBy(*by).agg(F.min("s").alias("s"), F.first("all_n").alias("n_pos"))
+    return p.select(*by, "n_pos", F.when(F.col("n_pos") >= least, F.col("s") - 1e-9).otherwise(F.lit(fallback).cast("double")).alias("cut"))
 
 
 def source_roc(df: DataFrame, positive: Column, score: str, source: str) -> DataFrame:
@@ -26,10 +25,8 @@ def source_roc(df: DataFrame, positive: Column, score: str, source: str) -> Data
     n = df.groupBy(F.col(score).alias("score"), source).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     grid = n.select("score").distinct().crossJoin(F.broadcast(n.select(source).distinct()))  # a row a source
     n = grid.join(n, ["score", source], "left").fillna(0, ["pos", "neg"])
-    w = Window.partitionBy(source)
-    down = w.orderBy(F.col("score").desc())
-    n = n.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "ap": F.sum("pos").over(w), "an": F.sum("neg").over(w)})
-    return n.select("score", source, ratio(F.col("tp"), F.col("ap")).alias("sens"), ratio(F.col("an") - F.col("fp"), F.col("an")).alias("spec"))
+    n = running(n, [source], "score", ["pos", "neg"], descending=True)
+    return n.select("score", source, ratio(F.col("cum_pos"), F.col("all_pos")).alias("sens"), ratio(F.col("all_neg") - F.col("cum_neg"), F.col("all_neg")).alias("spec"))
 
 
 def balanced_threshold(roc: DataFrame, target: float) -> DataFrame:
@@ -53,11 +50,10 @@ def worst_source_threshold(roc: DataFrame, target: float) -> DataFrame:
 
 def floor_threshold(roc_rows: DataFrame, floor: float) -> DataFrame:
     """(cut, sens, spec) of a roc table: the largest sensitivity whose specificity keeps the floor, then the best specificity. The cut lies midway to the next lower score."""
-    w = Window.partitionBy(F.lit(1)).orderBy("score")  # one row a distinct score
-    t = roc_rows.withColumn("mid", (F.col("score") + F.coalesce(F.lag("score").over(w), F.col("score"))) / 2)
     sens, spec = ratio(F.col("tp"), F.col("all_pos")), ratio(F.col("all_neg") - F.col("fp"), F.col("all_neg"))
-    best = F.max(F.when(spec >= F.lit(floor), F.struct(F.round(sens, 9).alias("a"), F.round(spec, 9).alias("b"), F.col("mid").alias("cut"))))
-    return t.agg(best.alias("x")).select("x.cut", F.col("x.a").alias("sens"), F.col("x.b").alias("spec"))
+    best = roc_rows.agg(F.max(F.when(spec >= F.lit(floor), F.struct(F.round(sens, 9).alias("a"), F.round(spec, 9).alias("b"), F.col("score").alias("s")))).alias("x"))
+    below = roc_rows.crossJoin(F.broadcast(best.select("x.*"))).agg(F.max(F.when(F.col("score") < F.col("s"), F.col("score"))).alias("p"), F.first("a").alias("sens"), F.first("b").alias("spec"), F.first("s").alias("s"))  # one row
+    return below.select(((F.col("s") + F.coalesce("p", "s")) / 2).alias("cut"), "sens", "spec")
 
 
 def select_rule(rules: DataFrame, preference: Sequence[str], tolerance: float = 0.02, least_sensitivity: float = 0.89) -> DataFrame:

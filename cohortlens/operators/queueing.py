@@ -52,12 +52,22 @@ def long_station(df: DataFrame, by: Sequence[str], arrival: str, tie: str, servi
     return d.drop("_part", "_at", "_before", "_i", "_s", "_lane", "_k", "_v", "_own", "_top")
 
 
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """df with the sum of value over each row and those before it in its group. Rows are range-partitioned by (by, order), and what lies in the partitions before comes from one sum a group and partition."""
+    line = [*by, *order]
+    rows = cut(df.repartitionByRange(*line).sortWithinPartitions(*line).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy("_part", *by).agg(F.sum(value).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")  # a row a group and partition
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(held, ["_part", *by]).withColumn(out, F.sum(value).over(inside) + F.col("_before")).drop("_part", "_before")
+
+
 def max_waiting(df: DataFrame, by: Sequence[str], arrival: str, start: str) -> DataFrame:
-    """(by, max_waiting): most entities waiting at an arrival; starts at the same time go first."""
+    """(by, max_waiting): most entities waiting at an arrival; starts at the same time go first. Spread over tasks, however long a queue."""
     up = df.select(*by, F.col(arrival).alias("t"), F.lit(1).alias("o"), F.lit(1).alias("d"))
     down = df.select(*by, F.col(start).alias("t"), F.lit(0).alias("o"), F.lit(-1).alias("d"))
-    w = Window.partitionBy(*by).orderBy("t", "o", "d").rowsBetween(Window.unboundedPreceding, 0)
-    e = up.unionByName(down).withColumn("n", F.sum("d").over(w))
+    at = up.unionByName(down).groupBy(*by, "t", "o").agg(F.sum("d").alias("d"))  # what happens at one time and place in the order; the last of several arrivals sees most
+    e = running_total(at, by, ["t", "o"], "d", "n")
     return e.filter("o = 1").groupBy(*by).agg(F.max(F.greatest(F.col("n"), F.lit(0))).alias("max_waiting"))
 
 
@@ -67,10 +77,19 @@ def utilisation(start: Column, finish: Column, horizon: Column, servers: Column)
 
 
 def time_weighted_mean(df: DataFrame, by: Sequence[str], t: str, value: str, horizon: float) -> DataFrame:
-    """(by, mean, peak, last) of a step function up to the horizon."""
-    w = Window.partitionBy(*by).orderBy(t)
-    d = df.withColumn("_n", F.coalesce(F.lead(t).over(w), F.lit(horizon)))
-    return d.groupBy(*by).agg((F.sum(F.col(value) * (F.col("_n") - F.col(t))) / F.sum(F.col("_n") - F.col(t))).alias("mean"), F.max(value).alias("peak"), F.max_by(value, t).alias("last"))
+    """(by, mean, peak, last) of a step function up to the horizon.
+
+    The weighted sum needs no row beside its neighbour: a value holds from its own time to the next, so each partition of the
+    range-partitioned rows sums its own steps, and the step across a cut is added from the partitions' first and last rows.
+    """
+    rows = cut(df.select(*by, F.col(t).alias("_t"), F.col(value).alias("_v")).repartitionByRange(*by, "_t").sortWithinPartitions(*by, "_t").withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part", *by).orderBy("_t")
+    step = F.lead("_t").over(w) - F.col("_t")
+    held = rows.withColumn("_w", step).groupBy("_part", *by).agg(F.sum(F.col("_v") * F.col("_w")).alias("_a"), F.sum("_w").alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_end"), F.max_by("_v", "_t").alias("_last"), F.max("_v").alias("_peak"))
+    parts = Window.partitionBy(*by).orderBy("_part")  # a row a group and partition
+    held = held.withColumn("_to", F.coalesce(F.lead("_first").over(parts), F.lit(horizon)) - F.col("_end"))
+    total = F.sum(F.coalesce("_a", F.lit(0.0)) + F.col("_last") * F.col("_to"))
+    return held.groupBy(*by).agg((total / F.sum(F.coalesce("_n", F.lit(0.0)) + F.col("_to"))).alias("mean"), F.max("_peak").alias("peak"), F.max_by("_last", "_part").alias("last"))
 
 
 @dataclass(frozen=True)
@@ -101,11 +120,15 @@ def _uniform(*key) -> float:
 
 class _Station:
     def __init__(self, service: float, servers: int):
-        self.service, self.free, self.queue, self.peak, self.waits, self.busy = service, servers, deque(), 0, [], 0.0
+        self.service, self.servers, self.free, self.queue, self.peak, self.waits, self.busy = service, servers, servers, deque(), 0, [], 0.0
 
 
 def simulate(w: Workflow) -> dict:
-    """An event calendar; events at the horizon still happen. Draws depend on seed, patient and attempt only."""
+    """An event calendar; events at the horizon still happen. Draws depend on seed, patient and attempt only.
+
+    One shared queue with feedback is sequential: each event depends on all before. What runs in parallel are scenarios and,
+    for a larger population, independent sites or replicates, each a scenario with its own patients and seed.
+    """
     st = {"acquire": _Station(w.acquisition, 1), "recapture": _Station(w.recapture, w.patients), "upload": _Station(w.upload, 1), "infer": _Station(w.inference, 1), "review": _Station(w.review, w.clinicians)}
     out = dict.fromkeys(("generated", "completed", "reviewed", "abandoned", "exhausted", "attempts_started", "quality_checks", "recapture_returns"), 0)
     calendar: list[tuple] = []
@@ -168,7 +191,7 @@ def simulate(w: Workflow) -> dict:
         else:
             out["completed"] += 1
             out["reviewed"] += 1
-    out["in_system"] = out["generated"] - out["completed"] - out["abandoned"] - out["exhausted"]
+    out["in_system"] = sum(len(s.queue) + s.servers - s.free for s in st.values())  # who waits, and who is served
     rev = st["review"]
     out |= {"recapture_pending": len(st["recapture"].queue) + (max(1, w.patients) - st["recapture"].free), "max_review_queue": rev.peak, "review_wait": sum(rev.waits) / len(rev.waits) if rev.waits else None, "clinician_utilisation": rev.busy / (w.horizon * w.clinicians)}
     return out

@@ -62,27 +62,27 @@ def queue_single(spark, d):
 
 @query(_SC + " SELECT event_type, count(*) AS n, round(avg(q_start - t), 6) AS mean_wait, round(quantile_cont(q_start - t, 0.5), 6) AS p50, round(quantile_cont(q_start - t, 0.9), 6) AS p90, round(quantile_cont(q_start - t, 0.95), 6) AS p95 FROM q GROUP BY 1")
 def queue_multi(spark, d):
-    q = Q.station(_arrivals(spark, d), ["event_type"], "t", "event_id", F.lit(900.0), 3).withColumn("w", F.col("start") - F.col("t"))
+    q = Q.long_station(_arrivals(spark, d), ["event_type"], "t", "event_id", F.lit(900.0), 3).withColumn("w", F.col("start") - F.col("t"))
     return q.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("w"), 6).alias("mean_wait"), F.percentile("w", [0.5, 0.9, 0.95]).alias("p")).select("event_type", "n", "mean_wait", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p50", "p90", "p95"))])
 
 
 @query(_S1 + ", e AS (SELECT event_type, t, 1 AS o, 1 AS d FROM q UNION ALL SELECT event_type, q_start, 0, -1 FROM q), w AS (SELECT event_type, o, sum(d) OVER (PARTITION BY event_type ORDER BY t, o, d ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT event_type, CAST(max(greatest(n, 0)) AS BIGINT) AS max_waiting FROM w WHERE o = 1 GROUP BY 1")
 def queue_max_waiting(spark, d):
-    return Q.max_waiting(Q.station(_arrivals(spark, d), ["event_type"], "t", "event_id", F.lit(300.0)), ["event_type"], "t", "start")
+    return Q.max_waiting(Q.long_station(_arrivals(spark, d), ["event_type"], "t", "event_id", F.lit(300.0)), ["event_type"], "t", "start")
 
 
 @query(_SC + ", h AS (SELECT max(t) AS h FROM a) SELECT event_type, round(sum(greatest(least(q_finish, h) - q_start, 0)) / (any_value(h) * 3), 6) AS utilisation, count(*) FILTER (WHERE q_finish > h) AS unfinished FROM q, h GROUP BY 1")
 def queue_utilization(spark, d):
     a = _arrivals(spark, d)
-    q = Q.station(a, ["event_type"], "t", "event_id", F.lit(900.0), 3).crossJoin(F.broadcast(a.agg(F.max("t").alias("h"))))  # one row
+    q = Q.long_station(a, ["event_type"], "t", "event_id", F.lit(900.0), 3).crossJoin(F.broadcast(a.agg(F.max("t").alias("h"))))  # one row
     return q.groupBy("event_type").agg(F.round(Q.utilisation(F.col("start"), F.col("finish"), F.col("h"), F.lit(3.0)), 6).alias("utilisation"), F.count_if(F.col("finish") > F.col("h")).alias("unfinished"))
 
 
-@query(_ARR + ", s AS (SELECT user_id % 7 AS k, t, count(*) OVER (PARTITION BY user_id % 7 ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) % 5 AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 7, t ORDER BY event_id) AS r FROM a) WHERE r = 1), n AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY k ORDER BY t), CAST(7200000 AS DOUBLE)) - t AS w FROM s) SELECT k, round(sum(v * w) / sum(w), 6) AS mean, max(v) AS peak, max_by(v, t) AS last FROM n GROUP BY 1")
+@query(_ARR + ", s AS (SELECT user_id AS k, t, count(*) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) % 5 AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id, t ORDER BY event_id) AS r FROM a) WHERE r = 1), n AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY k ORDER BY t), CAST(7200000 AS DOUBLE)) - t AS w FROM s) SELECT k, round(sum(v * w) / sum(w), 6) AS mean, max(v) AS peak, max_by(v, t) AS last FROM n GROUP BY 1")
 def time_weighted_occupancy(spark, d):
-    a = _arrivals(spark, d).withColumn("k", F.col("user_id") % 7)
+    a = _arrivals(spark, d).withColumn("k", F.col("user_id"))
     a = a.withColumn("r", F.row_number().over(Window.partitionBy("k", "t").orderBy("event_id"))).filter("r = 1")
-    s = a.withColumn("v", F.count("*").over(Window.partitionBy("k").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)) % 5)
+    s = Q.running_total(a.withColumn("one", F.lit(1)), ["k"], ["t", "event_id"], "one", "seen").withColumn("v", F.col("seen") % 5)
     return Q.time_weighted_mean(s, ["k"], "t", "v", 7200000.0).select("k", F.round("mean", 6).alias("mean"), "peak", "last")
 
 
@@ -97,14 +97,14 @@ def sweep(spark, d):
     e = F.broadcast(scenarios(spark)).crossJoin(spark.range(n + 1).select(F.col("id").alias("i")))  # 18 rows
     e = e.withColumn("t0", F.col("i") * F.lit(HORIZON / n))
     by = ["scenario"]
-    e = Q.station(e, by, "t0", "i", F.lit(ACQUIRE), prefix="a_")
+    e = Q.long_station(e, by, "t0", "i", F.lit(ACQUIRE), prefix="a_")
     taken = e.filter(F.col("a_finish") <= HORIZON).withColumn("rejected", S.uniform("quality", F.col("scenario"), F.col("i")) < F.col("reject"))
-    again = Q.station(taken.filter("rejected"), by, "a_finish", "i", F.lit(RECAPTURE), prefix="r_")
-    up = Q.station(taken.filter("NOT rejected"), by, "a_finish", "i", F.lit(MEGABITS) / F.col("bandwidth"), prefix="u_")
-    ai = Q.station(up.filter(F.col("u_finish") <= HORIZON), by, "u_finish", "i", F.lit(INFER), prefix="n_")
+    again = Q.long_station(taken.filter("rejected"), by, "a_finish", "i", F.lit(RECAPTURE), prefix="r_")
+    up = Q.long_station(taken.filter("NOT rejected"), by, "a_finish", "i", F.lit(MEGABITS) / F.col("bandwidth"), prefix="u_")
+    ai = Q.long_station(up.filter(F.col("u_finish") <= HORIZON), by, "u_finish", "i", F.lit(INFER), prefix="n_")
     routed = ai.filter(F.col("n_finish") <= HORIZON).withColumn("route", S.uniform("route", F.col("scenario"), F.col("i")))
     auto = routed.filter(F.col("route") < F.lit(1 - REFER - UNCERTAIN))
-    review = Q.station(routed.filter(F.col("route") >= F.lit(1 - REFER - UNCERTAIN)), by, "n_finish", "i", F.lit(REVIEW), F.col("clinicians"), prefix="v_")
+    review = Q.long_station(routed.filter(F.col("route") >= F.lit(1 - REFER - UNCERTAIN)), by, "n_finish", "i", F.lit(REVIEW), F.col("clinicians"), prefix="v_")
     return e, again, up, ai, auto, review
 
 
@@ -155,11 +155,17 @@ def scenario_sweep(spark, d):
     return s.select("scenario", "bandwidth", "clinicians", "reject", "generated", "recaptures", "auto_cleared", "routed", "reviewed", (F.col("auto_cleared") + F.col("reviewed")).alias("completed"), "escalations", F.round("wait", 3).alias("mean_wait"), F.round("p95", 3).alias("p95_wait"), *[F.round(c, 6).alias(c) for c in ("acquisition_utilisation", "upload_utilisation", "clinician_utilisation")], need.alias("required_clinicians"))
 
 
-@query(_SWEEP + _SWEEP_OUT + " SELECT scenario, generated - auto_cleared - reviewed AS in_system, generated = auto_cleared + reviewed + (generated - auto_cleared - reviewed) AND generated >= auto_cleared + routed AND routed >= reviewed AS holds FROM j")
+@query(_SWEEP + _SWEEP_OUT + f", i1 AS (SELECT scenario, count(*) FILTER (WHERE a_finish > {HORIZON}) AS acquiring FROM a GROUP BY 1), i2 AS (SELECT scenario, count(*) AS rejected FROM rj GROUP BY 1), i3 AS (SELECT scenario, count(*) FILTER (WHERE u_finish > {HORIZON}) AS uploading FROM u GROUP BY 1), i4 AS (SELECT scenario, count(*) FILTER (WHERE n2_finish > {HORIZON}) AS inferring FROM n2 GROUP BY 1), i5 AS (SELECT scenario, count(*) FILTER (WHERE v_finish > {HORIZON}) AS reviewing FROM v GROUP BY 1), k AS (SELECT j.scenario, generated, auto_cleared, reviewed, coalesce(acquiring, 0) AS acquiring, coalesce(rejected, 0) AS rejected, coalesce(uploading, 0) AS uploading, coalesce(inferring, 0) AS inferring, coalesce(reviewing, 0) AS reviewing FROM j LEFT JOIN i1 USING (scenario) LEFT JOIN i2 USING (scenario) LEFT JOIN i3 USING (scenario) LEFT JOIN i4 USING (scenario) LEFT JOIN i5 USING (scenario)) SELECT scenario, generated, acquiring, rejected, uploading, inferring, reviewing, acquiring + rejected + uploading + inferring + reviewing AS in_system, generated = auto_cleared + reviewed + acquiring + rejected + uploading + inferring + reviewing AS holds FROM k")
 def conservation(spark, d):
-    s = sweep_summary(spark, d)
-    left = F.col("generated") - F.col("auto_cleared") - F.col("reviewed")
-    return s.select("scenario", left.alias("in_system"), ((F.col("generated") >= F.col("auto_cleared") + F.col("routed")) & (F.col("routed") >= F.col("reviewed")) & (left >= 0)).alias("holds"))
+    """Who is still in the system is counted where they are: at each station beyond the horizon, or sent back for a recapture."""
+    e, again, up, ai, auto, review = sweep(spark, d)
+    late = lambda df, c, name: df.groupBy("scenario").agg(F.count_if(F.col(c) > HORIZON).alias(name))
+    out = e.groupBy("scenario").agg(F.count("*").alias("generated"), F.count_if(F.col("a_finish") > HORIZON).alias("acquiring"))
+    out = out.join(again.groupBy("scenario").agg(F.count("*").alias("rejected")), "scenario", "left").join(late(up, "u_finish", "uploading"), "scenario", "left").join(late(ai, "n_finish", "inferring"), "scenario", "left")
+    out = out.join(review.groupBy("scenario").agg(F.count_if(F.col("v_finish") > HORIZON).alias("reviewing"), F.count_if(F.col("v_finish") <= HORIZON).alias("reviewed")), "scenario", "left")
+    out = out.join(auto.groupBy("scenario").agg(F.count("*").alias("auto_cleared")), "scenario", "left").fillna(0)
+    inside = F.col("acquiring") + F.col("rejected") + F.col("uploading") + F.col("inferring") + F.col("reviewing")
+    return out.select("scenario", "generated", "acquiring", "rejected", "uploading", "inferring", "reviewing", inside.alias("in_system"), (F.col("generated") == F.col("auto_cleared") + F.col("reviewed") + inside).alias("holds"))
 
 
 @query(_SWEEP + _SWEEP_OUT + """, xa AS (SELECT scenario, CAST(auto_cleared + reviewed AS DOUBLE) / generated AS rate FROM j), xb AS (SELECT scenario, rate + CASE WHEN scenario % 7 = 3 THEN CAST(0.02 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) END AS rate FROM xa) SELECT count(*) AS scenarios, count(*) FILTER (WHERE abs(a.rate - b.rate) > CAST(0.015 AS DOUBLE)) AS apart, bool_and(abs(a.rate - b.rate) <= CAST(0.015 AS DOUBLE)) AS agree, round(max(abs(a.rate - b.rate)), 6) AS largest FROM xa a JOIN xb b USING (scenario)""")
