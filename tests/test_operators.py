@@ -200,10 +200,12 @@ def test_boundary_and_rules(spark):
     df = spark.createDataFrame([(float(i), True) for i in range(20)] + [(0.5, False)], "s double, y boolean")
     r = one(policy.boundary(df, F.col("y"), "s", 0.9))
     assert r["n_pos"] == 20 and math.isclose(r["cut"], math.floor((1 - 0.9) * 20) - 1e-9)  # 1 - 0.9 is below a tenth
-    rules = spark.createDataFrame([("a", "R3", 0.9), ("a", "R1", 0.89), ("b", "R4", 0.7), ("b", "R1", 0.5), ("c", "R1", 0.5), ("c", "R3", 0.5)], "site string, rule string, p_both double")
-    assert {r["site"]: r["rule"] for r in policy.select_rule(rules, ["R1", "R3", "R4"]).collect()} == {"a": "R1", "b": "R4", "c": "R1"}
+    rows = [("a", "R1", 0.80, 0.95), ("b", "R1", 0.70, 0.90), ("a", "R3", 0.82, 0.93), ("b", "R3", 0.70, 0.89), ("a", "R2", 0.99, 0.99), ("b", "R2", 0.99, 0.80)]
+    rules = spark.createDataFrame(rows, "site string, rule string, p_both double, sensitivity double")
+    pick = lambda df: one(policy.select_rule(df, ["R1", "R3", "R2"]))
+    assert pick(rules)["rule"] == "R1" and pick(rules)["constrained"]  # R2 is too insensitive at b, R3 only 0.01 better
+    assert pick(rules.filter("rule <> 'R1'"))["rule"] == "R3" and pick(rules.filter("rule = 'R2'"))["rule"] == "R2" and not pick(rules.filter("rule = 'R2'"))["constrained"]
     assert math.isclose(policy.clopper_pearson_upper(0, 50), 1 - 0.05 ** (1 / 50), abs_tol=1e-9)
-    assert math.isclose(policy.golden_section(lambda t: (math.log(t) - 0.3) ** 2, 0.05, 10), math.exp(0.3), rel_tol=1e-4)
 
 
 def test_matching_and_suppression(spark):
