@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import assembly, decisions, evaluation, further, movement, statistics, workflow
+from . import assembly, decisions, evaluation, further, movement, review, statistics, workflow
 
-MODULES = (evaluation, assembly, statistics, workflow, movement, further, decisions)
+MODULES = (evaluation, assembly, statistics, workflow, movement, further, decisions, review)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
