@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,11 @@ def served(events: DataFrame, key: str, service: float) -> DataFrame:
         free = state.get[0] if state.exists else float("-inf")
         for g in frames:
             g = g.sort_values(["t", "event_id"])
-            out = []
-            for t, i in zip(g["t"], g["event_id"], strict=True):
-                start = max(t, free)
-                free = start + service
-                out.append((k[0], i, start - t))
-            yield pd.DataFrame(out, columns=["key", "event_id", "wait"])
+            own = service * np.arange(len(g))
+            # the i-th start is i services behind the latest of the free time and every arrival less the services before it
+            start = np.maximum(np.maximum.accumulate(g["t"].to_numpy() - own), free) + own
+            free = float(start[-1]) + service if len(g) else free
+            yield pd.DataFrame({"key": k[0], "event_id": g["event_id"], "wait": start - g["t"].to_numpy()})
         state.update((free,))
 
     keyed = events.select(F.col(key).cast("string").alias("key"), "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
