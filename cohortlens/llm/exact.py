@@ -84,7 +84,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", _row_hash("text"))
     norm = src.mapInArrow(_normalise, "id long, th long, n long, start binary, sha binary, norm binary")
     stays = [F.col("n").desc(), F.col("id").asc_nulls_first()]
-    runs = cut(norm.repartitionByRange("start", "sha", *stays).sortWithinPartitions("norm", *stays).mapInArrow(_runs, _RUN_SCHEMA))
+    # start is how norm begins, so this is the order of norm; most comparisons end there and copy no whole texts.
+    runs = cut(norm.repartitionByRange("start", "sha", *stays).sortWithinPartitions("start", "norm", *stays).mapInArrow(_runs, _RUN_SCHEMA))
     ends = runs.filter("kind = 1")
     # At most two runs a partition, without their texts: one task can order them all, and they are broadcast.
     line = Window.orderBy("sha", "part")
