@@ -6,7 +6,7 @@ cluster; they are summed by replicate and score before they are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +43,19 @@ def resampled(clusters: DataFrame, replicates: int, seed: str, counts: Sequence[
     return w.join(clusters, [*strata, "idx"]).groupBy("r").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in counts])
 
 
+def bootstrap(df: DataFrame, cluster: str, counts: dict[str, Column], statistics: dict[str, Callable[[Callable[[str], Column]], Column]], replicates: int, seed: str, level: float = 0.95) -> DataFrame:
+    """(metric, point, low, high, valid) of statistics of summed counts: each is a function of `total`, which gives a count's sum, and is evaluated on all clusters and on every resample. Undefined replicates don't count."""
+    a = (1 - level) / 2
+    clusters = cluster_counts(df, cluster, counts)
+    sums = resampled(clusters, replicates, seed, list(counts)).withColumn("_all", F.lit(False))
+    whole = clusters.agg(*[F.sum(c).alias(c) for c in counts]).withColumns({"r": F.lit(-1), "_all": F.lit(True)})
+    rows = sums.unionByName(whole, allowMissingColumns=True)
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), f(lambda c: F.col(c)).cast("double").alias("v")) for n, f in statistics.items()])
+    long = rows.select("_all", F.explode(each).alias("x")).select("_all", "x.*")
+    drawn = F.when(~F.col("_all"), F.col("v"))
+    return long.groupBy("metric").agg(F.max(F.when(F.col("_all"), F.col("v"))).alias("point"), F.percentile(drawn, F.lit(a)).alias("low"), F.percentile(drawn, F.lit(1 - a)).alias("high"), F.count(drawn).alias("valid"))
+
+
 def interval(stats: DataFrame, statistic: Column, level: float = 0.95) -> DataFrame:
     """One row (low, high, valid): the percentile interval over replicates where the statistic is defined."""
     a = (1 - level) / 2

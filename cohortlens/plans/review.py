@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -12,7 +16,7 @@ from ..operators import report as O
 from ..operators import resampling as B
 from ..operators import similarity as V
 from ..session import shared_dir, ship
-from ..sources import images, workbooks
+from ..sources import archives, documents, images, tables, workbooks
 from .assembly import _HASH, _UNIT, _hashes, _unit
 from .cohort import CASES, evaluated, head_probability, read, sql_draw
 from .statistics import REPLICATES, query, r6, sql_draw32
@@ -150,3 +154,85 @@ def image_scan(spark, d):
 
     files = read(spark, d, "embeddings").select("vec_id").mapInArrow(draw, "path string, content binary")
     return images.measure(files).groupBy("status", "message").agg(F.count("*").alias("n"), r6(F.avg("mean"), "mean"))
+
+
+@own("SELECT CASE WHEN n_nationkey % 5 = 1 THEN 'not json' WHEN n_nationkey % 5 = 2 THEN 'version' WHEN n_nationkey % 5 = 3 THEN 'missing: name' END AS problem, count(*) AS n, CAST(sum(CASE WHEN n_nationkey % 5 IN (0, 4) THEN n_nationkey END) AS BIGINT) AS keys FROM nation GROUP BY 1")
+def json_documents(spark, d):
+    """Documents read by a declared schema and version; what is wrong with the others is told row by row."""
+    k = F.col("n_nationkey")
+    good = F.to_json(F.struct(F.when(k % 5 == 2, 2).otherwise(1).alias("version"), k.alias("key"), F.when(k % 5 != 3, F.col("n_name")).alias("name")))
+    rows = read(spark, d, "nation").select(F.when(k % 5 == 1, F.substring(good, 1, 9)).otherwise(good).alias("text"))
+    v = documents.validated(rows, "text", "version int, key long, name string", 1, ("key", "name"))
+    return v.groupBy("problem").agg(F.count("*").alias("n"), F.sum(F.when(F.col("problem").isNull(), F.col("document.key"))).alias("keys"))
+
+
+@own("WITH m AS (SELECT n_nationkey AS k, n_name || '.png' AS member, n_name AS content FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_nationkey, 'inner.zip/deep/' || n_name || '.PNG', CASE WHEN n_nationkey % 2 = 0 THEN 'same' ELSE n_name END FROM nation WHERE n_regionkey = 1), a AS (SELECT member, 'img_' || substr(sha256(content), 1, 16) || '.png' AS name, false AS sealed FROM m UNION ALL SELECT 'labels.csv', 'img_' || substr(sha256('secret'), 1, 16) || '.csv', true) SELECT member, name, sealed, count(*) OVER (PARTITION BY name) AS copies FROM a")
+def archive_release(spark, d):
+    """Members of an archive in an archive, images named by their contents, labels sealed. The archive is made here of a table of fixed size."""
+    n = read(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows
+
+    def packed(files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in files:
+                z.writestr(name, data)
+        return out.getvalue()
+
+    inner = packed((f"deep/{r['n_name']}.PNG", "same" if r["n_nationkey"] % 2 == 0 else r["n_name"]) for r in n if r["n_regionkey"] == 1)
+    outer = packed([*((f"{r['n_name']}.png", r["n_name"]) for r in n if r["n_regionkey"] == 0), ("inner.zip", inner), ("labels.csv", "secret")])
+    a = archives.release(spark.createDataFrame([("a.zip", bytearray(outer))], "path string, content binary"), r"(?i)\.png$", "img_")
+    return a.select("member", "name", "sealed", F.count("*").over(Window.partitionBy("name")).alias("copies"))
+
+
+@own("SELECT t.name, n.seen, n.seen = 'again' AS reused FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name) t, (VALUES ('first'), ('again')) n(seen)")
+def listed_digests(spark, d):
+    """Files of a folder with their digests; listed again, unchanged ones aren't read a second time. Contents are stood for by the path, as tables may be of any size."""
+    files = tables.listing(spark, d, "*.parquet").withColumn("name", F.regexp_extract("path", r"/([^/]+)\.parquet(/[^/]+)?$", 1))
+    listed = files.groupBy("name").agg(F.min("path").alias("path"), F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
+    contents = listed.select("path", F.col("path").cast("binary").alias("content"))
+    none = listed.limit(0).withColumn("sha256", F.lit(None).cast("string"))
+    first = tables.digests(listed.drop("name"), none, contents)
+    again = tables.digests(listed.drop("name"), first, contents)
+    both = first.withColumn("seen", F.lit("first")).unionByName(again.withColumn("seen", F.lit("again")))
+    return both.join(listed.select("name", F.col("path").alias("p")), F.col("path") == F.col("p")).select("name", "seen", "reused")
+
+
+@own("SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INT) AS place, c_custkey FROM (SELECT c_custkey FROM customer ORDER BY md5(concat_ws('|', 'sub', c_custkey)), c_custkey LIMIT 60)")
+def ordered_subsample(spark, d):
+    """A random sample of 60 rows that keeps the table's order."""
+    c = read(spark, d, "customer").select("c_custkey").orderBy(S.hash_order("sub", F.col("c_custkey")), "c_custkey").limit(60)
+    return c.select(F.row_number().over(Window.orderBy("c_custkey")).alias("place"), "c_custkey")  # 60 rows
+
+
+@own("SELECT * FROM (VALUES ('fresh without limitations', 'limitations'), ('locked without lock', 'lock'), ('development with lock', 'lock'), ('unknown tier', 'tier, lock'), ('no statement', 'statement'), ('complete', ''), ('path /vault', 'reserved'), ('path /vault/labels.csv', 'reserved'), ('path /vaults', 'free')) t(item, problems)")
+def report_contracts(spark, d):
+    """What reports lack, and which paths are reserved."""
+    whole = {"tier": "locked", "statement": "s", "limitations": ["l"], "lock_sha256": "x"}
+    reports = {"fresh without limitations": whole | {"tier": "fresh", "limitations": []}, "locked without lock": whole | {"lock_sha256": None}, "development with lock": whole | {"tier": "development"}, "unknown tier": whole | {"tier": "other"}, "no statement": whole | {"statement": ""}, "complete": whole}
+    rows = [(n, ", ".join(G.report_problems(r))) for n, r in reports.items()]
+    rows += [(f"path {p}", "reserved" if G.is_reserved(p, ["/vault/"]) else "free") for p in ("/vault", "/vault/labels.csv", "/vaults")]
+    return spark.createDataFrame(rows, "item string, problems string")
+
+
+@own("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def utc_timestamps(spark, d):
+    """Times as ISO text."""
+    return read(spark, d, "events").select("event_id", S.utc_iso(F.col("ts")).alias("at"))
+
+
+@own(CASES + f", e AS (SELECT CAST({sql_draw('xb', 'image_id')} AS DOUBLE) / 20000 AS b, CAST({sql_draw('xc', 'image_id')} AS DOUBLE) / 20000 AS c, CAST({sql_draw('xs', 'image_id')} AS DOUBLE) / 10000 AS s FROM ok) SELECT concat_ws('; ', CASE WHEN b > CAST(0.25 AS DOUBLE) THEN 'border' END, CASE WHEN c < CAST(0.1 AS DOUBLE) THEN 'off_field' END, CASE WHEN s > CAST(0.6 AS DOUBLE) THEN 'diffuse' END) AS flags, count(*) AS n FROM e GROUP BY 1")
+def explanation_flag_counts(spark, d):
+    """Quality flags of heat maps from their precomputed shares."""
+    i = F.col("image_id")
+    e = evaluated(spark, d).select(S.explanation_flags(S.draw("xb", i) / 20000.0, S.draw("xc", i) / 20000.0, S.draw("xs", i) / 10000.0).alias("flags"))
+    return e.groupBy("flags").agg(F.count("*").alias("n"))
+
+
+@own("WITH r AS (SELECT 'region' AS name, CAST(CAST(concat('0x', substr(md5(to_json({'r_name': r_name, 'r_regionkey': r_regionkey})), 1, 12)) AS UBIGINT) AS HUGEINT) AS h, r_regionkey AS k FROM region UNION ALL SELECT 'nation', CAST(CAST(concat('0x', substr(md5(to_json({'n_name': n_name, 'n_nationkey': n_nationkey})), 1, 12)) AS UBIGINT) AS HUGEINT), n_nationkey FROM nation) SELECT name, sha256(concat_ws('|', count(*), CAST(sum(h) AS VARCHAR), min(k), max(k))) AS digest, true AS unchanged FROM r GROUP BY 1")
+def baseline_freeze(spark, d):
+    """Sources frozen by digest, whatever their order of rows, and found unchanged."""
+    own_tables = {"region": (read(spark, d, "region").select("r_name", "r_regionkey"), "r_regionkey"), "nation": (read(spark, d, "nation").select("n_name", "n_nationkey"), "n_nationkey")}
+    lock = G.freeze(own_tables, 0, 0)
+    turned = {n: (df.orderBy(F.col(k).desc()), k) for n, (df, k) in own_tables.items()}
+    broken = G.broken_bindings(lock, turned)
+    return spark.createDataFrame([(n, h, n not in broken) for n, h in lock["bindings"].items()], "name string, digest string, unchanged boolean")

@@ -71,12 +71,10 @@ def _boot(spark, d):
 
 @query(_BOOT + ", p AS (SELECT CAST(sum(tp) AS DOUBLE) / sum(pos) AS sens, CAST(sum(tn) AS DOUBLE) / sum(neg) AS spec, CAST(sum(ok_) AS DOUBLE) / sum(n) AS acc FROM cl), s AS (SELECT 'sensitivity' AS metric, CAST(tp AS DOUBLE) / pos AS v FROM b UNION ALL SELECT 'specificity', CAST(tn AS DOUBLE) / neg FROM b UNION ALL SELECT 'accuracy', CAST(ok_ AS DOUBLE) / n FROM b) SELECT metric, round(CASE metric WHEN 'sensitivity' THEN any_value(sens) WHEN 'specificity' THEN any_value(spec) ELSE any_value(acc) END, 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS valid FROM s, p GROUP BY metric")
 def cluster_bootstrap_ci(spark, d):
-    c, b = _boot(spark, d)
     stats = {"sensitivity": ("tp", "pos"), "specificity": ("tn", "neg"), "accuracy": ("ok", "n")}
-    long = b.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), S.ratio(F.col(x), F.col(y)).alias("v")) for k, (x, y) in stats.items()])).alias("s")).select("s.*")
-    point = c.agg(*[S.ratio(F.sum(x), F.sum(y)).alias(k) for k, (x, y) in stats.items()]).select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("point")) for k in stats])).alias("s")).select("s.*")
-    ci = long.groupBy("metric").agg(r6(F.percentile("v", F.lit(0.025)), "low"), r6(F.percentile("v", F.lit(0.975)), "high"), F.count("v").alias("valid"))
-    return point.join(ci, "metric").select("metric", r6("point", "point"), "low", "high", "valid")
+    named = {k: (lambda total, x=x, y=y: S.ratio(total(x), total(y))) for k, (x, y) in stats.items()}
+    out = B.bootstrap(evaluated(spark, d), "group_id", counts(), named, REPLICATES, "boot")
+    return out.select("metric", *[r6(c, c) for c in ("point", "low", "high")], "valid")
 
 
 @query(_BOOT + ", s AS (SELECT CAST(tp2 AS DOUBLE) / pos - CAST(tp AS DOUBLE) / pos AS ds, CAST(tn2 AS DOUBLE) / neg - CAST(tn AS DOUBLE) / neg AS dp FROM b) SELECT round(quantile_cont(ds, 0.025), 6) AS sens_low, round(quantile_cont(ds, 0.975), 6) AS sens_high, round(quantile_cont(dp, 0.025), 6) AS spec_low, round(quantile_cont(dp, 0.975), 6) AS spec_high, quantile_cont(ds, 0.025) > 0 AS better FROM s")

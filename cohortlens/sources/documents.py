@@ -34,3 +34,13 @@ def published(c: Column) -> Column:
 def canonical(*columns: str) -> Column:
     """JSON with sorted keys, as input of a digest."""
     return F.to_json(F.struct(*sorted(columns)))
+
+
+def validated(rows: DataFrame, text: str, schema: str, version: int, required: tuple[str, ...]) -> DataFrame:
+    """rows with `document`, parsed by schema (which has a `version`), and `problem`: "not json", "version", "missing: names", or null."""
+    d = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    parsed = rows.withColumn("document", d)
+    missing = F.filter(F.array(*[F.when(F.col(f"document.{r}").isNull(), F.lit(r)) for r in required]), lambda x: x.isNotNull())
+    broken = F.get_json_object(text, "$").isNull()
+    problem = F.when(broken, "not json").when(~F.col("document.version").eqNullSafe(F.lit(version)), "version").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    return parsed.withColumn("problem", problem)

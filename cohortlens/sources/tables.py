@@ -47,3 +47,11 @@ def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 def name_list(spark: SparkSession, path: str) -> DataFrame:
     """(name) of a text file's lines, without comments and blank ones."""
     return spark.read.text(path).select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("name")).filter("name <> ''")
+
+
+def digests(listed: DataFrame, cached: DataFrame, contents: DataFrame) -> DataFrame:
+    """(path, length, modificationTime, sha256, reused) of listed files: a cached digest holds while length and time are as they were, the others are computed from contents (path, content), which is read for no other file."""
+    same = ["path", "length", "modificationTime"]
+    known = listed.join(cached.select(*same, "sha256"), same, "left")
+    new = known.filter("sha256 IS NULL").drop("sha256").join(contents.select("path", F.sha2("content", 256).alias("sha256")), "path").select(*same, "sha256", F.lit(False).alias("reused"))
+    return known.filter("sha256 IS NOT NULL").select(*same, "sha256", F.lit(True).alias("reused")).unionByName(new)
