@@ -5,7 +5,8 @@ are the tiles' keys; the order puts members that many documents have last, by a
 a passage in many documents doesn't draw them into one tile. Of a pair, the smaller set needs even fewer first members,
 which are marked. A tile holds documents of one size band, and is paired with itself and the band below. First each document
 of a tile is paired with the tile's first; links found so shrink groups of near copies to components, and then only pairs
-across components remain. The number of links is then counted inside the components, where all links lie: their distinct
+across components remain. Members that very many documents have are dealt in parts: the parts' firsts are paired with one
+another, and what remains across components is paired part by part. The number of links is then counted inside the components, where all links lie: their distinct
 sets are compared by pairs of blocks, each set weighted by its rows, and only counts leave a task. Parity bitmaps bound a pair's overlap from above by their differing bits: short ones inside the
 tiles, longer ones by the pair. What passes is decided by the exact intersection of the sorted sets.
 """
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -35,6 +36,8 @@ BAND = 1.34
 TILE_BITS = 1024
 #: Documents named in candidate pairs, up to which their identifiers are broadcast; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Rows of a member in one task, about; beyond, it is dealt in parts. The sketch says which members those are.
+PART_ROWS = 50_000
 #: Of a component, so many sets or shingles make a block; each pair of blocks is compared by itself to count links.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -113,13 +116,19 @@ def _add(key, rows):
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_packed(total)], pa.binary())})
 
 
-def frequency_levels(src: DataFrame) -> np.ndarray:
-    """For each cell of the sketch, how far above the mean its count is, in powers of two; 0 for nearly all."""
+def frequency_levels(src: DataFrame) -> tuple[np.ndarray, float]:
+    """For each cell of the sketch, how far above the mean its count is, in powers of two; 0 for nearly all. And the count up to which a cell has level 0."""
     counts = np.zeros(1 << CELLS_LOG2, np.uint32)
     for r in src.mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect():  # 2**23 counts, whatever the input
         own = _unpacked(r["counts"])
         counts[r["slice"] * len(own) : (r["slice"] + 1) * len(own)] = own
-    return np.floor(np.log2(1 + counts / (FREQUENT * (counts.mean() + 2)))).astype(np.uint8)
+    usual = float(FREQUENT * (counts.mean() + 2))
+    return np.floor(np.log2(1 + counts / usual)).astype(np.uint8), usual
+
+
+def parts_of(level: np.ndarray, usual: float, rows: float) -> np.ndarray:
+    """In how many parts of so many rows members of these levels are dealt, the same for a member wherever it occurs; 1 where the sketch shows nothing unusual."""
+    return np.where(level > 0, np.maximum(1, np.ceil(usual * (2.0 ** (level.astype(float) + 1) - 1) / rows)), 1).astype(np.int64)
 
 
 def _describe(batches):
@@ -130,14 +139,14 @@ def _describe(batches):
 
 
 def _prefixes(levels):
-    """(member, band, key, size, marked) for the first members of each set; of equal sets that a task sees, only for one.
+    """(member, part, band, key, size, marked) for the first members of each set; of equal sets that a task sees, only for one.
 
     A set that is at least as large as another and links with it shares one of its own first 1 - t members with it; the
     smaller set has it among its first 1 - 2t / (1 + t), which are marked.
     """
 
     def run(batches):
-        level, seen = levels.value, set()
+        (level, usual, rows), seen = levels.value, set()
         for b in batches:
             cols = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -148,24 +157,27 @@ def _prefixes(levels):
                     seen.add(d)
                 first = len(s) - -(-PERCENT * len(s) // 100) + 1
                 own = level[_cells(s)]
-                s = s[np.lexsort((s, own))][:first] if own.any() else s[:first]
+                order = np.lexsort((s, own))[:first] if own.any() else np.arange(first)
+                s, own_parts = s[order], parts_of(own[order], usual, rows)
+                part = (int.from_bytes(d[:6], "little") % own_parts).astype(np.int32)
                 marked = np.arange(first) < len(own) - -(-2 * PERCENT * len(own) // (100 + PERCENT)) + 1
-                cols.append((s.view(np.int64), np.full(first, int(np.log(len(own)) / np.log(BAND)), np.int32), np.full(first, key, np.int64), np.full(first, len(own), np.int64), marked.astype(np.int8)))
+                cols.append((s.view(np.int64), np.where(own_parts > 1, part, -1).astype(np.int32), np.full(first, int(np.log(len(own)) / np.log(BAND)), np.int32), np.full(first, key, np.int64), np.full(first, len(own), np.int64), marked.astype(np.int8)))
             if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], ["member", "band", "key", "size", "marked"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], ["member", "part", "band", "key", "size", "marked"])
 
     return run
 
 
-def _grouped(batches, most: int = 200_000):
-    """Arrays of whole groups (rows with equal first column), some at a time."""
+def _grouped(batches, keys: int, most: int = 200_000):
+    """Arrays of whole groups (rows with equal first columns, so many), some at a time."""
     held, n = [], 0
     for b in batches:
         held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
         n += b.num_rows
         if n > most:
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            end = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            other = np.flatnonzero(np.any([c != c[-1] for c in cols[:keys]], axis=0))
+            end = int(other[-1]) + 1 if len(other) else 0
             if end:
                 yield [c[:end] for c in cols]
             held, n = [[c[end:] for c in cols]], len(cols[0]) - end
@@ -188,51 +200,64 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
+_STARS = "kind tinyint, a long, b long, member long, part int, band int, size long, marked tinyint"
+
+
 def _stars(batches):
-    """Kind 0: each document paired with the first of its tile and of the tile of the band below. Kind 1: the rows of members with three documents or more."""
-    for member, band, key, size, marked in _grouped(batches):
-        new = np.concatenate([[True], member[1:] != member[:-1]])
+    """Kind 0: each document paired with the first of its tile and of the tile of the band below. Kind 1: the rows of members with three documents or more, and of all that are dealt in parts. Kind 2: the firsts of the tiles of a part."""
+    names = [c.split()[0] for c in _STARS.split(", ")]
+
+    def batch(kind, a, b, *rest):
+        n = len(a)
+        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int8())]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b), *([pa.array(c) for c in rest] or none)], names)
+
+    for member, part, band, key, size, marked in _grouped(batches, 2):
+        new = np.concatenate([[True], (member[1:] != member[:-1]) | (part[1:] != part[:-1])])
         group = np.cumsum(new) - 1
         m = np.bincount(group)[group]
-        keep = m > 1
-        member, band, key, size, marked, m = (x[keep] for x in (member, band, key, size, marked, m))
+        keep = (m > 1) | (part >= 0)
+        member, part, band, key, size, marked, m = (x[keep] for x in (member, part, band, key, size, marked, m))
         if not len(member):
             continue
-        new = np.concatenate([[True], (member[1:] != member[:-1]) | (band[1:] != band[:-1])])
+        same = (member[1:] == member[:-1]) & (part[1:] == part[:-1])
+        new = np.concatenate([[True], ~same | (band[1:] != band[:-1])])
         tile, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        below = np.concatenate([[-1], np.where((member[first[1:]] == member[first[:-1]]) & (band[first[1:]] == band[first[:-1]] + 1), first[:-1], -1)])[tile]
+        follows = (member[first[1:]] == member[first[:-1]]) & (part[first[1:]] == part[first[:-1]]) & (band[first[1:]] == band[first[:-1]] + 1)
+        below = np.concatenate([[-1], np.where(follows, first[:-1], -1)])[tile]
         at = np.arange(len(member))
         x, y = np.concatenate([at, at[below >= 0]]), np.concatenate([first[tile], below[below >= 0]])
         # the first of a tile, too, against all of the band below
         up = np.full(len(first), -1)
-        up[:-1] = np.where((member[first[1:]] == member[first[:-1]]) & (band[first[1:]] == band[first[:-1]] + 1), first[1:], -1)
+        up[:-1] = np.where(follows, first[1:], -1)
         up = up[tile]
         x, y = np.concatenate([x, at[up >= 0]]), np.concatenate([y, up[up >= 0]])
         fit = _fit(x, y, key, size, marked)
         a, b = _pairs(key[x[fit]], key[y[fit]])
-        none = lambda n, t: pa.nulls(n, t)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a), pa.int64()), none(len(a), pa.int32()), none(len(a), pa.int64()), none(len(a), pa.int8())], ["a", "b", "member", "band", "size", "marked"])
-        if (rest := m > 2).any():
-            n = int(rest.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(key[rest]), none(n, pa.int64()), pa.array(member[rest]), pa.array(band[rest]), pa.array(size[rest]), pa.array(marked[rest])], ["a", "b", "member", "band", "size", "marked"])
+            yield batch(0, a, b)
+        if (rest := (m > 2) | (part >= 0)).any():
+            yield batch(1, key[rest], None, member[rest], part[rest], band[rest], size[rest], marked[rest])
+        if len(heads := first[part[first] >= 0]):
+            yield batch(2, key[heads], None, member[heads], part[heads], band[heads], size[heads], marked[heads])
 
 
 def _across(batches):
-    """The pairs of a member's documents in one band or neighbouring ones that lie in different components and whose bitmaps may link."""
+    """The pairs of a member's documents in one band or neighbouring ones that lie in different components and whose bitmaps may link; of two parts, the pairs between them."""
     out_a, out_b, n = [], [], 0
 
     def batch():
         a, b = _pairs(np.concatenate(out_a), np.concatenate(out_b))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    for member, band, key, size, marked, comp, sig in _grouped(batches, 50_000):
+    for member, lo, hi, band, key, size, marked, comp, own, sig in _grouped(batches, 3, 50_000):
         sig = np.frombuffer(b"".join(sig.tolist()), np.uint64).reshape(len(key), -1)
-        cuts = [*np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]])).tolist(), len(member)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for i in range(lo, hi):
-                to = np.arange(i + 1, int(np.searchsorted(band[lo:hi], band[i] + 1, "right")) + lo)
-                to = to[comp[to] != comp[i]]
+        cuts = [*np.flatnonzero(np.concatenate([[True], (member[1:] != member[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])).tolist(), len(member)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            two = lo[start] != hi[start]
+            for i in range(start, stop):
+                to = np.arange(i + 1, int(np.searchsorted(band[start:stop], band[i] + 1, "right")) + start)
+                to = to[(comp[to] != comp[i]) & ((own[to] != own[i]) if two else True)]
                 to = to[_fit(np.full(len(to), i), to, key, size, marked)]
                 apart = np.bitwise_count(sig[to] ^ sig[i]).sum(1, dtype=np.int64)
                 to = to[links((size[to] + size[i] - apart) // 2, size[to], size[i])]
@@ -363,23 +388,28 @@ def _linked(docs: DataFrame, id_col: str, text_col: str):
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    levels = spark.sparkContext.broadcast(frequency_levels(src))  # 8 MB
+    levels = spark.sparkContext.broadcast((*frequency_levels(src), PART_ROWS))  # 8 MB
     info = cut(src.mapInArrow(_describe, "key long, th long, size long, digest binary, sig binary, tile_sig binary"))
-    order = ["member", "band", "key"]
-    rows = src.mapInArrow(_prefixes(levels), "member long, band int, key long, size long, marked tinyint").repartition("member").sortWithinPartitions(*order)
-    tiles = cut(rows.mapInArrow(_stars, "a long, b long, member long, band int, size long, marked tinyint"))
-    del rows
+    tile = ["member", "part"]
+    order = [*tile, "band", "key"]
+    rows = src.mapInArrow(_prefixes(levels), "member long, part int, band int, key long, size long, marked tinyint")
+    tiles = cut(rows.repartition(*tile).sortWithinPartitions(*order).mapInArrow(_stars, _STARS))
+    heads = tiles.filter("kind = 2").select("member", F.lit(-1).alias("part"), "band", F.col("a").alias("key"), "size", "marked")  # a few rows a part
+    between = heads.repartition("member").sortWithinPartitions(*order).mapInArrow(_stars, _STARS)
     filled = info.filter("size > 0")
     same = filled.groupBy("digest").agg(F.min("key").alias("head"))
     copies = filled.join(same, "digest").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    tested = tiles.filter("b is not null").select("a", "b").distinct()
+    tested = tiles.unionByName(between).filter("kind = 0").select("a", "b").distinct()
     found = _verified(tested, filled, src)
     parts = components(found.unionByName(copies))
-    rest = tiles.filter("b is null").select("member", "band", F.col("a").alias("key"), "size", "marked").join(parts.withColumnRenamed("node", "key"), "key", "left")
-    rest = rest.withColumn("comp", F.coalesce("component", "key")).drop("component")
-    whole = Window.partitionBy("member")
-    rest = rest.withColumns({"low": F.min("comp").over(whole), "high": F.max("comp").over(whole)}).filter("low < high").drop("low", "high")
-    rest = rest.join(filled.select("key", "tile_sig"), "key").select("member", "band", "key", "size", "marked", "comp", "tile_sig").repartition("member").sortWithinPartitions(*order)
+    rest = tiles.filter("kind = 1").select("member", "part", "band", F.col("a").alias("key"), "size", "marked").join(parts.withColumnRenamed("node", "key"), "key", "left")
+    rest = cut(rest.withColumn("comp", F.coalesce("component", "key")).drop("component"))
+    open_ = rest.groupBy(F.col("member").alias("of")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high")
+    rest = rest.join(open_.select("of", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")), F.col("member") == F.col("of"))
+    rest = rest.join(filled.select(F.col("key").alias("k"), "tile_sig"), F.col("key") == F.col("k"))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = ["member", "lo", "hi"]
+    rest = rest.select("member", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band", "key", "size", "marked", "comp", "own", "tile_sig").repartition(*pair).sortWithinPartitions(*pair, "band", "key")
     more = _verified(rest.mapInArrow(_across, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), filled, src)
     if not more.isEmpty():
         found = found.unionByName(more)

@@ -225,6 +225,15 @@ def test_jaccard_join(docs, nothing, odd):
     assert sorted((r["id"] or -1, r["component_id"] or -1) for r in jaccard.join(odd).collect()) == [(-1, -1), (-1, -1), (1, -1), (1, -1), (2, 2), (2, 2)]
 
 
+def test_jaccard_join_in_parts(docs, odd, monkeypatch):
+    """Every member dealt in several parts."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 0.01)
+    monkeypatch.setattr(jaccard, "PART_ROWS", 0.3)
+    assert (jaccard.parts_of(np.array([0, 1, 5]), 0.02, 0.3) == [1, 1, 5]).all()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs).collect()} == brute_links(TEXTS)
+    assert sorted((r["id"] or -1, r["component_id"] or -1) for r in jaccard.join(odd).collect()) == [(-1, -1), (-1, -1), (1, -1), (1, -1), (2, 2), (2, 2)]
+
+
 def test_shingles_and_bounds():
     assert len(jaccard.shingles("A b c")) == 1 and jaccard.shingles("A b c").tolist() == jaccard.shingles("a  B\tC ").tolist()
     assert len(jaccard.shingles(None)) == len(jaccard.shingles(" \n")) == 0 and len(jaccard.shingles("a b c d e f")) == 2
