@@ -52,4 +52,5 @@ def coverage_risk(df: DataFrame, confidence: Column, correct: Column, grid: Sequ
     """(threshold, accepted, coverage, risk): what is kept at each confidence and how much of it is wrong. One pass; the grid is a literal array."""
     per = df.select(confidence.alias("c"), correct.alias("ok"), F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("threshold"))
     kept = F.col("c") >= F.col("threshold")
-    return per.groupBy("threshold").agg(F.count_if(kept).alias("accepted"), F.avg(kept.cast("double")).alias("coverage"), ratio(F.count_if(kept & ~F.col("ok")), F.count_if(kept)).alias("risk"))
+    return per.groupBy("threshold").agg(F.count_if(kept).alias("accepted"), F.avg(kept.cast("double")).alias("coverage"),
+        ratio(F.count_if(kept & ~F.col("ok")), F.count_if(kept)).alias("risk"))

@@ -28,11 +28,13 @@ def histogram_ranking(h: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, aupr, auc); pairs within a bin count half."""
     t = tails(h, by)
     share = ratio(F.col("pos"), F.col("all_pos"))
-    return t.groupBy(*by).agg(F.sum(share * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("aupr"), F.sum(share * F.try_divide(F.col("all_neg") - F.col("fp") + F.col("neg") / 2.0, F.col("all_neg"))).alias("auc"))
+    return t.groupBy(*by).agg(F.sum(share * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("aupr"),
+        F.sum(share * F.try_divide(F.col("all_neg") - F.col("fp") + F.col("neg") / 2.0, F.col("all_neg"))).alias("auc"))
 
 
 def best_dice(h: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, best_bin, best_dice, best_iou): the first of the best cuts."""
     t = tails(h, by)
     dice = ratio(2 * F.col("tp"), F.col("all_pos") + F.col("tp") + F.col("fp"))
-    return t.groupBy(*by).agg(F.max_by("bin", F.struct(F.round(dice, 9), -F.col("bin"))).alias("best_bin"), F.max(dice).alias("best_dice"), F.max(ratio(F.col("tp"), F.col("all_pos") + F.col("fp"))).alias("best_iou"))
+    return t.groupBy(*by).agg(F.max_by("bin", F.struct(F.round(dice, 9), -F.col("bin"))).alias("best_bin"), F.max(dice).alias("best_dice"),
+        F.max(ratio(F.col("tp"), F.col("all_pos") + F.col("fp"))).alias("best_iou"))

@@ -34,7 +34,8 @@ def in_hash_order(df: DataFrame, by: Sequence[str], order: Column, tie: str, siz
     rows = rows.withColumn("_bucket", F.substring("_h", 1, buckets_hex))
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), F.sum("_size").alias("_s"))
-    held = held.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_at"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_s0"))
+    held = held.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_at"),
+        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_s0"))
     same = F.col("_bucket") == F.col("_at")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))

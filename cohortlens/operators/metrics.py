@@ -26,7 +26,8 @@ def confusion(df: DataFrame, truth: str, pred: str, classes: int = 5, by: Sequen
     same = F.col("id").eqNullSafe(F.col("_cell"))
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return grid.join(n, same, "left").select(*by, F.floor(F.col("id") / classes).cast("int").alias("truth"), (F.col("id") % classes).cast("int").alias("pred"), F.coalesce("n", F.lit(0)).alias("n"))
+    return grid.join(n, same, "left").select(*by, F.floor(F.col("id") / classes).cast("int").alias("truth"),
+        (F.col("id") % classes).cast("int").alias("pred"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def qwk(matrix: DataFrame, classes: int = 5, by: Sequence[str] = ()) -> DataFrame:
@@ -54,13 +55,15 @@ def per_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, grade, support, recall, precision, specificity, f1): f1 is 0 where recall and precision are both 0, null only where both are undefined."""
     total = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     m = matrix.withColumn("t", F.sum("n").over(total))
-    rows = m.groupBy(*by, F.col("truth").alias("grade")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"), F.max("t").alias("t"))
+    rows = m.groupBy(*by, F.col("truth").alias("grade")).agg(F.sum("n").alias("support"),
+        F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"), F.max("t").alias("t"))
     cols = matrix.groupBy(*by, F.col("pred").alias("grade")).agg(F.sum("n").alias("called"))
     out = rows.join(cols, [*by, "grade"])
     fp = F.col("called") - F.col("tp")
     recall, precision = ratio(F.col("tp"), F.col("support")), ratio(F.col("tp"), F.col("called"))
     f1 = F.when(recall.isNull() & precision.isNull(), None).otherwise(F.coalesce(ratio(2 * F.col("tp"), F.col("support") + F.col("called")), F.lit(0.0)))
-    return out.select(*by, "grade", "support", recall.alias("recall"), precision.alias("precision"), ratio(F.col("t") - F.col("support") - fp, F.col("t") - F.col("support")).alias("specificity"), f1.alias("f1"))
+    return out.select(*by, "grade", "support", recall.alias("recall"), precision.alias("precision"),
+        ratio(F.col("t") - F.col("support") - fp, F.col("t") - F.col("support")).alias("specificity"), f1.alias("f1"))
 
 
 def macro_f1(per_class_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -77,20 +80,24 @@ def rates(df: DataFrame, truth: Column, positive: Column, by: Sequence[str] = ()
 
 def with_rates(n: DataFrame) -> DataFrame:
     tp, fn, tn, fp = (F.col(c) for c in ("tp", "fn", "tn", "fp"))
-    return n.withColumns({"sensitivity": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "ppv": ratio(tp, tp + fp), "npv": ratio(tn, tn + fn), "accuracy": ratio(tp + tn, tp + fn + tn + fp), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+    return n.withColumns({"sensitivity": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "ppv": ratio(tp, tp + fp), "npv": ratio(tn, tn + fn),
+        "accuracy": ratio(tp + tn, tp + fn + tn + fp), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
 def agreement(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, accuracy, mae, within_one, off_by_two)."""
     d = F.abs(F.col(truth) - F.col(pred))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((d == 0).cast("double")).alias("accuracy"), F.avg(d.cast("double")).alias("mae"), F.avg((d <= 1).cast("double")).alias("within_one"), F.count_if(d >= 2).alias("off_by_two"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((d == 0).cast("double")).alias("accuracy"), F.avg(d.cast("double")).alias("mae"),
+        F.avg((d <= 1).cast("double")).alias("within_one"), F.count_if(d >= 2).alias("off_by_two"))
 
 
 def verification(rates_row: DataFrame, sensitivity: float, specificity: float) -> DataFrame:
     """Rates with Wilson intervals and pass flags, by the point and by the lower bound."""
     slo, shi = wilson(F.col("tp"), F.col("tp") + F.col("fn"))
     plo, phi = wilson(F.col("tn"), F.col("tn") + F.col("fp"))
-    return rates_row.withColumns({"sens_low": slo, "sens_high": shi, "spec_low": plo, "spec_high": phi}).withColumns({"passes": (F.col("sensitivity") >= sensitivity) & (F.col("specificity") >= specificity), "passes_low": (F.col("sens_low") >= sensitivity) & (F.col("spec_low") >= specificity)})
+    return rates_row.withColumns({"sens_low": slo, "sens_high": shi, "spec_low": plo,
+        "spec_high": phi}).withColumns({"passes": (F.col("sensitivity") >= sensitivity) & (F.col("specificity") >= specificity),
+        "passes_low": (F.col("sens_low") >= sensitivity) & (F.col("spec_low") >= specificity)})
 
 
 def batch_summary(df: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def floor_threshold(roc_rows: DataFrame, floor: float) -> DataFrame:
     """(cut, sens, spec) of a roc table: the largest sensitivity whose specificity keeps the floor, then the best specificity. The cut lies midway to the next lower score."""
     sens, spec = ratio(F.col("tp"), F.col("all_pos")), ratio(F.col("all_neg") - F.col("fp"), F.col("all_neg"))
     best = roc_rows.agg(F.max(F.when(spec >= F.lit(floor), F.struct(F.round(sens, 9).alias("a"), F.round(spec, 9).alias("b"), F.col("score").alias("s")))).alias("x"))
-    below = roc_rows.crossJoin(F.broadcast(best.select("x.*"))).agg(F.max(F.when(F.col("score") < F.col("s"), F.col("score"))).alias("p"), F.first("a").alias("sens"), F.first("b").alias("spec"), F.first("s").alias("s"))  # one row
+    below = roc_rows.crossJoin(F.broadcast(best.select("x.*"))).agg(F.max(F.when(F.col("score") < F.col("s"), F.col("score"))).alias("p"),
+        F.first("a").alias("sens"), F.first("b").alias("spec"), F.first("s").alias("s"))  # one row
     return below.select(((F.col("s") + F.coalesce("p", "s")) / 2).alias("cut"), "sens", "spec")
 
 
@@ -60,7 +61,8 @@ def select_rule(rules: DataFrame, preference: Sequence[str], tolerance: float =
     """(rule, p_both, worst, constrained) of rules (site, rule, p_both, sensitivity): of the rules whose mean sensitivity reaches the least at every site, the first in order of preference within tolerance of the best mean p_both; if none does, the rule with the highest worst sensitivity."""
     m = rules.groupBy("rule").agg(F.avg("p_both").alias("p_both"), F.min("sensitivity").alias("worst"))
     whole = Window.partitionBy(F.lit(1))  # a row a rule
-    m = m.withColumn("fits", F.round("worst", 9) >= least_sensitivity).withColumns({"constrained": F.max("fits").over(whole), "best": F.max(F.when(F.col("fits"), F.col("p_both"))).over(whole)})
+    m = m.withColumn("fits", F.round("worst", 9) >= least_sensitivity).withColumns({"constrained": F.max("fits").over(whole),
+        "best": F.max(F.when(F.col("fits"), F.col("p_both"))).over(whole)})
     rank = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col("rule")).cast("double")
     fit = F.col("fits") & (F.round(F.col("p_both") - F.col("best"), 9) >= -tolerance)
     key = F.when(F.col("constrained"), F.when(fit, -rank)).otherwise(F.round("worst", 9))

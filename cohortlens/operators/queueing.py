@@ -85,7 +85,8 @@ def time_weighted_mean(df: DataFrame, by: Sequence[str], t: str, value: str, hor
     rows = cut(df.select(*by, F.col(t).alias("_t"), F.col(value).alias("_v")).repartitionByRange(*by, "_t").sortWithinPartitions(*by, "_t").withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy("_part", *by).orderBy("_t")
     step = F.lead("_t").over(w) - F.col("_t")
-    held = rows.withColumn("_w", step).groupBy("_part", *by).agg(F.sum(F.col("_v") * F.col("_w")).alias("_a"), F.sum("_w").alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_end"), F.max_by("_v", "_t").alias("_last"), F.max("_v").alias("_peak"))
+    held = rows.withColumn("_w", step).groupBy("_part", *by).agg(F.sum(F.col("_v") * F.col("_w")).alias("_a"), F.sum("_w").alias("_n"),
+        F.min("_t").alias("_first"), F.max("_t").alias("_end"), F.max_by("_v", "_t").alias("_last"), F.max("_v").alias("_peak"))
     parts = Window.partitionBy(*by).orderBy("_part")  # a row a group and partition
     held = held.withColumn("_to", F.coalesce(F.lead("_first").over(parts), F.lit(horizon)) - F.col("_end"))
     total = F.sum(F.coalesce("_a", F.lit(0.0)) + F.col("_last") * F.col("_to"))
@@ -129,7 +130,8 @@ def simulate(w: Workflow) -> dict:
     One shared queue with feedback is sequential: each event depends on all before. What runs in parallel are scenarios and,
     for a larger population, independent sites or replicates, each a scenario with its own patients and seed.
     """
-    st = {"acquire": _Station(w.acquisition, 1), "recapture": _Station(w.recapture, w.patients), "upload": _Station(w.upload, 1), "infer": _Station(w.inference, 1), "review": _Station(w.review, w.clinicians)}
+    st = {"acquire": _Station(w.acquisition, 1), "recapture": _Station(w.recapture, w.patients), "upload": _Station(w.upload, 1),
+        "infer": _Station(w.inference, 1), "review": _Station(w.review, w.clinicians)}
     out = dict.fromkeys(("generated", "completed", "reviewed", "abandoned", "exhausted", "attempts_started", "quality_checks", "recapture_returns"), 0)
     calendar: list[tuple] = []
     order = 0
@@ -193,7 +195,8 @@ def simulate(w: Workflow) -> dict:
             out["reviewed"] += 1
     out["in_system"] = sum(len(s.queue) + s.servers - s.free for s in st.values())  # who waits, and who is served
     rev = st["review"]
-    out |= {"recapture_pending": len(st["recapture"].queue) + (max(1, w.patients) - st["recapture"].free), "max_review_queue": rev.peak, "review_wait": sum(rev.waits) / len(rev.waits) if rev.waits else None, "clinician_utilisation": rev.busy / (w.horizon * w.clinicians)}
+    out |= {"recapture_pending": len(st["recapture"].queue) + (max(1, w.patients) - st["recapture"].free), "max_review_queue": rev.peak,
+        "review_wait": sum(rev.waits) / len(rev.waits) if rev.waits else None, "clinician_utilisation": rev.busy / (w.horizon * w.clinicians)}
     return out
 
 

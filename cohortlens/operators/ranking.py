@@ -29,7 +29,8 @@ def running(scores: DataFrame, by: Sequence[str], score: str, columns: Sequence[
     step = F.col("_slice").desc() if descending else F.col("_slice").asc()
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # a row a slice
     ahead = whole.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_slice").alias("_at"), *[x for c in columns for x in (F.coalesce(F.sum(f"_s_{c}").over(ahead), F.lit(0)).alias(f"_0_{c}"), F.sum(f"_s_{c}").over(whole).alias(f"all_{c}"))])
+    held = held.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_slice").alias("_at"),
+        *[x for c in columns for x in (F.coalesce(F.sum(f"_s_{c}").over(ahead), F.lit(0)).alias(f"_0_{c}"), F.sum(f"_s_{c}").over(whole).alias(f"all_{c}"))])
     same = F.col("_slice").eqNullSafe(F.col("_at"))
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))

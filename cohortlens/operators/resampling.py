@@ -33,7 +33,8 @@ def cluster_counts(df: DataFrame, cluster: str, counts: dict[str, Column], strat
 def weights(clusters: DataFrame, replicates: int, seed: str, strata: Sequence[str] = ()) -> DataFrame:
     """(strata, r, idx, w): how often a replicate draws a cluster; as many draws as clusters, within strata. Replicates are dealt to tasks before they draw, and stay there."""
     sizes = clusters.select(*strata, "n_clusters").distinct()
-    d = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).repartition(*strata, "r").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_clusters") - 1)).alias("j"))
+    d = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).repartition(*strata, "r").select("*",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_clusters") - 1)).alias("j"))
     return d.withColumn("idx", draw32(seed, *[F.col(s) for s in strata], F.col("r"), F.col("j")) % F.col("n_clusters")).groupBy(*strata, "r", "idx").agg(F.count("*").alias("w"))
 
 
@@ -43,7 +44,8 @@ def resampled(clusters: DataFrame, replicates: int, seed: str, counts: Sequence[
     return w.join(clusters, [*strata, "idx"]).groupBy("r").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in counts])
 
 
-def bootstrap(df: DataFrame, cluster: str, counts: dict[str, Column], statistics: dict[str, Callable[[Callable[[str], Column]], Column]], replicates: int, seed: str, level: float = 0.95) -> DataFrame:
+def bootstrap(df: DataFrame, cluster: str, counts: dict[str, Column], statistics: dict[str, Callable[[Callable[[str], Column]], Column]],
+    replicates: int, seed: str, level: float = 0.95) -> DataFrame:
     """(metric, point, low, high, valid) of statistics of summed counts: each is a function of `total`, which gives a count's sum, and is evaluated on all clusters and on every resample. Undefined replicates don't count."""
     a = (1 - level) / 2
     clusters = cluster_counts(df, cluster, counts)
@@ -53,7 +55,8 @@ def bootstrap(df: DataFrame, cluster: str, counts: dict[str, Column], statistics
     each = F.array(*[F.struct(F.lit(n).alias("metric"), f(lambda c: F.col(c)).cast("double").alias("v")) for n, f in statistics.items()])
     long = rows.select("_all", F.explode(each).alias("x")).select("_all", "x.*")
     drawn = F.when(~F.col("_all"), F.col("v"))
-    return long.groupBy("metric").agg(F.max(F.when(F.col("_all"), F.col("v"))).alias("point"), F.percentile(drawn, F.lit(a)).alias("low"), F.percentile(drawn, F.lit(1 - a)).alias("high"), F.count(drawn).alias("valid"))
+    return long.groupBy("metric").agg(F.max(F.when(F.col("_all"), F.col("v"))).alias("point"), F.percentile(drawn, F.lit(a)).alias("low"),
+        F.percentile(drawn, F.lit(1 - a)).alias("high"), F.count(drawn).alias("valid"))
 
 
 def interval(stats: DataFrame, statistic: Column, level: float = 0.95) -> DataFrame:
@@ -90,7 +93,8 @@ def drawn_clusters(df: DataFrame, cluster: str, size: int, draws: int, seed: str
     return first.withColumn("_before", before).filter(F.col("_before") < size).select(*by, "r", cluster)
 
 
-def calibration_draws(df: DataFrame, cluster: str, positive: Column, score: str, size: int, draws: int, seed: str, rules: dict[str, tuple[float, bool]], frozen: float, by: Sequence[str], least: int = 5, keep_specificity: float = 0.85) -> DataFrame:
+def calibration_draws(df: DataFrame, cluster: str, positive: Column, score: str, size: int, draws: int, seed: str,
+    rules: dict[str, tuple[float, bool]], frozen: float, by: Sequence[str], least: int = 5, keep_specificity: float = 0.85) -> DataFrame:
     """(by, r, rule, cut, sensitivity, specificity): a cut is fitted on each drawn sample by each rule, and judged on the group's other rows.
 
     A rule is (target, keep): the highest cut whose sample sensitivity reaches the target, a hair below a positive's score;
@@ -111,14 +115,16 @@ def calibration_draws(df: DataFrame, cluster: str, positive: Column, score: str,
             own = F.when(passes, F.lit(frozen)).otherwise(own)
         return F.when((F.size("p") < least) | (F.size("q") < least), F.lit(frozen)).otherwise(own)
 
-    s = s.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), fitted(*rule).alias("cut")) for n, rule in rules.items()])).alias("x")).select(*by, "r", "x.rule", "x.cut", "p", "q")
+    s = s.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), fitted(*rule).alias("cut")) for n,
+        rule in rules.items()])).alias("x")).select(*by, "r", "x.rule", "x.cut", "p", "q")
     s = s.select(*by, "r", "rule", "cut", F.size("p").alias("n_p"), F.size("q").alias("n_q"), reach("p", F.col("cut")).alias("c_p"), reach("q", F.col("cut")).alias("c_q"))
     # Distinct scores and cuts in one line, scores first where they tie: at a cut, what is called so far.
     table = d.groupBy(*by, F.col("score").alias("x")).agg(F.count_if("pos").alias("pos"), F.count_if(~F.col("pos")).alias("neg"))
     line = Window.partitionBy(*by).orderBy(F.col("x").desc(), "kind")
     whole = Window.partitionBy(*by)
     at = table.withColumn("kind", F.lit(0)).unionByName(s.select(*by, F.col("cut").alias("x"), F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(1).alias("kind")).distinct())
-    at = at.withColumns({"a_p": F.sum("pos").over(line), "a_q": F.sum("neg").over(line), "t_p": F.sum("pos").over(whole), "t_q": F.sum("neg").over(whole)}).filter("kind = 1").select(*by, F.col("x").alias("cut"), "a_p", "a_q", "t_p", "t_q")
+    at = at.withColumns({"a_p": F.sum("pos").over(line), "a_q": F.sum("neg").over(line), "t_p": F.sum("pos").over(whole),
+        "t_q": F.sum("neg").over(whole)}).filter("kind = 1").select(*by, F.col("x").alias("cut"), "a_p", "a_q", "t_p", "t_q")
     out = s.join(at, [*by, "cut"])
     sensitivity = ratio(F.col("a_p") - F.col("c_p"), F.col("t_p") - F.col("n_p"))
     specificity = 1 - ratio(F.col("a_q") - F.col("c_q"), F.col("t_q") - F.col("n_q"))

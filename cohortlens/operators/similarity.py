@@ -93,7 +93,8 @@ def top_k(queries: DataFrame, reference: DataFrame, k: int, width: int | None =
         a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"query": pa.array(a), "ref": pa.array(b), "similarity": pa.array(s)})
 
-    part = q.select("id", "v", "qb", at_ref).groupBy("qb", "rb").cogroup(r.select("id", "v", "rb", at_query).groupBy("qb", "rb")).applyInArrow(best, "query long, ref long, similarity double")
+    part = q.select("id", "v", "qb", at_ref).groupBy("qb", "rb").cogroup(r.select("id", "v", "rb", at_query).groupBy("qb", "rb")).applyInArrow(best,
+        "query long, ref long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "ref"))
     return part.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -106,7 +107,8 @@ def similar_pairs(df: DataFrame, threshold: float, width: int | None = None, blo
     """
     rows, blocks = _blocks_of(df.select("id", "v"), "own", block)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("id", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
+    rows = rows.select("id", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
 
     def multiply(rows: pa.Table) -> pa.Table:
         ids, v = rows.column("id").to_numpy(), _matrix(rows.column("v"))

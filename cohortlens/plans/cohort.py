@@ -30,7 +30,8 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = F.when(g < 4500, 0).when(g < 6000, 1).when(g < 8000, 2).when(g < 9000, 3).otherwise(4)
     status = F.when(s < 200, "error").when(s < 500, "rejected").otherwise("success")
     out = read(spark, sf_dir, "orders").join(geo, F.col("o_custkey") == F.col("c_custkey"))
-    out = out.select(k.alias("image_id"), F.col("o_custkey").alias("group_id"), F.col("r_name").alias("source"), F.col("o_orderpriority").alias("camera"), status.alias("status"), grade.alias("true_grade"), (q / 10000.0).alias("iqs"))
+    out = out.select(k.alias("image_id"), F.col("o_custkey").alias("group_id"), F.col("r_name").alias("source"),
+        F.col("o_orderpriority").alias("camera"), status.alias("status"), grade.alias("true_grade"), (q / 10000.0).alias("iqs"))
     i = F.col("image_id")
     out = out.withColumns({"score": _score(F.col("true_grade"), ("a1", "a2", "a3"), i), "second": _score(F.col("true_grade"), ("b1", "b2", "b3"), i)})
     out = out.withColumns({"z5": 2 * (F.col("score") - 1.5) + 2 * (draw("r", i) / 10000.0 - 0.5), "y5": 2 * (F.col("second") - 1.5) + 2 * (draw("rb", i) / 10000.0 - 0.5)})

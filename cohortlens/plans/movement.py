@@ -32,7 +32,8 @@ def _at(spark, name):
 def text_csv_scan(spark, d):
     """Semicolons, all strings, empty fields that stay empty."""
     path = _at(spark, "csv")
-    n = read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias(" n_name "), F.when(F.col("n_regionkey") == 2, "").otherwise(F.col("n_regionkey").cast("string")).alias("n_regionkey"))
+    n = read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias(" n_name "), F.when(F.col("n_regionkey") == 2,
+        "").otherwise(F.col("n_regionkey").cast("string")).alias("n_regionkey"))
     n.write.option("header", True).option("sep", ";").option("emptyValue", "").csv(path)
     return tables.text_csv(spark, path, sep=";").withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
 
@@ -48,7 +49,9 @@ def chunked_csv_union(spark, d):
     return df.groupBy((F.col("c_custkey") % 4).alias("part")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
-@query("SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) AS first_part, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS added, (SELECT count(*) FROM orders) AS rows, (SELECT count(DISTINCT o_orderkey) FROM orders) AS ids")
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) AS first_part, (SELECT count(*) "
+    "FROM orders WHERE o_orderkey % 3 <> 0) AS added, (SELECT count(*) FROM orders) AS rows, (SELECT count(DISTINCT o_orderkey) "
+    "FROM orders) AS ids")
 def resumable_sink(spark, d):
     """A third is there already; the rest is added, and nothing twice."""
     path = _at(spark, "resume")
@@ -58,7 +61,8 @@ def resumable_sink(spark, d):
     rest = sinks.resume(o, path, "o_orderkey", "run")
     n = rest.count()
     rest.write.mode("append").parquet(path)
-    return spark.read.parquet(path).agg(F.lit(first).cast("long").alias("first_part"), F.lit(n).cast("long").alias("added"), F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("ids"))
+    return spark.read.parquet(path).agg(F.lit(first).cast("long").alias("first_part"), F.lit(n).cast("long").alias("added"),
+        F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("ids"))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -68,7 +72,9 @@ def stream_windows(spark, d):
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("WITH a AS (SELECT event_type AS key, event_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events), s AS (SELECT key, t, max(t - k * CAST(300 AS DOUBLE)) OVER (PARTITION BY key ORDER BY k ROWS UNBOUNDED PRECEDING) + k * CAST(300 AS DOUBLE) AS start FROM a) SELECT key, count(*) AS n, round(avg(start - t), 3) AS mean_wait FROM s GROUP BY 1")
+@query("WITH a AS (SELECT event_type AS key, event_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k "
+    "FROM events), s AS (SELECT key, t, max(t - k * CAST(300 AS DOUBLE)) OVER (PARTITION BY key ORDER BY k ROWS UNBOUNDED PRECEDING) + k * CAST(300 AS DOUBLE) AS start "
+    "FROM a) SELECT key, count(*) AS n, round(avg(start - t), 3) AS mean_wait FROM s GROUP BY 1")
 def stream_queue(spark, d):
     """Waiting times at one station for each event type, kept as state."""
     w = replay.drained(replay.served(replay.source(spark, f"{d}/events.parquet"), "event_type", 300.0), "append")

@@ -49,7 +49,8 @@ def grading_report(spark, d):
     return report_of(evaluated(spark, d)).select("metric", r6("value", "value"))
 
 
-@own(_REPORT + " SELECT 'report' AS step, metric, round(value, 6) AS value FROM rep UNION ALL SELECT step, outcome, CAST(NULL AS DOUBLE) FROM (VALUES ('freeze', 'frozen'), ('changed input', 'changed'), ('evaluate', 'written'), ('evaluate again', 'refused'), ('exposure', 'locked'), ('claim fresh', 'no')) t(step, outcome)")
+@own(_REPORT + " SELECT 'report' AS step, metric, round(value, 6) AS value FROM rep UNION ALL SELECT step, outcome, CAST(NULL AS DOUBLE) "
+    "FROM (VALUES ('freeze', 'frozen'), ('changed input', 'changed'), ('evaluate', 'written'), ('evaluate again', 'refused'), ('exposure', 'locked'), ('claim fresh', 'no')) t(step, outcome)")
 def locked_evaluation(spark, d):
     """Freeze the cohort, evaluate it once, be refused the second time, and note the exposure; the report is read back from where it was written."""
     df = evaluated(spark, d).select("image_id", "true_grade", "pred", "score", "z5", "head")
@@ -58,7 +59,8 @@ def locked_evaluation(spark, d):
     folder = f"{shared_dir(spark).rstrip('/')}/locked-{lock['sha256'][:8]}-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 60)}"
     changed = {"cohort": (df.withColumn("pred", F.col("pred") + 1), "image_id")}
     report = report_of(df)
-    steps = [("freeze", "frozen"), ("changed input", O.evaluate_locked(report, folder, lock, changed)), ("evaluate", O.evaluate_locked(report, folder, lock, tables)), ("evaluate again", O.evaluate_locked(report, folder, lock, tables))]
+    steps = [("freeze", "frozen"), ("changed input", O.evaluate_locked(report, folder, lock, changed)),
+        ("evaluate", O.evaluate_locked(report, folder, lock, tables)), ("evaluate again", O.evaluate_locked(report, folder, lock, tables))]
     registry = G.exposed({}, "cohort", "locked")
     steps += [("exposure", registry["cohort"]), ("claim fresh", "yes" if G.may_claim_fresh(registry, "cohort") else "no")]
     out = spark.createDataFrame([(s, m, None) for s, m in steps], "step string, metric string, value double")
@@ -68,24 +70,30 @@ def locked_evaluation(spark, d):
 _MIRROR = _UNIT + f", w AS (SELECT id, v, list_transform(range(len(v)), lambda i: v[i - i % {WIDTH} + {WIDTH - 1} - i % {WIDTH} + 1]) AS m FROM u)"
 
 
-@own(_MIRROR + " SELECT a.id AS a, b.id AS b, round(greatest(list_dot_product(a.v, b.v), list_dot_product(a.v, b.m)), 6) AS similarity FROM w a JOIN w b ON a.id < b.id WHERE round(greatest(list_dot_product(a.v, b.v), list_dot_product(a.v, b.m)), 6) >= CAST(0.4 AS DOUBLE)")
+@own(_MIRROR + " SELECT a.id AS a, b.id AS b, round(greatest(list_dot_product(a.v, b.v), list_dot_product(a.v, b.m)), 6) AS similarity "
+    "FROM w a JOIN w b ON a.id < b.id WHERE round(greatest(list_dot_product(a.v, b.v), list_dot_product(a.v, b.m)), 6) >= CAST(0.4 AS DOUBLE)")
 def mirrored_pairs(spark, d):
     """Pairs whose vectors correlate as they are or with one of them mirrored."""
     return V.similar_pairs(_unit(spark, d), 0.4, WIDTH)
 
 
-@own(_MIRROR + ", s AS (SELECT q.id AS query, r.id AS ref, round(greatest(list_dot_product(q.v, r.v), list_dot_product(q.v, r.m)), 6) AS similarity FROM w q JOIN w r ON q.id <> r.id WHERE q.id % 50 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, ref) AS rank FROM s) SELECT query, ref, similarity, CAST(rank AS INT) AS rank FROM t WHERE rank <= 3")
+@own(_MIRROR + ", s AS (SELECT q.id AS query, r.id AS ref, round(greatest(list_dot_product(q.v, r.v), list_dot_product(q.v, r.m)), 6) AS similarity "
+    "FROM w q JOIN w r ON q.id <> r.id WHERE q.id % 50 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, ref) AS rank "
+    "FROM s) SELECT query, ref, similarity, CAST(rank AS INT) AS rank FROM t WHERE rank <= 3")
 def mirrored_top_k(spark, d):
     """The three nearest of each query vector, plain or mirrored."""
     u = _unit(spark, d)
     return V.top_k(u.filter("id % 50 = 0"), u, 3, WIDTH).select("query", "ref", "similarity", "rank")
 
 
-@own(_HASH + f", v AS (SELECT a, b, distance, {sql_draw('inl', 'a, b')} % 60 AS inliers, CAST({sql_draw('inr', 'a, b')} AS DOUBLE) / 10000 AS share FROM p) SELECT a, b, distance, inliers, inliers >= 12 AND share >= CAST(0.25 AS DOUBLE) AS confirmed FROM v")
+@own(_HASH + f", v AS (SELECT a, b, distance, {sql_draw('inl', 'a, b')} % 60 AS inliers, CAST({sql_draw('inr', 'a, b')} AS DOUBLE) / 10000 AS share "
+    f"FROM p) SELECT a, b, distance, inliers, inliers >= 12 AND share >= CAST(0.25 AS DOUBLE) AS confirmed "
+    f"FROM v")
 def verified_pairs(spark, d):
     """Candidate pairs by hash, confirmed by an expensive check whose result, points that agree and their share, is a table."""
     p = V.hamming_join(*_hashes(spark, d), 7)
-    seen = p.select(F.col("a").alias("x"), F.col("b").alias("y"), (S.draw("inl", F.col("a"), F.col("b")) % 60).alias("inliers"), (S.draw("inr", F.col("a"), F.col("b")) / 10000.0).alias("share"))
+    seen = p.select(F.col("a").alias("x"), F.col("b").alias("y"), (S.draw("inl", F.col("a"), F.col("b")) % 60).alias("inliers"),
+        (S.draw("inr", F.col("a"), F.col("b")) / 10000.0).alias("share"))
     j = p.join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
     return j.select("a", "b", "distance", "inliers", F.coalesce((F.col("inliers") >= 12) & (F.col("share") >= 0.25), F.lit(False)).alias("confirmed"))
 
@@ -96,17 +104,23 @@ _PIXELS = "WITH px AS (SELECT l_suppkey AS image, l_returnflag AS lesion, l_orde
 def pixels(spark, d):
     """(image, lesion, component, truth, pred, heuristic): what masks of a learned and a heuristic detector come to as a table."""
     li = read(spark, d, "lineitem")
-    return li.select(F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("lesion"), F.col("l_orderkey").alias("component"), (F.col("l_tax") >= 0.04).alias("truth"), (F.col("l_discount") >= 0.05).alias("pred"), (F.col("l_quantity") >= 25).alias("heuristic"))
+    return li.select(F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("lesion"), F.col("l_orderkey").alias("component"),
+        (F.col("l_tax") >= 0.04).alias("truth"), (F.col("l_discount") >= 0.05).alias("pred"), (F.col("l_quantity") >= 25).alias("heuristic"))
 
 
-@own(_PIXELS + ", c AS (SELECT image, lesion, component, bool_or(truth) AS t, bool_or(truth AND pred) AS hit, bool_or(pred) AS p FROM px GROUP BY 1, 2, 3), o AS (SELECT image, lesion, count(*) FILTER (WHERE truth AND pred) AS tp, count(*) FILTER (WHERE NOT truth AND pred) AS fp, count(*) FILTER (WHERE truth AND NOT pred) AS fn FROM px GROUP BY 1, 2), k AS (SELECT image, lesion, count(*) FILTER (WHERE t) AS components, count(*) FILTER (WHERE hit) AS found, count(*) FILTER (WHERE p AND NOT hit) AS false_components FROM c GROUP BY 1, 2) SELECT image, lesion, tp, fp, fn, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS dice, round(CAST(tp AS DOUBLE) / nullif(tp + fp + fn, 0), 6) AS iou, components, found, false_components FROM o JOIN k USING (image, lesion)")
+@own(_PIXELS + ", c AS (SELECT image, lesion, component, bool_or(truth) AS t, bool_or(truth AND pred) AS hit, bool_or(pred) AS p "
+    "FROM px GROUP BY 1, 2, 3), o AS (SELECT image, lesion, count(*) FILTER (WHERE truth AND pred) AS tp, count(*) FILTER (WHERE NOT truth AND pred) AS fp, count(*) FILTER (WHERE truth AND NOT pred) AS fn "
+    "FROM px GROUP BY 1, 2), k AS (SELECT image, lesion, count(*) FILTER (WHERE t) AS components, count(*) FILTER (WHERE hit) AS found, count(*) FILTER (WHERE p AND NOT hit) AS false_components "
+    "FROM c GROUP BY 1, 2) SELECT image, lesion, tp, fp, fn, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS dice, round(CAST(tp AS DOUBLE) / nullif(tp + fp + fn, 0), 6) AS iou, components, found, false_components "
+    "FROM o JOIN k USING (image, lesion)")
 def lesion_overlap(spark, d):
     """Overlap counts and component detections of each image and lesion."""
     px = pixels(spark, d)
     t, p = F.col("truth"), F.col("pred")
     comp = px.groupBy("image", "lesion", "component").agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
     hit, called, there = F.col("tp") > 0, F.col("tp") + F.col("fp") > 0, F.col("tp") + F.col("fn") > 0
-    o = comp.groupBy("image", "lesion").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.count_if(there).alias("components"), F.count_if(hit).alias("found"), F.count_if(called & ~hit).alias("false_components"))
+    o = comp.groupBy("image", "lesion").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
+        F.count_if(there).alias("components"), F.count_if(hit).alias("found"), F.count_if(called & ~hit).alias("false_components"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return o.select("image", "lesion", "tp", "fp", "fn", r6(S.ratio(2 * tp, 2 * tp + fp + fn), "dice"), r6(S.ratio(tp, tp + fp + fn), "iou"), "components", "found", "false_components")
 
@@ -119,7 +133,8 @@ def lesion_summary(spark, d):
     """Pooled Dice of a learned and a heuristic detector for each lesion, on images where both gave a result, and their difference over resampled images."""
     px = pixels(spark, d)
     t, p, h = F.col("truth"), F.col("pred"), F.col("heuristic")
-    g = px.groupBy("lesion", "image").agg(F.count_if(t & p).alias("a"), (F.count_if(p) + F.count_if(t)).alias("an"), F.count_if(t & h).alias("b"), (F.count_if(h) + F.count_if(t)).alias("bn"), F.count_if(t).alias("t"), F.count_if(h).alias("h"))
+    g = px.groupBy("lesion", "image").agg(F.count_if(t & p).alias("a"), (F.count_if(p) + F.count_if(t)).alias("an"), F.count_if(t & h).alias("b"),
+        (F.count_if(h) + F.count_if(t)).alias("bn"), F.count_if(t).alias("t"), F.count_if(h).alias("h"))
     g = g.filter("t > 0 AND h > 0").select("lesion", "image", "a", "an", "b", "bn")
     c = B.cluster_counts(g, "image", {k: F.col(k) for k in ("a", "an", "b", "bn")}, ["lesion"])
     dice = lambda x: 2 * S.ratio(F.sum(x), F.sum(f"{x}n"))
@@ -140,7 +155,9 @@ def workbook_scan(spark, d):
     return workbooks.table_of(workbooks.workbook_rows(files, "nations"), ["nation", "name", "region"]).drop("path", "row")
 
 
-@own("WITH p AS (SELECT vec_id, vec_id % 50 = 7 AS broken, list_avg(list_transform(range(64), lambda i: CAST((vec_id * 31 + i * 7) % 256 AS DOUBLE))) AS m FROM embeddings) SELECT CASE WHEN broken THEN 'error' ELSE 'success' END AS status, count(*) AS n, round(avg(CASE WHEN NOT broken THEN m END), 6) AS mean, CASE WHEN broken THEN 'chunk IDAT is broken' END AS message FROM p GROUP BY ALL")
+@own("WITH p AS (SELECT vec_id, vec_id % 50 = 7 AS broken, list_avg(list_transform(range(64), lambda i: CAST((vec_id * 31 + i * 7) % 256 AS DOUBLE))) AS m "
+    "FROM embeddings) SELECT CASE WHEN broken THEN 'error' ELSE 'success' END AS status, count(*) AS n, round(avg(CASE WHEN NOT broken THEN m END), 6) AS mean, CASE WHEN broken THEN 'chunk IDAT is broken' END AS message "
+    "FROM p GROUP BY ALL")
 def image_scan(spark, d):
     """Image files decoded row by row, made here of numbers; a broken file is a row with its error."""
     ship(spark)
@@ -156,7 +173,8 @@ def image_scan(spark, d):
     return images.measure(files).groupBy("status", "message").agg(F.count("*").alias("n"), r6(F.avg("mean"), "mean"))
 
 
-@own("SELECT CASE WHEN n_nationkey % 5 = 1 THEN 'not json' WHEN n_nationkey % 5 = 2 THEN 'version' WHEN n_nationkey % 5 = 3 THEN 'missing: name' END AS problem, count(*) AS n, CAST(sum(CASE WHEN n_nationkey % 5 IN (0, 4) THEN n_nationkey END) AS BIGINT) AS keys FROM nation GROUP BY 1")
+@own("SELECT CASE WHEN n_nationkey % 5 = 1 THEN 'not json' WHEN n_nationkey % 5 = 2 THEN 'version' WHEN n_nationkey % 5 = 3 THEN 'missing: name' END AS problem, count(*) AS n, CAST(sum(CASE WHEN n_nationkey % 5 IN (0, 4) THEN n_nationkey END) AS BIGINT) AS keys "
+    "FROM nation GROUP BY 1")
 def json_documents(spark, d):
     """Documents read by a declared schema and version; what is wrong with the others is told row by row."""
     k = F.col("n_nationkey")
@@ -166,7 +184,11 @@ def json_documents(spark, d):
     return v.groupBy("problem").agg(F.count("*").alias("n"), F.sum(F.when(F.col("problem").isNull(), F.col("document.key"))).alias("keys"))
 
 
-@own("WITH m AS (SELECT n_nationkey AS k, n_name || '.png' AS member, n_name AS content FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_nationkey, 'inner.zip/deep/' || n_name || '.PNG', CASE WHEN n_nationkey % 2 = 0 THEN 'same' ELSE n_name END FROM nation WHERE n_regionkey = 1), a AS (SELECT member, 'img_' || substr(sha256(content), 1, 16) || '.png' AS name, false AS sealed FROM m UNION ALL SELECT 'labels.csv', 'img_' || substr(sha256('secret'), 1, 16) || '.csv', true) SELECT member, name, sealed, count(*) OVER (PARTITION BY name) AS copies FROM a")
+@own("WITH m AS (SELECT n_nationkey AS k, n_name || '.png' AS member, n_name AS content FROM nation "
+    "WHERE n_regionkey = 0 UNION ALL SELECT n_nationkey, 'inner.zip/deep/' || n_name || '.PNG', CASE WHEN n_nationkey % 2 = 0 THEN 'same' ELSE n_name END "
+    "FROM nation WHERE n_regionkey = 1), a AS (SELECT member, 'img_' || substr(sha256(content), 1, 16) || '.png' AS name, false AS sealed "
+    "FROM m UNION ALL SELECT 'labels.csv', 'img_' || substr(sha256('secret'), 1, 16) || '.csv', true) "
+    "SELECT member, name, sealed, count(*) OVER (PARTITION BY name) AS copies FROM a")
 def archive_release(spark, d):
     """Members of an archive in an archive, images named by their contents, labels sealed. The archive is made here of a table of fixed size."""
     n = read(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows
@@ -197,7 +219,8 @@ def listed_digests(spark, d):
     return both.join(listed.select("name", F.col("path").alias("p")), F.col("path") == F.col("p")).select("name", "seen", "reused")
 
 
-@own("SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INT) AS place, c_custkey FROM (SELECT c_custkey FROM customer ORDER BY md5(concat_ws('|', 'sub', c_custkey)), c_custkey LIMIT 60)")
+@own("SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INT) AS place, c_custkey FROM (SELECT c_custkey "
+    "FROM customer ORDER BY md5(concat_ws('|', 'sub', c_custkey)), c_custkey LIMIT 60)")
 def ordered_subsample(spark, d):
     """A random sample of 60 rows that keeps the table's order."""
     c = read(spark, d, "customer").select("c_custkey").orderBy(S.hash_order("sub", F.col("c_custkey")), "c_custkey").limit(60)
@@ -208,7 +231,8 @@ def ordered_subsample(spark, d):
 def report_contracts(spark, d):
     """What reports lack, and which paths are reserved."""
     whole = {"tier": "locked", "statement": "s", "limitations": ["l"], "lock_sha256": "x"}
-    reports = {"fresh without limitations": whole | {"tier": "fresh", "limitations": []}, "locked without lock": whole | {"lock_sha256": None}, "development with lock": whole | {"tier": "development"}, "unknown tier": whole | {"tier": "other"}, "no statement": whole | {"statement": ""}, "complete": whole}
+    reports = {"fresh without limitations": whole | {"tier": "fresh", "limitations": []}, "locked without lock": whole | {"lock_sha256": None},
+        "development with lock": whole | {"tier": "development"}, "unknown tier": whole | {"tier": "other"}, "no statement": whole | {"statement": ""}, "complete": whole}
     rows = [(n, ", ".join(G.report_problems(r))) for n, r in reports.items()]
     rows += [(f"path {p}", "reserved" if G.is_reserved(p, ["/vault/"]) else "free") for p in ("/vault", "/vault/labels.csv", "/vaults")]
     return spark.createDataFrame(rows, "item string, problems string")
@@ -220,7 +244,9 @@ def utc_timestamps(spark, d):
     return read(spark, d, "events").select("event_id", S.utc_iso(F.col("ts")).alias("at"))
 
 
-@own(CASES + f", e AS (SELECT CAST({sql_draw('xb', 'image_id')} AS DOUBLE) / 20000 AS b, CAST({sql_draw('xc', 'image_id')} AS DOUBLE) / 20000 AS c, CAST({sql_draw('xs', 'image_id')} AS DOUBLE) / 10000 AS s FROM ok) SELECT concat_ws('; ', CASE WHEN b > CAST(0.25 AS DOUBLE) THEN 'border' END, CASE WHEN c < CAST(0.1 AS DOUBLE) THEN 'off_field' END, CASE WHEN s > CAST(0.6 AS DOUBLE) THEN 'diffuse' END) AS flags, count(*) AS n FROM e GROUP BY 1")
+@own(CASES + f", e AS (SELECT CAST({sql_draw('xb', 'image_id')} AS DOUBLE) / 20000 AS b, CAST({sql_draw('xc', 'image_id')} AS DOUBLE) / 20000 AS c, CAST({sql_draw('xs', 'image_id')} AS DOUBLE) / 10000 AS s "
+    f"FROM ok) SELECT concat_ws('; ', CASE WHEN b > CAST(0.25 AS DOUBLE) THEN 'border' END, CASE WHEN c < CAST(0.1 AS DOUBLE) THEN 'off_field' END, CASE WHEN s > CAST(0.6 AS DOUBLE) THEN 'diffuse' END) AS flags, count(*) AS n "
+    f"FROM e GROUP BY 1")
 def explanation_flag_counts(spark, d):
     """Quality flags of heat maps from their precomputed shares."""
     i = F.col("image_id")
@@ -228,7 +254,10 @@ def explanation_flag_counts(spark, d):
     return e.groupBy("flags").agg(F.count("*").alias("n"))
 
 
-@own("WITH r AS (SELECT 'region' AS name, CAST(CAST(concat('0x', substr(md5(to_json({'r_name': r_name, 'r_regionkey': r_regionkey})), 1, 12)) AS UBIGINT) AS HUGEINT) AS h, r_regionkey AS k FROM region UNION ALL SELECT 'nation', CAST(CAST(concat('0x', substr(md5(to_json({'n_name': n_name, 'n_nationkey': n_nationkey})), 1, 12)) AS UBIGINT) AS HUGEINT), n_nationkey FROM nation) SELECT name, sha256(concat_ws('|', count(*), CAST(sum(h) AS VARCHAR), min(k), max(k))) AS digest, true AS unchanged FROM r GROUP BY 1")
+@own("WITH r AS (SELECT 'region' AS name, CAST(CAST(concat('0x', substr(md5(to_json({'r_name': r_name, 'r_regionkey': r_regionkey})), 1, 12)) AS UBIGINT) AS HUGEINT) AS h, r_regionkey AS k "
+    "FROM region UNION ALL SELECT 'nation', CAST(CAST(concat('0x', substr(md5(to_json({'n_name': n_name, 'n_nationkey': n_nationkey})), 1, 12)) AS UBIGINT) AS HUGEINT), n_nationkey "
+    "FROM nation) SELECT name, sha256(concat_ws('|', count(*), CAST(sum(h) AS VARCHAR), min(k), max(k))) AS digest, true AS unchanged "
+    "FROM r GROUP BY 1")
 def baseline_freeze(spark, d):
     """Sources frozen by digest, whatever their order of rows, and found unchanged."""
     own_tables = {"region": (read(spark, d, "region").select("r_name", "r_regionkey"), "r_regionkey"), "nation": (read(spark, d, "nation").select("n_name", "n_nationkey"), "n_nationkey")}

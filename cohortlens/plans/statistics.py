@@ -56,7 +56,8 @@ def sql_draw32(tag: str, key: str) -> str:
 
 
 def counts():
-    return {"pos": ref(), "neg": ~ref(), "tp": ref() & call(), "tn": ~ref() & ~call(), "tp2": ref() & call2(), "tn2": ~ref() & ~call2(), "ok": F.col("pred") == F.col("true_grade"), "n": F.lit(True)}
+    return {"pos": ref(), "neg": ~ref(), "tp": ref() & call(), "tn": ~ref() & ~call(), "tp2": ref() & call2(), "tn2": ~ref() & ~call2(),
+        "ok": F.col("pred") == F.col("true_grade"), "n": F.lit(True)}
 
 _SQLC = "count(*) FILTER (WHERE true_grade >= 2) AS pos, count(*) FILTER (WHERE true_grade < 2) AS neg, count(*) FILTER (WHERE true_grade >= 2 AND pred >= 2) AS tp, count(*) FILTER (WHERE true_grade < 2 AND pred < 2) AS tn, count(*) FILTER (WHERE true_grade >= 2 AND pred2 >= 2) AS tp2, count(*) FILTER (WHERE true_grade < 2 AND pred2 < 2) AS tn2, count(*) FILTER (WHERE pred = true_grade) AS ok_, count(*) AS n"
 _BOOT = CASES + f""", g AS (SELECT group_id, {_SQLC} FROM ok GROUP BY 1), cl AS (SELECT *, row_number() OVER (ORDER BY group_id) - 1 AS idx, count(*) OVER () AS nc FROM g),
@@ -69,7 +70,10 @@ def _boot(spark, d):
     return c, B.resampled(c, REPLICATES, "boot", list(counts()))
 
 
-@query(_BOOT + ", p AS (SELECT CAST(sum(tp) AS DOUBLE) / sum(pos) AS sens, CAST(sum(tn) AS DOUBLE) / sum(neg) AS spec, CAST(sum(ok_) AS DOUBLE) / sum(n) AS acc FROM cl), s AS (SELECT 'sensitivity' AS metric, CAST(tp AS DOUBLE) / pos AS v FROM b UNION ALL SELECT 'specificity', CAST(tn AS DOUBLE) / neg FROM b UNION ALL SELECT 'accuracy', CAST(ok_ AS DOUBLE) / n FROM b) SELECT metric, round(CASE metric WHEN 'sensitivity' THEN any_value(sens) WHEN 'specificity' THEN any_value(spec) ELSE any_value(acc) END, 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS valid FROM s, p GROUP BY metric")
+@query(_BOOT + ", p AS (SELECT CAST(sum(tp) AS DOUBLE) / sum(pos) AS sens, CAST(sum(tn) AS DOUBLE) / sum(neg) AS spec, CAST(sum(ok_) AS DOUBLE) / sum(n) AS acc "
+    "FROM cl), s AS (SELECT 'sensitivity' AS metric, CAST(tp AS DOUBLE) / pos AS v FROM b UNION ALL SELECT 'specificity', CAST(tn AS DOUBLE) / neg "
+    "FROM b UNION ALL SELECT 'accuracy', CAST(ok_ AS DOUBLE) / n FROM b) SELECT metric, round(CASE metric WHEN 'sensitivity' THEN any_value(sens) WHEN 'specificity' THEN any_value(spec) ELSE any_value(acc) END, 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS valid "
+    "FROM s, p GROUP BY metric")
 def cluster_bootstrap_ci(spark, d):
     stats = {"sensitivity": ("tp", "pos"), "specificity": ("tn", "neg"), "accuracy": ("ok", "n")}
     named = {k: (lambda total, x=x, y=y: S.ratio(total(x), total(y))) for k, (x, y) in stats.items()}
@@ -77,7 +81,9 @@ def cluster_bootstrap_ci(spark, d):
     return out.select("metric", *[r6(c, c) for c in ("point", "low", "high")], "valid")
 
 
-@query(_BOOT + ", s AS (SELECT CAST(tp2 AS DOUBLE) / pos - CAST(tp AS DOUBLE) / pos AS ds, CAST(tn2 AS DOUBLE) / neg - CAST(tn AS DOUBLE) / neg AS dp FROM b) SELECT round(quantile_cont(ds, 0.025), 6) AS sens_low, round(quantile_cont(ds, 0.975), 6) AS sens_high, round(quantile_cont(dp, 0.025), 6) AS spec_low, round(quantile_cont(dp, 0.975), 6) AS spec_high, quantile_cont(ds, 0.025) > 0 AS better FROM s")
+@query(_BOOT + ", s AS (SELECT CAST(tp2 AS DOUBLE) / pos - CAST(tp AS DOUBLE) / pos AS ds, CAST(tn2 AS DOUBLE) / neg - CAST(tn AS DOUBLE) / neg AS dp "
+    "FROM b) SELECT round(quantile_cont(ds, 0.025), 6) AS sens_low, round(quantile_cont(ds, 0.975), 6) AS sens_high, round(quantile_cont(dp, 0.025), 6) AS spec_low, round(quantile_cont(dp, 0.975), 6) AS spec_high, quantile_cont(ds, 0.025) > 0 AS better "
+    "FROM s")
 def paired_bootstrap_ci(spark, d):
     """Differences of two models on the same resamples, and the rule that the interval lies above 0."""
     _, b = _boot(spark, d)
@@ -91,16 +97,23 @@ _STRAT = CASES + f""", g AS (SELECT true_grade, image_id, CAST(pred = true_grade
 w AS (SELECT true_grade, r.range AS r, {sql_draw32('strat', "true_grade, r.range, idx")} % nc AS idx, count(*) AS w FROM range({REPLICATES}) r, cl GROUP BY 1, 2, 3), b AS (SELECT r, CAST(sum(ok_ * w) AS DOUBLE) / sum(w) AS acc, CAST(sum(CASE WHEN true_grade >= 2 THEN called * w END) AS DOUBLE) / sum(CASE WHEN true_grade >= 2 THEN w END) AS sens FROM w JOIN cl USING (true_grade, idx) GROUP BY 1)"""
 
 
-@query(_STRAT + " SELECT round(quantile_cont(acc, 0.025), 6) AS acc_low, round(quantile_cont(acc, 0.975), 6) AS acc_high, round(quantile_cont(sens, 0.025), 6) AS sens_low, round(quantile_cont(sens, 0.975), 6) AS sens_high, count(acc) AS valid FROM b")
+@query(_STRAT + " SELECT round(quantile_cont(acc, 0.025), 6) AS acc_low, round(quantile_cont(acc, 0.975), 6) AS acc_high, round(quantile_cont(sens, 0.025), 6) AS sens_low, round(quantile_cont(sens, 0.975), 6) AS sens_high, count(acc) AS valid "
+    "FROM b")
 def stratified_bootstrap_ci(spark, d):
     """Images are drawn within their grade."""
     c = B.cluster_counts(evaluated(spark, d), "image_id", {"ok": F.col("pred") == F.col("true_grade"), "rp": ref() & call(), "ref": ref(), "n": F.lit(True)}, ["true_grade"])
     b = B.resampled(c, REPLICATES, "strat", ["ok", "rp", "ref", "n"], ["true_grade"])
-    q = b.agg(F.percentile(S.ratio(F.col("ok"), F.col("n")), [0.025, 0.975]).alias("a"), F.percentile(S.ratio(F.col("rp"), F.col("ref")), [0.025, 0.975]).alias("b"), F.count("n").alias("valid"))
+    q = b.agg(F.percentile(S.ratio(F.col("ok"), F.col("n")), [0.025, 0.975]).alias("a"), F.percentile(S.ratio(F.col("rp"), F.col("ref")),
+        [0.025, 0.975]).alias("b"), F.count("n").alias("valid"))
     return q.select(*[r6(F.col(c)[i], f"{n}_{e}") for c, n in (("a", "acc"), ("b", "sens")) for i, e in enumerate(("low", "high"))], "valid")
 
 
-@query(_BOOT + ", sc AS (SELECT idx, score, count(*) FILTER (WHERE true_grade >= 2) AS p, count(*) FILTER (WHERE true_grade < 2) AS q FROM ok JOIN cl USING (group_id) GROUP BY 1, 2), t AS (SELECT r, score, sum(p * w) AS p, sum(q * w) AS q FROM w JOIN sc USING (idx) GROUP BY 1, 2), u AS (SELECT r, p, q, p * (sum(q) OVER (PARTITION BY r ORDER BY score) - q / 2.0) AS wins FROM t), a AS (SELECT r, sum(wins) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc FROM u GROUP BY 1) SELECT round(avg(auc), 6) AS mean_auc, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high, count(auc) AS valid FROM a")
+@query(_BOOT + ", sc AS (SELECT idx, score, count(*) FILTER (WHERE true_grade >= 2) AS p, count(*) FILTER (WHERE true_grade < 2) AS q "
+    "FROM ok JOIN cl USING (group_id) GROUP BY 1, 2), t AS (SELECT r, score, sum(p * w) AS p, sum(q * w) AS q "
+    "FROM w JOIN sc USING (idx) GROUP BY 1, 2), u AS (SELECT r, p, q, p * (sum(q) OVER (PARTITION BY r ORDER BY score) - q / 2.0) AS wins "
+    "FROM t), a AS (SELECT r, sum(wins) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc FROM u GROUP BY 1) "
+    "SELECT round(avg(auc), 6) AS mean_auc, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high, count(auc) AS valid "
+    "FROM a")
 def bootstrap_auc(spark, d):
     """The interval of the AUC, each replicate's from weighted score groups."""
     df = evaluated(spark, d)
@@ -130,23 +143,32 @@ def calibration_summary(df, size=SAMPLE, draws=DRAWS, seed="cal", rules=RULES):
     """(source, rule, draws, p_both, mean_sens, p10_sens, worst_sens, mean_spec, changed) of cuts fitted on samples of whole patients."""
     both = (F.col("sensitivity") >= BOTH[0]) & (F.col("specificity") >= BOTH[1])
     c = B.calibration_draws(df, "group_id", ref(), "score", size, draws, seed, rules, THRESHOLDS[1], ["source"])
-    return c.groupBy("source", "rule").agg(F.count("*").alias("draws"), F.avg(both.cast("double")).alias("p_both"), F.avg("sensitivity").alias("mean_sens"), F.percentile("sensitivity", F.lit(0.1)).alias("p10_sens"), F.min("sensitivity").alias("worst_sens"), F.avg("specificity").alias("mean_spec"), F.avg((F.col("cut") != THRESHOLDS[1]).cast("double")).alias("changed"))
+    return c.groupBy("source", "rule").agg(F.count("*").alias("draws"), F.avg(both.cast("double")).alias("p_both"),
+        F.avg("sensitivity").alias("mean_sens"), F.percentile("sensitivity", F.lit(0.1)).alias("p10_sens"), F.min("sensitivity").alias("worst_sens"),
+        F.avg("specificity").alias("mean_spec"), F.avg((F.col("cut") != THRESHOLDS[1]).cast("double")).alias("changed"))
 
 
-@query(_DRAWS + " SELECT source, rule, draws, round(p_both, 6) AS p_both, round(mean_sens, 6) AS mean_sens, round(p10_sens, 6) AS p10_sens, round(mean_spec, 6) AS mean_spec, round(changed, 6) AS changed FROM ru")
+@query(_DRAWS + " SELECT source, rule, draws, round(p_both, 6) AS p_both, round(mean_sens, 6) AS mean_sens, round(p10_sens, 6) AS p10_sens, round(mean_spec, 6) AS mean_spec, round(changed, 6) AS changed "
+    "FROM ru")
 def calibration_draws(spark, d):
     """Whole patients are drawn at every site, cuts are fitted by the four rules, and judged on the site's other cases."""
     return calibration_summary(evaluated(spark, d)).select("source", "rule", "draws", *[r6(c, c) for c in ("p_both", "mean_sens", "p10_sens", "mean_spec", "changed")])
 
 
-@query(_DRAWS + ", m AS (SELECT rule, avg(p_both) AS p_both, min(mean_sens) AS worst, round(min(mean_sens), 9) >= CAST(0.89 AS DOUBLE) AS fits, list_position(['R1', 'R3', 'R2', 'R4'], rule) AS o FROM ru GROUP BY 1), b AS (SELECT bool_or(fits) AS c, max(p_both) FILTER (WHERE fits) AS best FROM m) SELECT rule, round(p_both, 6) AS p_both, round(worst, 6) AS worst, c AS constrained FROM m, b WHERE NOT c OR (fits AND round(p_both - best, 9) >= CAST(-0.02 AS DOUBLE)) ORDER BY CASE WHEN c THEN 0 ELSE -round(worst, 9) END, o LIMIT 1")
+@query(_DRAWS + ", m AS (SELECT rule, avg(p_both) AS p_both, min(mean_sens) AS worst, round(min(mean_sens), 9) >= CAST(0.89 AS DOUBLE) AS fits, list_position(['R1', 'R3', 'R2', 'R4'], rule) AS o "
+    "FROM ru GROUP BY 1), b AS (SELECT bool_or(fits) AS c, max(p_both) FILTER (WHERE fits) AS best "
+    "FROM m) SELECT rule, round(p_both, 6) AS p_both, round(worst, 6) AS worst, c AS constrained "
+    "FROM m, b WHERE NOT c OR (fits AND round(p_both - best, 9) >= CAST(-0.02 AS DOUBLE)) ORDER BY CASE WHEN c THEN 0 ELSE -round(worst, 9) END, o LIMIT 1")
 def rule_selection(spark, d):
     """The rule that is kept: sensitive enough at every site, then most often within both targets, ties by preference."""
     rows = calibration_summary(evaluated(spark, d)).select(F.col("source").alias("site"), "rule", "p_both", F.col("mean_sens").alias("sensitivity"))
     return P.select_rule(rows, PREFERENCE).select("rule", r6("p_both", "p_both"), r6("worst", "worst"), "constrained")
 
 
-@query(CASES + ", p AS (SELECT source, score, count(*) OVER (PARTITION BY source) AS n_pos, row_number() OVER (PARTITION BY source ORDER BY score) AS i FROM ok WHERE true_grade >= 2), c AS (SELECT source, n_pos, score - CAST(1e-9 AS DOUBLE) AS cut FROM p WHERE i = floor((1 - CAST(0.9 AS DOUBLE)) * n_pos) + 1) SELECT source, n_pos, round(cut, 6) AS cut, round(least(CAST(0.5 AS DOUBLE), cut - CAST(1e-6 AS DOUBLE)), 6) AS t0, round(greatest(CAST(2.5 AS DOUBLE), cut + CAST(1e-6 AS DOUBLE)), 6) AS t2, round(greatest(CAST(3.5 AS DOUBLE), greatest(CAST(2.5 AS DOUBLE), cut + CAST(1e-6 AS DOUBLE)) + CAST(1e-6 AS DOUBLE)), 6) AS t3 FROM c")
+@query(CASES + ", p AS (SELECT source, score, count(*) OVER (PARTITION BY source) AS n_pos, row_number() OVER (PARTITION BY source ORDER BY score) AS i "
+    "FROM ok WHERE true_grade >= 2), c AS (SELECT source, n_pos, score - CAST(1e-9 AS DOUBLE) AS cut "
+    "FROM p WHERE i = floor((1 - CAST(0.9 AS DOUBLE)) * n_pos) + 1) SELECT source, n_pos, round(cut, 6) AS cut, round(least(CAST(0.5 AS DOUBLE), cut - CAST(1e-6 AS DOUBLE)), 6) AS t0, round(greatest(CAST(2.5 AS DOUBLE), cut + CAST(1e-6 AS DOUBLE)), 6) AS t2, round(greatest(CAST(3.5 AS DOUBLE), greatest(CAST(2.5 AS DOUBLE), cut + CAST(1e-6 AS DOUBLE)) + CAST(1e-6 AS DOUBLE)), 6) AS t3 "
+    "FROM c")
 def site_boundary(spark, d):
     """A referral cut for each site, and the other thresholds moved out of its way."""
     b = P.boundary(evaluated(spark, d), ref(), "score", 0.9, ["source"]).withColumn("t", S.monotone_thresholds(THRESHOLDS, F.col("cut")))
@@ -160,7 +182,8 @@ def _source_roc(spark, d):
     return P.source_roc(evaluated(spark, d), ref(), "score", "source")
 
 
-@query(_SROC + " SELECT score AS cut, round(sens, 6) AS sens, round(spec, 6) AS spec FROM mn WHERE sens >= CAST(0.9 AS DOUBLE) ORDER BY round(spec, 9) DESC, score DESC LIMIT 1")
+@query(_SROC + " SELECT score AS cut, round(sens, 6) AS sens, round(spec, 6) AS spec FROM mn "
+    "WHERE sens >= CAST(0.9 AS DOUBLE) ORDER BY round(spec, 9) DESC, score DESC LIMIT 1")
 def balanced_threshold(spark, d):
     return P.balanced_threshold(_source_roc(spark, d), 0.9).select("cut", r6("sens", "sens"), r6("spec", "spec"))
 
@@ -175,12 +198,16 @@ def worst_source_threshold(spark, d):
     return P.worst_source_threshold(_source_roc(spark, d), 0.9).select("cut", r6("worst", "worst"))
 
 
-@query(CASES + ", n AS (SELECT score, count(*) FILTER (WHERE true_grade >= 2) AS pos, count(*) FILTER (WHERE true_grade < 2) AS neg FROM ok GROUP BY 1), t AS (SELECT score, CAST(sum(pos) OVER d AS DOUBLE) / sum(pos) OVER () AS sens, CAST(sum(neg) OVER () - sum(neg) OVER d AS DOUBLE) / sum(neg) OVER () AS spec, (score + coalesce(lag(score) OVER (ORDER BY score), score)) / 2 AS mid FROM n WINDOW d AS (ORDER BY score DESC)) SELECT round(mid, 6) AS cut, round(sens, 6) AS sens, round(spec, 6) AS spec FROM t WHERE spec >= CAST(0.9 AS DOUBLE) ORDER BY round(sens, 9) DESC, round(spec, 9) DESC, mid DESC LIMIT 1")
+@query(CASES + ", n AS (SELECT score, count(*) FILTER (WHERE true_grade >= 2) AS pos, count(*) FILTER (WHERE true_grade < 2) AS neg "
+    "FROM ok GROUP BY 1), t AS (SELECT score, CAST(sum(pos) OVER d AS DOUBLE) / sum(pos) OVER () AS sens, CAST(sum(neg) OVER () - sum(neg) OVER d AS DOUBLE) / sum(neg) OVER () AS spec, (score + coalesce(lag(score) OVER (ORDER BY score), score)) / 2 AS mid "
+    "FROM n WINDOW d AS (ORDER BY score DESC)) SELECT round(mid, 6) AS cut, round(sens, 6) AS sens, round(spec, 6) AS spec "
+    "FROM t WHERE spec >= CAST(0.9 AS DOUBLE) ORDER BY round(sens, 9) DESC, round(spec, 9) DESC, mid DESC LIMIT 1")
 def spec_floor_threshold(spark, d):
     return P.floor_threshold(R.roc_table(R.score_table(evaluated(spark, d), ref(), "score")), 0.9).select(r6("cut", "cut"), r6("sens", "sens"), r6("spec", "spec"))
 
 
-@query(CASES + " SELECT source, round(quantile_cont(iqs, 0.05), 6) AS reject_cut, round(max(score) FILTER (WHERE score < 1.5), 6) AS midpoint_from, round((max(score) FILTER (WHERE score < 1.5) + 1.5) / 2, 6) AS midpoint FROM ok WHERE true_grade < 2 GROUP BY 1")
+@query(CASES + " SELECT source, round(quantile_cont(iqs, 0.05), 6) AS reject_cut, round(max(score) FILTER (WHERE score < 1.5), 6) AS midpoint_from, round((max(score) FILTER (WHERE score < 1.5) + 1.5) / 2, 6) AS midpoint "
+    "FROM ok WHERE true_grade < 2 GROUP BY 1")
 def false_reject_threshold(spark, d):
     """The reject cut from the accepted class's quantile, and the midpoint below a cut."""
     below = F.max(F.when(F.col("score") < 1.5, F.col("score")))
@@ -195,23 +222,35 @@ def runtime_parity(spark, d):
     c = cases(spark, d)
     i = F.col("image_id")
     left = c.filter(i % 50 != 0).select("image_id", F.lit(1).alias("l"), F.col("status").alias("ls"), F.col("pred").alias("lg"), F.col("score").alias("lv"))
-    right = c.filter(i % 60 != 0).select("image_id", F.lit(1).alias("r"), F.when(i % 211 == 0, "error").otherwise(F.col("status")).alias("rs"), F.when(i % 97 == 0, F.col("pred2")).otherwise(F.col("pred")).alias("rg"), F.when(i % 97 == 0, F.col("second")).when(i % 31 == 0, F.col("score") + 0.00001).otherwise(F.col("score")).alias("rv"))
+    right = c.filter(i % 60 != 0).select("image_id", F.lit(1).alias("r"), F.when(i % 211 == 0, "error").otherwise(F.col("status")).alias("rs"),
+        F.when(i % 97 == 0, F.col("pred2")).otherwise(F.col("pred")).alias("rg"), F.when(i % 97 == 0, F.col("second")).when(i % 31 == 0,
+        F.col("score") + 0.00001).otherwise(F.col("score")).alias("rv"))
     j = left.join(right, "image_id", "full")
     paired = F.col("l").isNotNull() & F.col("r").isNotNull()
     both = paired & (F.col("ls") == "success") & (F.col("rs") == "success")
     diff = F.abs(F.col("lv") - F.col("rv"))
     edge = F.abs(F.col("lg") - F.col("rg"))
-    return j.agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count_if(paired & (F.col("ls") != F.col("rs"))).alias("status_differs"), F.count_if(both).alias("compared"), F.count_if(both & (edge > 0)).alias("grade_differs"), F.count_if(both & (diff > 0.0001)).alias("beyond_tolerance"), F.count_if(both & (edge == 1)).alias("one_edge"), r6(F.percentile(F.when(both, diff), F.lit(0.95)), "p95"), r6(F.max(F.when(both, diff)), "largest"), F.bool_and(F.when(both, edge == 0)).alias("passes"))
+    return j.agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"),
+        F.count_if(paired & (F.col("ls") != F.col("rs"))).alias("status_differs"), F.count_if(both).alias("compared"),
+        F.count_if(both & (edge > 0)).alias("grade_differs"), F.count_if(both & (diff > 0.0001)).alias("beyond_tolerance"),
+        F.count_if(both & (edge == 1)).alias("one_edge"), r6(F.percentile(F.when(both, diff), F.lit(0.95)), "p95"),
+        r6(F.max(F.when(both, diff)), "largest"), F.bool_and(F.when(both, edge == 0)).alias("passes"))
 
 
-@query(CASES + ", j AS (SELECT score AS a, second AS b, list_filter([0.5, 1.5, 2.5, 3.5], lambda t: CAST(t AS DOUBLE) > least(score, second) AND CAST(t AS DOUBLE) <= greatest(score, second)) AS ts FROM ok WHERE pred <> pred2), n AS (SELECT list_sort(list_transform(ts, lambda t: [abs((a + b) / 2 - CAST(t AS DOUBLE)), CAST(t AS DOUBLE)]))[1][2] AS threshold FROM j) SELECT threshold, count(*) AS n FROM n GROUP BY 1")
+@query(CASES + ", j AS (SELECT score AS a, second AS b, list_filter([0.5, 1.5, 2.5, 3.5], lambda t: CAST(t AS DOUBLE) > least(score, second) AND CAST(t AS DOUBLE) <= greatest(score, second)) AS ts "
+    "FROM ok WHERE pred <> pred2), n AS (SELECT list_sort(list_transform(ts, lambda t: [abs((a + b) / 2 - CAST(t AS DOUBLE)), CAST(t AS DOUBLE)]))[1][2] AS threshold "
+    "FROM j) SELECT threshold, count(*) AS n FROM n GROUP BY 1")
 def crossed_thresholds(spark, d):
     """For decisions that differ, the threshold between the two scores that is nearest to their middle."""
     df = evaluated(spark, d).filter("pred <> pred2").select(S.crossed_threshold(F.col("score"), F.col("second"), THRESHOLDS).alias("threshold"))
     return df.groupBy("threshold").agg(F.count("*").alias("n"))
 
 
-@query(CASES + ", ch AS (SELECT *, image_id % 8 AS chunk, sha256('v1|score|' || CASE WHEN image_id % 8 = 5 THEN 'b' ELSE 'a' END) AS identity FROM cases), m AS (SELECT * FROM ch WHERE identity = (SELECT mode(identity) FROM ch)) SELECT (SELECT count(DISTINCT identity) FROM ch) AS identities, (SELECT count(DISTINCT chunk) FROM m) AS chunks, count(*) AS rows, count(*) - count(DISTINCT image_id) AS duplicates, (SELECT count(*) FROM cases) - count(*) AS missing, round(avg(CAST(pred = true_grade AS DOUBLE)) FILTER (WHERE status = 'success'), 6) AS accuracy FROM m")
+@query(CASES + ", ch AS (SELECT *, image_id % 8 AS chunk, sha256('v1|score|' || CASE WHEN image_id % 8 = 5 THEN 'b' ELSE 'a' END) AS identity "
+    "FROM cases), m AS (SELECT * FROM ch WHERE identity = (SELECT mode(identity) FROM ch)) SELECT (SELECT count(DISTINCT identity) "
+    "FROM ch) AS identities, (SELECT count(DISTINCT chunk) FROM m) AS chunks, count(*) AS rows, count(*) - count(DISTINCT image_id) AS duplicates, (SELECT count(*) "
+    "FROM cases) - count(*) AS missing, round(avg(CAST(pred = true_grade AS DOUBLE)) FILTER (WHERE status = 'success'), 6) AS accuracy "
+    "FROM m")
 def chunk_merge(spark, d):
     """Chunks are merged if their identities agree; the odd one stays out and shows up as missing rows. Metrics are computed anew."""
     tag = F.concat(F.lit("v1|score|"), F.when(F.col("image_id") % 8 == 5, "b").otherwise("a"))
@@ -219,26 +258,35 @@ def chunk_merge(spark, d):
     ids = ch.groupBy("identity").agg(F.count("*").alias("n"))
     main = ids.orderBy(F.col("n").desc(), "identity").limit(1).select("identity")
     m = ch.join(F.broadcast(main), "identity", "left_semi")  # one row
-    out = m.agg(F.count_distinct("chunk").alias("chunks"), F.count("*").alias("rows"), (F.count("*") - F.count_distinct("image_id")).alias("duplicates"), r6(F.avg(F.when(F.col("status") == "success", (F.col("pred") == F.col("true_grade")).cast("double"))), "accuracy"))
-    return out.crossJoin(ids.agg(F.count("*").alias("identities"), F.sum("n").alias("total"))).select("identities", "chunks", "rows", "duplicates", (F.col("total") - F.col("rows")).alias("missing"), "accuracy")  # single rows
+    out = m.agg(F.count_distinct("chunk").alias("chunks"), F.count("*").alias("rows"),
+        (F.count("*") - F.count_distinct("image_id")).alias("duplicates"),
+        r6(F.avg(F.when(F.col("status") == "success", (F.col("pred") == F.col("true_grade")).cast("double"))), "accuracy"))
+    return out.crossJoin(ids.agg(F.count("*").alias("identities"), F.sum("n").alias("total"))).select("identities", "chunks", "rows", "duplicates",
+        (F.col("total") - F.col("rows")).alias("missing"), "accuracy")  # single rows
 
 
 @query(CASES + " SELECT source, sha256(to_json({'n': count(*), 'source': source, 'sum': CAST(sum(image_id) AS BIGINT)})) AS identity FROM cases GROUP BY source")
 def run_identity(spark, d):
     """The digest of a canonical JSON document: keys sorted, whole numbers."""
-    return cases(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum("image_id").alias("sum")).select("source", F.sha2(F.to_json(F.struct("n", "source", "sum")), 256).alias("identity"))
+    return cases(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum("image_id").alias("sum")).select("source",
+        F.sha2(F.to_json(F.struct("n", "source", "sum")), 256).alias("identity"))
 
 
-@query("SELECT metric, round(value, 4) AS value FROM (SELECT unnest(['orders', 'orders.open', 'orders.price.mean', 'orders.price.max']) AS metric, unnest([CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS DOUBLE), avg(o_totalprice), max(o_totalprice)]) AS value FROM orders)")
+@query("SELECT metric, round(value, 4) AS value FROM (SELECT unnest(['orders', 'orders.open', 'orders.price.mean', 'orders.price.max']) AS metric, unnest([CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS DOUBLE), avg(o_totalprice), max(o_totalprice)]) AS value "
+    "FROM orders)")
 def flattened_metrics(spark, d):
     """A nested report as (metric, value) rows."""
     from ..sources.documents import flatten
 
-    row = read(spark, d, "orders").agg(F.struct(F.count("*").alias("_"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.struct(F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("max")).alias("price")).alias("orders"))
+    row = read(spark, d, "orders").agg(F.struct(F.count("*").alias("_"), F.count_if(F.col("o_orderstatus") == "O").alias("open"),
+        F.struct(F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("max")).alias("price")).alias("orders"))
     return flatten(row).select("metric", F.round("value", 4).alias("value"))
 
 
-@query("WITH e AS (SELECT * FROM (VALUES ('region', 5), ('nation', 25), ('customer', 1)) t(name, expected)), s AS (SELECT 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer) SELECT e.name, expected, n, CASE WHEN n = expected THEN 'ready' WHEN n > expected THEN 'unexpected' ELSE 'incomplete' END AS status FROM e JOIN s ON e.name = s.name")
+@query("WITH e AS (SELECT * FROM (VALUES ('region', 5), ('nation', 25), ('customer', 1)) t(name, expected)), "
+    "s AS (SELECT 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) "
+    "FROM nation UNION ALL SELECT 'customer', count(*) FROM customer) SELECT e.name, expected, n, CASE WHEN n = expected THEN 'ready' WHEN n > expected THEN 'unexpected' ELSE 'incomplete' END AS status "
+    "FROM e JOIN s ON e.name = s.name")
 def dataset_audit(spark, d):
     seen = None
     for name in ("region", "nation", "customer"):
@@ -248,13 +296,18 @@ def dataset_audit(spark, d):
     return expected.join(seen, "name").withColumn("status", F.when(F.col("n") == F.col("expected"), "ready").when(F.col("n") > F.col("expected"), "unexpected").otherwise("incomplete"))
 
 
-@query(CASES + " SELECT source, count(*) AS screened, count(*) FILTER (WHERE status = 'success' AND pred >= 2) AS referred, round_even(count(*) * CAST(1.5 AS DOUBLE), 0) AS minutes, round_even(CAST(count(*) FILTER (WHERE status = 'success' AND pred >= 2) AS DOUBLE) * CAST(12.5 AS DOUBLE), 0) AS cost FROM cases GROUP BY 1")
+@query(CASES + " SELECT source, count(*) AS screened, count(*) FILTER (WHERE status = 'success' AND pred >= 2) AS referred, round_even(count(*) * CAST(1.5 AS DOUBLE), 0) AS minutes, round_even(CAST(count(*) FILTER (WHERE status = 'success' AND pred >= 2) AS DOUBLE) * CAST(12.5 AS DOUBLE), 0) AS cost "
+    "FROM cases GROUP BY 1")
 def workload_summary(spark, d):
     ref = F.count_if((F.col("status") == "success") & call())
-    return cases(spark, d).groupBy("source").agg(F.count("*").alias("screened"), ref.alias("referred"), F.bround(F.count("*") * F.lit(1.5)).alias("minutes"), F.bround(ref * F.lit(12.5)).alias("cost"))
+    return cases(spark, d).groupBy("source").agg(F.count("*").alias("screened"), ref.alias("referred"),
+        F.bround(F.count("*") * F.lit(1.5)).alias("minutes"), F.bround(ref * F.lit(12.5)).alias("cost"))
 
 
-@query(CASES + ", f AS (SELECT image_id % 20 AS img, t.v AS threshold, count(*) FILTER (WHERE true_grade >= 2 AND score >= t.v) AS hits, count(*) FILTER (WHERE true_grade < 2 AND score >= t.v) AS fps, count(*) FILTER (WHERE true_grade >= 2) AS truth FROM ok, (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(1.0 AS DOUBLE), CAST(1.5 AS DOUBLE), CAST(2.5 AS DOUBLE)]) AS v) t GROUP BY 1, 2) SELECT threshold, count(*) AS images, CAST(sum(hits) AS BIGINT) AS hits, round(avg(fps), 6) AS fp_per_image, round(CAST(sum(hits) AS DOUBLE) / sum(truth), 6) AS sensitivity FROM f GROUP BY 1")
+@query(CASES + ", f AS (SELECT image_id % 20 AS img, t.v AS threshold, count(*) FILTER (WHERE true_grade >= 2 AND score >= t.v) AS hits, count(*) FILTER (WHERE true_grade < 2 AND score >= t.v) AS fps, count(*) FILTER (WHERE true_grade >= 2) AS truth "
+    "FROM ok, (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(1.0 AS DOUBLE), CAST(1.5 AS DOUBLE), CAST(2.5 AS DOUBLE)]) AS v) t "
+    "GROUP BY 1, 2) SELECT threshold, count(*) AS images, CAST(sum(hits) AS BIGINT) AS hits, round(avg(fps), 6) AS fp_per_image, round(CAST(sum(hits) AS DOUBLE) / sum(truth), 6) AS sensitivity "
+    "FROM f GROUP BY 1")
 def froc(spark, d):
     """Hits and false positives an image over a grid of thresholds."""
     t = F.explode(F.array(*[F.lit(x) for x in (0.5, 1.0, 1.5, 2.5)]))
@@ -264,7 +317,10 @@ def froc(spark, d):
     return f.groupBy("threshold").agg(F.count("*").alias("images"), F.sum("hits").alias("hits"), r6(F.avg("fps"), "fp_per_image"), r6(S.ratio(F.sum("hits"), F.sum("truth")), "sensitivity"))
 
 
-@query("WITH s AS (SELECT user_id AS k, CAST(row_number() OVER w - 1 AS DOUBLE) / nullif(count(*) OVER (PARTITION BY user_id) - 1, 0) AS x, value AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), l AS (SELECT k, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM s WINDOW w AS (PARTITION BY k ORDER BY x)) SELECT k, count(*) AS points, round(sum((x - px) * (y + py) / 2), 6) AS area FROM l GROUP BY 1")
+@query("WITH s AS (SELECT user_id AS k, CAST(row_number() OVER w - 1 AS DOUBLE) / nullif(count(*) OVER (PARTITION BY user_id) - 1, 0) AS x, value AS y "
+    "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), l AS (SELECT k, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py "
+    "FROM s WINDOW w AS (PARTITION BY k ORDER BY x)) SELECT k, count(*) AS points, round(sum((x - px) * (y + py) / 2), 6) AS area "
+    "FROM l GROUP BY 1")
 def deletion_area(spark, d):
     """Trapezoid areas under each user's whole curve, its events spread evenly from 0 to 1; null with one event."""
     w = Window.partitionBy("k").orderBy("event_id")
@@ -274,7 +330,14 @@ def deletion_area(spark, d):
     return s.groupBy("k").agg(F.count("*").alias("points"), r6(F.sum((F.col("x") - F.col("px")) * (F.col("y") + F.col("py")) / 2), "area"))
 
 
-@query(CASES + ", q AS (SELECT CASE WHEN iqs < CAST(0.2 AS DOUBLE) THEN 0 WHEN iqs < CAST(0.6 AS DOUBLE) THEN 1 ELSE 2 END AS t, least(greatest(iqs + (CAST(" + sql_draw("qn", "image_id") + " AS DOUBLE) / 10000 - CAST(0.5 AS DOUBLE)) / 5, 0), 1) AS s FROM ok), b AS (SELECT least(CAST(floor(s * 20) AS INT), 19) AS b, t, count(*) AS n FROM q GROUP BY 1, 2), p AS (SELECT x.range AS lo, y.range AS hi FROM range(1, 19) x, range(2, 20) y WHERE x.range < y.range), m AS (SELECT lo, hi, t, CASE WHEN b < lo THEN 0 WHEN b < hi THEN 1 ELSE 2 END AS c, sum(n) AS n FROM p, b GROUP BY ALL), f AS (SELECT lo, hi, k.range AS k, 2.0 * coalesce(sum(CASE WHEN t = k.range AND c = k.range THEN n END), 0) / (coalesce(sum(CASE WHEN t = k.range THEN n END), 0) + coalesce(sum(CASE WHEN c = k.range THEN n END), 0)) AS f1 FROM m, range(3) k GROUP BY ALL), a AS (SELECT lo, hi, round(avg(f1), 9) AS v FROM f GROUP BY 1, 2) SELECT CAST(lo AS DOUBLE) / 20 AS reject_cut, CAST(hi AS DOUBLE) / 20 AS good_cut, round(v, 6) AS macro_f1 FROM a ORDER BY v DESC, lo, hi LIMIT 1")
+@query(CASES + ", q AS (SELECT CASE WHEN iqs < CAST(0.2 AS DOUBLE) THEN 0 WHEN iqs < CAST(0.6 AS DOUBLE) THEN 1 ELSE 2 END AS t, least(greatest(iqs + (CAST(" + sql_draw("qn", "image_id") + " AS DOUBLE) / 10000 - CAST(0.5 AS DOUBLE)) / 5, 0), 1) AS s "
+    "FROM ok), b AS (SELECT least(CAST(floor(s * 20) AS INT), 19) AS b, t, count(*) AS n FROM q "
+    "GROUP BY 1, 2), p AS (SELECT x.range AS lo, y.range AS hi FROM range(1, 19) x, range(2, 20) y "
+    "WHERE x.range < y.range), m AS (SELECT lo, hi, t, CASE WHEN b < lo THEN 0 WHEN b < hi THEN 1 ELSE 2 END AS c, sum(n) AS n "
+    "FROM p, b GROUP BY ALL), f AS (SELECT lo, hi, k.range AS k, 2.0 * coalesce(sum(CASE WHEN t = k.range AND c = k.range THEN n END), 0) / (coalesce(sum(CASE WHEN t = k.range THEN n END), 0) + coalesce(sum(CASE WHEN c = k.range THEN n END), 0)) AS f1 "
+    "FROM m, range(3) k GROUP BY ALL), a AS (SELECT lo, hi, round(avg(f1), 9) AS v FROM f GROUP BY 1, 2) "
+    "SELECT CAST(lo AS DOUBLE) / 20 AS reject_cut, CAST(hi AS DOUBLE) / 20 AS good_cut, round(v, 6) AS macro_f1 "
+    "FROM a ORDER BY v DESC, lo, hi LIMIT 1")
 def quality_cut_points(spark, d):
     """Two ordered cuts that maximise macro-F1, exhaustively over a grid; the scores are a histogram of 20 bins by class, so the search costs the same at any size."""
     i = F.col("image_id")
@@ -297,10 +360,16 @@ def sql_nll(t: str) -> str:
     return f"sum(n * -ln(greatest(exp(-(score - true_grade) * (score - true_grade) / {t} - {top}) / ({' + '.join(f'exp({z(k)} - {top})' for k in range(5))}), CAST(1e-12 AS DOUBLE)))) / sum(n)"
 
 
-@query(CASES + f", h AS (SELECT score, true_grade, count(*) AS n FROM ok GROUP BY 1, 2), c AS (SELECT CAST(t.range AS DOUBLE) / 4 AS t FROM range(1, 41) t), l AS (SELECT t, round({sql_nll('t')}, 9) AS v FROM h, c GROUP BY 1), b AS (SELECT t FROM l ORDER BY v, t LIMIT 1), e AS (SELECT greatest(CAST(0.05 AS DOUBLE), b.t + CAST(x.range AS DOUBLE) / 100) AS t FROM b, range(-25, 26) x), m AS (SELECT t, round({sql_nll('t')}, 9) AS v FROM h, (SELECT DISTINCT t FROM e) GROUP BY 1), o AS (SELECT {sql_nll('CAST(1 AS DOUBLE)')} AS v FROM h) SELECT round(m.t, 2) AS temperature, round(m.v, 6) AS nll, round(o.v, 6) AS before FROM m, o ORDER BY m.v, m.t LIMIT 1")
+@query(CASES + f", h AS (SELECT score, true_grade, count(*) AS n FROM ok GROUP BY 1, 2), c AS (SELECT CAST(t.range AS DOUBLE) / 4 AS t "
+    f"FROM range(1, 41) t), l AS (SELECT t, round({sql_nll('t')}, 9) AS v FROM h, c GROUP BY 1), "
+    f"b AS (SELECT t FROM l ORDER BY v, t LIMIT 1), e AS (SELECT greatest(CAST(0.05 AS DOUBLE), b.t + CAST(x.range AS DOUBLE) / 100) AS t "
+    f"FROM b, range(-25, 26) x), m AS (SELECT t, round({sql_nll('t')}, 9) AS v FROM h, (SELECT DISTINCT t "
+    f"FROM e) GROUP BY 1), o AS (SELECT {sql_nll('CAST(1 AS DOUBLE)')} AS v FROM h) SELECT round(m.t, 2) AS temperature, round(m.v, 6) AS nll, round(o.v, 6) AS before "
+    f"FROM m, o ORDER BY m.v, m.t LIMIT 1")
 def temperature_fit(spark, d):
     """The temperature from 0.05 to 10 of the smallest loss: quarters first, then hundredths around the best, each one aggregate over counts of equal logits."""
-    h = evaluated(spark, d).groupBy("score", "true_grade").agg(F.count("*").alias("n")).withColumn("z", F.array(*[-(F.col("score") - float(k)) * (F.col("score") - float(k)) for k in range(5)]))
+    h = evaluated(spark, d).groupBy("score", "true_grade").agg(F.count("*").alias("n")).withColumn("z",
+        F.array(*[-(F.col("score") - float(k)) * (F.col("score") - float(k)) for k in range(5)]))
 
     def losses(grid):
         p = S.softmax(F.transform("z", lambda v: v / F.col("t")))
@@ -315,7 +384,13 @@ def temperature_fit(spark, d):
     return fine.crossJoin(one).select(F.round("t", 2).alias("temperature"), r6("v", "nll"), r6("v1", "before"))  # single rows
 
 
-@query(CASES + ", k AS (SELECT source, count(*) FILTER (WHERE true_grade >= 2 AND pred < 2) AS misses, count(*) FILTER (WHERE true_grade >= 2) AS n FROM ok GROUP BY 1), i AS MATERIALIZED (SELECT source, i.range AS i, lgamma(n + 1) - lgamma(i.range + 1) - lgamma(n - i.range + 1) AS c FROM k, range(0, (SELECT max(misses) + 1 FROM k)) i WHERE i.range <= misses), s0 AS (SELECT source, misses, n, CAST(misses AS DOUBLE) / n AS lo, CAST(1 AS DOUBLE) AS hi FROM k), " + ", ".join(f"t{j} AS MATERIALIZED (SELECT s.source, any_value(misses) AS misses, any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, sum(exp(c + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))) > CAST(0.05 AS DOUBLE) AS up FROM s{j} s JOIN i ON i.source = s.source GROUP BY 1), s{j + 1} AS (SELECT source, misses, n, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END AS hi FROM t{j})" for j in range(40)) + " SELECT source, misses, n, round((lo + hi) / 2, 6) AS upper FROM s40")
+@query(CASES + ", k AS (SELECT source, count(*) FILTER (WHERE true_grade >= 2 AND pred < 2) AS misses, count(*) FILTER (WHERE true_grade >= 2) AS n "
+    "FROM ok GROUP BY 1), i AS MATERIALIZED (SELECT source, i.range AS i, lgamma(n + 1) - lgamma(i.range + 1) - lgamma(n - i.range + 1) AS c "
+    "FROM k, range(0, (SELECT max(misses) + 1 FROM k)) i WHERE i.range <= misses), s0 AS (SELECT source, misses, n, CAST(misses AS DOUBLE) / n AS lo, CAST(1 AS DOUBLE) AS hi "
+    "FROM k), " + ", ".join(f"t{j} AS MATERIALIZED (SELECT s.source, any_value(misses) AS misses, any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, sum(exp(c + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))) > CAST(0.05 AS DOUBLE) AS up "
+    f"FROM s{j} s JOIN i ON i.source = s.source GROUP BY 1), s{j + 1} AS (SELECT source, misses, n, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END AS hi "
+    f"FROM t{j})" for j in range(40)) + " SELECT source, misses, n, round((lo + hi) / 2, 6) AS upper "
+    "FROM s40")
 def clopper_pearson(spark, d):
     """Exact upper bounds of each source's miss rate; a row a source reaches the driver."""
     rows = M.rates(evaluated(spark, d), ref(), call(), ["source"]).select("source", "fn", (F.col("fn") + F.col("tp")).alias("n")).collect()
@@ -331,5 +406,6 @@ def bipartite_match(spark, d):
 
 @query()
 def nms(spark, d):
-    e = read(spark, d, "events").select(F.col("user_id").alias("image"), F.col("event_id").alias("id"), (F.col("value") % 40).alias("x"), ((F.col("event_id") * 7) % 100).cast("double").alias("y"), F.col("value").alias("score"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("image"), F.col("event_id").alias("id"), (F.col("value") % 40).alias("x"),
+        ((F.col("event_id") * 7) % 100).cast("double").alias("y"), F.col("value").alias("score"))
     return G.suppress(e, 5.0, 300)

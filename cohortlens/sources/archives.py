@@ -58,4 +58,5 @@ def release(archives: DataFrame, pattern: str, prefix: str) -> DataFrame:
 
 def distinct_contents(released: DataFrame) -> DataFrame:
     """One member for each digest, the first by archive and member; and all members' names for the mapping table stay in released."""
-    return released.filter("NOT sealed").groupBy("sha256", "name").agg(F.min(F.struct("archive", "member")).alias("first"), F.count("*").alias("copies")).select("sha256", "name", "first.*", "copies")
+    return released.filter("NOT sealed").groupBy("sha256", "name").agg(F.min(F.struct("archive", "member")).alias("first"),
+        F.count("*").alias("copies")).select("sha256", "name", "first.*", "copies")

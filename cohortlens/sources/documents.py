@@ -42,5 +42,6 @@ def validated(rows: DataFrame, text: str, schema: str, version: int, required: t
     parsed = rows.withColumn("document", d)
     missing = F.filter(F.array(*[F.when(F.col(f"document.{r}").isNull(), F.lit(r)) for r in required]), lambda x: x.isNotNull())
     broken = F.get_json_object(text, "$").isNull()
-    problem = F.when(broken, "not json").when(~F.col("document.version").eqNullSafe(F.lit(version)), "version").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    problem = F.when(broken, "not json").when(~F.col("document.version").eqNullSafe(F.lit(version)), "version").when(F.size(missing) > 0,
+        F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
     return parsed.withColumn("problem", problem)

@@ -20,9 +20,11 @@ def csv(spark: SparkSession, path: str | Sequence[str], schema: str | StructType
 def text_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", columns: Sequence[str] | None = None) -> DataFrame:
     """Every column a string and empty fields empty strings, never null. Header names lose blanks and a byte-order mark; columns names them where there is no header."""
     def read(schema, header):
-        return spark.read.schema(schema).option("sep", sep).option("header", header).option("encoding", encoding).option("nullValue", "\u0000").option("emptyValue", "").option("mode", "FAILFAST").csv(path)
+        return spark.read.schema(schema).option("sep", sep).option("header", header).option("encoding", encoding).option("nullValue",
+            "\u0000").option("emptyValue", "").option("mode", "FAILFAST").csv(path)
 
-    names = list(columns) if columns else [c.strip().removeprefix("﻿").strip() for c in spark.read.option("sep", sep).option("header", True).option("encoding", encoding).option("inferSchema", False).csv(path).columns]
+    names = list(columns) if columns else [c.strip().removeprefix("﻿").strip() for c in spark.read.option("sep", sep).option("header",
+        True).option("encoding", encoding).option("inferSchema", False).csv(path).columns]
     return read(StructType([StructField(c, StringType()) for c in names]), not columns).fillna("")  # the reader takes unquoted empty fields as null
 
 

@@ -69,7 +69,8 @@ def workbook_rows(files: DataFrame, sheet: str | None = None) -> DataFrame:
     def run(batches):
         def batch(rows):
             cols = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()), strict=True)], ["path", "sheet", "row", "cells", "error"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols,
+                (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()), strict=True)], ["path", "sheet", "row", "cells", "error"])
 
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

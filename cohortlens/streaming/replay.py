@@ -22,7 +22,8 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 
 def windowed(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """(window_start, event_type, n, total) by tumbling windows."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"),
+        F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
 def served(events: DataFrame, key: str, service: float) -> DataFrame:
