@@ -16,7 +16,7 @@ from ..operators import report as O
 from ..operators import resampling as B
 from ..operators import similarity as V
 from ..session import shared_dir, ship
-from ..sources import archives, documents, images, tables, workbooks
+from ..sources import archives, arrays, documents, images, tables, workbooks
 from .assembly import _HASH, _UNIT, _hashes, _unit
 from .cohort import CASES, evaluated, head_probability, read, sql_draw
 from .statistics import REPLICATES, query, r6, sql_draw32
@@ -265,3 +265,59 @@ def baseline_freeze(spark, d):
     turned = {n: (df.orderBy(F.col(k).desc()), k) for n, (df, k) in own_tables.items()}
     broken = G.broken_bindings(lock, turned)
     return spark.createDataFrame([(n, h, n not in broken) for n, h in lock["bindings"].items()], "name string, digest string, unchanged boolean")
+
+
+@own("SELECT n_nationkey AS place, n_name AS name, CAST(n_nationkey AS DOUBLE) / 2 AS first, CAST(n_regionkey AS DOUBLE) AS second FROM nation")
+def array_scan(spark, d):
+    """Rows of an array file beside the table they belong to, after their keys were compared. The file is made here of a table of fixed size."""
+    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("name"), "n_regionkey")
+    own_rows = n.orderBy("place").collect()  # 25 rows
+    out = io.BytesIO()
+    np.savez(out, logits=np.array([[r["place"] / 2, r["n_regionkey"]] for r in own_rows], float), ids=np.array([r["place"] for r in own_rows]))
+    files = spark.createDataFrame([("a.npz", bytearray(out.getvalue())), ("b.npy", bytearray(b"broken"))], "path string, content binary")
+    rows = arrays.array_rows(files).filter("error IS NULL")
+    keys = rows.filter("name = 'ids'").select("row", F.col("values")[0].cast("long").alias("place"))
+    j = arrays.aligned(n.select("place", "name"), rows.filter("name = 'logits'").select("row", "values"), "place", "place", keys)
+    return j.select("place", "name", F.col("values")[0].alias("first"), F.col("values")[1].alias("second"))
+
+
+@own("WITH m AS (SELECT l_suppkey AS image, l_partkey % 64 AS place, bool_or(l_discount >= CAST(0.08 AS DOUBLE)) AS a, bool_or(l_tax >= CAST(0.07 AS DOUBLE)) AS b "
+    "FROM lineitem GROUP BY 1, 2) SELECT image, count(*) FILTER (WHERE a OR b) AS either, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS only_a FROM m GROUP BY 1")
+def mask_union(spark, d):
+    """Masks as arrays of 64 flags, united and intersected place by place."""
+    li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 64).cast("int").alias("place"),
+        (F.col("l_discount") >= 0.08).alias("a"), (F.col("l_tax") >= 0.07).alias("b"))
+
+    def mask(c):
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array_contains(F.col(c), i))
+
+    m = li.groupBy("image").agg(F.collect_set(F.when(F.col("a"), F.col("place"))).alias("pa"), F.collect_set(F.when(F.col("b"), F.col("place"))).alias("pb"))
+    m = m.select("image", mask("pa").alias("a"), mask("pb").alias("b"))
+    count = lambda f: F.size(F.filter(F.zip_with("a", "b", f), lambda x: x)).cast("long")
+    return m.select("image", count(lambda x, y: x | y).alias("either"), count(lambda x, y: x & y).alias("both"), count(lambda x, y: x & ~y).alias("only_a"))
+
+
+_STUMP = ", x AS (SELECT unnest(['score', 'z5', 'iqs']) AS feature, unnest([score / 4, least(greatest((z5 + 4) / 10, 0), 1), iqs]) AS v, true_grade >= 2 AS y, CAST(" + sql_draw("bs", "group_id") + " AS DOUBLE) / 10000 < CAST(0.7 AS DOUBLE) AS fit FROM ok)"
+
+
+@own(CASES + _STUMP + ", g AS (SELECT CAST(range AS DOUBLE) / 50 AS cut FROM range(1, 50)), c AS (SELECT feature, fit, cut, avg(CASE WHEN y THEN CAST(v >= cut AS DOUBLE) END) AS sens, avg(CASE WHEN NOT y THEN CAST(v < cut AS DOUBLE) END) AS spec, avg(CAST((v >= cut) = y AS DOUBLE)) AS acc "
+    "FROM x, g GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(sens + spec, 9) DESC, cut) AS r FROM c WHERE fit), m AS (SELECT avg(CAST(NOT y AS DOUBLE)) AS acc FROM x WHERE NOT fit AND feature = 'iqs') "
+    "SELECT b.feature, b.cut, round((b.sens + b.spec) / 2, 6) AS fitted, round((t.sens + t.spec) / 2, 6) AS held_out, round(t.acc, 6) AS accuracy FROM b JOIN c t ON t.feature = b.feature AND t.cut = b.cut AND NOT t.fit WHERE b.r = 1 "
+    "UNION ALL SELECT 'none', NULL, 0.5, 0.5, round(acc, 6) FROM m")
+def baseline_rules(spark, d):
+    """Interpretable baselines on a fixed split of patients: the best single cut of each feature, and calling nobody."""
+    fit = (S.draw("bs", F.col("group_id")) / 10000.0 < 0.7).alias("fit")
+    each = {"score": F.col("score") / 4, "z5": F.least(F.greatest((F.col("z5") + 4) / 10, F.lit(0.0)), F.lit(1.0)), "iqs": F.col("iqs")}
+    x = evaluated(spark, d).select((F.col("true_grade") >= 2).alias("y"), fit,
+        F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("v")) for n, v in each.items()])).alias("f")).select("y", "fit", "f.*")
+    g = x.select("*", F.explode(F.array(*[F.lit(k / 50) for k in range(1, 50)])).alias("cut"))
+    on = F.col("v") >= F.col("cut")
+    c = g.groupBy("feature", "fit", "cut").agg(F.avg(F.when(F.col("y"), on.cast("double"))).alias("sens"),
+        F.avg(F.when(~F.col("y"), (~on).cast("double"))).alias("spec"), F.avg((on == F.col("y")).cast("double")).alias("acc"))
+    both = (F.col("sens") + F.col("spec")) / 2
+    best = c.filter("fit").groupBy("feature").agg(F.max_by(F.struct("cut", both.alias("fitted")),
+        F.struct(F.round(F.col("sens") + F.col("spec"), 9), -F.col("cut"))).alias("b")).select(F.col("feature").alias("f"), "b.*")
+    t = c.filter("NOT fit").join(F.broadcast(best.withColumnRenamed("cut", "at")), (F.col("feature") == F.col("f")) & (F.col("cut") == F.col("at")))  # a row a feature
+    none = x.filter("NOT fit AND feature = 'iqs'").agg(F.avg((~F.col("y")).cast("double")).alias("a")).select(F.lit("none").alias("feature"),
+        F.lit(None).cast("double").alias("cut"), F.lit(0.5).alias("fitted"), F.lit(0.5).alias("held_out"), r6("a", "accuracy"))
+    return t.select("feature", "cut", r6("fitted", "fitted"), r6(both, "held_out"), r6("acc", "accuracy")).unionByName(none)

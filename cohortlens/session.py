@@ -69,7 +69,3 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any more from the shared folder's file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Nothing to do: cut() drops the shuffles behind what it writes."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import indexing, policy, queueing, ranking, report, sampling, similarity
-from cohortlens.sources import images, workbooks
+from cohortlens.sources import arrays, images, workbooks
 
 
 def test_workbooks(spark):
@@ -151,6 +151,26 @@ def test_blocks_of_vectors(spark):
     assert similarity.top_k(df.limit(0), df, 3).count() == similarity.similar_pairs(df.limit(0), 1.0).count() == 0
 
 
+def test_arrays(spark):
+    import io
+
+    out = io.BytesIO()
+    np.save(out, np.arange(6.0).reshape(3, 2))
+    objects = io.BytesIO()
+    np.save(objects, np.array([{}], object), allow_pickle=True)
+    files = spark.createDataFrame([("a", bytearray(out.getvalue())), ("o", bytearray(objects.getvalue())), ("n", None)], "path string, content binary")
+    rows = arrays.array_rows(files)
+    assert [(r["row"], r["values"]) for r in rows.filter("path = 'a'").orderBy("row").collect()] == [(0, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [4.0, 5.0])]
+    assert rows.filter("error IS NOT NULL").count() == 2
+    table = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "place long, key string")
+    keys = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "row long, key string")
+    good = rows.filter("path = 'a'")
+    assert {r["key"]: r["values"] for r in arrays.aligned(table, good, "place", "key", keys).collect()} == {"x": [0.0, 1.0], "y": [2.0, 3.0], "z": [4.0, 5.0]}
+    for other in (keys.filter("row < 2"), keys.withColumn("key", F.lit("x"))):
+        with pytest.raises(ValueError, match="rows"):
+            arrays.aligned(table, good, "place", "key", other)
+
+
 def test_passport():
     parts = {"a": {"n": 3, "m": {"x": 1}}, "b": {"n": 3}}
     assert report.passport(parts, {"same n": ("a.n", "b.n")})["rules"] == ["same n"]
