@@ -208,6 +208,23 @@ def test_gains_by_site(spark, heads):
     assert rule["success"] == (np.mean(gains) >= 0.010 and above >= 2 and min(gains) >= -0.005)
 
 
+def test_nested_stacking(spark, heads):
+    df, x = heads
+    source, y, score, fx = df.source.to_numpy(), df.referable.to_numpy().astype(float), df.score.to_numpy(), x[:, 1:]
+    rows = {r["site"]: r for r in result(spark, "nested_stacking")}
+    for t in np.unique(source):
+        test, oof = source == t, np.zeros(len(y))
+        oof[test] = plain_logistic(fx[~test], y[~test], 0.05)(fx[test])
+        for s in set(source) - {t}:
+            inner = source == s
+            oof[inner] = plain_logistic(fx[~test & ~inner], y[~test & ~inner], 0.05)(fx[inner])
+        both = np.column_stack([score, oof])
+        stack = plain_logistic(both[~test], y[~test], 1.0)(both[test])
+        want = [plain_auc(y[test], v) for v in (score[test], oof[test].round(6), stack.round(6))]
+        r = rows[t]
+        assert r["n"] == test.sum() and np.allclose([r["score"], r["probe"], r["stack"], r["stack_gain"]], [*want, want[2] - want[0]], atol=3e-6) and r["probe_gains"] == (round(want[1] - want[0], 6) >= 0.02)
+
+
 class PlainGuard:
     """Ledoit and Wolf's estimator from its definition, over single rows."""
 
