@@ -27,6 +27,8 @@ _PLACE = np.uint64((1 << 24) - 1)
 PIECE = 1 << 20
 #: A class with more distinct segments than this is resolved window by window, over all tasks, instead of in one.
 MOST_IN_CLASS = 50_000
+#: Segments that a task counts at a time, and that it compares at a time: what bounds a Python worker's memory.
+COUNTED, COMPARED = 250_000, 6000
 _SEGMENT = "mh long, sh long, key long, th long, start long, windows int, rel int, n long"
 RUNS = "array<struct<a:int,b:int>>"
 
@@ -125,7 +127,7 @@ def _rows(units: Units, counted: bool):
                 for mh, sh, start, windows, rel in units.segments(units.data(text)):
                     held.append((mh, sh, np.full(len(mh), key, np.int64), np.full(len(mh), th, np.int64), start, windows, rel))
                     size += len(mh)
-                if size >= (600_000 if counted else 50_000):
+                if size >= (COUNTED if counted else 50_000):
                     yield pack(held)
                     held, size = [], 0
         if held:
@@ -222,7 +224,7 @@ def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, mo
         return texts.select("id", "key", "th", "text", own.alias("wanted")).filter(F.size("wanted") > 0).mapInArrow(_content(units), _SEGMENT + ", content binary")
 
     order = ["mh", "sh", "key", "th", "start"]
-    compared = contents(False).repartition("mh").sortWithinPartitions(*order).mapInArrow(_classes(compare, 20_000), f"mh long, sh long, runs {RUNS}")
+    compared = contents(False).repartition("mh").sortWithinPartitions(*order).mapInArrow(_classes(compare, COMPARED), f"mh long, sh long, runs {RUNS}")
     single = contents(True).mapInArrow(_each_window(units), "mh long, sh long, digest binary, key long, th long, place long, k int, n long")
     owner = single.groupBy("mh", "digest").agg(F.min(F.struct("key", "th", "place", "sh")).alias("o"), F.sum("n").alias("c"))
     spread = single.join(owner, ["mh", "digest"]).filter(F.col("o.sh") != F.col("sh") if earlier else F.col("c") > 1)
@@ -231,6 +233,7 @@ def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, mo
     found = mixed.select("mh", "sh", "n", "first").join(runs, ["mh", "sh"], "left")
     if not alike:
         found = classes.filter("kinds = 1").select("mh", "sh", "n", "first", none.alias("runs")).unionByName(found)
+    found = cut(found)  # one row a distinct segment; read from a table, Spark may split the places of hot ones over tasks
     places = src.mapInArrow(_rows(units, False), _SEGMENT).drop("n", "rel")
     hit = places.join(found, ["mh", "sh"])
     whole = F.lit(False) if alike else (F.struct("key", "th", "start") != F.col("first")) if earlier else (F.col("n") > 1)

@@ -53,13 +53,12 @@ def repeated_by_columns(length: int):
     """For segments (mh, sh, key, th, start, windows, rel, n, content): which of their windows stand elsewhere too. A segment with n of 2 or more is two strings."""
 
     def compare(rows: list[tuple]) -> list[np.ndarray]:
-        own = np.repeat(np.arange(len(rows)), [1 + (r[7] > 1) for r in rows])
+        own = np.repeat(np.arange(len(rows)), [1 + (r[7] > 1) for r in rows])  # a string's row
         left = max(r[6] for r in rows)
         width = max(left - r[6] + len(r[8]) for r in rows)
-        symbols = np.zeros((len(rows), width), np.uint16)
-        for i, r in enumerate(rows):
+        symbols = np.zeros((len(own), width), np.uint16, order="F")
+        for i, r in zip(range(len(own)), (rows[k] for k in own), strict=True):
             symbols[i, left - r[6] : left - r[6] + len(r[8])] = np.frombuffer(r[8], np.uint8).astype(np.uint16) + 1
-        symbols = np.asfortranarray(symbols[own])
         group = np.cumsum([i > 0 and rows[i][0] != rows[i - 1][0] for i in range(len(rows))])[own]
         hit = np.zeros((left + 1, len(rows)), bool)
         for c, order, common in columns(group, symbols):
