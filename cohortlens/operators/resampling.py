@@ -15,6 +15,10 @@ from ..functions.scalar import hash_order, ratio
 from .indexing import dense_index, in_hash_order
 
 
+#: Draws that a task makes in a row.
+STRETCH = 1 << 16
+
+
 def draw32(tag: str, *key: Column) -> Column:
     """The first 32 bits of md5(tag|key...)."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(tag), *[k.cast("string") for k in key])), 1, 8), 16, 10).cast("long")
@@ -31,11 +35,13 @@ def cluster_counts(df: DataFrame, cluster: str, counts: dict[str, Column], strat
 
 
 def weights(clusters: DataFrame, replicates: int, seed: str, strata: Sequence[str] = ()) -> DataFrame:
-    """(strata, r, idx, w): how often a replicate draws a cluster; as many draws as clusters, within strata. Replicates are dealt to tasks before they draw, and stay there."""
+    """(strata, r, idx, w): how often a replicate draws a cluster; as many draws as clusters, within strata. Replicates are dealt to tasks in stretches of draws before they draw."""
     sizes = clusters.select(*strata, "n_clusters").distinct()
-    d = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).repartition(*strata, "r").select("*",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_clusters") - 1)).alias("j"))
-    return d.withColumn("idx", draw32(seed, *[F.col(s) for s in strata], F.col("r"), F.col("j")) % F.col("n_clusters")).groupBy(*strata, "r", "idx").agg(F.count("*").alias("w"))
+    d = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_clusters") - 1, F.lit(STRETCH).cast("long"))).alias("_from")).repartition(*strata, "r", "_from")
+    d = d.select("*", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + STRETCH, F.col("n_clusters")) - 1)).alias("j"))
+    idx = draw32(seed, *[F.col(s) for s in strata], F.col("r"), F.col("j")) % F.col("n_clusters")
+    return d.withColumn("idx", idx).groupBy(*strata, "r", "idx").agg(F.count("*").alias("w"))
 
 
 def resampled(clusters: DataFrame, replicates: int, seed: str, counts: Sequence[str], strata: Sequence[str] = ()) -> DataFrame:
