@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import setting
 from .common import ASCII_SPACE, NULL_ID, cut, small_batches, table, unused
 
-#: Bytes of the normalised text in a splitter: Spark's sample of them is what reaches the driver.
-SPLITTER = 256
+#: Bytes of the normalised text in a splitter, and rows sampled a partition. Spark samples at most a million rows, whatever the table, and some 150 bytes of each reach the driver.
+SPLITTER, SAMPLED = 96, 20
 _RUN_SCHEMA = "part int, run long, kind int, id long, th long, pos long, keep long, size long, sha binary, text binary"
 
 
@@ -30,7 +31,8 @@ def _normalise(batches):
     for b in batches:
         texts = b.column(1).to_pylist()
         norm = [normalised(t) for t in texts]
-        cols = [b.column(0), b.column(2), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([x[:SPLITTER] for x in norm], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary()), pa.array(norm, pa.binary())]
+        cols = [b.column(0), b.column(2), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([x[:SPLITTER] for x in norm], pa.binary()),
+            pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary()), pa.array(norm, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["id", "th", "n", "start", "sha", "norm"])
 
 
@@ -50,7 +52,9 @@ def _runs(batches):
         ends[:] = [own, own] if not ends else [min(ends[0], own, key=lambda e: e[0]), max(ends[1], own, key=lambda e: e[0])]
 
     def batch():
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in _RUN_SCHEMA.split(", ")])
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True),
+            (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()),
+            strict=True)], [x.split()[0] for x in _RUN_SCHEMA.split(", ")])
         rows.clear()
         return out
 
@@ -85,16 +89,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     norm = src.mapInArrow(_normalise, "id long, th long, n long, start binary, sha binary, norm binary")
     stays = [F.col("n").desc(), F.col("id").asc_nulls_first()]
     # start is how norm begins, so this is the order of norm; most comparisons end there and copy no whole texts.
-    runs = cut(norm.repartitionByRange("start", "sha", *stays).sortWithinPartitions("start", "norm", *stays).mapInArrow(_runs, _RUN_SCHEMA))
+    with setting(docs.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SAMPLED)):
+        runs = cut(norm.repartitionByRange("start", "sha", *stays).sortWithinPartitions("start", "norm", *stays).mapInArrow(_runs, _RUN_SCHEMA))
     ends = runs.filter("kind = 1")
     # At most two runs a partition, without their texts: one task can order them all, and they are broadcast.
     line = Window.orderBy("sha", "part")
-    held = ends.select("part", "run", "id", "size", "sha", (F.col("sha") != F.lag("sha").over(line)).alias("new"), F.lag("part").over(line).alias("part_0"), F.lag("run").over(line).alias("run_0"))
+    held = ends.select("part", "run", "id", "size", "sha", (F.col("sha") != F.lag("sha").over(line)).alias("new"),
+        F.lag("part").over(line).alias("part_0"), F.lag("run").over(line).alias("run_0"))
     held = held.withColumn("grp", F.sum(F.coalesce(F.col("new").cast("int"), F.lit(1))).over(line))
     _same_texts(ends, held.filter("not new"))
     whole = Window.partitionBy("grp")
     every = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # parts follow the order in which rows stay
-    edges = held.select("part", "run", F.sum("size").over(whole).alias("e_size"), F.first(F.struct(F.col("id").alias("v"))).over(every).alias("e_keep"), (F.min("part").over(whole) == F.col("part")).alias("e_first"))
+    edges = held.select("part", "run", F.sum("size").over(whole).alias("e_size"),
+        F.first(F.struct(F.col("id").alias("v"))).over(every).alias("e_keep"), (F.min("part").over(whole) == F.col("part")).alias("e_first"))
     out = runs.filter("kind = 0").join(F.broadcast(edges), ["part", "run"], "left")
     edge = F.col("e_size").isNotNull()
     return out.select(

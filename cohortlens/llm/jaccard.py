@@ -135,7 +135,9 @@ def _describe(batches):
     for b in batches:
         sets = [shingles(t) for t in b.column(1).to_pylist()]
         digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([tile_signature(s) for s in sets], pa.binary())], ["key", "th", "size", "digest", "sig", "tile_sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
+            pa.array([signature(s) for s in sets], pa.binary()), pa.array([tile_signature(s) for s in sets], pa.binary())],
+            ["key", "th", "size", "digest", "sig", "tile_sig"])
 
 
 def _prefixes(levels):
@@ -161,7 +163,9 @@ def _prefixes(levels):
                 s, own_parts = s[order], parts_of(own[order], usual, rows)
                 part = (int.from_bytes(d[:6], "little") % own_parts).astype(np.int32)
                 marked = np.arange(first) < len(own) - -(-2 * PERCENT * len(own) // (100 + PERCENT)) + 1
-                cols.append((s.view(np.int64), np.where(own_parts > 1, part, -1).astype(np.int32), np.full(first, int(np.log(len(own)) / np.log(BAND)), np.int32), np.full(first, key, np.int64), np.full(first, len(own), np.int64), marked.astype(np.int8)))
+                cols.append((s.view(np.int64), np.where(own_parts > 1, part, -1).astype(np.int32),
+                    np.full(first, int(np.log(len(own)) / np.log(BAND)), np.int32), np.full(first, key, np.int64),
+                    np.full(first, len(own), np.int64), marked.astype(np.int8)))
             if cols:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], ["member", "part", "band", "key", "size", "marked"])
 
@@ -210,7 +214,8 @@ def _stars(batches):
     def batch(kind, a, b, *rest):
         n = len(a)
         none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int8())]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b), *([pa.array(c) for c in rest] or none)], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b),
+            *([pa.array(c) for c in rest] or none)], names)
 
     for member, part, band, key, size, marked in _grouped(batches, 2):
         new = np.concatenate([[True], (member[1:] != member[:-1]) | (part[1:] != part[:-1])])
@@ -387,7 +392,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str):
     """The rows (key, text, th), what is known of each, of those with shingles, and the components."""
     spark = docs.sparkSession
     small_batches(spark)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"),
+        F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     levels = spark.sparkContext.broadcast((*frequency_levels(src), PART_ROWS))  # 8 MB
     info = cut(src.mapInArrow(_describe, "key long, th long, size long, digest binary, sig binary, tile_sig binary"))
     tile = ["member", "part"]
@@ -409,7 +415,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str):
     rest = rest.join(filled.select(F.col("key").alias("k"), "tile_sig"), F.col("key") == F.col("k"))
     rest = rest.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = ["member", "lo", "hi"]
-    rest = rest.select("member", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band", "key", "size", "marked", "comp", "own", "tile_sig").repartition(*pair).sortWithinPartitions(*pair, "band", "key")
+    rest = rest.select("member", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band", "key", "size", "marked",
+        "comp", "own", "tile_sig").repartition(*pair).sortWithinPartitions(*pair, "band", "key")
     more = _verified(rest.mapInArrow(_across, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), filled, src)
     if not more.isEmpty():
         found = found.unionByName(more)

@@ -56,7 +56,8 @@ def templates(spark, phrases: dict[str, str], notices: dict[str, str]) -> DataFr
 
 def hits(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The verified hits of all rolling 3-grams, and each row's closing gram: row, id, n_words, template, label, base, grams, tpos, pos."""
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), words(F.col(text_col).cast("string")).alias("words")).withColumn("n_words", F.size("words"))
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
+        words(F.col(text_col).cast("string")).alias("words")).withColumn("n_words", F.size("words"))
 
     def gram(a, b, c):
         return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"))
@@ -87,7 +88,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     island = diagonal.withColumn("apart", apart).withColumn("island", F.max(F.when(F.col("apart"), F.col("diagonal"))).over(line))
     step = F.floor((F.col("diagonal") - F.col("island")) / F.greatest(F.col("grams"), F.lit(1)))
     island = island.withColumn("step", step).withColumn("span", F.explode(F.when(F.col("step") > 0, F.array(F.col("step") - 1, F.col("step"))).otherwise(F.array("step"))))
-    spans = island.groupBy(*fixed, "island", "span").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    spans = island.groupBy(*fixed, "island", "span").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
     phrase = F.col("base") & (F.col("votes") == F.col("grams"))
     covered = F.when(F.col("base"), phrase.cast("double")).when(F.col("template") < 0, 0.0).otherwise(F.col("places") / F.greatest(F.col("grams"), F.lit(1)))
     spans = spans.withColumn("cover", covered)

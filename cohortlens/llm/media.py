@@ -132,9 +132,11 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
         for b in batches:
             items = [(i, k, *item) for i, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, item in enumerate(parse(html))]
             cols = list(zip(*items, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], ["id", "position", "kind", "text", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()),
+                strict=True)], ["id", "position", "kind", "text", "digest"])
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "id long, position int, kind string, text string, digest string")
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run,
+        "id long, position int, kind string, text string, digest string")
 
 
 def media_table(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -185,7 +187,9 @@ def _features(batches):
             feature = f"rows={len(x) // ROW};mean={x.mean():.3f};max={x.max()}"
             rows.append((i, int(caption), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(medium), hashlib.sha256(medium).hexdigest(), feature))
         cols = list(zip(*rows, strict=True)) or [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols,
+            (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
+            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def _page_of(batches):
@@ -201,4 +205,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = sequences(docs.mapInArrow(_page_of, "page_id long, html string"))
     found = resolve(items.filter("kind = 'media'"), media_table(docs))
-    return found.select("id", "text", "medium").mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return found.select("id", "text", "medium").mapInArrow(_features,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

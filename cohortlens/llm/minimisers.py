@@ -118,7 +118,8 @@ def _rows(units: Units, counted: bool):
             n = np.diff(np.append(new, len(mh)))
             mh, sh = mh[new], sh[new]
             key, th, start, windows, rel = (c[order][new] for c in (key, th, start, windows, rel))
-        return pa.RecordBatch.from_arrays([pa.array(mh), pa.array(sh), pa.array(key), pa.array(th), pa.array(start), pa.array(windows.astype(np.int32)), pa.array(rel.astype(np.int32)), pa.array(n)], names)
+        return pa.RecordBatch.from_arrays([pa.array(mh), pa.array(sh), pa.array(key), pa.array(th), pa.array(start),
+            pa.array(windows.astype(np.int32)), pa.array(rel.astype(np.int32)), pa.array(n)], names)
 
     def run(batches):
         held, size = [], 0
@@ -168,7 +169,8 @@ def _classes(compare: Callable[[list[tuple]], list[np.ndarray]], most: int):
 
         def out(rows):
             hits = compare(rows)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([runs_of(h) for h in hits], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["mh", "sh", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([runs_of(h) for h in hits], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["mh", "sh", "runs"])
 
         for b in batches:
             held += zip(*(c.to_pylist() for c in b.columns), strict=True)
@@ -195,7 +197,8 @@ def _each_window(units: Units):
                 k = np.arange(windows)
                 digest = [xxhash.xxh3_128_digest(content[x:y]) for x, y in zip(begins[k].tolist(), ends[k + units.window - 1].tolist(), strict=True)]
                 same = lambda v, t=pa.int64(), c=windows: pa.array([v] * c, t)
-                yield pa.RecordBatch.from_arrays([same(mh), same(sh), pa.array(digest, pa.binary()), same(key), same(th), pa.array(k + start), pa.array(k.astype(np.int32)), same(n)], ["mh", "sh", "digest", "key", "th", "place", "k", "n"])
+                yield pa.RecordBatch.from_arrays([same(mh), same(sh), pa.array(digest, pa.binary()), same(key), same(th), pa.array(k + start),
+                    pa.array(k.astype(np.int32)), same(n)], ["mh", "sh", "digest", "key", "th", "place", "k", "n"])
 
     return run
 
@@ -215,7 +218,8 @@ def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, mo
     del segments, each
     none = F.lit(None).cast(RUNS)
     mixed = classes if alike else classes.filter("kinds > 1")
-    wanted = mixed.groupBy("first.key", "first.th").agg(F.collect_list(F.struct("mh", "sh", F.col("first.start").alias("start"), "windows", "rel", "n", (F.col("kinds") > most).alias("hot"))).alias("wanted"))
+    wanted = mixed.groupBy("first.key", "first.th").agg(F.collect_list(F.struct("mh", "sh", F.col("first.start").alias("start"), "windows", "rel",
+        "n", (F.col("kinds") > most).alias("hot"))).alias("wanted"))
     # The same rows as in with_spans(), so that Spark shuffles the texts once.
     texts = docs.select("id", "key", "th", "text").join(wanted.withColumnRenamed("key", "k").withColumnRenamed("th", "t"), (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")))
 

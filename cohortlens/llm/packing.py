@@ -129,7 +129,9 @@ class _Stream:
         wide = ids.astype("<u4")
         crc = [zlib.crc32(wide[a : a + n]) for a, n in zip(first.tolist(), length.tolist(), strict=True)]
         out = pa.RecordBatch.from_arrays(
-            [pa.array([self.docs[d][0] for d in doc], pa.int64()), pa.array(first - np.array([self.docs[d][2] for d in doc])), pa.array(length), pa.array(crc, pa.int64()), pa.array([self.docs[d][1] for d in doc], pa.int64()), pa.array((self.part << 33) + self.n + which), pa.array(first - seq[which])],
+            [pa.array([self.docs[d][0] for d in doc], pa.int64()), pa.array(first - np.array([self.docs[d][2] for d in doc])), pa.array(length),
+                pa.array(crc, pa.int64()), pa.array([self.docs[d][1] for d in doc], pa.int64()), pa.array((self.part << 33) + self.n + which),
+                pa.array(first - seq[which])],
             [c.split()[0] for c in SCHEMA.split(", ")],
         )
         self.n += len(chosen)

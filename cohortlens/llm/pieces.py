@@ -99,7 +99,9 @@ def _emit_chunks(buckets: int):
             name, ends = block.name(part, n), np.cumsum(np.bincount(at, minlength=buckets))
             for k in range(buckets):
                 if len(own := order[ends[k - 1] if k else 0 : ends[k]]):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name], pa.int64()), pa.array([_planes(np.diff(own, prepend=0).astype(np.int32))], pa.binary()), pa.array([_texts([chunks[j] for j in own])], pa.binary())], ["bucket", "block", "codes", "chunks"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name], pa.int64()),
+                        pa.array([_planes(np.diff(own, prepend=0).astype(np.int32))], pa.binary()),
+                        pa.array([_texts([chunks[j] for j in own])], pa.binary())], ["bucket", "block", "codes", "chunks"])
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
@@ -127,7 +129,8 @@ def _emit_codes(batches):
         pack()
         name = block.name(part, n)
         for i, lengths, data in done:
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([i], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([data], pa.binary())], ["block", "ids", "lengths", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([i], pa.list_(pa.int64())),
+                pa.array([lengths], pa.list_(pa.int32())), pa.array([data], pa.binary())], ["block", "ids", "lengths", "codes"])
         done.clear()
 
     for batch in batches:

@@ -60,7 +60,8 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
                 n.append(len(words))
                 gone.append(int(hit.sum()))
                 kept.append(b" ".join(w for w, x in zip(words, hit.tolist(), strict=True) if not x) if gone[-1] else b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     spans = repeated(src, units, earliest_by_sort(window), earlier=True, most=most_in_class)
     return with_spans(src, spans).mapInArrow(run, "id long, n_words long, n_removed long, kept string")

@@ -90,7 +90,8 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
                 kept = np.frombuffer(data, np.uint8)[~hit].tobytes() if spans else data
                 rows.append((len(data), len(data) - len(kept), len(runs_of(hit)) if spans else 0, kept))
             cols = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()),
+                strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     spans = repeated(src, units, repeated_by_columns(length), earlier=False, most=most_in_class, alike=True)
     return with_spans(src, spans).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -80,7 +80,8 @@ def fit(labelled: DataFrame, rows: dict[int, int], l2: float = L2, steps: int =
     if not rows.get(0) or not rows.get(1):
         return Model(np.full(dims, -1, np.int32), np.zeros(0), 30.0 if rows.get(1) else -30.0)
     counts = np.zeros((2, dims))
-    for r in labelled.select("y", "text").mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect():  # 2**20 counts a class, whatever the input
+    for r in labelled.select("y", "text").mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add,
+        "slice int, counts binary").collect():  # 2**20 counts a class, whatever the input
         own = np.frombuffer(r["counts"], np.int32).reshape(2, -1)
         counts[:, r["slice"] * own.shape[1] : (r["slice"] + 1) * own.shape[1]] = own
     share = np.array([[rows[0]], [rows[1]]], float)

@@ -51,7 +51,9 @@ def digest(payload: bytes) -> str:
 def record(page_id: int, url: str | None, payload: bytes, owner: int | None) -> bytes:
     """One WARC record as a gzip member; with an owner, a revisit without the payload."""
     name = "null" if page_id == NULL_ID else str(page_id)
-    head = ["WARC/1.1", f"WARC-Type: {'response' if owner is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if owner is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", "WARC-Date: 2000-01-01T00:00:00Z",
+        f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}"]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if owner is None:
         body += payload
@@ -69,7 +71,8 @@ def parse(member: bytes) -> dict:
     body = data[at + 4 : at + 4 + int(fields["Content-Length"])]
     payload = body[body.index(b"\r\n\r\n") + 4 :]
     page = lambda x: None if x is None or x == "<urn:page:null>" else int(x[10:-1])
-    out = {"page_id": page(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "refers_to": page(fields.get("WARC-Refers-To")), "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(fields["X-Payload-Length"]), "payload": payload}
+    out = {"page_id": page(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "refers_to": page(fields.get("WARC-Refers-To")),
+        "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(fields["X-Payload-Length"]), "payload": payload}
     if out["record_type"] == "response" and (digest(payload) != out["digest"] or len(payload) != out["payload_bytes"]):
         raise ValueError(f"record {out['page_id']} doesn't hold the payload of its digest")
     return out
@@ -96,7 +99,8 @@ def _writer(folder: str):
         name, at, out, rows = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, None, []
 
         def batch():
-            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page", "file", "offset", "length"])
+            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True),
+                (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page", "file", "offset", "length"])
             rows.clear()
             return got
 
@@ -148,7 +152,8 @@ def index(captures: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
         held: list[list] = []
 
         def block(own):
-            return pa.RecordBatch.from_arrays([pa.array([own[0][0]]), pa.array([own[0][1]], pa.int64()), pa.array([zlib.compress(json.dumps(own).encode(), 6)], pa.binary())], ["key", "page", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([own[0][0]]), pa.array([own[0][1]], pa.int64()),
+                pa.array([zlib.compress(json.dumps(own).encode(), 6)], pa.binary())], ["key", "page", "data"])
 
         for b in batches:
             held += map(list, zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -175,7 +180,8 @@ def find(blocks: DataFrame, directory: list[tuple[str, int]], wanted: DataFrame)
             keep = [i for i, k in enumerate(at) if k >= 0]
             own = b.take(pa.array(keep, pa.int64()))
             tops = [first[at[i]] for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in tops], pa.string()), pa.array([t[1] for t in tops], pa.int64()), own.column(0), own.column(1)], ["bkey", "bpage", "key", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in tops], pa.string()), pa.array([t[1] for t in tops], pa.int64()), own.column(0),
+                own.column(1)], ["bkey", "bpage", "key", "page"])
 
     def search(asked: pa.Table, block: pa.Table) -> pa.Table:
         out: list[list] = []
@@ -209,7 +215,8 @@ def read(places: DataFrame, folder: str) -> DataFrame:
                         source.close()
                     name, source = file, system.open_input_file(f"{top}/{file}")
                 rows.append(parse(source.read_at(length, offset)))
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+                ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]))
         if source is not None:
             source.close()
 

@@ -66,7 +66,8 @@ def test_op4(spark, texts):
 
 def test_op5(spark, texts):
     kinds, got = rows(spark, "op5_media")
-    want = {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}
+    want = {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint",
+        "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}
     assert kinds == want and set(got) == set(texts)
     stored = collections.defaultdict(set)
     for i, t in texts.items():
@@ -101,7 +102,8 @@ def test_op7(spark, texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         at = [(k, label) for k in range(len(w)) for p, label in phrases if w[k : k + len(p)] == p]
         r, own = got[i], sorted({label for _, label in at})
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(own))
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at),
+            min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(own))
         labels = r["labels"].split(",") if r["labels"] else []
         assert set(own) <= set(labels) and labels == sorted(set(labels)) and 0 <= r["score"] <= 1
 
@@ -153,7 +155,8 @@ def test_packing_long_runs(text):
 def test_licenses_in_chains(spark):
     notice = licenses.NOTICES["mit-notice"]
     phrase = "free of charge to any person "
-    docs = spark.createDataFrame([(1, phrase * 60 + notice), (2, phrase * 400), (3, notice + " " + phrase * 60), (4, " ".join(w for k, w in enumerate(notice.split()) if k % 9))], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, phrase * 60 + notice), (2, phrase * 400), (3, notice + " " + phrase * 60),
+        (4, " ".join(w for k, w in enumerate(notice.split()) if k % 9))], "doc_id long, text string")
     got = {r["id"]: r for r in licenses.scan(docs).collect()}
     assert got[1]["labels"] == got[3]["labels"] == got[4]["labels"] == "mit-notice" and got[1]["score"] == got[3]["score"] == 1
     assert got[2]["labels"] == "" and got[2]["score"] < 0.2

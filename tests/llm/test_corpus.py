@@ -26,7 +26,8 @@ def texts():
         for _ in range(rng.randint(0, max(1, len(w) // 15))):
             w[rng.randrange(len(w))] = rng.choice(vocab)
         out[i] = rng.choice([" ", "  ", "\n"]).join(w) + rng.choice(["", " " + rng.choice(base)])
-    out |= {200: None, 201: "", 202: " \n\t ", 203: "a" * 1500, 204: "ab " * 400, 205: " ".join(str(i) for i in range(20000)), 206: "word", 207: "word", 208: "x\x00y \x01\x02 <s> ▁▁ z", 209: "😀" * 500}
+    out |= {200: None, 201: "", 202: " \n\t ", 203: "a" * 1500, 204: "ab " * 400, 205: " ".join(str(i) for i in range(20000)), 206: "word",
+        207: "word", 208: "x\x00y \x01\x02 <s> ▁▁ z", 209: "😀" * 500}
     return out
 
 
@@ -46,7 +47,8 @@ def nothing(spark):
 @pytest.fixture(scope="module")
 def odd(spark):
     """Repeated rows, null identifiers, one identifier with two texts."""
-    return spark.createDataFrame([(1, "p q r s t u", None, None, None, None)] * 2 + [(None, "p q r s t u", None, None, None, None), (None, None, None, None, None, None), (2, "one", None, None, None, None), (2, "two", None, None, None, None)], SCHEMA).coalesce(1)
+    return spark.createDataFrame([(1, "p q r s t u", None, None, None, None)] * 2 + [(None, "p q r s t u", None, None, None, None),
+        (None, None, None, None, None, None), (2, "one", None, None, None, None), (2, "two", None, None, None, None)], SCHEMA).coalesce(1)
 
 
 def sha(b):
@@ -246,7 +248,9 @@ def test_shingles_and_bounds():
 
 
 def test_licenses(spark, docs, nothing, odd):
-    rows = {1: "Under THE MIT-License; under the mit license", 2: "apache license version 2.0 and Apache License, Version 2", 3: "cc by nc cc by nc", 4: "under the mit licence", 5: None, 6: "", 7: " ".join(list(licenses.NOTICES.values())[0].split()[:40] + ["inserted", "words"] + list(licenses.NOTICES.values())[0].split()[40:]), 8: "Über cc\nby/nc"}
+    rows = {1: "Under THE MIT-License; under the mit license", 2: "apache license version 2.0 and Apache License, Version 2", 3: "cc by nc cc by nc",
+        4: "under the mit licence", 5: None, 6: "", 7: " ".join(list(licenses.NOTICES.values())[0].split()[:40] + ["inserted",
+        "words"] + list(licenses.NOTICES.values())[0].split()[40:]), 8: "Über cc\nby/nc"}
     got = {r["id"]: r for r in licenses.scan(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (2, 0, 4, "mit")
     assert got[2]["n_base"] == 2 and (got[3]["n_base"], got[3]["last_word"], got[3]["base_labels"]) == (2, 3, "cc-by-nc")
@@ -259,7 +263,8 @@ def test_licenses(spark, docs, nothing, odd):
 
 
 def test_warc(spark):
-    rows = [(1, "http://a.b/x", "same"), (2, None, "same"), (2, None, "same"), (None, "http://www.q.org/é\n", None), (5, "http://a.b/x", ""), (6, "not a url", "é" * 10), (7, "https://sub.a.b/y?Z=1", "z" * 100_000)]
+    rows = [(1, "http://a.b/x", "same"), (2, None, "same"), (2, None, "same"), (None, "http://www.q.org/é\n", None), (5, "http://a.b/x", ""),
+        (6, "not a url", "é" * 10), (7, "https://sub.a.b/y?Z=1", "z" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     folder = warc.shared_path(spark, "warc-test")
     blocks, directory = warc.index(warc.write(pages, folder))
@@ -401,7 +406,8 @@ def test_pipeline_stages_keep_one_row_of_each_group(spark):
 
     long, other, third = (" ".join(f"{c}{i}" for i in range(120)) for c in "abc")
     near = lambda t, k: t + f" end{k}"
-    rows = [(1, long)] * 3 + [(None, "x y")] * 2 + [(None, " x  y ")] * 2 + [(None, near(other, 0)), (5, near(other, 1)), (6, near(other, 2)), (None, near(third, 0)), (None, near(third, 1)), (7, near(third, 2)), (8, "one"), (8, "two"), (None, None)]
+    rows = [(1, long)] * 3 + [(None, "x y")] * 2 + [(None, " x  y ")] * 2 + [(None, near(other, 0)), (5, near(other, 1)), (6, near(other, 2)),
+        (None, near(third, 0)), (None, near(third, 1)), (7, near(third, 2)), (8, "one"), (8, "two"), (None, None)]
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
     stages = dict(corpus_pipeline.STAGES)
     exact_rows = stages["exact"](spark, docs, None)
@@ -422,7 +428,8 @@ def test_hot_media(spark, monkeypatch):
     """References of a hot digest are resolved by a broadcast, or not, with the same result."""
     texts = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"), "id")
     store = media.media_table(texts)
-    refs = texts.select("id", F.lit(0).alias("position"), F.lit("media").alias("kind"), F.lit(None).cast("string").alias("text"), F.when(F.col("id") % 2 == 0, sha(media.padded("hot"))).otherwise("gone").alias("digest"))
+    refs = texts.select("id", F.lit(0).alias("position"), F.lit("media").alias("kind"), F.lit(None).cast("string").alias("text"),
+        F.when(F.col("id") % 2 == 0, sha(media.padded("hot"))).otherwise("gone").alias("digest"))
     for most in (32 << 20, 0):
         monkeypatch.setattr(media, "HOT_BYTES", most)
         rows = media.resolve(refs, store).collect()
