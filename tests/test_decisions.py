@@ -222,7 +222,8 @@ def test_nested_stacking(spark, heads):
         stack = plain_logistic(both[~test], y[~test], 1.0)(both[test])
         want = [plain_auc(y[test], v) for v in (score[test], oof[test].round(6), stack.round(6))]
         r = rows[t]
-        assert r["n"] == test.sum() and np.allclose([r["score"], r["probe"], r["stack"], r["stack_gain"]], [*want, want[2] - want[0]], atol=3e-6) and r["probe_gains"] == (round(want[1] - want[0], 6) >= 0.02)
+        assert r["n"] == test.sum() and np.allclose([r["score"], r["probe"], r["stack"], r["stack_gain"]], [*want, want[2] - want[0]],
+            atol=3e-6) and r["probe_gains"] == (round(want[1] - want[0], 6) >= 0.02)
 
 
 class PlainGuard:
@@ -252,7 +253,8 @@ def test_guards(spark):
     cut = np.quantile(s[label < 7], 0.999)
     for r in result(spark, "mahalanobis_guard"):
         own = (label >= 7) == r["outside"]
-        assert (r["n"], r["beyond"]) == (own.sum(), (s[own] > cut).sum()) and math.isclose(r["mean_distance"], s[own].mean(), abs_tol=1e-3) and math.isclose(r["shrinkage"], guard.shrinkage, abs_tol=2e-6)
+        assert (r["n"], r["beyond"]) == (own.sum(), (s[own] > cut).sum()) and math.isclose(r["mean_distance"], s[own].mean(),
+            abs_tol=1e-3) and math.isclose(r["shrinkage"], guard.shrinkage, abs_tol=2e-6)
     got, source, worst = {(r["margin"], r["source"]): r for r in result(spark, "guard_margin")}, label % 4, collections.defaultdict(float)
     for h in range(4):
         g = PlainGuard(x[source != h])

@@ -82,24 +82,31 @@ def test_calibration_examples(spark):
         e = calibration.ece(calibration.bin_table(df, F.lit(p), F.col("y"), calibration.left_closed_bin(F.lit(p), 15), 15))
         assert math.isclose(one(e)["ece"], want, abs_tol=1e-9)
     assert one(df.agg(calibration.brier(F.lit(0.5), F.col("y")).alias("b")))["b"] == 0.25
-    both = one(spark.range(1).select(calibration.left_closed_bin(F.lit(0.2), 5).alias("l"), calibration.right_closed_bin(F.lit(0.2), 5).alias("r"), calibration.right_closed_bin(F.lit(0.0), 5).alias("z"), calibration.left_closed_bin(F.lit(1.0), 5).alias("o")))
+    both = one(spark.range(1).select(calibration.left_closed_bin(F.lit(0.2), 5).alias("l"), calibration.right_closed_bin(F.lit(0.2), 5).alias("r"),
+        calibration.right_closed_bin(F.lit(0.0), 5).alias("z"), calibration.left_closed_bin(F.lit(1.0), 5).alias("o")))
     assert tuple(both) == (1, 0, 0, 4)
 
 
 def test_scalars(spark):
     p = F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3, 0.25, 0.15)])
     row = one(spark.range(1).select(
-        S.expected_grade(p).alias("e"), S.arg_max(p).alias("m"), S.restricted_arg_max(p, F.lit(False)).alias("low"), S.tail_probability(p).alias("t"), S.decode(F.lit(1.5), (0.5, 1.5, 2.5, 3.5)).alias("d"),
-        S.sigmoid(F.lit(-800.0)).alias("s"), S.triage(F.lit(True), F.lit(True), F.lit(False)).alias("a"), S.triage(F.lit(False), F.lit(True), F.lit(False)).alias("b"), S.nearest_index(F.lit(0.26), (0.0, 0.25, 0.5)).alias("n"),
-        S.crossed_threshold(F.lit(1.4), F.lit(2.6), (0.5, 1.5, 2.5, 3.5)).alias("c"), S.acceptance_probability(F.lit(0.1), F.lit(0.1), 2, F.lit(0.0)).alias("acc"), S.hamming(F.lit(0).cast("long"), F.lit(-1).cast("long")).alias("h"),
-        S.ratio(F.lit(1), F.lit(0)).alias("r"), S.ratio_floor(F.lit(0), F.lit(0)).alias("rf"), S.finite(F.lit(float("nan"))).alias("nan"), F.array_sort(S.monotone_thresholds((0.5, 1.5, 2.5, 3.5), F.lit(2.7))).alias("mono"), S.monotone_thresholds((0.5, 1.5, 2.5, 3.5), F.lit(2.7)).alias("t4")))
+        S.expected_grade(p).alias("e"), S.arg_max(p).alias("m"), S.restricted_arg_max(p,
+            F.lit(False)).alias("low"), S.tail_probability(p).alias("t"), S.decode(F.lit(1.5), (0.5, 1.5, 2.5, 3.5)).alias("d"),
+        S.sigmoid(F.lit(-800.0)).alias("s"), S.triage(F.lit(True), F.lit(True), F.lit(False)).alias("a"), S.triage(F.lit(False), F.lit(True),
+            F.lit(False)).alias("b"), S.nearest_index(F.lit(0.26), (0.0, 0.25, 0.5)).alias("n"),
+        S.crossed_threshold(F.lit(1.4), F.lit(2.6), (0.5, 1.5, 2.5, 3.5)).alias("c"), S.acceptance_probability(F.lit(0.1), F.lit(0.1), 2,
+            F.lit(0.0)).alias("acc"), S.hamming(F.lit(0).cast("long"), F.lit(-1).cast("long")).alias("h"),
+        S.ratio(F.lit(1), F.lit(0)).alias("r"), S.ratio_floor(F.lit(0),
+            F.lit(0)).alias("rf"), S.finite(F.lit(float("nan"))).alias("nan"), F.array_sort(S.monotone_thresholds((0.5, 1.5, 2.5, 3.5),
+            F.lit(2.7))).alias("mono"), S.monotone_thresholds((0.5, 1.5, 2.5, 3.5), F.lit(2.7)).alias("t4")))
     assert math.isclose(row["e"], 2.15) and (row["m"], row["low"], row["d"], row["n"], row["h"]) == (2, 1, 2, 1, 64)
     assert math.isclose(row["t"], 0.7) and row["s"] == 0.0 and (row["a"], row["b"]) == ("recapture", "uncertain_human_review")
     assert row["c"] == 1.5 and math.isclose(row["acc"], 0.999) and row["r"] is None and row["rf"] == 0 and row["nan"] is None and row["mono"] == row["t4"]
 
 
 def test_text_helpers(spark):
-    row = one(spark.range(1).select(S.utc_iso(F.lit("2026-01-02 03:04:05").cast("timestamp")).alias("t"), S.explanation_flags(F.lit(0.3), F.lit(0.05), F.lit(0.1)).alias("f"), S.explanation_flags(F.lit(0.1), F.lit(0.5), F.lit(0.1)).alias("n")))
+    row = one(spark.range(1).select(S.utc_iso(F.lit("2026-01-02 03:04:05").cast("timestamp")).alias("t"),
+        S.explanation_flags(F.lit(0.3), F.lit(0.05), F.lit(0.1)).alias("f"), S.explanation_flags(F.lit(0.1), F.lit(0.5), F.lit(0.1)).alias("n")))
     assert tuple(row) == ("2026-01-02T03:04:05Z", "border; off_field", "")
 
 

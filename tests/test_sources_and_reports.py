@@ -181,6 +181,7 @@ def test_passport():
 def test_no_exchange_ends_in_one_task(spark):
     """Plans of the operators for large groups hold no single-partition exchange."""
     df = spark.range(100).select("id", (F.col("id") % 2).alias("g"), F.rand(1).alias("s"))
-    plans = [indexing.in_hash_order(df, ["g"], F.md5(F.col("id").cast("string")), "id"), sampling.stratified_folds(df, "g", "id", 5, "s"), sampling.greedy_prefix(df, "id", "g", 10, "s"), ranking.roc_table(ranking.score_table(df, F.col("g") == 1, "s", ["g"]), ["g"])]
+    plans = [indexing.in_hash_order(df, ["g"], F.md5(F.col("id").cast("string")), "id"), sampling.stratified_folds(df, "g", "id", 5, "s"),
+        sampling.greedy_prefix(df, "id", "g", 10, "s"), ranking.roc_table(ranking.score_table(df, F.col("g") == 1, "s", ["g"]), ["g"])]
     for p in plans:
         assert "SinglePartition" not in p._jdf.queryExecution().executedPlan().toString()
