@@ -106,7 +106,8 @@ def calibration_draws(df: DataFrame, cluster: str, positive: Column, score: str,
     A rule is (target, keep): the highest cut whose sample sensitivity reaches the target, a hair below a positive's score;
     with keep, the frozen cut stays if it reaches the target and keep_specificity on the sample. Samples with fewer than
     `least` positives or others keep the frozen cut. Only samples are made by draw, whose size is given. The other rows are
-    counted as all rows of the group, from its table of distinct scores, less the sample's.
+    counted as all rows of the group, from its table of distinct scores, less the sample's; a draw that takes all of them
+    gives no row.
     """
     d = df.select(*by, cluster, F.col(score).alias("score"), positive.alias("pos"))
     picked = drawn_clusters(d, cluster, size, draws, seed, by).join(d, [*by, cluster])
@@ -131,7 +132,7 @@ def calibration_draws(df: DataFrame, cluster: str, positive: Column, score: str,
     at = table.withColumn("kind", F.lit(0)).unionByName(s.select(*by, F.col("cut").alias("x"), F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(1).alias("kind")).distinct())
     at = at.withColumns({"a_p": F.sum("pos").over(line), "a_q": F.sum("neg").over(line), "t_p": F.sum("pos").over(whole),
         "t_q": F.sum("neg").over(whole)}).filter("kind = 1").select(*by, F.col("x").alias("cut"), "a_p", "a_q", "t_p", "t_q")
-    out = s.join(at, [*by, "cut"])
+    out = s.join(at, [*by, "cut"]).filter(F.col("n_p") + F.col("n_q") < F.col("t_p") + F.col("t_q"))
     sensitivity = ratio(F.col("a_p") - F.col("c_p"), F.col("t_p") - F.col("n_p"))
     specificity = 1 - ratio(F.col("a_q") - F.col("c_q"), F.col("t_q") - F.col("n_q"))
     return out.select(*by, "r", "rule", "cut", sensitivity.alias("sensitivity"), specificity.alias("specificity"))
