@@ -27,8 +27,8 @@ _PLACE = np.uint64((1 << 24) - 1)
 PIECE = 1 << 20
 #: A class with more distinct segments than this is resolved window by window, over all tasks, instead of in one.
 MOST_IN_CLASS = 50_000
-#: Segments that a task counts at a time, and that it compares at a time: what bounds a Python worker's memory.
-COUNTED, COMPARED = 250_000, 6000
+#: Segments that a task counts at a time, that it compares at a time, and that it hands on at a time: what bounds a worker's memory.
+COUNTED, COMPARED, SENT = 250_000, 6000, 20_000
 _SEGMENT = "mh long, sh long, key long, th long, start long, windows int, rel int, n long"
 RUNS = "array<struct<a:int,b:int>>"
 
@@ -121,6 +121,9 @@ def _rows(units: Units, counted: bool):
         return pa.RecordBatch.from_arrays([pa.array(mh), pa.array(sh), pa.array(key), pa.array(th), pa.array(start),
             pa.array(windows.astype(np.int32)), pa.array(rel.astype(np.int32)), pa.array(n)], names)
 
+    def sent(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return (b.slice(k, SENT) for k in range(0, b.num_rows, SENT))
+
     def run(batches):
         held, size = [], 0
         for b in batches:
@@ -128,11 +131,11 @@ def _rows(units: Units, counted: bool):
                 for mh, sh, start, windows, rel in units.segments(units.data(text)):
                     held.append((mh, sh, np.full(len(mh), key, np.int64), np.full(len(mh), th, np.int64), start, windows, rel))
                     size += len(mh)
-                if size >= (COUNTED if counted else 50_000):
-                    yield pack(held)
+                if size >= (COUNTED if counted else SENT):
+                    yield from sent(pack(held))
                     held, size = [], 0
         if held:
-            yield pack(held)
+            yield from sent(pack(held))
 
     return run
 
@@ -229,11 +232,13 @@ def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, mo
 
     order = ["mh", "sh", "key", "th", "start"]
     compared = contents(False).repartition("mh").sortWithinPartitions(*order).mapInArrow(_classes(compare, COMPARED), f"mh long, sh long, runs {RUNS}")
-    single = contents(True).mapInArrow(_each_window(units), "mh long, sh long, digest binary, key long, th long, place long, k int, n long")
-    owner = single.groupBy("mh", "digest").agg(F.min(F.struct("key", "th", "place", "sh")).alias("o"), F.sum("n").alias("c"))
-    spread = single.join(owner, ["mh", "digest"]).filter(F.col("o.sh") != F.col("sh") if earlier else F.col("c") > 1)
-    spread = spread.groupBy("mh", "sh").agg(F.array_sort(F.collect_set(F.struct(F.col("k").alias("a"), F.col("k").alias("b")))).alias("runs"))
-    runs = compared.unionByName(spread).groupBy("mh", "sh").agg(F.first("runs").alias("runs"))
+    if not mixed.filter(F.col("kinds") > most).isEmpty():
+        single = contents(True).mapInArrow(_each_window(units), "mh long, sh long, digest binary, key long, th long, place long, k int, n long")
+        owner = single.groupBy("mh", "digest").agg(F.min(F.struct("key", "th", "place", "sh")).alias("o"), F.sum("n").alias("c"))
+        spread = single.join(owner, ["mh", "digest"]).filter(F.col("o.sh") != F.col("sh") if earlier else F.col("c") > 1)
+        spread = spread.groupBy("mh", "sh").agg(F.array_sort(F.collect_set(F.struct(F.col("k").alias("a"), F.col("k").alias("b")))).alias("runs"))
+        compared = compared.unionByName(spread)
+    runs = compared.groupBy("mh", "sh").agg(F.first("runs").alias("runs"))
     found = mixed.select("mh", "sh", "n", "first").join(runs, ["mh", "sh"], "left")
     if not alike:
         found = classes.filter("kinds = 1").select("mh", "sh", "n", "first", none.alias("runs")).unionByName(found)
