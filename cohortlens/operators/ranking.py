@@ -85,13 +85,6 @@ def selection_value(roc: DataFrame, by: Sequence[str] = (), targets: Sequence[fl
     return roc.groupBy(*by).agg((sum(best[1:], best[0]) / float(len(targets))).alias("selection_value"))
 
 
-def average_rank(col: str, by: Sequence[str] = ()) -> Column:
-    """Rank from 1, ties sharing their mean."""
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    peers = Window.partitionBy(*by, col)
-    return F.rank().over(part.orderBy(col)) + (F.count("*").over(peers) - 1) / 2.0
-
-
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, rho): Pearson's correlation of average ranks. Ranks come from counts of distinct values, so no task sees all rows."""
     def ranked(c):

@@ -65,13 +65,6 @@ def bootstrap(df: DataFrame, cluster: str, counts: dict[str, Column], statistics
         F.percentile(drawn, F.lit(1 - a)).alias("high"), F.count(drawn).alias("valid"))
 
 
-def interval(stats: DataFrame, statistic: Column, level: float = 0.95) -> DataFrame:
-    """One row (low, high, valid): the percentile interval over replicates where the statistic is defined."""
-    a = (1 - level) / 2
-    s = stats.select(statistic.alias("s"))
-    return s.agg(F.percentile("s", F.lit(a)).alias("low"), F.percentile("s", F.lit(1 - a)).alias("high"), F.count("s").alias("valid"))
-
-
 def cluster_ids(df: DataFrame, cluster: str, strata: Sequence[str] = ()) -> DataFrame:
     """(strata, cluster, idx): the places that cluster_counts() gives."""
     g = df.select(*strata, cluster).distinct()
