@@ -242,7 +242,8 @@ def repeated(docs: DataFrame, units: Units, compare: Callable, earlier: bool, mo
     found = mixed.select("mh", "sh", "n", "first").join(runs, ["mh", "sh"], "left")
     if not alike:
         found = classes.filter("kinds = 1").select("mh", "sh", "n", "first", none.alias("runs")).unionByName(found)
-    found = cut(found)  # one row a distinct segment; read from a table, Spark may split the places of hot ones over tasks
+    if (classes.agg(F.max("n")).first()[0] or 0) > most:
+        found = cut(found)  # one row a distinct segment; read from a table, Spark may split the places of hot ones over tasks
     places = src.mapInArrow(_rows(units, False), _SEGMENT).drop("n", "rel")
     hit = places.join(found, ["mh", "sh"])
     whole = F.lit(False) if alike else (F.struct("key", "th", "start") != F.col("first")) if earlier else (F.col("n") > 1)
