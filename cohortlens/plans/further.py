@@ -10,7 +10,6 @@ from ..operators import linking as L
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import resampling as B
-from ..operators.indexing import in_hash_order
 from .cohort import CASES, PROBS, cases, evaluated, logits, read, sql_draw
 from .statistics import RULES, calibration_summary, sql_draws
 
@@ -240,9 +239,7 @@ def model_table(spark, d):
 def bootstrap_mean_by_site(spark, d):
     """Intervals of a mean for every site at once: strata in one set of draws."""
     c = evaluated(spark, d).groupBy("source", "group_id").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
-    sizes = c.groupBy("source").agg(F.count("*").alias("n_clusters"))
-    c = in_hash_order(c, ["source"], S.hash_order("idx", F.col("group_id")), "group_id").withColumnRenamed("_place", "idx").join(sizes, "source")
-    b = B.weights(c, 200, "mean", ["source"]).join(c, ["source", "idx"]).groupBy("source", "r").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("v"))
+    b = B.stratum_sums(B.placed_clusters(c, "group_id", ["source"]), 200, "mean", ["s", "n"], ["source"]).select("source", (F.col("s") / F.col("n")).alias("v"))
     return b.groupBy("source").agg(r6(F.percentile("v", F.lit(0.025)), "low"), r6(F.percentile("v", F.lit(0.975)), "high"), F.count("v").alias("valid"))
 
 

@@ -138,8 +138,8 @@ def lesion_summary(spark, d):
     g = g.filter("t > 0 AND h > 0").select("lesion", "image", "a", "an", "b", "bn")
     c = B.cluster_counts(g, "image", {k: F.col(k) for k in ("a", "an", "b", "bn")}, ["lesion"])
     dice = lambda x: 2 * S.ratio(F.sum(x), F.sum(f"{x}n"))
-    weighted = lambda x: 2 * S.ratio(F.sum(F.col(x) * F.col("w")), F.sum(F.col(f"{x}n") * F.col("w")))
-    s = B.weights(c, REPLICATES, "les", ["lesion"]).join(c.drop("n_clusters"), ["lesion", "idx"]).groupBy("lesion", "r").agg((weighted("a") - weighted("b")).alias("v"))
+    s = B.stratum_sums(c, REPLICATES, "les", ["a", "an", "b", "bn"], ["lesion"])
+    s = s.select("lesion", (2 * S.ratio(F.col("a"), F.col("an")) - 2 * S.ratio(F.col("b"), F.col("bn"))).alias("v"))
     ci = s.groupBy("lesion").agg(F.percentile("v", [0.025, 0.975]).alias("ci"))
     out = g.groupBy("lesion").agg(F.count("*").alias("images"), dice("a").alias("learned"), dice("b").alias("heuristic")).join(ci, "lesion")
     return out.select("lesion", "images", r6("learned", "learned"), r6("heuristic", "heuristic"), r6(F.col("ci")[0], "low"), r6(F.col("ci")[1], "high"), (F.col("ci")[0] > 0).alias("better"))
