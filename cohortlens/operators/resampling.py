@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import leading32
 from ..functions.scalar import hash_order, ratio
-from ..session import cut, ship
+from ..session import cut, ship, stored
 from .indexing import dense_index, in_hash_order
 
 
@@ -166,7 +166,7 @@ def weighted_auc(scores: DataFrame, vectors: DataFrame, cluster: str, replicates
     its sums. Equal scores share a slice, and their rows are only summed up.
     """
     ship(scores.sparkSession)
-    scores = cut(scores.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))))  # as a null ranks below all
+    scores = stored(scores.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))))  # as a null ranks below all
     cuts = scores.agg(F.percentile_approx("score", [i / SLICES for i in range(1, SLICES)], 10000)).first()[0] or []
     cuts = sorted(set(cuts))
     at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("score"))) if cuts else F.lit(0)
