@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import leading32
 from ..session import cut, ship
 
 
@@ -119,17 +120,110 @@ def _uniform(*key) -> float:
     return int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) % 10000 / 10000
 
 
+#: Patients whose draws are made at once.
+_DRAWN = 1 << 16
+
+
 class _Station:
     def __init__(self, service: float, servers: int):
         self.service, self.servers, self.free, self.queue, self.peak, self.waits, self.busy = service, servers, servers, deque(), 0, [], 0.0
 
 
 def simulate(w: Workflow) -> dict:
-    """An event calendar; events at the horizon still happen. Draws depend on seed, patient and attempt only.
+    """Counts, waits and peaks of a workflow; events at the horizon still happen. Draws depend on seed, patient and attempt only.
 
     One shared queue with feedback is sequential: each event depends on all before. What runs in parallel are scenarios and,
     for a larger population, independent sites or replicates, each a scenario with its own patients and seed.
     """
+    plain = w.patients >= 1 and w.clinicians == 1 and min(w.acquisition, w.interarrival) > 0 and min(w.recapture, w.upload, w.inference) >= 0 and w.review > w.inference
+    return flow(w) if plain else calendar_of(w)
+
+
+def flow(w: Workflow) -> dict:
+    """simulate() without a calendar: every station serves one after the other, so a patient goes through all of them at once, and who returns comes back in the order of leaving. Arrivals come before returns of the same time.
+
+    That a review ends before another patient comes to it at the same time needs reviews that last longer than inference.
+    """
+    acquisition, recapture, upload, inference, review, horizon, retries = w.acquisition, w.recapture, w.upload, w.inference, w.review, w.horizon, w.retries
+    never = float("inf")
+    generated = completed = reviewed = abandoned = exhausted = started = checks = came_back = pending = peak = n_waits = 0
+    free_a = free_u = free_i = free_r = -never
+    waited = busy = 0.0
+    back: deque = deque()
+    waiting: deque = deque()
+    arrivals = min(w.patients, int(horizon // w.interarrival) + 1)
+    at, until, cleared = 0, 0, 1 - w.refer - w.uncertain
+    bad: list[bool] = []
+    clear: list[bool] = []
+    arrival = 0.0
+    while True:
+        back_at = back[0][0] if back else never
+        if at < arrivals and (arrival := at * w.interarrival) <= back_at:
+            entry = arrival
+            if entry > horizon:
+                break
+            if at == until:
+                base, until = at, min(at + _DRAWN, arrivals)
+                bad = (leading32(f"{w.seed}|quality|".encode(), base, until, b"|1") % 10000 / 10000 < w.reject).tolist()
+                clear = (leading32(f"{w.seed}|route|".encode(), base, until) % 10000 / 10000 < cleared).tolist()
+            patient, attempt, failed, direct = at, 1, bad[at - base], clear[at - base]
+            at += 1
+            generated += 1
+        elif back_at <= horizon:
+            entry, patient, attempt, direct = back.popleft()
+            came_back += 1
+            failed = _uniform(w.seed, "quality", patient, attempt) < w.reject_again
+        else:
+            break
+        start = entry if entry > free_a else free_a
+        if start > horizon:  # it waits, as do all behind it
+            free_a = never
+            continue
+        started += 1
+        free_a = done = start + acquisition
+        if done > horizon:
+            continue
+        checks += 1
+        if failed:
+            if attempt > retries:
+                exhausted += 1
+            elif _uniform(w.seed, "abandon", patient, attempt) < w.abandon:
+                abandoned += 1
+            elif done + recapture <= horizon:
+                back.append((done + recapture, patient, attempt + 1, direct))
+            else:
+                pending += 1
+            continue
+        free_u = (done if done > free_u else free_u) + upload
+        if free_u > horizon:
+            continue
+        free_i = came = (free_u if free_u > free_i else free_i) + inference
+        if came > horizon:
+            continue
+        if direct:
+            completed += 1
+            continue
+        start = came if came > free_r else free_r
+        free_r = start + review
+        while waiting and waiting[0] <= came:
+            waiting.popleft()
+        if start > came:
+            waiting.append(start)
+            peak = max(peak, len(waiting))
+        if start <= horizon:
+            n_waits += 1
+            waited += start - came
+            busy += max(0.0, min(free_r, horizon) - start)
+        if free_r <= horizon:
+            completed += 1
+            reviewed += 1
+    return {"generated": generated, "completed": completed, "reviewed": reviewed, "abandoned": abandoned, "exhausted": exhausted, "attempts_started": started,
+        "quality_checks": checks, "recapture_returns": came_back, "in_system": generated - completed - abandoned - exhausted, "recapture_pending": pending,
+        "max_review_queue": peak, "review_wait": waited / n_waits if n_waits else None, "clinician_utilisation": busy / (horizon * w.clinicians)}
+
+
+def calendar_of(w: Workflow) -> dict:
+    """simulate() by an event calendar, for any settings."""
     st = {"acquire": _Station(w.acquisition, 1), "recapture": _Station(w.recapture, w.patients), "upload": _Station(w.upload, 1),
         "infer": _Station(w.inference, 1), "review": _Station(w.review, w.clinicians)}
     out = dict.fromkeys(("generated", "completed", "reviewed", "abandoned", "exhausted", "attempts_started", "quality_checks", "recapture_returns"), 0)
@@ -208,7 +302,10 @@ def retry_sweep(scenarios: DataFrame) -> DataFrame:
     ship(scenarios.sparkSession)
     fields = [c for c in scenarios.columns if c != "scenario"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"scenario": r["scenario"]} | simulate(Workflow(**{f: r[f] for f in fields})) for r in rows.to_dict("records")])[[x.split()[0] for x in RESULT.split(", ")]]
+    def run(batches):
+        for rows in batches:
+            for r in rows.to_dict("records"):
+                yield pd.DataFrame([{"scenario": r["scenario"]} | simulate(Workflow(**{f: r[f] for f in fields}))])[[x.split()[0] for x in RESULT.split(", ")]]
 
-    return scenarios.groupBy("scenario").applyInPandas(run, RESULT)
+    # As many tasks as scenarios: groups of so few rows would be put into one task.
+    return scenarios.repartitionByRange(max(1, scenarios.count()), "scenario").mapInPandas(run, RESULT)
