@@ -68,7 +68,7 @@ def resumable_sink(spark, d):
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     """The events replayed as a stream, counted by day and type. Days are those of the session's time zone."""
-    w = replay.drained(replay.windowed(replay.source(spark, f"{d}/events.parquet")), "complete")
+    w = replay.drained(replay.windowed(replay.source(spark, f"{d}/events.parquet")))
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -77,5 +77,5 @@ def stream_windows(spark, d):
     "FROM a) SELECT key, count(*) AS n, round(avg(start - t), 3) AS mean_wait FROM s GROUP BY 1")
 def stream_queue(spark, d):
     """Waiting times at one station for each event type, kept as state."""
-    w = replay.drained(replay.served(replay.source(spark, f"{d}/events.parquet"), "event_type", 300.0), "append")
+    w = replay.served(replay.source(spark, f"{d}/events.parquet"), "event_type", 300.0)
     return w.groupBy("key").agg(F.count("*").alias("n"), F.round(F.avg("wait"), 3).alias("mean_wait"))
