@@ -12,7 +12,7 @@ from cohortlens.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose draws were rows, which Spark took for few, and broadcast.
-DRAWN = ["bootstrap_mean_by_site", "lesion_summary", "stratified_bootstrap_ci", "bootstrap_auc", "site_logreg", "site_gain_rule", "paired_bootstrap_ci", "cluster_bootstrap_ci"]
+DRAWN = ["bootstrap_mean_by_site", "lesion_summary", "stratified_bootstrap_ci", "bootstrap_auc", "site_logreg", "site_gain_rule", "paired_bootstrap_ci", "cluster_bootstrap_ci", "reject_threshold"]
 
 
 def plain32(text):
